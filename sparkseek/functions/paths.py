@@ -1,11 +1,12 @@
 """Column expressions over file paths: index filters, layer tags, scope tests and path normalisation.
 
-All of them are built-in expressions, so they stay inside code generation and can be evaluated before any file
-content is read.
+Each rule is one regular expression over the normalised path. That keeps the generated code small however long the
+marker lists are, and lets rules be evaluated before any file content is read.
 """
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 from operator import or_
 
@@ -24,12 +25,24 @@ def any_of(conditions) -> Column:
     return reduce(or_, conditions, F.lit(False))
 
 
+def _part(marker: str) -> str:
+    """Pattern of a "contains" marker; one with a leading slash also matches at the root of a relative path."""
+    return r"(?:\A|/)" + re.escape(marker[1:]) if marker.startswith("/") else re.escape(marker)
+
+
 def contains_any(column: Column, parts) -> Column:
-    return any_of([F.contains(column, F.lit(p)) for p in parts])
+    """Whether the text holds any of the parts."""
+    return _col(column).rlike("|".join(re.escape(p) for p in parts)) if parts else F.lit(False)
 
 
 def ends_with_any(column: Column, endings) -> Column:
-    return any_of([F.endswith(column, F.lit(e)) for e in endings])
+    return _col(column).rlike("(?:" + "|".join(re.escape(e) for e in endings) + r")\z") if endings else F.lit(False)
+
+
+def path_matches(path, parts=(), endings=()) -> Column:
+    """Whether a path, ignoring case and slash direction, holds a part or ends in an ending."""
+    alternatives = [_part(p) for p in parts] + [re.escape(e) + r"\z" for e in endings]
+    return lowered(path).rlike("|".join(alternatives)) if alternatives else F.lit(False)
 
 
 def slashed(path) -> Column:
@@ -37,80 +50,74 @@ def slashed(path) -> Column:
     return F.translate(_col(path), "\\", "/")
 
 
-def rooted(path) -> Column:
-    """Lower-cased path with forward slashes and one leading slash, so that markers match at the root too."""
-    p = F.lower(slashed(path))
-    return F.when(p.startswith("/"), p).otherwise(F.concat(F.lit("/"), p))
+def lowered(path) -> Column:
+    return F.lower(slashed(path))
 
 
 def file_name(path) -> Column:
-    return F.element_at(F.split(slashed(path), "/"), -1)
+    return F.regexp_extract(slashed(path), r"[^/]*\z", 0)
 
 
 def suffix(path) -> Column:
     """Lower-cased file suffix with its dot; empty for names without one and for dot files."""
-    return F.lower(F.regexp_extract(file_name(path), r"[^.][^/]*?(\.[^./]+)$", 1))
+    return F.lower(F.regexp_extract(slashed(path), r"[^/.][^/]*?(\.[^./]+)\z", 1))
 
 
 def stem(path) -> Column:
     """File name without its last suffix, case kept."""
-    name = file_name(path)
-    return F.when(name.rlike(r"^.+\.[^.]+$"), F.regexp_replace(name, r"\.[^.]+$", "")).otherwise(name)
+    return F.regexp_replace(file_name(path), r"(?<=.)\.[^.]+\z", "")
 
 
 def is_legacy_path(path, content=None) -> Column:
     """Legacy-interface file: by marker, by suffix, or by the module declared in a build file."""
-    p = rooted(path)
-    legacy = contains_any(p, fv.LEGACY_MARKERS) | p.endswith(".hal")
+    legacy = path_matches(path, fv.LEGACY_MARKERS, (".hal",))
     if content is not None:
-        legacy = legacy | (p.endswith(".bp") & F.coalesce(F.contains(_col(content), F.lit("hidl_interface")), F.lit(False)))
+        declares = F.coalesce(F.contains(_col(content), F.lit("hidl_interface")), F.lit(False))
+        legacy = legacy | (path_matches(path, endings=(".bp",)) & declares)
     return legacy
 
 
 def is_policy_path(path) -> Column:
     """Access-control policy file."""
-    p = rooted(path)
-    return ends_with_any(p, (".te", ".cil")) | contains_any(p, fv.POLICY_MARKERS)
+    return path_matches(path, fv.POLICY_MARKERS, (".te", ".cil"))
 
 
 def guess_layer(path) -> Column:
     """Layer tag of a path: the first rule that holds, in the fixed order."""
-    p = rooted(path)
     tag = None
     for layer, parts, endings in fv.LAYER_RULES:
-        rule = contains_any(p, parts) | ends_with_any(p, endings)
+        rule = path_matches(path, parts, endings)
         tag = F.when(rule, layer) if tag is None else tag.when(rule, layer)
     return tag.otherwise(fv.DEFAULT_LAYER)
 
 
+def _has_segment(path, segments) -> Column:
+    return lowered(path).rlike(r"(?:\A|/)(?:" + "|".join(re.escape(s) for s in segments) + r")(?:/|\z)")
+
+
 def should_index(path, size_bytes, mode: str = "base", content=None) -> Column:
     """Whether a file goes into the index. Paths are taken relative to the scanned root."""
     if mode not in ("base", "customer"):
         raise ValueError(f"unknown index mode {mode!r}")
-    p = rooted(path)
-    segments = F.split(p, "/")
     keep = (
         suffix(path).isin(*fv.CODE_SUFFIXES)
         & ~is_legacy_path(path, content)
         & (_col(size_bytes) <= fv.MAX_FILE_BYTES)
+        & ~_has_segment(path, fv.BASE_EXCLUDED_SEGMENTS if mode == "base" else fv.CUSTOMER_EXCLUDED_SEGMENTS)
     )
-    dropped = fv.BASE_EXCLUDED_SEGMENTS if mode == "base" else fv.CUSTOMER_EXCLUDED_SEGMENTS
-    keep = keep & ~F.arrays_overlap(segments, F.array(*[F.lit(s) for s in dropped]))
     if mode == "base":
-        keep = keep & ~contains_any(p, fv.BASE_EXCLUDED_PARTS) & ~ends_with_any(p, fv.BASE_EXCLUDED_ENDINGS)
+        keep = keep & ~path_matches(path, fv.BASE_EXCLUDED_PARTS, fv.BASE_EXCLUDED_ENDINGS)
     return keep
 
 
 def under_roots(path, roots) -> Column:
     """Whether the path equals or lies below one of the roots; '.' stands for the whole tree."""
-    p = F.regexp_replace(slashed(path), "^/+", "")
-    tests = []
-    for root in roots:
-        r = root.replace("\\", "/").strip("/")
-        if r in (".", ""):
-            return _col(path).isNotNull()
-        tests.append((p == r) | p.startswith(r + "/"))
-    return any_of(tests)
+    names = [r.replace("\\", "/").strip("/") for r in roots]
+    if any(n in (".", "") for n in names):
+        return _col(path).isNotNull()
+    if not names:
+        return F.lit(False)
+    return slashed(path).rlike(r"\A/*(?:" + "|".join(re.escape(n) for n in names) + r")(?:/|\z)")
 
 
 def root_number(path, roots) -> Column:
@@ -124,14 +131,11 @@ def root_number(path, roots) -> Column:
 
 def norm_path(path) -> Column:
     """Path for gold comparison: forward slashes, trimmed, without leading dots and slashes, lower case."""
-    p = F.regexp_replace(slashed(path), r"^\s+|\s+$", "")
+    p = F.regexp_replace(slashed(path), r"(?U)^\s+|\s+$", "")
     return F.lower(F.regexp_replace(p, r"^[./]+", ""))
 
 
 def searchable_by_exact(path) -> Column:
     """Files the exact-identifier channel looks into."""
-    segments = F.split(rooted(path), "/")
-    dirs = F.slice(segments, 1, F.greatest(F.size(segments) - 1, F.lit(1)))
-    return suffix(path).isin(*fv.EXACT_SUFFIXES) & ~F.arrays_overlap(
-        dirs, F.array(*[F.lit(d) for d in fv.EXACT_SKIPPED_DIRS])
-    )
+    skipped = r"(?:\A|/)(?:" + "|".join(re.escape(d) for d in fv.EXACT_SKIPPED_DIRS) + ")/"
+    return suffix(path).isin(*fv.EXACT_SUFFIXES) & ~lowered(path).rlike(skipped)

@@ -13,7 +13,8 @@ def _col(c) -> Column:
 
 
 def find_all(text, pattern: str, group: int = 0) -> Column:
-    return F.regexp_extract_all(_col(text), F.lit(pattern), F.lit(group))
+    """All matches in order. Word classes and word bounds cover every script, not only ASCII."""
+    return F.regexp_extract_all(_col(text), F.lit("(?U)" + pattern), F.lit(group))
 
 
 def strip(text) -> Column:
@@ -23,7 +24,7 @@ def strip(text) -> Column:
 
 def code_tokens(text) -> Column:
     """Lower-cased identifier-like tokens in order of appearance, repeats included."""
-    return find_all(F.lower(_col(text)), fv.TOKEN_PATTERN)
+    return F.regexp_extract_all(F.lower(_col(text)), F.lit(fv.TOKEN_PATTERN), F.lit(0))
 
 
 def split_lines(text) -> Column:
@@ -82,7 +83,7 @@ def mined_paths(text) -> Column:
 def ranked_paths(answer) -> Column:
     """Paths of a numbered list; without one, every distinct path in the text."""
     numbered = F.filter(
-        F.transform(split_lines(answer), lambda l: F.regexp_extract(l, r"^\s*\d+\.\s+([^\s\[]+)", 1)),
+        F.transform(split_lines(answer), lambda l: F.regexp_extract(l, r"(?U)^\s*\d+\.\s+([^\s\[]+)", 1)),
         lambda p: F.contains(p, F.lit("/")),
     )
     return F.when(F.size(numbered) > 0, numbered).otherwise(F.array_distinct(find_all(answer, fv.ANY_PATH_PATTERN, 1)))
