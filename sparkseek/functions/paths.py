@@ -1,7 +1,7 @@
 """Column expressions over file paths: index filters, layer tags, scope tests and path normalisation.
 
-Each rule is one regular expression over the normalised path. That keeps the generated code small however long the
-marker lists are, and lets rules be evaluated before any file content is read.
+A rule tests many markers against one normalised path. The path is normalised once and bound to a variable; the tests
+on it are plain substring comparisons. Rules need no file content and can be evaluated before any is read.
 """
 
 from __future__ import annotations
@@ -20,29 +20,34 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def bound(value: Column, body) -> Column:
+    """body(value) with the value computed once, through a one-element array."""
+    return F.transform(F.array(value), body)[0]
+
+
 def any_of(conditions) -> Column:
     """OR over a list of conditions; false when the list is empty."""
     return reduce(or_, conditions, F.lit(False))
 
 
-def _part(marker: str) -> str:
-    """Pattern of a "contains" marker; one with a leading slash also matches at the root of a relative path."""
-    return r"(?:\A|/)" + re.escape(marker[1:]) if marker.startswith("/") else re.escape(marker)
+def contains_any(column, parts) -> Column:
+    """Whether the text holds any of the parts."""
+    return any_of([F.contains(_col(column), F.lit(p)) for p in parts])
 
 
-def contains_any(column: Column, parts) -> Column:
-    """Whether the text holds any of the parts."""
-    return _col(column).rlike("|".join(re.escape(p) for p in parts)) if parts else F.lit(False)
+def ends_with_any(column, endings) -> Column:
+    return any_of([F.endswith(_col(column), F.lit(e)) for e in endings])
 
 
-def ends_with_any(column: Column, endings) -> Column:
-    return _col(column).rlike("(?:" + "|".join(re.escape(e) for e in endings) + r")\z") if endings else F.lit(False)
+def _holds(p: Column, parts=(), endings=()) -> Column:
+    """A marker with a leading slash also matches at the root of a relative path."""
+    at_root = [F.startswith(p, F.lit(m[1:])) for m in parts if m.startswith("/")]
+    return contains_any(p, parts) | any_of(at_root) | ends_with_any(p, endings)
 
 
 def path_matches(path, parts=(), endings=()) -> Column:
     """Whether a path, ignoring case and slash direction, holds a part or ends in an ending."""
-    alternatives = [_part(p) for p in parts] + [re.escape(e) + r"\z" for e in endings]
-    return lowered(path).rlike("|".join(alternatives)) if alternatives else F.lit(False)
+    return bound(lowered(path), lambda p: _holds(p, parts, endings))
 
 
 def slashed(path) -> Column:
@@ -55,17 +60,23 @@ def lowered(path) -> Column:
 
 
 def file_name(path) -> Column:
-    return F.regexp_extract(slashed(path), r"[^/]*\z", 0)
+    return F.substring_index(slashed(path), "/", -1)
+
+
+def _suffix_of(name: Column) -> Column:
+    last = F.substring_index(name, ".", -1)
+    return F.when((last != "") & (F.length(last) < F.length(name) - 1), F.concat(F.lit("."), last)).otherwise(F.lit(""))
 
 
 def suffix(path) -> Column:
     """Lower-cased file suffix with its dot; empty for names without one and for dot files."""
-    return F.lower(F.regexp_extract(slashed(path), r"[^/.][^/]*?(\.[^./]+)\z", 1))
+    return F.lower(_suffix_of(file_name(path)))
 
 
 def stem(path) -> Column:
     """File name without its last suffix, case kept."""
-    return F.regexp_replace(file_name(path), r"(?<=.)\.[^.]+\z", "")
+    name = file_name(path)
+    return F.substring(name, F.lit(1), F.length(name) - F.length(_suffix_of(name)))
 
 
 def is_legacy_path(path, content=None) -> Column:
@@ -84,15 +95,19 @@ def is_policy_path(path) -> Column:
 
 def guess_layer(path) -> Column:
     """Layer tag of a path: the first rule that holds, in the fixed order."""
-    tag = None
-    for layer, parts, endings in fv.LAYER_RULES:
-        rule = path_matches(path, parts, endings)
-        tag = F.when(rule, layer) if tag is None else tag.when(rule, layer)
-    return tag.otherwise(fv.DEFAULT_LAYER)
+
+    def tag(p: Column) -> Column:
+        layers = None
+        for layer, parts, endings in fv.LAYER_RULES:
+            rule = _holds(p, parts, endings)
+            layers = F.when(rule, layer) if layers is None else layers.when(rule, layer)
+        return layers.otherwise(fv.DEFAULT_LAYER)
+
+    return bound(lowered(path), tag)
 
 
 def _has_segment(path, segments) -> Column:
-    return lowered(path).rlike(r"(?:\A|/)(?:" + "|".join(re.escape(s) for s in segments) + r")(?:/|\z)")
+    return F.arrays_overlap(F.split(lowered(path), "/"), F.array(*[F.lit(s) for s in segments]))
 
 
 def should_index(path, size_bytes, mode: str = "base", content=None) -> Column:
@@ -137,5 +152,5 @@ def norm_path(path) -> Column:
 
 def searchable_by_exact(path) -> Column:
     """Files the exact-identifier channel looks into."""
-    skipped = r"(?:\A|/)(?:" + "|".join(re.escape(d) for d in fv.EXACT_SKIPPED_DIRS) + ")/"
-    return suffix(path).isin(*fv.EXACT_SUFFIXES) & ~lowered(path).rlike(skipped)
+    skipped = [f"/{d}/" for d in fv.EXACT_SKIPPED_DIRS]
+    return suffix(path).isin(*fv.EXACT_SUFFIXES) & ~path_matches(path, skipped)

@@ -6,6 +6,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
+from .paths import contains_any
+
+
+# Every character that counts as white space.
+WHITE_SPACE = (
+    " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def _col(c) -> Column:
@@ -19,7 +27,11 @@ def find_all(text, pattern: str, group: int = 0) -> Column:
 
 def strip(text) -> Column:
     """Trim white space of every kind from both ends."""
-    return F.regexp_replace(_col(text), r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+    return F.btrim(_col(text), F.lit(WHITE_SPACE))
+
+
+def is_blank(text) -> Column:
+    return strip(text) == ""
 
 
 def code_tokens(text) -> Column:
@@ -61,8 +73,7 @@ def code_keywords(query) -> Column:
 
 
 def mentions_legacy(query) -> Column:
-    q = F.lower(_col(query))
-    return F.exists(F.array(*[F.lit(w) for w in fv.LEGACY_QUERY_WORDS]), lambda w: F.contains(q, w))
+    return contains_any(F.lower(_col(query)), fv.LEGACY_QUERY_WORDS)
 
 
 def snippet(content, chars: int) -> Column:

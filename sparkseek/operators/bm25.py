@@ -3,27 +3,30 @@
 Scale notes
 * Term counts of a document are taken inside its own row (sort the tokens, measure the runs), so counting needs no
   shuffle.
-* The vocabulary shuffle carries one pre-aggregated row per (store, term) and task.
-* Counted documents and the vocabulary are written once; every later step reads those tables.
-* Scores are summed where the documents live: postings that match some query term are hash-partitioned by document
-  (unique keys, hence even), and the sum per (query, document) then needs no further exchange. Only the best k rows
-  per query and task travel to the final ranking.
+* Counted documents and the vocabulary are written once; every later step reads those tables. The vocabulary shuffle
+  carries one pre-aggregated row per (store, term) and task.
+* A bounded batch of queries is scored where the documents are: a task sums the weights of its own documents and keeps
+  its best k per query and store. Neither postings nor (query, document) pairs are shuffled, and a word that occurs in
+  most documents costs no more than any other.
+* A batch beyond that bound goes through shuffled joins on the term, whose skew AQE splits.
 """
 
 from __future__ import annotations
 
+from dataclasses import replace
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import Bm25, Limits
 from ..functions import text as X
+from ..functions.paths import bound
 from ..sizes import fits, small_side
 from ..workspace import written
-
-
-def _bind(value: Column, body) -> Column:
-    """body(value) with the value computed once, through a one-element array."""
-    return F.transform(F.array(value), body)[0]
+from .topk import BLOCK_ROWS, RunningBest, leading
 
 
 def term_counts(tokens: Column) -> Column:
@@ -31,7 +34,7 @@ def term_counts(tokens: Column) -> Column:
 
     def run_lengths(s: Column) -> Column:
         starts = F.filter(F.sequence(F.lit(1), F.size(s)), lambda i: (i == 1) | (s[i - 1] != F.get(s, i - 2)))
-        return _bind(
+        return bound(
             starts,
             lambda st: F.transform(
                 st,
@@ -41,7 +44,7 @@ def term_counts(tokens: Column) -> Column:
             ),
         )
 
-    return _bind(F.sort_array(tokens), lambda s: F.when(F.size(s) > 0, run_lengths(s)))
+    return bound(F.sort_array(tokens), lambda s: F.when(F.size(s) > 0, run_lengths(s)))
 
 
 def counted(docs: DataFrame, keys: list[str], text: str) -> DataFrame:
@@ -87,44 +90,120 @@ def query_terms(queries: DataFrame, query: str = "query") -> DataFrame:
     )
 
 
-def score(
-    docs: DataFrame,
-    idf: DataFrame,
-    stats: DataFrame,
-    queries: DataFrame,
-    keys: list[str],
-    params: Bm25 = Bm25(),
-    limits: Limits = Limits(),
-) -> DataFrame:
-    """query_id, store, keys, score: positive BM25 scores (nine decimals) of every matching document."""
-    qterms = query_terms(queries)
-    # A query text bounds the number of its terms, so one check on the batch covers everything derived from it.
-    small = fits(queries, limits)
-    wanted = qterms.select("term").distinct()
-    weights = idf.join(small_side(qterms, small), "term").select(
+def term_weights(idf: DataFrame, queries: DataFrame, small: bool) -> DataFrame:
+    """store, term, query_id, w: what one unit of term gain adds to a query's score."""
+    return idf.join(small_side(query_terms(queries), small), "term").select(
         "store", "term", "query_id", (F.col("qtf") * F.col("idf")).alias("w")
     )
+
+
+def _scores_in_place(docs: DataFrame, weights: DataFrame, stats: DataFrame, k: int, keys: list[str], params: Bm25) -> DataFrame:
+    """Best k candidates per query, store and task, scored where the documents are. For a bounded batch only."""
+    rows = weights.collect()  # bounded by the size of the batch
+    ids = np.array(sorted({r["query_id"] for r in rows}), dtype=object)
+    number = {q: i for i, q in enumerate(ids)}
+    by_store: dict = {}
+    for r in rows:
+        by_store.setdefault(r["store"], {}).setdefault(r["term"], []).append((number[r["query_id"]], r["w"]))
+    tables = {}
+    for store, terms in by_store.items():
+        entries = list(terms.values())
+        tables[store] = (
+            {t: i for i, t in enumerate(terms)},
+            np.cumsum([0] + [len(e) for e in entries]),
+            np.array([q for e in entries for q, _ in e], dtype=np.int64),
+            np.array([w for e in entries for _, w in e]),
+        )
+    shared = docs.sparkSession.sparkContext.broadcast((ids, tables, {r["store"]: r["avgdl"] for r in stats.collect()}))
+    schema = T.StructType(
+        [weights.schema["query_id"]] + [docs.schema[c] for c in ["store", *keys]] + [T.StructField("score", T.DoubleType())]
+    )
+    k1, b = params.k1, params.b
+
+    def score_block(block: pd.DataFrame, table, avgdl: float, n_queries: int) -> np.ndarray:
+        vocabulary, bounds, query_no, weight = table
+        counts = np.array([len(t) for t in block["_terms"]])
+        doc = np.repeat(np.arange(len(block)), counts)
+        term = np.array([vocabulary.get(t, -1) for terms in block["_terms"] for t in terms], dtype=np.int64)
+        known = term >= 0
+        doc, term = doc[known], term[known]
+        tf = np.concatenate([np.asarray(x, dtype=np.float64) for x in block["_tfs"]])[known]
+        norm = k1 * ((1 - b) + b * block["dl"].to_numpy(dtype=np.float64) / avgdl)
+        gain = tf * (k1 + 1) / (tf + norm[doc])
+        # One entry per posting and query that asks for its term, summed per document and query.
+        width = bounds[term + 1] - bounds[term]
+        first = np.repeat(bounds[term] - np.concatenate([[0], np.cumsum(width)[:-1]]), width)
+        entry = np.arange(width.sum()) + first
+        cell = np.repeat(doc * n_queries, width) + query_no[entry]
+        total = np.bincount(cell, np.repeat(gain, width) * weight[entry], len(block) * n_queries)
+        return np.round(total, 9).reshape(len(block), n_queries)
+
+    def scan(batches):
+        names, tables, avgdl = shared.value
+        best = RunningBest(k, ["q", "store"], keys)
+        for batch in batches:
+            for store, frame in batch.groupby("store", sort=False):
+                if store not in tables:
+                    continue
+                frame = frame.sort_values(keys)
+                for at in range(0, len(frame), BLOCK_ROWS):
+                    block = frame.iloc[at:at + BLOCK_ROWS]
+                    scores = score_block(block, tables[store], avgdl[store], len(names))
+                    row, col = leading(scores, k)
+                    positive = scores[row, col] > 0
+                    row, col = row[positive], col[positive]
+                    part = block[["store", *keys]].iloc[row].reset_index(drop=True)
+                    part["q"], part["score"] = col, scores[row, col]
+                    best.add(part)
+        result = best.result()
+        if result is not None:
+            result.insert(0, "query_id", names[result["q"].to_numpy()])
+            yield result[["query_id", "store", *keys, "score"]]
+
+    columns = ["store", *keys, "dl", F.col("terms.term").alias("_terms"), F.col("terms.tf").alias("_tfs")]
+    return docs.where(F.size("terms") > 0).select(*columns).mapInPandas(scan, schema)
+
+
+def _scores_by_join(docs: DataFrame, weights: DataFrame, stats: DataFrame, keys: list[str], params: Bm25) -> DataFrame:
+    """All positive scores through joins on the term, for a batch of any size."""
     k1, b = params.k1, params.b
     norm = F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / F.col("avgdl"))
     gains = (
         docs.select("store", *keys, "dl", F.explode("terms").alias("p"))
         .select("store", *keys, "dl", "p.term", "p.tf")
-        .join(small_side(wanted, small), "term", "left_semi")
+        .join(weights.select("term").distinct(), "term", "left_semi")
         .join(F.broadcast(stats.select("store", "avgdl")), "store")  # one row per store
         .select("store", *keys, "term", (F.col("tf") * F.lit(k1 + 1) / (F.col("tf") + norm)).alias("gain"))
-        .repartition("store", *keys)
     )
     return (
-        gains.join(small_side(weights, small), ["store", "term"])
+        gains.join(weights, ["store", "term"])
         .groupBy("store", *keys, "query_id")
         .agg(F.round(F.sum(F.col("w") * F.col("gain")), 9).alias("score"))
         .where("score > 0")
     )
 
 
-def top_k(scored: DataFrame, k: int, keys: list[str], by: list[str] = ("query_id", "store")) -> DataFrame:
-    """Best k rows per query and store with `rank`; equal scores stay in key order."""
-    w = Window.partitionBy(*by).orderBy(F.desc("score"), *keys)
+def top_k(
+    docs: DataFrame,
+    idf: DataFrame,
+    stats: DataFrame,
+    queries: DataFrame,
+    k: int,
+    keys: list[str],
+    params: Bm25 = Bm25(),
+    limits: Limits = Limits(),
+) -> DataFrame:
+    """query_id, store, keys, score, rank: best k documents per query and store with a positive score.
+
+    `docs` are counted documents. Scores have nine decimals; equal scores stay in key order.
+    """
+    small = fits(queries, replace(limits, broadcast_rows=limits.queries_per_slice, broadcast_bytes=limits.broadcast_bytes // 8))
+    weights = term_weights(idf, queries, small)
+    if small:
+        scored = _scores_in_place(docs, weights, stats, k, keys, params)
+    else:
+        scored = _scores_by_join(docs, written(weights, "bm25-weights"), stats, keys, params)
+    w = Window.partitionBy("query_id", "store").orderBy(F.desc("score"), *keys)
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
@@ -141,5 +220,4 @@ def search(
     corpus = written(counted(docs, keys, text), "bm25-terms")
     vocab = written(vocabulary(corpus), "bm25-vocabulary")
     stats = written(collection_stats(corpus, vocab), "bm25-stats")
-    scored = score(corpus, with_idf(vocab, stats, params), stats, queries, keys, params, limits)
-    return top_k(scored, k, keys)
+    return top_k(corpus, with_idf(vocab, stats, params), stats, queries, k, keys, params, limits)

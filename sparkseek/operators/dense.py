@@ -10,71 +10,59 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import Limits
+from .topk import BLOCK_ROWS, RunningBest, leading
 
 
 def _unit_rows(vectors) -> np.ndarray:
-    matrix = np.asarray([np.asarray(v, dtype=np.float64) for v in vectors])
+    matrix = np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
     norms = np.sqrt(np.einsum("ij,ij->i", matrix, matrix))
     norms[norms == 0] = 1.0
     return matrix / norms[:, None]
 
 
-def query_slices(queries: DataFrame, limits: Limits) -> list[DataFrame]:
-    """The batch cut into slices small enough to be held by every task."""
-    n = queries.count()
-    parts = max(1, -(-n // limits.queries_per_slice))
-    if parts == 1:
-        return [queries] if n else []
-    # Hash slices vary a little around their mean; twice as many keep them within the bound in practice.
-    parts *= 2
-    return [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i) for i in range(parts)]
+def _slices(queries: DataFrame, limits: Limits):
+    """The batch in pieces of bounded size, each as a list of rows."""
+    size = limits.queries_per_slice
+    head = queries.limit(size + 1).collect()
+    if len(head) <= size:
+        if head:
+            yield head
+        return
+    # Hash slices vary around their mean; half-filled ones stay below the bound.
+    parts = -(-2 * queries.count() // size)
+    for i in range(parts):
+        piece = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i).collect()
+        if piece:
+            yield piece
 
 
-def _candidates(vectors: DataFrame, queries: DataFrame, k: int, keys: list[str]) -> DataFrame:
-    rows = queries.select("query_id", "embedding").collect()  # one slice: at most limits.queries_per_slice rows
+def _candidates(vectors: DataFrame, rows: list, id_field: T.StructField, k: int, keys: list[str]) -> DataFrame:
     ids = np.array([r["query_id"] for r in rows], dtype=object)
-    matrix = vectors.sparkSession.sparkContext.broadcast(_unit_rows([r["embedding"] for r in rows]).T)
-    schema = T.StructType(
-        [queries.schema["query_id"]]
-        + [vectors.schema[c] for c in ["store", *keys]]
-        + [T.StructField("score", T.DoubleType())]
-    )
+    units = _unit_rows([r["embedding"] for r in rows]).T if rows else np.zeros((0, 0))
+    matrix = vectors.sparkSession.sparkContext.broadcast(units)
+    schema = T.StructType([id_field] + [vectors.schema[c] for c in ["store", *keys]] + [T.StructField("score", T.DoubleType())])
 
     def nearest(batches):
-        best = None
+        best = RunningBest(k, ["q", "store"], keys)
         for batch in batches:
-            if not len(batch):
-                continue
-            batch = batch.sort_values(keys)
-            sims = np.round(_unit_rows(batch["embedding"]) @ matrix.value, 9)
-            sims = np.clip(sims, 0.0, 1.0)
-            found = []
-            for _, index in batch.groupby("store", sort=False).indices.items():
-                block = sims[index]
-                if len(index) > k:
-                    floor = np.partition(block, len(index) - k, axis=0)[len(index) - k]
-                    above, level = block > floor, block == floor
-                    # Rows are in key order, so of equal scores at the cut the first ones stay.
-                    keep = above | (level & (level.cumsum(axis=0) <= k - above.sum(axis=0)))
-                    row, col = np.nonzero(keep)
-                else:
-                    row, col = np.indices(block.shape).reshape(2, -1)
-                part = batch.iloc[index[row]][["store", *keys]].reset_index(drop=True)
-                part.insert(0, "q", col)
-                part["score"] = block[row, col]
-                found.append(part)
-            best = pd.concat([best, *found]) if best is not None else pd.concat(found)
-            best = best.sort_values(["q", "store", "score", *keys], ascending=[True, True, False] + [True] * len(keys))
-            best = best[best.groupby(["q", "store"]).cumcount() < k]
-        if best is not None:
-            best.insert(0, "query_id", ids[best["q"].to_numpy()])
-            yield best.drop(columns="q")
+            for store, frame in batch.groupby("store", sort=False):
+                frame = frame.sort_values(keys)
+                for at in range(0, len(frame), BLOCK_ROWS):
+                    block = frame.iloc[at:at + BLOCK_ROWS]
+                    sims = np.clip(np.round(_unit_rows(block["embedding"]) @ matrix.value, 9), 0.0, 1.0)
+                    row, col = leading(sims, k)
+                    part = block[["store", *keys]].iloc[row].reset_index(drop=True)
+                    part["q"], part["score"] = col, sims[row, col]
+                    best.add(part)
+        result = best.result()
+        if result is not None:
+            result.insert(0, "query_id", ids[result["q"].to_numpy()])
+            yield result[["query_id", "store", *keys, "score"]]
 
     return vectors.select("store", *keys, "embedding").mapInPandas(nearest, schema)
 
@@ -85,14 +73,11 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, keys: list[str], limit
     `vectors` has store, keys and `embedding`; `queries` has query_id and `embedding`. The score is the cosine clamped
     to [0, 1], rounded to nine decimals; equal scores stay in key order.
     """
-    parts = [_candidates(vectors, part, k, keys) for part in query_slices(queries, limits)]
+    queries = queries.select("query_id", "embedding")
+    id_field = queries.schema["query_id"]
+    parts = [_candidates(vectors, rows, id_field, k, keys) for rows in _slices(queries, limits)]
     if not parts:
-        schema = T.StructType(
-            [queries.schema["query_id"]]
-            + [vectors.schema[c] for c in ["store", *keys]]
-            + [T.StructField("score", T.DoubleType()), T.StructField("rank", T.IntegerType())]
-        )
-        return vectors.sparkSession.createDataFrame([], schema)
-    found = reduce(DataFrame.unionByName, parts)
+        parts = [_candidates(vectors.limit(0), [], id_field, k, keys)]
     w = Window.partitionBy("query_id", "store").orderBy(F.desc("score"), *keys)
+    found = reduce(DataFrame.unionByName, parts)
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

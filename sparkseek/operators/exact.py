@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +16,7 @@ from ..config import Limits
 from ..functions import paths as P
 from ..functions import text as X
 from ..sizes import fits, small_side
+from .topk import RunningBest
 
 try:
     import ahocorasick
@@ -42,20 +42,14 @@ def matches(texts: DataFrame, patterns: DataFrame, keys: list[str], text: str, k
     `patterns` has one column `pattern` without repeats. With `keep`, a task emits only its first `keep` rows per
     pattern in key order. Patterns beyond one slice are matched slice by slice.
     """
-    n, size = patterns.agg(F.count("*"), F.coalesce(F.sum(F.length("pattern")), F.lit(0))).first()
-    slices = max(1, -(-n // limits.broadcast_rows), -(-size // limits.broadcast_bytes))
-    if slices > 1:
-        slices *= 2
     schema = T.StructType([T.StructField("pattern", T.StringType())] + [texts.schema[c] for c in keys])
 
-    def one_slice(i: int) -> DataFrame:
-        part = patterns if slices == 1 else patterns.where(F.pmod(F.xxhash64("pattern"), F.lit(slices)) == i)
-        words = sorted(r["pattern"] for r in part.collect())  # one slice: bounded by limits
+    def one_slice(words: list[str]) -> DataFrame:
         shared = texts.sparkSession.sparkContext.broadcast(words)
 
         def scan(batches):
             found_in = _matcher(shared.value) if shared.value else None
-            first = None
+            best = RunningBest(keep, ["pattern"], keys) if keep is not None else None
             for batch in batches:
                 if found_in is None:
                     continue
@@ -65,18 +59,30 @@ def matches(texts: DataFrame, patterns: DataFrame, keys: list[str], text: str, k
                 rows, numbers = zip(*hits)
                 found = batch[keys].iloc[list(rows)].reset_index(drop=True)
                 found.insert(0, "pattern", [shared.value[i] for i in numbers])
-                if keep is None:
+                if best is None:
                     yield found
-                    continue
-                first = found if first is None else pd.concat([first, found])
-                first = first.sort_values(["pattern", *keys])
-                first = first[first.groupby("pattern").cumcount() < keep]
-            if first is not None:
-                yield first
+                else:
+                    best.add(found.assign(score=0.0))
+            result = best.result() if best is not None else None
+            if result is not None:
+                yield result[["pattern", *keys]]
 
         return texts.select(*keys, text).mapInPandas(scan, schema)
 
-    return reduce(DataFrame.unionByName, [one_slice(i) for i in range(slices)])
+    return reduce(DataFrame.unionByName, [one_slice(words) for words in _slices(patterns, limits)])
+
+
+def _slices(patterns: DataFrame, limits: Limits):
+    """The patterns in sorted lists of bounded size."""
+    head = [r["pattern"] for r in patterns.limit(limits.queries_per_slice * 16 + 1).collect()]
+    if len(head) <= limits.queries_per_slice * 16 and sum(map(len, head)) <= limits.broadcast_bytes:
+        yield sorted(head)
+        return
+    n, size = patterns.agg(F.count("*"), F.sum(F.length("pattern"))).first()
+    # Hash slices vary around their mean; half-filled ones stay below the bound.
+    parts = 2 * max(-(-n // (limits.queries_per_slice * 16)), -(-size // limits.broadcast_bytes))
+    for i in range(parts):
+        yield sorted(r["pattern"] for r in patterns.where(F.pmod(F.xxhash64("pattern"), F.lit(parts)) == i).collect())
 
 
 def query_keywords(queries: DataFrame, max_keywords: int, query: str = "query") -> DataFrame:

@@ -94,7 +94,11 @@ def minmax(values: Column, window) -> Column:
 
 
 def normalize_base(fused: DataFrame) -> DataFrame:
-    """Adds base_norm and makes it the score."""
+    """Adds base_norm and makes it the score.
+
+    Partitioned by query here, for all later per-query steps; a fixed number keeps small batches spread over the cores.
+    """
+    fused = fused.repartition(int(fused.sparkSession.conf.get("spark.sql.shuffle.partitions")), "query_id")
     scaled = minmax(F.col("score"), Window.partitionBy("query_id"))
     return fused.withColumn("base_norm", scaled).withColumn("score", F.col("base_norm"))
 

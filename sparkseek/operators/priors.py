@@ -15,32 +15,36 @@ from ..functions import text as X
 
 
 def query_features(queries: DataFrame, query: str = "query") -> DataFrame:
-    """query_id, _q (lower-cased text), _q_tokens (distinct tokens), _q_legacy."""
+    """query_id, _q_tokens (distinct tokens), _q_legacy, and one flag per intent: everything asked of the query text.
+
+    Taken once per query, before the join with its hits.
+    """
+    low = F.lower(query)
+    intents = [P.contains_any(low, words).alias(f"_intent{i}") for i, (words, *_) in enumerate(fv.INTENT_PRIORS)]
     return queries.select(
-        "query_id",
-        F.lower(query).alias("_q"),
-        F.array_distinct(X.code_tokens(query)).alias("_q_tokens"),
-        X.mentions_legacy(query).alias("_q_legacy"),
+        "query_id", F.array_distinct(X.code_tokens(query)).alias("_q_tokens"), X.mentions_legacy(query).alias("_q_legacy"), *intents
     )
 
 
 def prior(settings: Settings = Settings()) -> Column:
-    """Sum of the priors that apply to a hit (path, store) and its query (_q, _q_tokens)."""
+    """Sum of the priors that apply to a hit (path, store) and the features of its query."""
     r = settings.ranking
-    path = F.lower(P.slashed("path"))
-    q = F.col("_q")
     ids = X.find_all(P.stem("path"), fv.IDENTIFIER_PATTERN)
     if r.symbol_prior_casefold:
         ids = F.transform(ids, lambda i: F.lower(i))
-    terms = [
-        (P.contains_any(path, settings.retrieval.customer_path_parts), r.prior_customer_path),
-        (F.coalesce(F.col("store") == "customer", F.lit(False)), r.prior_customer_store),
-    ]
-    for words, parts, endings, weight in fv.INTENT_PRIORS:
-        terms.append((P.contains_any(q, words) & (P.contains_any(path, parts) | P.ends_with_any(path, endings)), weight))
-    terms.append((F.arrays_overlap(ids, F.col("_q_tokens")), r.prior_symbol_in_path))
-    terms.append((P.suffix("path").isin(*fv.STACK_SUFFIXES), fv.PRIOR_STACK_SUFFIX))
-    return reduce(add, [F.when(cond, F.lit(weight)).otherwise(F.lit(0.0)) for cond, weight in terms])
+
+    def total(path: Column) -> Column:
+        terms = [
+            (P.contains_any(path, settings.retrieval.customer_path_parts), r.prior_customer_path),
+            (F.coalesce(F.col("store") == "customer", F.lit(False)), r.prior_customer_store),
+        ]
+        for i, (_, parts, endings, weight) in enumerate(fv.INTENT_PRIORS):
+            terms.append((F.col(f"_intent{i}") & (P.contains_any(path, parts) | P.ends_with_any(path, endings)), weight))
+        terms.append((F.arrays_overlap(ids, F.col("_q_tokens")), r.prior_symbol_in_path))
+        terms.append((P.suffix("path").isin(*fv.STACK_SUFFIXES), fv.PRIOR_STACK_SUFFIX))
+        return reduce(add, [F.when(cond, F.lit(weight)).otherwise(F.lit(0.0)) for cond, weight in terms])
+
+    return P.bound(P.lowered("path"), total)
 
 
 def apply_priors(fused: DataFrame, queries: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -51,5 +55,5 @@ def apply_priors(fused: DataFrame, queries: DataFrame, settings: Settings = Sett
     return (
         scored.where(~legacy | F.col("_q_legacy"))
         .withColumn("score", F.col("score") + F.col("prior"))
-        .drop("_q", "_q_tokens", "_q_legacy")
+        .select(*fused.columns, "prior")
     )

@@ -52,8 +52,7 @@ class HybridSearch:
         s = self.settings
         stats = self.store.table("stats")
         idf = bm25.with_idf(self.store.table("vocabulary"), stats, s.bm25)
-        scored = bm25.score(self.store.table("chunks"), idf, stats, queries, KEYS, s.bm25, s.limits)
-        hits = bm25.top_k(scored, s.retrieval.k_bm25, KEYS)
+        hits = bm25.top_k(self.store.table("chunks"), idf, stats, queries, s.retrieval.k_bm25, KEYS, s.bm25, s.limits)
         return fusion.rank_across_stores(hits, KEYS, s.ranking.rank_scope)
 
     def exact_hits(self, queries: DataFrame) -> DataFrame:

@@ -347,7 +347,7 @@ def _lookup_sql(template: str, layer: str, ends) -> str:
     return f"""WITH {_HINT_SQL}, asked AS (SELECT query_id, '{before}' || hint || '{after}' AS query FROM hint), {sql_search('asked', 12)},
 marked AS (SELECT *, layer = '{layer}' OR {D.sql_ends_with_any('lower(path)', ends)} AS m FROM ranked),
 chosen AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS n FROM
-  (SELECT *, bool_or(m) OVER (PARTITION BY query_id) AS some FROM marked) WHERE m OR NOT some)
+  (SELECT *, bool_or(m) OVER (PARTITION BY query_id) AS any_m FROM marked) WHERE m OR NOT any_m)
 SELECT query_id, CAST(n AS INT) AS rank, path, layer FROM chosen WHERE n <= 8"""
 
 
@@ -374,8 +374,8 @@ _SNIP = "translate(substr(content, 1, {n}), chr(10), ' ')"
 
 
 @query("search_lines", f"""WITH {BUGS_SQL}, {sql_search('bugs', _R.k_final)}
-SELECT query_id, CAST(rank AS INT) AS rank, rank || '. [' || layer || '|' || source || '|' || printf('score=%.3f', round(final, 6))
-  || CASE WHEN prior <> 0 THEN printf(' prior=+%.2f', prior) ELSE '' END || printf(' ce=%.2f', rerank_raw) || '] ' || path || chr(10) || '   '
+SELECT query_id, CAST(rank AS INT) AS rank, rank || '. [' || layer || '|' || source || '|' || printf('score=%.3f', CAST(CAST(CAST(round(final, 6) AS DECIMAL(18, 6)) AS DECIMAL(18, 3)) AS DOUBLE))
+  || CASE WHEN prior <> 0 THEN printf(' prior=+%.2f', prior) ELSE '' END || printf(' ce=%.2f', CAST(CAST(CAST(rerank_raw AS DECIMAL(18, 9)) AS DECIMAL(18, 2)) AS DOUBLE)) || '] ' || path || chr(10) || '   '
   || translate(substr(content, 1, 500), chr(10), ' ') AS line FROM ranked""")
 def search_lines(spark, sf_dir):
     """Search hits as the display lines of the search tool."""
