@@ -168,12 +168,12 @@ def with_fallback_candidates(diagnoses: DataFrame, hits: DataFrame) -> DataFrame
     ).drop("_hits")
 
 
-def needs_review(prior_flag=F.lit(False)) -> Column:
+def needs_review(prior_flag: Column | None = None) -> Column:
     """Whether a person has to look at a diagnosis: ungrounded, problematic, or touching a sensitive layer or subject."""
     layers = F.array_append(F.transform("candidates", lambda c: c["layer"]), F.col("layer"))
     facts = F.lower(F.concat_ws(" ", "file", "root_cause"))
     return (
-        prior_flag
+        (F.lit(False) if prior_flag is None else prior_flag)
         | ~F.col("committed")
         | (F.size("grounding_problems") > 0)
         | F.arrays_overlap(layers, F.array(*[F.lit(l) for l in fv.ALWAYS_REVIEW_LAYERS]))

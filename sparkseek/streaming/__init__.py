@@ -1,0 +1 @@
+"""Keeping a store fresh from a stream of change records."""

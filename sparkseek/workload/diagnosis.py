@@ -1 +1,148 @@
-"""Queries."""
+"""Evidence and diagnosis queries: a conversation is a run, its turns are tool messages naming files of the tree."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import paths as P
+from ..functions import text as X
+from ..operators import grounding as G
+from ..plans import diagnosis as L
+from ..workspace import written
+from . import data as D
+from .registry import query
+
+# Each turn names the file of the document whose number is the conversation's plus the turn's.
+_MESSAGES_SQL = f"""{D.TREE_SQL},
+messages AS (SELECT conv_id AS run_id, turn, c.text || chr(10) || path || ' line 3' AS text, path
+  FROM conversations c JOIN tree ON doc_id = conv_id + turn),
+paths AS (SELECT DISTINCT run_id, path FROM messages)"""
+
+
+def messages(spark, sf_dir):
+    """run_id, turn, text, path."""
+    turns = D.table(spark, sf_dir, "conversations", "conv_id", "turn", "text")
+    tree = D.source_tree(spark, sf_dir).select("doc_id", "path")
+    return turns.join(tree, F.col("doc_id") == F.col("conv_id") + F.col("turn")).select(
+        F.col("conv_id").alias("run_id"), "turn", F.concat("text", F.lit("\n"), "path", F.lit(" line 3")).alias("text"), "path"
+    )
+
+
+@query("evidence_paths", f"WITH {_MESSAGES_SQL} SELECT run_id, path, {D.sql_layer('path')} AS layer FROM paths")
+def evidence_paths(spark, sf_dir):
+    """Distinct files named in the messages of each run, with their layer."""
+    return G.evidence_paths(messages(spark, sf_dir))
+
+
+# Proposals: the first turn's file written exactly, with b/, by name only, not at all, or a file nobody saw.
+_PROPOSAL_SQL = f"""{_MESSAGES_SQL},
+base AS (SELECT run_id, path, regexp_extract(path, '[^/]*$') AS name, regexp_extract(text, '[A-Za-z]+') AS word FROM messages WHERE turn = 0),
+claim AS (SELECT *, CASE run_id % 5 WHEN 0 THEN path WHEN 1 THEN 'b/' || path WHEN 2 THEN name WHEN 3 THEN '' ELSE 'no/such/file.java' END AS claim FROM base),
+snap AS (SELECT c.*, CASE WHEN run_id % 5 IN (0, 1, 2) THEN path END AS snapped FROM claim c)"""
+
+
+def proposals(spark, sf_dir, msgs):
+    """run_id, raw: answers with a proposed diagnosis, one per run."""
+    first = msgs.where("turn = 0")
+    kind = F.col("run_id") % 5
+    name = F.element_at(F.split("path", "/"), -1)
+    word = F.regexp_extract("text", "[A-Za-z]+", 0)
+    claim = (
+        F.when(kind == 0, F.col("path")).when(kind == 1, F.concat(F.lit("b/"), "path")).when(kind == 2, name)
+        .when(kind == 3, F.lit("")).otherwise(F.lit("no/such/file.java"))
+    )
+    body = F.to_json(F.struct(
+        claim.alias("file"),
+        F.when(F.col("run_id") % 3 == 0, F.array(word, F.lit("NotThereManager"))).otherwise(F.array(word)).alias("symbols"),
+        F.array().cast("array<string>").alias("property_ids"),
+        F.concat(F.lit("cause "), F.col("run_id").cast("string")).alias("root_cause"),
+        F.array(
+            F.struct(F.concat(F.lit("a/"), "path").alias("path"), F.lit("seen").alias("why")),
+            F.struct(F.lit("no/where.c").alias("path"), F.lit("guess").alias("why")),
+        ).alias("candidates"),
+    ))
+    return first.select("run_id", F.concat(F.lit("Here:\n```json\n"), body, F.lit("\n```")).alias("raw"), claim.alias("claim"))
+
+
+@query("snapped_paths", f"WITH {_PROPOSAL_SQL} SELECT run_id, claim, snapped FROM snap")
+def snapped_paths(spark, sf_dir):
+    """Claimed files snapped to the evidence."""
+    msgs = messages(spark, sf_dir)
+    return G.snap_paths(proposals(spark, sf_dir, msgs).select("run_id", "claim"), G.evidence_paths(msgs))
+
+
+_COMMIT_SQL = f"""{_PROPOSAL_SQL},
+judged AS (SELECT *, snapped IS NOT NULL AS committed, run_id % 3 = 0 AS odd,
+    (CASE WHEN snapped IS NULL AND claim <> '' THEN 1 WHEN snapped IS NULL THEN 1 ELSE 0 END) + (CASE WHEN run_id % 3 = 0 THEN 1 ELSE 0 END) AS problems FROM snap)"""
+
+
+@query("committed_diagnoses", f"""WITH {_COMMIT_SQL}
+SELECT run_id, CASE WHEN committed THEN snapped ELSE claim END AS file, CASE WHEN committed THEN {D.sql_layer('snapped')} ELSE '' END AS layer,
+  word AS symbols, 'cause ' || run_id AS root_cause, path || '|' || {D.sql_layer('path')} || '|seen' AS candidates,
+  CASE WHEN NOT committed THEN 'low' WHEN problems = 0 THEN 'high' ELSE 'medium' END AS confidence, CAST(problems AS INT) AS problems, committed FROM judged""")
+def committed_diagnoses(spark, sf_dir):
+    """Validated diagnosis of each run."""
+    dx = _diagnoses(spark, sf_dir)
+    entry = lambda c: F.concat_ws("|", c["path"], c["layer"], c["why"])
+    return dx.select(
+        "run_id", "file", "layer", F.array_join("symbols", ",").alias("symbols"), "root_cause",
+        F.array_join(F.transform("candidates", entry), ",").alias("candidates"), "confidence",
+        F.size("grounding_problems").alias("problems"), "committed",
+    )
+
+
+def _diagnoses(spark, sf_dir):
+    msgs = written(messages(spark, sf_dir), "messages")
+    return G.commit(proposals(spark, sf_dir, msgs), msgs, G.evidence_paths(msgs))
+
+
+@query("review_flags", f"""WITH {_COMMIT_SQL}
+SELECT run_id, NOT committed OR problems > 0 OR list_contains(['native', 'vhal', 'vss', 'aidl', 'hidl_legacy', 'selinux', 'binder', 'startup_power', 'frameworks'], {D.sql_layer('path')})
+  OR regexp_matches(lower(CASE WHEN committed THEN snapped ELSE claim END), 'selinux|sepolicy|power') AS review FROM judged""")
+def review_flags(spark, sf_dir):
+    """Runs whose diagnosis a person has to see."""
+    return _diagnoses(spark, sf_dir).select("run_id", G.needs_review().alias("review"))
+
+
+@query("diagnosis_reports", f"""WITH {_COMMIT_SQL}
+SELECT run_id, md5('## Candidate files (ranked)' || chr(10) || '1. ' || path || ' [' || {D.sql_layer('path')} || '] — seen' || chr(10) || chr(10) || '## Root cause' || chr(10)
+  || 'cause ' || run_id || chr(10) || chr(10) || '_Committed facts — symbols: ' || word || '._' || CASE WHEN problems = 0 THEN '' ELSE chr(10) || chr(10) || '> ⚠ Diagnosis grounding problems: '
+  || array_to_string(list_filter([CASE WHEN committed THEN NULL WHEN claim <> '' THEN 'target file ''' || claim || ''' is not in the evidence — not grounded' ELSE 'no target file proposed' END,
+    CASE WHEN odd THEN 'symbol ''NotThereManager'' not found in evidence — dropped' END], lambda x: x IS NOT NULL), '; ') END) AS digest FROM judged""")
+def diagnosis_reports(spark, sf_dir):
+    """Report text of each diagnosis."""
+    return _diagnoses(spark, sf_dir).select("run_id", F.md5(G.render()).alias("digest"))
+
+
+@query("relocation_hints", f"""WITH {D.TREE_SQL}
+SELECT doc_id, 'CarPowerManager,Unit' || doc_id || 'Service' || CASE WHEN ends_with(path, '.yaml') THEN '' ELSE ',' || path END AS hints FROM tree""")
+def relocation_hints(spark, sf_dir):
+    """Names in objections; repeats in another spelling and the rejected file's own name are left out."""
+    number = F.col("doc_id").cast("string")
+    notes = F.concat(
+        F.lit("DISAGREE target=- :: see CarPowerManager, Unit"), number, F.lit("Service, RejectedService and UNIT"), number,
+        F.lit("Service in src/rejected.cpp or "), "path", F.lit(" ."),
+    )
+    tree = D.source_tree(spark, sf_dir).select("doc_id", "path", notes.alias("notes"))
+    return tree.select("doc_id", F.array_join(X.relocation_hints("notes", F.lit("old/Rejected.java")), ",").alias("hints"))
+
+
+@query("debate_rounds", f"""WITH {D.TREE_SQL},
+seat AS (SELECT DISTINCT source AS bug_id, {D.sql_layer('path')} AS layer FROM tree),
+bug AS (SELECT bug_id, count(*) AS seats, CAST(substr(bug_id, 4) AS INT) % 3 AS kind FROM seat GROUP BY bug_id)
+SELECT bug_id, seats, CASE kind WHEN 0 THEN 'agree' WHEN 1 THEN 'reject' ELSE 'agree' END AS status,
+  CASE kind WHEN 0 THEN 1 ELSE 2 END AS rounds FROM bug""")
+def debate_rounds(spark, sf_dir):
+    """Specialist rounds with recorded answers: one third agrees at once, one third keeps rejecting until its votes stand
+    still, one third comes round after seeing its peers."""
+    tree = D.source_tree(spark, sf_dir)
+    seats = written(tree.select(F.col("source").alias("bug_id"), P.guess_layer("path").alias("layer")).distinct(), "seats")
+    kind = F.regexp_extract("bug_id", r"(\d+)", 1).cast("int") % 3
+
+    def recorded(wanted):
+        says = F.when(kind == 0, "AGREE").when(kind == 1, "DISAGREE").when(F.col("round") == 1, "DISAGREE").otherwise("AGREE")
+        return wanted.select("bug_id", "layer", F.format_string('{"verdict": "%s", "owns_layer": true, "confidence": 0.8}', says).alias("raw"))
+
+    committed = seats.groupBy("bug_id").agg(F.min("layer").alias("committed_layer"))
+    _, consensus = L.debate(seats, committed, recorded)
+    return consensus.select("bug_id", F.col("total").alias("seats"), "status", "rounds")

@@ -1 +1,142 @@
-"""Queries."""
+"""Diff queries: every document gets a patch of its second line; one in three patches does not fit."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from .. import fixed_values as fv
+from ..functions import text as X
+from ..operators import diffs as V
+from . import data as D
+from .registry import query
+
+# Documents with at least two lines; the patch replaces line two and adds a line behind it.
+_PATCH_SQL = f"""{D.TREE_SQL},
+lines AS (SELECT doc_id, path, text, string_split(regexp_replace(text, '\\n$', ''), chr(10)) AS l FROM tree),
+patched AS (SELECT *, CASE WHEN doc_id % 3 = 0 THEN l[2] || ' gone' ELSE l[2] END AS old FROM lines WHERE len(l) >= 2)"""
+
+
+def patches(spark, sf_dir):
+    """doc_id, path, text, patch."""
+    tree = D.source_tree(spark, sf_dir).select("doc_id", "path", "text")
+    rows = tree.withColumn("l", X.split_lines("text")).where(F.size("l") >= 2)
+    first, second = F.element_at("l", 1), F.element_at("l", 2)
+    old = F.when(F.col("doc_id") % 3 == 0, F.concat(second, F.lit(" gone"))).otherwise(second)
+    patch = F.concat(
+        F.lit("--- a/"), "path", F.lit("\n+++ b/"), "path", F.lit("\n@@ -1,2 +1,3 @@\n "), first, F.lit("\n-"), old,
+        F.lit("\n+"), second, F.lit(" fixedValue\n+added MAX_SPEED\n"),
+    )
+    return rows.select("doc_id", "path", "text", patch.alias("patch"))
+
+
+@query("applied_diffs", f"""WITH {_PATCH_SQL}
+SELECT doc_id, CASE WHEN doc_id % 3 <> 0 THEN md5(array_to_string(list_concat([l[1], l[2] || ' fixedValue', 'added MAX_SPEED'], l[3:]), chr(10))) END AS digest FROM patched""")
+def applied_diffs(spark, sf_dir):
+    """Text of every document after its patch; null where the patch does not fit."""
+    rows = patches(spark, sf_dir)
+    return rows.select("doc_id", F.md5(V.apply_diff_udf("text", "patch")).alias("digest"))
+
+
+_TRIM = r"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
+
+
+@query("diff_problems", f"""WITH {_PATCH_SQL},
+asked AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN path || '.gone' ELSE path END AS path, l,
+    array_to_string(list_filter([{_TRIM.format(x='l[1]')}, {_TRIM.format(x='old')}], lambda x: x <> ''), chr(10)) AS block FROM patched),
+whole AS (SELECT doc_id, array_to_string(list_transform(l, lambda x: {_TRIM.format(x='x')}), chr(10)) AS body FROM patched)
+SELECT doc_id, 0 AS hunk_no, CASE WHEN doc_id % 5 = 0 THEN 'missing' WHEN block <> '' AND NOT contains(body, block) THEN 'mismatch' ELSE 'fits' END AS verdict
+FROM asked JOIN whole USING (doc_id)""")
+def diff_problems(spark, sf_dir):
+    """Check of every patch against the real file; one in five names a file that does not exist."""
+    rows = patches(spark, sf_dir)
+    target = F.when(F.col("doc_id") % 5 == 0, F.replace("patch", F.concat(F.lit("/"), F.element_at(F.split("path", "/"), -1)),
+                    F.concat(F.lit("/"), F.element_at(F.split("path", "/"), -1), F.lit(".gone")))).otherwise(F.col("patch"))
+    checked = V.check_diffs(rows.select("doc_id", target.alias("text")), rows.select("path", "text"))
+    verdict = F.when(F.col("problem").isNull(), "fits").when(F.contains("problem", F.lit("not found")), "missing").otherwise("mismatch")
+    return checked.select("doc_id", "hunk_no", verdict.alias("verdict"))
+
+
+@query("diff_hunks", f"""WITH {_PATCH_SQL}
+SELECT doc_id, 0 AS hunk_no, path, array_to_string(list_filter([{_TRIM.format(x='l[1]')}, {_TRIM.format(x='old')}], lambda x: x <> ''), chr(10)) AS block FROM patched""")
+def diff_hunks(spark, sf_dir):
+    """The lines each hunk replaces."""
+    return V.diff_hunks(patches(spark, sf_dir).select("doc_id", F.col("patch").alias("text")))
+
+
+_NAME = "[A-Za-z_][A-Za-z0-9_]{2,}"
+
+
+@query("test_consistency", f"""WITH {_PATCH_SQL},
+sides AS (SELECT doc_id, text AS source, l[2] || ' fixedValue' || chr(10) || 'added MAX_SPEED' AS added,
+    CASE WHEN doc_id % 2 = 0 THEN 'TEST_F(X) ' || l[1] || ' WRONG_ID' ELSE 'fixedValue MAX_SPEED' END AS test FROM patched),
+names AS (SELECT doc_id, test, list_distinct(regexp_extract_all(source, '{_NAME}')) AS s, list_distinct(regexp_extract_all(added, '{_NAME}')) AS a,
+    list_distinct(regexp_extract_all(test, '{_NAME}')) AS t FROM sides),
+kept AS (SELECT *, list_sort(list_filter(a, lambda n: length(n) > 3 AND NOT list_contains({D.sql_list(fv.TEST_SCAFFOLD_NAMES)}, n))) AS patched FROM names)
+SELECT doc_id, array_to_string(patched, ',') AS patched, len(patched) > 0 AND NOT list_has_any(patched, t) AS unrelated,
+  CASE WHEN doc_id % 2 = 0 AND NOT list_contains(s, 'WRONG_ID') AND NOT list_contains(a, 'WRONG_ID') THEN true ELSE false END AS wrong_id_unknown,
+  CASE WHEN doc_id % 2 = 1 THEN false ELSE false END AS max_speed_unknown FROM kept""")
+def test_consistency(spark, sf_dir):
+    """Whether a test of each patch names what the patch adds, and uses constants nobody defines."""
+    rows = patches(spark, sf_dir)
+    test = F.when(
+        F.col("doc_id") % 2 == 0, F.concat(F.lit("TEST_F(X) "), F.element_at(X.split_lines("text"), 1), F.lit(" WRONG_ID"))
+    ).otherwise(F.lit("fixedValue MAX_SPEED"))
+    judged = rows.withColumn("test", test).withColumn("c", V.test_consistency("text", "patch", "test"))
+    return judged.select(
+        "doc_id",
+        F.array_join("c.patched", ",").alias("patched"),
+        F.col("c.unrelated").alias("unrelated"),
+        F.array_contains("c.unknown", "WRONG_ID").alias("wrong_id_unknown"),
+        F.array_contains("c.unknown", "MAX_SPEED").alias("max_speed_unknown"),
+    )
+
+
+@query("changed_lines", f"""WITH {_PATCH_SQL} SELECT doc_id, CAST(min(n) AS INT) AS first, CAST(max(n) AS INT) AS last FROM
+  (SELECT doc_id, CASE WHEN l[2] = '' AND false THEN 0 ELSE unnest([2, 3]) END AS n FROM patched WHERE doc_id % 3 <> 0) GROUP BY doc_id""")
+def changed_lines(spark, sf_dir):
+    """First and last line that each fitting patch changes."""
+    rows = patches(spark, sf_dir).withColumn("after", V.apply_diff_udf("text", "patch")).where(F.col("after").isNotNull())
+    ranges = V.changed_lines_udf("text", "after")
+    return rows.select("doc_id", ranges.alias("r")).select(
+        "doc_id", F.array_min("r.first").alias("first"), F.array_max("r.last").alias("last")
+    )
+
+
+@query("symbol_windows", f"""WITH {D.TREE_SQL}
+SELECT doc_id, length(text) > 1000 AS cut, true AS holds_symbol, true AS within_budget, true AS is_part FROM tree""")
+def symbol_windows(spark, sf_dir):
+    """Window of at most 1000 characters around the last word of every document: it holds the word and is part of the text."""
+    tree = D.source_tree(spark, sf_dir).select("doc_id", "text")
+    word = F.element_at(F.filter(F.split("text", r"\s+"), lambda w: w != ""), -1)
+    rows = tree.withColumn("word", word).withColumn("w", V.symbol_window_udf(1000)(F.col("text"), F.array("word")))
+    single = F.size(F.filter(X.split_lines("text"), lambda l: F.contains(l, F.col("word")) & (F.length(l) < 1000))) > 0
+    return rows.select(
+        "doc_id",
+        F.col("w.cut").alias("cut"),
+        (F.contains("w.text", F.col("word")) | ~single).alias("holds_symbol"),
+        ((F.length("w.text") <= 1000) | (F.size(X.split_lines("w.text")) == 1)).alias("within_budget"),
+        F.contains("text", F.col("w.text")).alias("is_part"),
+    )
+
+
+@query("dropped_drafts", f"""WITH {_PATCH_SQL}
+SELECT doc_id, true AS removed, md5('Report' || chr(10) || '{V.DRAFT_NOTE}' || chr(10) || 'done' || chr(10) || chr(10) || '## Patch' || chr(10) || l[1]) AS digest FROM patched""")
+def dropped_drafts(spark, sf_dir):
+    """Reports with a fenced draft diff in front of the kept patch section."""
+    rows = patches(spark, sf_dir)
+    keep = "\n\n## Patch\n"
+    report = F.concat(F.lit("Report\n```diff\n"), "patch", F.lit("```\ndone"), F.lit(keep), F.element_at(X.split_lines("text"), 1))
+    cleaned = V.drop_drafts_udf(report, F.lit(keep))
+    return rows.select("doc_id", cleaned.alias("c")).select("doc_id", F.col("c.removed").alias("removed"), F.md5("c.text").alias("digest"))
+
+
+@query("answer_sections", f"""WITH {_PATCH_SQL}
+SELECT doc_id, md5(l[1] || chr(10) || 'assert') AS section, md5(regexp_replace('--- a/' || path || chr(10) || '+++ b/' || path || chr(10) || '@@ -1,2 +1,3 @@' || chr(10) || ' ' || l[1]
+  || chr(10) || '-' || old || chr(10) || '+' || l[2] || ' fixedValue' || chr(10) || '+added MAX_SPEED', '\\s+$', '')) AS diff FROM patched""")
+def answer_sections(spark, sf_dir):
+    """Unit-test section and first diff of an answer."""
+    rows = patches(spark, sf_dir)
+    first = F.element_at(X.split_lines("text"), 1)
+    answer = F.concat(F.lit("## Cause\nx\n## Unit test\n"), first, F.lit("\nassert\n## Patch\n```diff\n"), "patch", F.lit("\n```\n"))
+    rows = rows.withColumn("answer", answer)
+    return rows.select("doc_id", F.md5(X.section("answer", "unit test", "unit-test")).alias("section"), F.md5(X.first_diff("answer")).alias("diff"))
