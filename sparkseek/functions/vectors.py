@@ -31,9 +31,8 @@ def l2_norm(a) -> Column:
 
 def cosine(a, b) -> Column:
     """Cosine; a zero vector counts as having length one."""
-    na, nb = l2_norm(a), l2_norm(b)
-    one = F.lit(1.0)
-    return dot(a, b) / (F.when(na == 0, one).otherwise(na) * F.when(nb == 0, one).otherwise(nb))
+    length = lambda v: F.coalesce(F.nullif(l2_norm(v), F.lit(0.0)), F.lit(1.0))
+    return dot(a, b) / (length(a) * length(b))
 
 
 def clamp(x, low: float = 0.0, high: float = 1.0) -> Column:

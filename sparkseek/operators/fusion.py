@@ -6,8 +6,6 @@ that survive the pool cut.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,18 +36,27 @@ def rank_across_stores(hits: DataFrame, keys: list[str], scope: str = "concat")
     return hits.withColumn("rank", F.row_number().over(w))
 
 
+def by_query(rows: DataFrame) -> DataFrame:
+    """Rows partitioned by query, once for all per-query steps that follow.
+
+    A query holds a bounded number of hits, so no query makes a partition large. The fixed number of partitions keeps
+    small batches spread over the cores.
+    """
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "query_id")
+
+
 def channel_number(channel: str = "channel") -> Column:
     return F.array_position(F.array(*[F.lit(c) for c in CHANNELS]), F.col(channel))
 
 
-def reciprocal_rank_fusion(channels: list[DataFrame], ranking: Ranking = Ranking()) -> DataFrame:
+def reciprocal_rank_fusion(hits: DataFrame, ranking: Ranking = Ranking()) -> DataFrame:
     """One row per query and path.
 
-    Each channel frame has query_id, channel, store (null for the exact channel), path, idx, rank, content_len, layer.
+    `hits` of all channels have query_id, channel, store (null for the exact channel), path, idx, rank, content_len, layer.
     The score sums 1 / (k + rank) over all hits of the path. The longest content stands for the path, the earliest hit
     on a tie, and brings its layer. `rrf_parts` holds the share of each channel's last hit.
     """
-    hits = reduce(DataFrame.unionByName, channels).where(F.col("path") != "")
+    hits = by_query(hits.where(F.col("path") != ""))
     share = F.lit(1.0) / (F.lit(float(ranking.rrf_k)) + F.col("rank"))
     hits = hits.withColumn("_ch", channel_number()).withColumn("_share", share)
     if ranking.rrf_vote == "path":
@@ -94,11 +101,7 @@ def minmax(values: Column, window) -> Column:
 
 
 def normalize_base(fused: DataFrame) -> DataFrame:
-    """Adds base_norm and makes it the score.
-
-    Partitioned by query here, for all later per-query steps; a fixed number keeps small batches spread over the cores.
-    """
-    fused = fused.repartition(int(fused.sparkSession.conf.get("spark.sql.shuffle.partitions")), "query_id")
+    """Adds base_norm and makes it the score."""
     scaled = minmax(F.col("score"), Window.partitionBy("query_id"))
     return fused.withColumn("base_norm", scaled).withColumn("score", F.col("base_norm"))
 

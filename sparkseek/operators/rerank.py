@@ -49,15 +49,14 @@ def by_pairs(pool: DataFrame, scorer: PairScorer, k: int, settings: Settings = S
 
 
 def by_embedding(pool: DataFrame, embed, k: int, settings: Settings = Settings()) -> DataFrame:
-    """Rerank with the cosine of query and content embeddings, mapped from [-1, 1] to [0, 1]."""
+    """Rerank with the cosine of query_vector and content embedding, mapped from [-1, 1] to [0, 1]."""
     content = F.when(F.coalesce(F.length("content"), F.lit(0)) > 0, F.col("content")).otherwise(F.col("path"))
-    text = F.substring(content, 1, settings.retrieval.rerank_content_chars)
-    embedded = pool.withColumn("_qv", embed(F.col("query"))).withColumn("_dv", embed(text))
-    similarity = F.round(V.cosine("_qv", "_dv"), 9)
+    embedded = pool.withColumn("_dv", embed(F.substring(content, 1, settings.retrieval.rerank_content_chars)))
+    similarity = F.round(V.cosine("query_vector", "_dv"), 9)
     ranked = blend(
         embedded, similarity, V.clamp((F.col("rerank_raw") + 1.0) / 2.0), k, settings.ranking.rerank_blend
     )
-    return ranked.drop("_qv", "_dv")
+    return ranked.drop("query_vector", "_dv")
 
 
 def cut(pool: DataFrame, k: int) -> DataFrame:

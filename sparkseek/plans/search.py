@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +18,7 @@ from ..sources.stores import CompositeStore
 from ..workspace import written
 
 KEYS = ["path", "idx", "content_len"]
-HIT_COLUMNS = ["query_id", "channel", "store", "path", "idx", "rank", "content_len", "layer"]
+HIT_COLUMNS = ["query_id", "channel", "store", "path", "idx", "rank", "content_len"]
 
 
 class HybridSearch:
@@ -65,8 +67,8 @@ class HybridSearch:
             limits=self.settings.limits, carry=["content_len"],
         )
 
-    def channel_hits(self, queries: DataFrame) -> list[DataFrame]:
-        """The hits of every available channel in one schema."""
+    def channel_hits(self, queries: DataFrame) -> DataFrame:
+        """The hits of every available channel in one frame."""
         found = []
         if self.store is not None and self.embed is not None:
             found.append(self.dense_hits(queries).withColumn("channel", F.lit("dense")))
@@ -75,7 +77,10 @@ class HybridSearch:
         if self.files is not None:
             hits = self.exact_hits(queries).withColumn("channel", F.lit("exact"))
             found.append(hits.withColumn("store", F.lit(None).cast("string")).withColumn("idx", F.lit(-1)))
-        return [hits.withColumn("layer", P.guess_layer("path")).select(*HIT_COLUMNS) for hits in found]
+        if not found:
+            raise ValueError("neither a store nor source files to search")
+        hits = reduce(DataFrame.unionByName, [f.select(*HIT_COLUMNS) for f in found])
+        return hits.withColumn("layer", P.guess_layer("path"))
 
     # -- stages --------------------------------------------------------------------------------------------------
 
@@ -106,11 +111,15 @@ class HybridSearch:
     def search(self, queries: DataFrame, top_k: int | None = None) -> DataFrame:
         """Ranked hits for `queries` (query_id, query)."""
         k = top_k or self.settings.retrieval.k_final
+        asked = queries.select("query_id", "query")
+        use_embedding = self.scorer is None and self.embed is not None and self.settings.ranking.rerank_enabled
+        if use_embedding:
+            asked = asked.withColumn("query_vector", self.embed(F.col("query")))
         pool = written(self.pool(queries), "search-pool")
-        hits = self.with_content(pool).join(queries.select("query_id", "query"), "query_id")
+        hits = fusion.by_query(self.with_content(pool)).join(asked, "query_id")
         if self.scorer is not None:
             ranked = rerank.by_pairs(hits, self.scorer[1], k, self.settings)
-        elif self.embed is not None and self.settings.ranking.rerank_enabled:
+        elif use_embedding:
             ranked = rerank.by_embedding(hits, self.embed, k, self.settings)
         else:
             ranked = rerank.cut(hits, k)

@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
 from ..config import Settings
-from ..functions import paths as P
-from ..functions import text as X
 from ..operators import bm25, dense, exact, fusion
 from ..plans import indexing
 from ..plans.search import HybridSearch, cached_search, search_line
@@ -283,9 +281,7 @@ SELECT query_id, channel, store, path, CAST(idx AS INT) AS idx, CAST(rank AS INT
   {D.sql_layer('path')} AS layer FROM hits""")
 def channel_hits(spark, sf_dir):
     """Hits of the three channels before fusion."""
-    search = search_over_tree(spark, sf_dir)
-    dense_hits, bm25_hits, exact_hits = search.channel_hits(D.bug_queries(spark, sf_dir))
-    return dense_hits.unionByName(bm25_hits).unionByName(exact_hits)
+    return search_over_tree(spark, sf_dir).channel_hits(D.bug_queries(spark, sf_dir))
 
 
 @query("fused_ranks", f"""WITH {BUGS_SQL}, {sql_indexed()}, {sql_channels('bugs')}, {sql_fused()}
@@ -415,5 +411,3 @@ def relocation_search(spark, sf_dir):
     )
     return search_over_tree(spark, sf_dir).relocate(bugs).select("query_id", "rank", "path", "score")
 
-
-assert P and X  # expressions used through the search plan

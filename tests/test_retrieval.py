@@ -99,7 +99,7 @@ def test_fusion_rules(spark):
         (1, "dense", "base", "p", 0, 1, 10, "L0"), (1, "dense", "base", "p", 3, 4, 30, "L3"), (1, "bm25", "customer", "p", 2, 2, 30, "L2"),
         (1, "exact", None, "p", -1, 1, 20, "Lx"), (1, "exact", None, "q", -1, 2, 5, "Lq"), (1, "bm25", "base", "", 0, 1, 9, "no"),
     ]
-    fused = {r.path: r for r in fusion.reciprocal_rank_fusion([spark.createDataFrame(rows, HIT)]).collect()}
+    fused = {r.path: r for r in fusion.reciprocal_rank_fusion(spark.createDataFrame(rows, HIT)).collect()}
     assert set(fused) == {"p", "q"}
     p = fused["p"]
     assert p.score == pytest.approx(1 / 61 + 1 / 64 + 1 / 62 + 1 / 61, abs=1e-11)
@@ -107,7 +107,7 @@ def test_fusion_rules(spark):
     assert (p.content_channel, p.content_idx, p.layer) == ("dense", 3, "L3")
     assert p.rrf_parts == {"dense": pytest.approx(1 / 64), "bm25": pytest.approx(1 / 62), "exact": pytest.approx(1 / 61)}
     assert fused["q"].store is None
-    once = fusion.reciprocal_rank_fusion([spark.createDataFrame(rows, HIT)], Ranking(rrf_vote="path")).where("path = 'p'").first()
+    once = fusion.reciprocal_rank_fusion(spark.createDataFrame(rows, HIT), Ranking(rrf_vote="path")).where("path = 'p'").first()
     assert once.score == pytest.approx(2 / 61 + 1 / 62, abs=1e-11)
 
 
