@@ -108,7 +108,7 @@ SELECT doc_id, layer, CAST(n AS INT) AS n FROM (SELECT doc_id, layer, row_number
 def specialist_routing(spark, sf_dir):
     """Specialists asked about every document: its text is the report, its path the committed file."""
     tree = D.source_tree(spark, sf_dir)
-    layers = C.route_layers(F.col("text"), P.guess_layer("path"), None or F.array().cast("array<string>"), F.col("path"))
+    layers = C.route_layers(F.col("text"), P.guess_layer("path"), F.array().cast("array<string>"), F.col("path"))
     return tree.select("doc_id", F.posexplode(layers).alias("n", "layer")).select("doc_id", "layer", (F.col("n") + 1).alias("n"))
 
 
