@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, toxicity
+from . import bpe, decontamination, html_text, line_dedup, ngram_join, sharding, substring_dedup, toxicity, warc
 from .common import new_folder, table
 from .exact_dedup import DigestIndex
 
@@ -102,3 +102,91 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = DigestIndex(spark, new_folder(spark, "digest-index"))
     found = index.add(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+@_query()
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the chunks of lines that other places hold first."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = line_dedup.remove_repeated(docs)
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2("deduplicated", 256).alias("kept_sha256"))
+
+
+@_query()
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in one of 40 shards of equal row counts, equal texts together."""
+    found = sharding.shard_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    none = F.lit(None).cast("int").alias("grown_shard")
+    return found.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", none)
+
+
+@_query()
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The visible text of every page."""
+    return html_text.extract(table(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", "text")
+
+
+@_query(r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes,
+       array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (((('0x' || substr(h, (i // 4) * 5 + 1, 5))::INT >> (15 - 5 * (i % 4))::INT) & 31)), 1)
+                        FOR i IN range(0, 32)], '') AS payload_digest,
+       CASE WHEN page_id = max(page_id) OVER w THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = max(page_id) OVER w THEN NULL ELSE max(page_id) OVER w END AS refers_to
+FROM p WINDOW w AS (PARTITION BY html)
+""")
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to an archive and read back."""
+    path = new_folder(spark, "archives")
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    found = warc.read_archives(spark, path).filter("problem IS NULL")
+    number = lambda name: F.regexp_extract(name, r"^<urn:page:(-?\d+)>$", 1).try_cast("long")
+    return found.select(
+        number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"),
+    )
+
+
+@_query(r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, s, array_to_string(w[s : s + 12], ' ') AS phrase FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS s FROM d)),
+f AS (SELECT phrase, min(doc_id) AS owner FROM s GROUP BY phrase),
+c AS (SELECT DISTINCT doc_id, unnest(range(s, s + 13)) AS k FROM s JOIN f USING (phrase) WHERE owner < doc_id),
+k AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS k FROM d),
+r AS (
+  SELECT k.doc_id, count(c.k) AS n_removed, string_agg(word, ' ' ORDER BY k.k) FILTER (WHERE c.k IS NULL) AS kept
+  FROM k LEFT JOIN c ON c.doc_id = k.doc_id AND c.k = k.k GROUP BY k.doc_id
+)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN r USING (doc_id)
+""")
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the 13-word passages that earlier documents hold."""
+    found = substring_dedup.remove_repeated(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: Shingle sets and links of the documents `d` (doc_id, w), for the SQL of the join and of the pipeline.
+LINKS_SQL = r"""
+s AS (
+  SELECT DISTINCT doc_id, shingle FROM (
+    SELECT doc_id, array_to_string(w[s : s + 2], ' ') AS shingle FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS s FROM d WHERE len(w) > 0))
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+l AS (
+  SELECT p.a, p.b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM s x JOIN s y USING (shingle) WHERE x.doc_id <> y.doc_id GROUP BY ALL) p
+  JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p.b WHERE 100 * shared >= 90 * (x.n + y.n - shared)
+), reach(a, b) AS (SELECT a, b FROM l UNION SELECT reach.a, l.b FROM reach JOIN l ON l.a = reach.b),
+least_of AS (SELECT a AS doc_id, min(b) AS least FROM reach GROUP BY a)
+"""
+
+
+@_query(r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+),""" + LINKS_SQL + """
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(least(d.doc_id, least), d.doc_id) AS component_id,
+       coalesce(n_links, 0) AS n_links
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN least_of USING (doc_id) LEFT JOIN (SELECT a AS doc_id, count(*) AS n_links FROM l GROUP BY a) USING (doc_id)
+""")
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of near-equal documents of every document."""
+    found = ngram_join.link_documents(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id", "n_links")
