@@ -5,7 +5,7 @@ others its words go. The search takes three passes over documents that lie in bl
 
 1. Each window is stood for by an anchor, the 5-word run in it with the smallest hash. Neighbouring windows share anchors,
    so only about one word in five is reported. Anchors found in one document only rule out all their windows.
-2. The windows of the other anchors are reported with 128 bits of hash and the smallest doc_id of the block. That confirms
+2. The windows of the other anchors are reported with 95 bits of hash and the smallest doc_id of the block. That confirms
    those that recur, and names the owner of each.
 3. In each block the windows that recur in others than their owner are compiled into Aho-Corasick automata over word
    numbers, sharded to bounded size, and the block's documents are streamed through them; every occurrence in a document
@@ -34,7 +34,7 @@ from .words import Words, members
 WINDOW = 13
 ANCHOR = 5
 #: Windows in one automaton.
-SHARD = 50_000
+SHARD = 100_000
 
 RESULT = "doc_id long, n_words long, n_removed long, kept string"
 
@@ -59,8 +59,22 @@ class _Block:
             np.minimum(least[:-step], run[step:], out=least[:-step])
         return least[self.at]
 
+    def letters(self) -> str:
+        """Two letters for each word, from alphabets of their own; equal words have equal letters.
+
+        A node of an automaton looks through its children one by one, so an alphabet is the root of the number of words.
+        """
+        kinds, number = np.unique(self.words.hashes, return_inverse=True)
+        base = int(len(kinds) ** 0.5) + 1
+        out = np.empty(2 * len(number), dtype=np.uint32)
+        out[0::2] = number // base + 1
+        out[1::2] = number % base + base + 1
+        return out.tobytes().decode("utf-32-le", "surrogatepass")
+
     def hashes(self) -> tuple[np.ndarray, np.ndarray]:
-        return self.words.runs(WINDOW)[self.at], self.words.runs(WINDOW, 0x5851F42D4C957F2D)[self.at]
+        """64 and 32 bits for each window."""
+        more = self.words.runs(WINDOW, 0x5851F42D4C957F2D)[self.at]
+        return self.words.runs(WINDOW)[self.at], (more >> np.uint64(33)).astype(np.int32)
 
 
 def _signed(values: np.ndarray) -> pa.Array:
@@ -93,14 +107,14 @@ def _report_windows(key: tuple[pa.Scalar, ...], docs: pa.Table, anchors: pa.Tabl
     start = np.flatnonzero(new)
     last = np.append(start[1:], len(one)) - 1 if len(start) else start
     return pa.table({
-        "one": _signed(one[start]), "two": _signed(two[start]), "least": pa.array(document[start]),
+        "one": _signed(one[start]), "two": pa.array(two[start]), "least": pa.array(document[start]),
         "mark": marked(key[0].as_py(), document[last] != document[start]),
     })
 
 
 def _automata(block: _Block, windows: pa.Table):
-    """Automata for windows of the block: word numbers -> owner."""
-    one, two, owner = _unsigned(windows.column("one")), _unsigned(windows.column("two")), windows.column("owner").to_numpy()
+    """Automata for windows of the block, each with the block's words as letters: letters of a window -> its owner."""
+    one, two, owner = _unsigned(windows.column("one")), windows.column("two").to_numpy(), windows.column("owner").to_numpy()
     order = np.lexsort((two, one))
     one, two, owner = one[order], two[order], owner[order]
     own_one, own_two = block.hashes()
@@ -116,24 +130,23 @@ def _automata(block: _Block, windows: pa.Table):
     right = two[place] == own_two[here]
     _, pick = np.unique(place[right], return_index=True)
     starts, owners = block.at[here[right][pick]].tolist(), owner[place[right][pick]].tolist()
-    _, numbers = np.unique(block.words.hashes, return_inverse=True)
-    numbers = numbers.tolist()
+    letters = block.letters()
     for shard in range(0, len(starts), SHARD):
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY)
         for start, owned in zip(starts[shard : shard + SHARD], owners[shard : shard + SHARD], strict=True):
-            automaton.add_word(tuple(numbers[start : start + WINDOW]), owned)
+            automaton.add_word(letters[2 * start : 2 * (start + WINDOW)], owned)
         automaton.make_automaton()
-        yield automaton, numbers
+        yield automaton, letters
 
 
 def _remove(key: tuple[pa.Scalar, ...], docs: pa.Table, windows: pa.Table) -> pa.Table:
     block = _Block(docs)
     bounds = block.words.first.tolist()
     ends: list[list[int]] = [[] for _ in block.ids]
-    for automaton, numbers in _automata(block, windows):
+    for automaton, letters in _automata(block, windows):
         for k, document in enumerate(block.ids):
             if document is not None and bounds[k + 1] - bounds[k] >= WINDOW:
-                ends[k] += [end for end, owner in automaton.iter(tuple(numbers[bounds[k] : bounds[k + 1]])) if owner < document]
+                ends[k] += [end // 2 for end, owner in automaton.iter(letters[2 * bounds[k] : 2 * bounds[k + 1]]) if owner < document]
     n_removed, kept = [], []
     for k, text in enumerate(block.texts):
         row = text.split()
@@ -160,7 +173,7 @@ def remove_repeated(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFram
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", block.alias("block"))
     blocks = dealt.groupBy("block")
     anchors = of_several(blocks.applyInArrow(_report_anchors, "anchor long, mark long"), ["anchor"]).select("block", "anchor")
-    reported = blocks.cogroup(anchors.groupBy("block")).applyInArrow(_report_windows, "one long, two long, least long, mark long")
+    reported = blocks.cogroup(anchors.groupBy("block")).applyInArrow(_report_windows, "one long, two int, least long, mark long")
     windows = of_several(reported, ["one", "two"], owner=F.min("least"))
     # A block whose only document with a window is the owner has nothing to remove.
     windows = windows.filter("owner < least OR mark % 2 = 1").select("block", "one", "two", "owner")
