@@ -17,7 +17,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, free_name, join_groups, written
+from .common import BLANKS, free_name, join_groups, stable, written
 
 
 def normalised(text: Column) -> Column:
@@ -48,10 +48,10 @@ class DigestIndex:
     def add(self, docs: DataFrame) -> DataFrame:
         """Take in a batch. One row per document: row, doc_id, digest, keep_id, keep_row, group_size (within the batch), kept.
 
-        `row` numbers the rows of `docs` as monotonically_increasing_id does over the same plan.
+        `row` numbers the rows of `docs`, as monotonically_increasing_id does over stable(docs).
         """
         rows = written(
-            docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), digest(F.col("text")).alias("digest")),
+            stable(docs).select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), digest(F.col("text")).alias("digest")),
             "digests",
         )
         first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row")))
@@ -69,6 +69,7 @@ class DigestIndex:
 
     def kept(self, docs: DataFrame) -> DataFrame:
         """The documents of a batch that stay, with all their columns."""
+        docs = stable(docs)
         row = free_name(docs, "row")
         gone = self.add(docs).filter(~F.col("kept")).select(F.col("row").alias(row))
         return docs.withColumn(row, F.monotonically_increasing_id()).join(gone, row, "left_anti").drop(row)

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_groups, written
+from .common import join_groups, stable, written
 
 #: Lines under the rolling hash, and the mask of its bits that are zero at a boundary (one in four lines).
 ROLLING = 3
@@ -70,8 +70,8 @@ def _chunk_rows(chunked: DataFrame) -> DataFrame:
 
 
 def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """(row, k) of the chunks to remove; rows are numbered as monotonically_increasing_id does over the same plan."""
-    chunks = _chunk_rows(with_chunks(with_rows(docs)))
+    """(row, k) of the chunks to remove; rows are numbered as in with_rows."""
+    chunks = _chunk_rows(with_chunks(with_rows(stable(docs))))
     # Grouping by the text itself compares bytes.
     texts = chunks.groupBy("hash", "text").agg(F.min("doc").alias("first_doc"), F.count("*").alias("size"))
     texts = written(texts.groupBy("hash").agg(
@@ -93,6 +93,7 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
 
 def remove_repeated(docs: DataFrame, text: str = "deduplicated", n_lines: str = "n_lines", n_removed: str = "n_removed") -> DataFrame:
     """The documents with the text that is left, the number of lines, and that of removed lines."""
+    docs = stable(docs)
     gone = repeated_chunks(docs).groupBy("row").agg(F.collect_set("k").alias("gone"))
     found = with_chunks(with_rows(docs).join(gone, "row", "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<int>"))))
     found = _held(found, left=F.filter("chunks", lambda chunk, k: ~F.array_contains("gone", k)))

@@ -1,10 +1,11 @@
 """Balanced label propagation: shards of equal size that keep linked documents together.
 
 Documents start dealt out evenly. In each round every linked document looks up, through its groups, how many of its
-neighbours lie in each shard, and wants the shard with most of them that still has room; the documents that want one shard
-are numbered in a fixed random order and as many move as the shard's quota of rows allows. Documents without links have no
-say: they fill, at the end, what the others left free. So the quota is met exactly in every round, and a group larger than
-a shard fills several. Only (group, shard) counts, added up map side first, and the numbers of 40 shards meet in one place.
+neighbours lie in each shard, and wants the shard with most of them (in every other round: of those that have room). The
+documents that want from one shard into another are numbered in a fixed random order. As many move as want back, and
+beyond that as many as the quota of rows allows. Documents without links have no say: they fill, at the end, what the
+others left free. So the quota is met exactly, and a group larger than a shard fills several. Only (group, shard) counts,
+added up map side first, and the numbers of pairs of shards meet in one place.
 
 Links come as membership in groups, so a group of any size is one row per member and never a list of pairs.
 
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import join_groups, written
+from .common import join_groups, stable, written
 
 
 def numbered(df: DataFrame, by: list[str], row: str, added: str, per_bucket: int = 50_000) -> DataFrame:
@@ -46,6 +47,18 @@ def _filled(slot: Column, room: list[int]) -> Column:
     return shard
 
 
+def _allowed(wanted: dict[tuple[int, int], int], room: list[int]) -> dict[tuple[int, int], int]:
+    """Of the documents that want from one shard into another, how many may: those that swap, and more while there is room."""
+    left = list(room)
+    allowed = {}
+    for (i, j), n in sorted(wanted.items()):
+        swaps = min(n, wanted.get((j, i), 0))
+        more = min(n - swaps, left[j])
+        left[j] -= more
+        allowed[i, j] = swaps + more
+    return allowed
+
+
 def _by_shard(df: DataFrame, shards: int) -> list[int]:
     found = {r[0]: r[1] for r in df.groupBy("shard").count().collect()}
     return [found.get(k, 0) for k in range(shards)]
@@ -63,29 +76,33 @@ def balanced_shards(nodes: DataFrame, links: DataFrame, shards: int = 40, rounds
     first = numbered(nodes, [], "row", "slot").select("row", F.pmod("slot", F.lit(shards)).cast("int").alias("shard"))
     state = written(first.join(members.select("row").distinct(), "row", "left_semi"), "shards-of-linked")
 
-    for _ in range(rounds):
+    idle = 0
+    for number in range(rounds):
         room = [q - n for q, n in zip(quota, _by_shard(state, shards), strict=True)]
         placed = members.join(state, "row")
         per_shard = [F.sum(F.when(F.col("shard") == k, 1).otherwise(0)).alias(f"n{k}") for k in range(shards)]
         counts = placed.groupBy("group").agg(*per_shard)
         near = join_groups(placed, sizes.select("group", F.col("size").alias("all")).join(counts, "group"), "group", "all", member_rows)
-        # Ties go to the same shard for a whole group; a full shard is open only to those who are in it.
+        # Ties go to the same shard for a whole group.
         turn = F.min(F.pmod(F.xxhash64("group"), F.lit(shards))).alias("turn")
         near = near.groupBy("row", "shard").agg(turn, *[F.sum(f"n{k}").alias(f"n{k}") for k in range(shards)])
         choices = [
             F.when(
-                (F.lit(room[k] > 0) | (F.col("shard") == k)) & (F.col(f"n{k}") > 0),
+                (F.lit(number % 2 == 0 or room[k] > 0) | (F.col("shard") == k)) & (F.col(f"n{k}") > 0),
                 F.struct(F.col(f"n{k}").alias("near"), F.pmod(F.col("turn") + k, F.lit(shards)).alias("turn"), F.lit(k).alias("to")),
             )
             for k in range(shards)
         ]
         wants = near.select("row", "shard", F.array_max(F.array_compact(F.array(*choices)))["to"].alias("to"))
-        wants = written(wants.filter(F.col("to") != F.col("shard")).select("row", "to"), "moves")
-        queue = numbered(wants, ["to"], "row", "place")
-        moved = queue.filter(F.col("place") < F.element_at(F.array(*map(F.lit, room)), F.col("to") + 1)).select("row", "to")
-        moved = written(moved, "moved")
-        if not moved.take(1):
+        wants = written(wants.filter(F.col("to") != F.col("shard")), "moves")
+        allowed = _allowed({(r["shard"], r["to"]): r["count"] for r in wants.groupBy("shard", "to").count().collect()}, room)
+        idle = 0 if any(allowed.values()) else idle + 1
+        if idle == 2:
             break
+        if idle:
+            continue
+        most = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for (i, j), n in allowed.items() for x in (i * shards + j, n)]), F.col("shard") * shards + F.col("to")), F.lit(0))
+        moved = numbered(wants, ["shard", "to"], "row", "place").filter(F.col("place") < most).select("row", "to")
         state = written(state.join(moved, "row", "left").select("row", F.coalesce("to", "shard").alias("shard")), "shards-of-linked")
 
     room = [q - n for q, n in zip(quota, _by_shard(state, shards), strict=True)]
@@ -98,7 +115,7 @@ def shard_documents(docs: DataFrame, shards: int = 40) -> DataFrame:
     """Documents (doc_id, text) in shards; equal texts are linked. doc_id, size, text_crc32, shard, slot."""
     text = F.coalesce(F.col("text"), F.lit(""))
     nodes = written(
-        docs.select(
+        stable(docs).select(
             F.monotonically_increasing_id().alias("row"), "doc_id", (F.octet_length(text) + 16).cast("long").alias("size"),
             F.crc32(text.cast("binary")).alias("text_crc32"), F.unhex(F.sha2(text, 256)).alias("group"),
         ),
