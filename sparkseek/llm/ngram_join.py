@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import join_groups, total_bytes, written
+from .common import free_name, join_groups, stable, total_bytes, written
 from .components import components
 from .recurring import BLOCK_BYTES, block_of, marked, of_several, several
 from .words import Words, members, mixed
@@ -40,7 +40,7 @@ SHINGLE = 3
 #: Similarity, in hundredths.
 LEAST = 90
 #: The first pass asks for this share of a set, in hundredths, beyond the plain prefix.
-SHARE = 6
+SHARE = 12
 #: Documents in one chunk of a cluster.
 CHUNK = 256
 ORDERS = 3
@@ -120,13 +120,19 @@ def _numbers(packed: pa.ChunkedArray) -> list[np.ndarray]:
     return [np.frombuffer(one, dtype=np.uint64) for one in packed.to_pylist()]
 
 
+def _first_of_sets(table: pa.Table) -> pa.Table:
+    """Of equal sets, which lie in one block, the one with the smallest row."""
+    return table.sort_by("row").group_by("set", use_threads=False).aggregate([("row", "first"), ("shingles", "first")]).rename_columns(["set", "row", "shingles"])
+
+
 def _report_shingles(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    sets = _numbers(table.column("shingles"))
+    sets = _numbers(_first_of_sets(table).column("shingles"))
     found, many = several(np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(one) for one in sets]))
     return pa.table({"shingle": pa.array(found.view(np.int64)), "mark": marked(key[0].as_py(), many)})
 
 
 def _profiles(key: tuple[pa.Scalar, ...], sets: pa.Table, seen: pa.Table) -> pa.Table:
+    sets = _first_of_sets(sets)
     known = seen.column("shingle").to_numpy().astype(np.int64).view(np.uint64)
     blocks = seen.column("blocks").to_numpy().astype(np.int64)
     order = np.argsort(known)
@@ -216,9 +222,10 @@ def _linked(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
 def link_documents(docs: DataFrame, block_bytes: int = BLOCK_BYTES, chunk: int = CHUNK) -> DataFrame:
     """Of documents (doc_id, text): row, doc_id, n_shingles, component_id, n_links (the number of documents it links with).
 
-    `row` numbers the rows as monotonically_increasing_id does over the same plan.
+    `row` numbers the rows, as monotonically_increasing_id does over stable(docs).
     """
     ship(docs.sparkSession)
+    docs = stable(docs)
     row = F.monotonically_increasing_id()
     block = block_of(total_bytes(docs), F.col("doc_id"), F.octet_length("text"), block_bytes=block_bytes)
     dealt = docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text", block.alias("block")).groupBy("block")
@@ -227,9 +234,9 @@ def link_documents(docs: DataFrame, block_bytes: int = BLOCK_BYTES, chunk: int =
 
     classes = sets.filter("set IS NOT NULL").groupBy("set").agg(F.min("row").alias("node"), F.min("doc_id").alias("least"), F.count("*").alias("documents"))
     classes = written(classes, "set-classes")
-    open_sets = sets.filter("shingles IS NOT NULL").join(classes.select(F.col("node").alias("row")), "row", "left_semi").select("row", "shingles")
+    open_sets = sets.filter("shingles IS NOT NULL").select("row", "set", "shingles")
     size = sets.agg(F.coalesce(F.sum(F.octet_length("shingles")), F.lit(0))).first()[0]
-    dealt = open_sets.withColumn("block", block_of(size, F.col("row"), block_bytes=block_bytes)).groupBy("block")
+    dealt = open_sets.withColumn("block", block_of(size, F.col("set"), block_bytes=block_bytes)).groupBy("block")
     seen = of_several(dealt.applyInArrow(_report_shingles, "shingle long, mark long"), ["shingle"]).select("block", "shingle", F.col("blocks_").alias("blocks"))
     profiles = written(dealt.cogroup(seen.groupBy("block")).applyInArrow(_profiles, PROFILES), "profiles")
 
@@ -248,6 +255,17 @@ def link_documents(docs: DataFrame, block_bytes: int = BLOCK_BYTES, chunk: int =
     return members_of.select(columns).unionByName(alone)
 
 
+def kept(docs: DataFrame) -> DataFrame:
+    """One document of each class, the one with the smallest doc_id; documents without a class stay. All columns pass through."""
+    docs = stable(docs)
+    row = free_name(docs, "row")
+    found = link_documents(docs.select("doc_id", "text"))
+    # Of rows that share the smallest doc_id of a class, the first stays.
+    first = found.filter("doc_id = component_id AND n_links > 0").groupBy("component_id").agg(F.min("row").alias("row"))
+    gone = found.filter("n_links > 0").select("row").join(first.select("row"), "row", "left_anti").withColumnRenamed("row", row)
+    return docs.withColumn(row, F.monotonically_increasing_id()).join(gone, row, "left_anti").drop(row)
+
+
 def _links_of_clusters(profiles: DataFrame, classes: DataFrame, chunk: int) -> DataFrame:
     unpacked = profiles.select("row", "prefix0").mapInArrow(_unpack, "row long, shingle long")
     tokens = written(unpacked, "prefix-shingles")
