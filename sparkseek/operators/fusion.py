@@ -63,7 +63,7 @@ def reciprocal_rank_fusion(hits: DataFrame, ranking: Ranking = Ranking()) -> Dat
         best = Window.partitionBy("query_id", "path", "channel").orderBy("rank")
         hits = hits.withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n")
     order = F.struct(F.col("content_len"), -F.col("_ch"), -F.col("rank"))
-    shown = F.max_by(F.struct("channel", "idx", "layer", "content_len"), order)
+    shown = F.max_by(F.struct("channel", "idx", "layer", "content_len", "store"), order)
     first = F.min_by(F.struct("store"), F.struct("_ch", "rank"))
     per_channel = hits.groupBy("query_id", "path", "channel", "_ch").agg(
         F.sum("_share").alias("_sum"),
@@ -90,6 +90,7 @@ def reciprocal_rank_fusion(hits: DataFrame, ranking: Ranking = Ranking()) -> Dat
         F.col("_shown.layer").alias("layer"),
         F.col("_shown.channel").alias("content_channel"),
         F.col("_shown.idx").alias("content_idx"),
+        F.col("_shown.store").alias("content_store"),
         "rrf_parts",
     )
 

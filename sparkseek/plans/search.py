@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import fixed_values as fv
 from ..config import Settings
 from ..functions import paths as P
 from ..functions import text as X
@@ -93,20 +94,22 @@ class HybridSearch:
         return fusion.best(scored, self.settings.ranking.pool)
 
     def with_content(self, pool: DataFrame) -> DataFrame:
-        """Fetch the content each pooled row stands for; only rows of the pool are read into the join."""
+        """Fetch the content each pooled row stands for, from its own store; only rows of the pool are read into the join."""
         small = fits(pool.select("query_id", "path"), self.settings.limits)
-        wanted = pool.select("path", F.col("content_idx").alias("idx"), (F.col("content_channel") == "exact").alias("_x")).distinct()
+        from_file = F.col("content_channel") == "exact"
+        wanted = pool.select(F.col("content_store").alias("store"), "path", F.col("content_idx").alias("idx"), from_file.alias("_x")).distinct()
         texts = None
         if self.store is not None:
-            chunks = self.store.table("chunks").select("path", "idx", "content")
-            texts = chunks.join(small_side(wanted.where("not _x").drop("_x"), small), ["path", "idx"])
+            chunks = self.store.table("chunks").select("store", "path", "idx", "content")
+            texts = chunks.join(small_side(wanted.where("not _x").drop("_x"), small), ["store", "path", "idx"])
         if self.files is not None:
             head = X.cut("text", self.settings.retrieval.exact_content_chars, TRUNCATED)
             heads = self.files.join(small_side(wanted.where("_x").select("path"), small), "path").select(
-                "path", F.lit(-1).alias("idx"), head.alias("content")
+                F.lit("").alias("store"), "path", F.lit(-1).alias("idx"), head.alias("content")
             )
             texts = heads if texts is None else texts.unionByName(heads)
-        return pool.join(texts.withColumnRenamed("idx", "content_idx"), ["path", "content_idx"], "left")
+        found = texts.withColumnsRenamed({"idx": "content_idx", "store": "_store"})
+        return pool.withColumn("_store", F.coalesce("content_store", F.lit(""))).join(found, ["_store", "path", "content_idx"], "left").drop("_store")
 
     def search(self, queries: DataFrame, top_k: int | None = None) -> DataFrame:
         """Ranked hits for `queries` (query_id, query)."""
@@ -130,22 +133,22 @@ class HybridSearch:
 
     # -- lookups -------------------------------------------------------------------------------------------------
 
-    def _lookup(self, hints: DataFrame, template: str, layer: str, endings) -> DataFrame:
+    def _lookup(self, hints: DataFrame, template: str, layer: str, endings, searched: int, k: int) -> DataFrame:
         queries = hints.select("query_id", F.format_string(template, F.col("hint")).alias("query"))
         matching = (F.col("layer") == layer) | P.ends_with_any(F.lower("path"), endings)
-        return fusion.prefer_matching(self.search(queries, 12), matching, 8)
+        return fusion.prefer_matching(self.search(queries, searched), matching, k)
 
-    def lookup_signal(self, hints: DataFrame) -> DataFrame:
+    def lookup_signal(self, hints: DataFrame, searched: int = 12, k: int = 8) -> DataFrame:
         """Signal definitions for `hints` (query_id, hint)."""
-        return self._lookup(hints, "VSS signal %s Vehicle catalog yaml", "vss", (".yaml", ".yml", ".vss"))
+        return self._lookup(hints, fv.SIGNAL_LOOKUP, "vss", (".yaml", ".yml", ".vss"), searched, k)
 
-    def find_interface(self, hints: DataFrame) -> DataFrame:
+    def find_interface(self, hints: DataFrame, searched: int = 12, k: int = 8) -> DataFrame:
         """Interface definitions for `hints` (query_id, hint)."""
-        return self._lookup(hints, "AIDL interface %s .aidl parcelable", "aidl", (".aidl",))
+        return self._lookup(hints, fv.INTERFACE_LOOKUP, "aidl", (".aidl",), searched, k)
 
-    def find_symbol(self, hints: DataFrame) -> DataFrame:
+    def find_symbol(self, hints: DataFrame, k: int = 10) -> DataFrame:
         """Places of a symbol for `hints` (query_id, hint)."""
-        return self.search(hints.select("query_id", F.col("hint").alias("query")), 10)
+        return self.search(hints.select("query_id", F.col("hint").alias("query")), k)
 
     def seed(self, bugs: DataFrame) -> DataFrame:
         """First search for `bugs` (query_id, report, log): all hits, each with its display line."""
@@ -156,7 +159,7 @@ class HybridSearch:
     def relocate(self, bugs: DataFrame) -> DataFrame:
         """Second search for `bugs` (query_id, report, notes, rejected_file) led by names in the objections."""
         hinted = bugs.withColumn("_hints", X.relocation_hints("notes", "rejected_file")).where(F.size("_hints") > 0)
-        text = F.concat_ws(" ", F.trim("report"), F.array_join(F.slice("_hints", 1, 6), " "))
+        text = F.concat_ws(" ", F.trim("report"), F.array_join("_hints", " "))
         return self.search(hinted.select("query_id", X.strip(text).alias("query")))
 
 

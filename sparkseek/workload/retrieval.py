@@ -63,7 +63,7 @@ def sql_hash_vectors(relation: str, keys: str, text: str, name: str, dim: int =
   (SELECT *, sqrt(CAST(sum(v * v) OVER (PARTITION BY {keys}) AS DOUBLE)) AS norm FROM {name}_slot))"""
 
 
-_CONTENT = r"substr(regexp_replace(content, '^\s+|\s+$', '', 'g'), 1, 8000)"
+_CONTENT = r"regexp_replace(content, '^\s+|\s+$', '', 'g')"
 _SHOWN = _R.exact_content_chars
 _TAIL = "chr(10) || chr(10) || '... [truncated] ...'"
 _ORDER_STORE = "CASE store WHEN 'base' THEN 0 ELSE 1 END"
@@ -88,7 +88,7 @@ bm25_hits AS MATERIALIZED (SELECT query_id, 'bm25' AS channel, 2 AS ch, store, p
 {sql_hash_vectors(queries, 'query_id', 'query', 'qv')},
 pair AS MATERIALIZED (SELECT q.query_id, c.store, c.path, c.idx, c.content_len, sum(q.w * c.w) AS s FROM qv q JOIN cv c USING (slot) GROUP BY ALL),
 pair_all AS MATERIALIZED (SELECT q.query_id, c.store, c.path, c.idx, c.content_len, greatest(0.0, least(1.0, round(coalesce(s, 0.0), 9))) AS score
-  FROM {queries} q CROSS JOIN chunk c LEFT JOIN pair p ON p.query_id = q.query_id AND p.path = c.path AND p.idx = c.idx),
+  FROM {queries} q CROSS JOIN chunk c LEFT JOIN pair p ON p.query_id = q.query_id AND p.store = c.store AND p.path = c.path AND p.idx = c.idx),
 dense AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, store ORDER BY score DESC, path, idx) AS n FROM pair_all)
   WHERE n <= {_R.k_dense}),
 dense_hits AS MATERIALIZED (SELECT query_id, 'dense' AS channel, 1 AS ch, store, path, idx, content_len,
@@ -123,7 +123,8 @@ fused AS MATERIALIZED (SELECT query_id, path, round(sum(1.0 / ({float(_K.rrf_k)}
     string_agg(DISTINCT channel, '+' ORDER BY channel) AS source,
     CASE WHEN bool_or(coalesce(store = 'customer', false)) THEN 'customer' ELSE arg_min(coalesce(store, ''), ch * 1000 + rank) END AS store,
     arg_max(channel, content_len * 1000000 - ch * 10000 - rank) AS content_channel,
-    arg_max(idx, content_len * 1000000 - ch * 10000 - rank) AS content_idx
+    arg_max(idx, content_len * 1000000 - ch * 10000 - rank) AS content_idx,
+    arg_max(coalesce(store, ''), content_len * 1000000 - ch * 10000 - rank) AS content_store
   FROM hits GROUP BY query_id, path)"""
 
 
@@ -148,7 +149,7 @@ normed AS (SELECT *, CASE WHEN hi - lo < 1e-9 THEN 0.5 ELSE (score - lo) / (hi -
   (SELECT *, min(score) OVER (PARTITION BY query_id) AS lo, max(score) OVER (PARTITION BY query_id) AS hi FROM fused)),
 boosted AS (SELECT n.*, query, CAST({sql_prior()} AS DOUBLE) AS prior FROM normed n JOIN features USING (query_id)
   WHERE NOT {D.sql_legacy('path')} OR {D.sql_contains_any('q', fv.LEGACY_QUERY_WORDS)}),
-pool AS MATERIALIZED (SELECT * FROM (SELECT query_id, query, path, store, source, content_channel, content_idx, base_norm, prior, base_norm + prior AS score,
+pool AS MATERIALIZED (SELECT * FROM (SELECT query_id, query, path, store, source, content_channel, content_idx, content_store, base_norm, prior, base_norm + prior AS score,
     row_number() OVER (PARTITION BY query_id ORDER BY round(base_norm + prior, 9) DESC, path) AS rank FROM boosted) WHERE rank <= {_K.pool})"""
 
 
@@ -158,7 +159,7 @@ def sql_search(queries: str, k: int) -> str:
     head = f"CASE WHEN length(t.text) > {_SHOWN} THEN substr(t.text, 1, {_SHOWN}) || {_TAIL} ELSE t.text END"
     return f"""{sql_indexed()},{sql_channels(queries)},{sql_fused()},{sql_pool(queries)},
 shown AS MATERIALIZED (SELECT p.*, CASE WHEN content_channel = 'exact' THEN {head} ELSE c.text END AS content
-  FROM pool p LEFT JOIN tree t USING (path) LEFT JOIN chunk c ON c.path = p.path AND c.idx = p.content_idx),
+  FROM pool p LEFT JOIN tree t USING (path) LEFT JOIN chunk c ON c.store = p.content_store AND c.path = p.path AND c.idx = p.content_idx),
 scored_text AS MATERIALIZED (SELECT query_id, path, substr(CASE WHEN length(coalesce(content, '')) > 0 THEN content ELSE path END, 1, {_R.rerank_content_chars}) AS text FROM shown),
 {sql_hash_vectors('scored_text', 'query_id, path', 'text', 'pv')},
 sim AS (SELECT query_id, path, sum(q.w * p.w) AS s FROM pv p JOIN qv q USING (query_id, slot) GROUP BY ALL),
@@ -203,9 +204,13 @@ def bm25_topk(spark, sf_dir):
     return hits.select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"))
 
 
-@query("bm25_statistics", f"""WITH {D.TREE_SQL}, {sql_bm25('tree', '(SELECT 0 AS query_id, NULL::VARCHAR AS query)', 'path', 1)}
-SELECT i.store, i.term, df, round(idf, 6) AS idf, n, round(avgdl, 6) AS avgdl
-FROM bm25_idf i JOIN bm25_df USING (store, term) JOIN bm25_size USING (store)""")
+@query("bm25_statistics", f"""WITH {D.TREE_SQL},
+doc AS (SELECT store, path, regexp_extract_all(lower(text), '{fv.TOKEN_PATTERN}') AS tokens FROM tree),
+size AS (SELECT store, count(*) AS n, avg(len(tokens)) AS avgdl FROM doc GROUP BY store),
+df AS (SELECT store, term, count(*) AS df FROM (SELECT store, unnest(list_distinct(tokens)) AS term FROM doc) GROUP BY ALL),
+raw AS (SELECT *, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM df JOIN size USING (store))
+SELECT store, term, df, round(CASE WHEN raw < 0 THEN {_B.epsilon} * avg(raw) OVER (PARTITION BY store) ELSE raw END, 6) AS idf, n, round(avgdl, 6) AS avgdl
+FROM raw""")
 def bm25_statistics(spark, sf_dir):
     """Vocabulary of each store with document frequency and lifted idf, and the collection sizes."""
     corpus = bm25.written(bm25.counted(D.source_tree(spark, sf_dir), ["path"], "text"), "terms")
@@ -290,7 +295,7 @@ SELECT query_id, path, round(score, 9) AS score, source, nullif(store, '') AS st
 def fused_ranks(spark, sf_dir):
     """Reciprocal-rank fusion of the channels."""
     fused = search_over_tree(spark, sf_dir).fused(D.bug_queries(spark, sf_dir))
-    return fused.drop("rrf_parts").withColumn("score", F.round("score", 9))
+    return fused.drop("rrf_parts", "content_store").withColumn("score", F.round("score", 9))
 
 
 @query("prior_pool", f"""WITH {BUGS_SQL}, {sql_indexed()}, {sql_channels('bugs')}, {sql_fused()}, {sql_pool('bugs')}
@@ -320,6 +325,36 @@ def hybrid_search(spark, sf_dir):
     return _search_result(search_over_tree(spark, sf_dir).search(D.bug_queries(spark, sf_dir)))
 
 
+def _overlapping(spark: SparkSession, sf_dir: str) -> HybridSearch:
+    """The search over two stores of which the second also holds its own version of every third base file."""
+
+    def build() -> HybridSearch:
+        base = search_over_tree(spark, sf_dir)
+        root = new_folder(spark, "overlapping-stores")
+        provider = S.StoreProvider(spark, root, _R.embed_model)
+        tree = D.source_tree(spark, sf_dir).select("doc_id", "path", "store", "size_bytes", "text")
+        own = tree.where("store = 'base' AND doc_id % 3 = 0").withColumn("text", F.concat("text", F.lit("\nlocal change")))
+        customer = tree.where("store = 'customer'").unionByName(own)
+        for store, files in (("base", tree.where("store = 'base'")), ("customer", customer)):
+            indexing.build_store(files.drop("store", "doc_id"), provider.folder(base=store == "base", tenant=TENANT), store, SETTINGS)
+        return HybridSearch(provider.open(TENANT), base.files, SETTINGS)
+
+    return cached_search((spark.sparkContext.applicationId, sf_dir, "overlapping"), build)
+
+
+_TWICE = sql_search("bugs", _R.k_final).replace(
+    "indexed AS MATERIALIZED (SELECT * FROM tree WHERE",
+    "both_stores AS (SELECT * FROM tree UNION ALL SELECT * REPLACE (text || chr(10) || 'local change' AS text, 'customer' AS store) FROM tree"
+    " WHERE store = 'base' AND doc_id % 3 = 0),\nindexed AS MATERIALIZED (SELECT * FROM both_stores WHERE",
+)
+
+
+@query("overlapping_stores", f"WITH {BUGS_SQL}, {_TWICE} SELECT {_SEARCH_COLUMNS} FROM ranked")
+def overlapping_stores(spark, sf_dir):
+    """The full search where the customer's store holds changed copies of base files: one hit per path, with the right text."""
+    return _search_result(_overlapping(spark, sf_dir).search(D.bug_queries(spark, sf_dir)))
+
+
 @query("hybrid_search_without_model", f"""WITH {BUGS_SQL}, {sql_indexed()}, {sql_channels('bugs')}, {sql_fused()}, {sql_pool('bugs')}
 SELECT query_id, path, CAST(rank AS INT) AS rank, round(score, 6) AS score FROM pool WHERE rank <= {_R.k_final}""")
 def hybrid_search_without_model(spark, sf_dir):
@@ -347,13 +382,13 @@ chosen AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS
 SELECT query_id, CAST(n AS INT) AS rank, path, layer FROM chosen WHERE n <= 8"""
 
 
-@query("signal_lookup", _lookup_sql("VSS signal %s Vehicle catalog yaml", "vss", (".yaml", ".yml", ".vss")))
+@query("signal_lookup", _lookup_sql(fv.SIGNAL_LOOKUP, "vss", (".yaml", ".yml", ".vss")))
 def signal_lookup(spark, sf_dir):
     """Signal lookup with its layer-or-suffix filter and fallback."""
     return search_over_tree(spark, sf_dir).lookup_signal(hints(spark, sf_dir)).select("query_id", "rank", "path", "layer")
 
 
-@query("interface_lookup", _lookup_sql("AIDL interface %s .aidl parcelable", "aidl", (".aidl",)))
+@query("interface_lookup", _lookup_sql(fv.INTERFACE_LOOKUP, "aidl", (".aidl",)))
 def interface_lookup(spark, sf_dir):
     """Interface lookup with its layer-or-suffix filter and fallback."""
     return search_over_tree(spark, sf_dir).find_interface(hints(spark, sf_dir)).select("query_id", "rank", "path", "layer")
@@ -379,16 +414,17 @@ def search_lines(spark, sf_dir):
     return hits.select("query_id", "rank", search_line().alias("line"))
 
 
-_SEED_SQL = """bug AS (SELECT item_id AS query_id, b.text AS report, c.text AS log FROM benchmark b LEFT JOIN conversations c
-  ON c.conv_id = b.item_id AND c.turn = 1),
+_SEED_SQL = """talk AS (SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS log FROM conversations GROUP BY conv_id),
+bug AS (SELECT item_id AS query_id, b.text AS report, c.log FROM benchmark b LEFT JOIN talk c ON c.conv_id = b.item_id),
 asked AS (SELECT query_id, report || CASE WHEN log IS NULL THEN chr(10) ELSE chr(10) || log END AS q0 FROM bug),
 seeds AS (SELECT query_id, regexp_replace(q0, '^\\s+|\\s+$', '', 'g') AS query FROM asked)"""
 
 
 @query("seed_search", f"WITH {_SEED_SQL}, {sql_search('seeds', _R.k_final)} SELECT query_id, CAST(rank AS INT) AS rank, path, round(final, 6) AS score FROM ranked")
 def seed_search(spark, sf_dir):
-    """First search of a run: report and log together (the log is the second turn of a conversation)."""
-    logs = D.table(spark, sf_dir, "conversations").where("turn = 1").select("conv_id", F.col("text").alias("log"))
+    """First search of a run: report and log together (the log is a whole conversation)."""
+    turns = F.array_sort(F.collect_list(F.struct("turn", "text")))
+    logs = D.table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(turns, lambda t: t["text"]), "\n").alias("log"))
     bugs = D.table(spark, sf_dir, "benchmark").join(logs, F.col("item_id") == F.col("conv_id"), "left")
     bugs = bugs.select(F.col("item_id").alias("query_id"), F.col("text").alias("report"), "log")
     return search_over_tree(spark, sf_dir).seed(bugs).select("query_id", "rank", "path", "score")
