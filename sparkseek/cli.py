@@ -1,4 +1,4 @@
-"""Command line: build or refresh a store, search it, evaluate labelled bugs."""
+"""Command line: build or refresh a store, search it, report on and evaluate labelled bugs with recorded answers."""
 
 from __future__ import annotations
 
@@ -8,17 +8,21 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .config import Settings, load_settings
+from .functions import text as X
 from .operators import evaluation as E
+from .operators import grounding as G
 from .plans import indexing
+from .plans.diagnosis import finalise
 from .plans.search import HybridSearch, search_line
 from .shipping import ship
 from .sources import changes, files, labels, stores
+from .workspace import clear, written
 
 
 def _parser() -> argparse.ArgumentParser:
     parser = argparse.ArgumentParser(prog="sparkseek")
     commands = parser.add_subparsers(dest="command", required=True)
-    for name in ("index", "search", "evaluate"):
+    for name in ("index", "search", "report", "evaluate"):
         c = commands.add_parser(name)
         c.add_argument("--source-root", required=name == "index")
         c.add_argument("--stores-root", required=True)
@@ -34,8 +38,9 @@ def _parser() -> argparse.ArgumentParser:
         if name == "search":
             c.add_argument("--query", required=True)
             c.add_argument("--top-k", type=int)
-        if name == "evaluate":
+        if name in ("report", "evaluate"):
             c.add_argument("--labels", required=True)
+            c.add_argument("--answers", required=name == "report", help="JSON lines: id, answer")
             c.add_argument("--k", type=int, default=5)
             c.add_argument("--out", required=True)
     return parser
@@ -53,7 +58,9 @@ def run_index(spark: SparkSession, args, settings: Settings) -> stores.Manifest:
     roots = (before.index_roots if again and before.index_roots else None) or settings.scope_roots(args.scope)
     tree = files.scan_tree(spark, args.source_root, mode, roots)
     if again:
-        return indexing.refresh_store(tree, folder, mode, settings, None, head, args.scope)
+        # Commits say what changed; without them, or when git can't tell, digests do.
+        known = changes.git_changes(spark, args.source_root, before.git_sha, head) if before.git_sha and head else None
+        return indexing.refresh_store(tree, folder, mode, settings, known, head, args.scope)
     return indexing.build_store(tree, folder, mode, settings, args.scope, head)
 
 
@@ -73,13 +80,37 @@ def run_search(spark: SparkSession, args, settings: Settings):
     return _search(spark, args, settings).search(queries, args.top_k).orderBy("rank").select(search_line().alias("line"))
 
 
+def _hits(spark: SparkSession, args, settings: Settings, bugs):
+    report = F.concat_ws("\n", "bug", F.coalesce("logcat", F.lit("")))
+    return _search(spark, args, settings).search(bugs.select(F.col("id").alias("query_id"), report.alias("query")))
+
+
+def run_report(spark: SparkSession, args, settings: Settings):
+    """One finished report per bug: what its recorded answer proposes, checked against the hits of its search."""
+    bugs = labels.read_labels(spark, args.labels)
+    hits = written(_hits(spark, args, settings, bugs).withColumnRenamed("query_id", "run_id"), "report-hits")
+    answers = bugs.select(F.col("id").alias("run_id")).join(labels.read_answers(spark, args.answers).withColumnsRenamed({"id": "run_id", "answer": "raw"}), "run_id", "left")
+    none = hits.select("run_id", F.lit("").alias("text")).limit(0)
+    evidence, paths = G.evidence_messages(none, hits), G.evidence_paths(none, hits)
+    reports = finalise(G.commit(answers, evidence, paths), hits)
+    reports.write.mode("overwrite").json(args.out)
+    return reports.select("run_id", "review", "report")
+
+
 def run_evaluate(spark: SparkSession, args, settings: Settings):
+    """Ranks come from the recorded answers where there are any, else from the search."""
     bugs = labels.read_labels(spark, args.labels)
-    report = F.concat_ws("\n", "bug", F.coalesce("logcat", F.lit("")))
-    hits = _search(spark, args, settings).search(bugs.select(F.col("id").alias("query_id"), report.alias("query")))
-    ranks = E.gold_ranks(hits, labels.gold(bugs), args.k)
-    answers = bugs.select(F.col("id").alias("query_id"), F.lit("").alias("text"), F.lit(False).alias("has_gold_diff"))
-    rows = E.score_answers(answers, ranks)
+    recorded = labels.read_answers(spark, args.answers) if args.answers else None
+    asked = bugs.select(F.col("id").alias("query_id"), (F.coalesce(F.size("gold_diff_files"), F.lit(0)) > 0).alias("has_gold_diff"))
+    if recorded is None:
+        ranked, answers, patched = _hits(spark, args, settings, bugs), asked.withColumn("text", F.lit("")), None
+    else:
+        answers = asked.join(recorded.withColumnsRenamed({"id": "query_id", "answer": "text"}), "query_id", "left")
+        answers = written(answers.withColumn("text", F.coalesce("text", F.lit(""))), "answers")
+        listed = lambda paths: answers.select("query_id", F.posexplode(paths).alias("rank", "path")).withColumn("rank", F.col("rank") + 1)
+        ranked, patched = listed(X.ranked_paths("text")), listed(X.diff_targets("text"))
+    patch_ranks = E.gold_ranks(patched, labels.gold(bugs, "gold_diff_files")) if patched is not None else None
+    rows = E.score_answers(answers, E.gold_ranks(ranked, labels.gold(bugs), args.k), patch_ranks)
     summary = E.summarize(rows)
     labels.write_results(rows, summary, args.out)
     return summary
@@ -90,7 +121,14 @@ def main(argv=None) -> None:
     spark = SparkSession.builder.appName("sparkseek").getOrCreate()
     ship(spark)
     settings = load_settings(args.config)
-    result = {"index": run_index, "search": run_search, "evaluate": run_evaluate}[args.command](spark, args, settings)
+    try:
+        _run(spark, args, settings)
+    finally:
+        clear(spark)
+
+
+def _run(spark: SparkSession, args, settings: Settings) -> None:
+    result = {"index": run_index, "search": run_search, "report": run_report, "evaluate": run_evaluate}[args.command](spark, args, settings)
     print(result) if args.command == "index" else result.show(truncate=False)
 
 

@@ -77,7 +77,7 @@ def parse_verdicts(answers: DataFrame, raw: str = "raw") -> DataFrame:
         owns.alias("owns_layer"),
         F.when(is_json, F.greatest(F.lit(0.0), F.least(F.lit(1.0), confidence))).otherwise(F.lit(0.5)).alias("confidence"),
         F.when(is_json, X.strip(F.coalesce("_o.target", F.lit("")))).otherwise(F.lit("")).alias("target"),
-        F.when(is_json, X.strip(F.coalesce("_o.reason", F.lit("")))).otherwise(F.substring(X.strip(text), 1, 200)).alias("reason"),
+        F.when(is_json, X.strip(F.coalesce("_o.reason", F.lit("")))).otherwise(X.strip(text)).alias("reason"),
     )
 
 
@@ -146,7 +146,7 @@ def note_line() -> Column:
         "- [%s] verdict=%s owns=%s conf=%.2f target=%s :: %s",
         F.col("layer"), F.col("verdict"), F.initcap(F.col("owns_layer").cast("string")), F.col("confidence"),
         F.when(F.coalesce("target", F.lit("")) == "", "-").otherwise(F.col("target")),
-        F.substring(F.coalesce("reason", F.lit("")), 1, 160),
+        F.coalesce("reason", F.lit("")),
     )
 
 

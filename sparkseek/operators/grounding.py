@@ -20,12 +20,12 @@ PROPOSAL = "file string, symbols array<string>, property_ids array<string>, root
 
 
 def evidence_messages(messages: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
-    """run_id, text: tool messages, and the first 500 characters of each seed hit (run_id, path, content) with its path."""
+    """run_id, text: tool messages, and the text of each seed hit (run_id, path, content) with its path."""
     rows = messages.select("run_id", "text")
     if seeds is None:
         return rows
     folded = seeds.where(F.col("path") != "").select(
-        "run_id", F.concat("path", F.lit("\n"), F.substring(F.coalesce("content", F.lit("")), 1, 500)).alias("text")
+        "run_id", F.concat("path", F.lit("\n"), F.coalesce("content", F.lit(""))).alias("text")
     )
     return rows.unionByName(folded)
 
@@ -101,7 +101,7 @@ def commit(answers: DataFrame, messages: DataFrame, paths: DataFrame) -> DataFra
     )
     listed = parsed.select("run_id", F.posexplode("proposed").alias("n", "c")).select(
         "run_id", "n", X.strip(F.coalesce("c.path", F.lit(""))).alias("claim"),
-        F.substring(X.strip(F.coalesce("c.why", F.lit(""))), 1, 200).alias("why"),
+        X.strip(F.coalesce("c.why", F.lit(""))).alias("why"),
     )
     claims = snap_paths(parsed.select("run_id", "claim", F.lit(-1).alias("n"), F.lit("").alias("why")).unionByName(listed), paths)
     snapped = claims.groupBy("run_id").agg(  # the few paths of one answer
@@ -151,9 +151,9 @@ def _trimmed(column: str) -> Column:
     return F.filter(F.transform(items, lambda t: X.strip(t)), lambda t: t != "")
 
 
-def with_fallback_candidates(diagnoses: DataFrame, hits: DataFrame) -> DataFrame:
-    """Diagnoses whose candidates are empty get the run's best search hits (run_id, rank, path, layer, score; at most 8)."""
-    shown = hits.where((F.col("rank") <= 8) & (F.col("path") != "")).groupBy("run_id").agg(
+def with_fallback_candidates(diagnoses: DataFrame, hits: DataFrame, k: int = 8) -> DataFrame:
+    """Diagnoses whose candidates are empty get the run's k best search hits (run_id, rank, path, layer, score)."""
+    shown = hits.where((F.col("rank") <= k) & (F.col("path") != "")).groupBy("run_id").agg(
         F.array_sort(F.collect_list(F.struct("rank", "path", "layer", "score"))).alias("_hits")
     )
     fallback = F.transform(
@@ -199,6 +199,6 @@ def render() -> Column:
         F.when(F.col("root_cause") != "", F.col("root_cause")).otherwise(F.lit("_(not committed)_")),
         F.when(F.size(facts) > 0, F.concat(F.lit("\n\n_Committed facts — "), F.array_join(facts, "; "), F.lit("._"))).otherwise(F.lit("")),
         F.when(F.size("grounding_problems") > 0, F.concat(
-            F.lit("\n\n> ⚠ Diagnosis grounding problems: "), F.array_join(F.slice("grounding_problems", 1, 6), "; ")
+            F.lit("\n\n> ⚠ Diagnosis grounding problems: "), F.array_join("grounding_problems", "; ")
         )).otherwise(F.lit("")),
     )

@@ -16,6 +16,7 @@ from ..config import Settings
 from ..functions.text import first_diff
 from ..operators import consensus as C
 from ..operators import diffs as V
+from ..operators import grounding as G
 from ..workspace import written
 
 # (votes wanted: bug_id, layer, round, brief) -> bug_id, layer, raw
@@ -37,8 +38,10 @@ def debate(seats: DataFrame, committed: DataFrame, voter: Voter | None, settings
     open_seats = seats.select("bug_id", "layer", F.lit("").alias("brief"))
     done, last = [], None
     for number in range(1, max(1, settings.loop.max_debate_rounds) + 1):
-        answers = voter(open_seats.withColumn("round", F.lit(number)))
-        notes = written(C.parse_verdicts(answers.select("bug_id", "layer", "raw")).withColumn("round", F.lit(number)).select(*fields), "notes")
+        answers = voter(open_seats.withColumn("round", F.lit(number))).select("bug_id", "layer", "raw")
+        # A seat without an answer abstains.
+        answers = open_seats.select("bug_id", "layer").join(answers, ["bug_id", "layer"], "left")
+        notes = written(C.parse_verdicts(answers).withColumn("round", F.lit(number)).select(*fields), "notes")
         votes = C.build_consensus(notes.withColumn("note_no", F.lit(1)), committed)
         state = votes.select("bug_id", "status").join(C.verdict_map(notes), "bug_id")
         state = state.withColumn("verdicts", F.array_sort(F.map_entries("verdicts")))
@@ -79,15 +82,16 @@ def continue_tools(steps: int, asked_for_tool: bool, settings: Settings = Settin
 def patch_loop(targets: DataFrame, patcher: Patcher | None, settings: Settings = Settings(), parser=None, formatter=None) -> DataFrame | None:
     """bug_id, patch, note of each target (bug_id, path, text, symbols), or none without a patcher.
 
-    A patch is asked for, applied in memory and checked; a target whose patch fails is asked again with the problem, up
-    to the configured number of further tries. The note is empty only when everything was verified.
+    A patch is asked for, applied in memory to the whole file and checked; a target whose patch fails, or for which no
+    answer comes, is asked again with the problem, up to the configured number of further tries. The patcher sees
+    `source`, the part of the file around the symbols. The note is empty only when everything was verified.
     """
     if patcher is None:
         return None
     window = V.symbol_window_udf(settings.loop.patch_context_chars)("text", "symbols")
     open_targets = written(
         targets.withColumn("_w", window).select(
-            "bug_id", "path", F.col("_w.text").alias("source"), F.col("_w.cut").alias("cut"), F.lit(None).cast("string").alias("problem")
+            "bug_id", "path", "text", F.col("_w.text").alias("source"), F.lit(None).cast("string").alias("problem")
         ),
         "patch-targets",
     )
@@ -95,15 +99,15 @@ def patch_loop(targets: DataFrame, patcher: Patcher | None, settings: Settings =
     settled, tries = [], settings.loop.patch_max_tries + 1
     for attempt in range(1, tries + 1):
         answers = patcher(open_targets.withColumn("attempt", F.lit(attempt))).select("bug_id", "answer")
-        tried = open_targets.drop("problem").join(answers, "bug_id").withColumn("suffix", suffix)
-        tried = tried.withColumn("patched", V.apply_diff_udf("source", first_diff("answer")))
+        tried = open_targets.drop("problem").join(answers, "bug_id", "left").withColumn("suffix", suffix)
+        tried = tried.withColumn("patched", V.apply_diff_udf("text", first_diff("answer")))
         tried = tried.withColumn("syntax", V.check_syntax(F.col("patched"), F.col("suffix"), parser))
-        tried = tried.withColumn("style", V.check_style(F.col("suffix"), formatter, F.col("source"), F.col("patched")))
+        tried = tried.withColumn("style", V.check_style(F.col("suffix"), formatter, F.col("text"), F.col("patched")))
         changes = F.contains("answer", F.lit("@@"))
         note = (
-            F.when(~changes, "")
+            F.when(F.col("answer").isNull(), F.lit(None))
+            .when(~changes, "")
             .when(F.col("patched").isNull(), F.lit(None))
-            .when(F.col("cut"), "Large file: the patch fits the region around the symbols; syntax not verified, hunk offsets are region-relative.")
             .when(~F.col("syntax.ok"), F.lit(None))
             .when(~F.col("syntax.verified"), F.concat(F.lit("Syntax NOT verified: no parser for '"), F.col("suffix"), F.lit("'.")))
             .when(F.col("style") == "violations", F.lit(None))
@@ -111,11 +115,12 @@ def patch_loop(targets: DataFrame, patcher: Patcher | None, settings: Settings =
             .otherwise("")
         )
         problem = (
-            F.when(F.col("patched").isNull(), "the diff did not apply (a hunk's context did not match the file).")
-            .when(~F.col("syntax.ok"), F.concat(F.lit("applying it introduces a syntax error — "), F.array_join(F.slice("syntax.errors", 1, 3), "; ")))
+            F.when(F.col("answer").isNull(), "no answer came.")
+            .when(F.col("patched").isNull(), "the diff did not apply (a hunk's context did not match the file).")
+            .when(~F.col("syntax.ok"), F.concat(F.lit("applying it introduces a syntax error — "), F.array_join("syntax.errors", "; ")))
             .otherwise("the added lines do not follow the style.")
         )
-        judged = written(tried.select("bug_id", "path", "source", "cut", F.col("answer").alias("patch"), note.alias("note"), problem.alias("problem")), "patches")
+        judged = written(tried.select("bug_id", "path", "text", "source", F.col("answer").alias("patch"), note.alias("note"), problem.alias("problem")), "patches")
         settled.append(judged.where(F.col("note").isNotNull()).select("bug_id", "patch", "note"))
         failed = judged.where(F.col("note").isNull())
         if attempt == tries:
@@ -123,8 +128,37 @@ def patch_loop(targets: DataFrame, patcher: Patcher | None, settings: Settings =
             settled.append(failed.select("bug_id", "patch", warning.alias("note")))
         elif failed.isEmpty():
             break
-        open_targets = failed.select("bug_id", "path", "source", "cut", "problem")
+        open_targets = failed.select("bug_id", "path", "text", "source", "problem")
     result = settled[0]
     for more in settled[1:]:
         result = result.unionByName(more)
     return result
+
+
+def finalise(diagnoses: DataFrame, hits: DataFrame, consensus: DataFrame | None = None, notes: DataFrame | None = None,
+             patches: DataFrame | None = None, k: int = 8) -> DataFrame:
+    """One finished report per diagnosis: run_id, report, review, candidates, fallback.
+
+    Diagnoses without candidates get the best of the run's search hits (run_id, rank, path, layer, score). The report
+    is the diagnosis, the consensus (bug_id, summary, force_human_review), the specialists' notes and the patch with its
+    note, as far as there are any; drafts of diffs outside the patch are dropped.
+    """
+    rows = G.with_fallback_candidates(diagnoses, hits, k)
+    flag, parts = F.lit(False), [G.render()]
+    if consensus is not None:
+        votes = consensus.select(F.col("bug_id").alias("run_id"), F.col("summary").alias("_summary"), F.col("force_human_review").alias("_force"))
+        rows = rows.join(votes, "run_id", "left")
+        flag = F.coalesce("_force", F.lit(False))
+        parts.append(F.concat(F.lit("\n\n## Specialists\n"), F.col("_summary")))
+    if notes is not None:
+        blocks = C.render_notes(notes).withColumnRenamed("bug_id", "run_id").groupBy("run_id")
+        rows = rows.join(blocks.agg(F.array_sort(F.collect_list(F.struct("layer", "text"))).alias("_notes")), "run_id", "left")  # one per layer
+        parts.append(F.array_join(F.transform("_notes", lambda n: n["text"]), ""))
+    text = F.concat(*[F.coalesce(part, F.lit("")) for part in parts])
+    report = V.drop_drafts_udf(text, F.lit(None).cast("string"))["text"]
+    if patches is not None:
+        rows = rows.join(patches.select(F.col("bug_id").alias("run_id"), F.col("patch").alias("_patch"), F.col("note").alias("_note")), "run_id", "left")
+        warning = F.when(F.col("_note") != "", F.concat(F.lit("\n\n> "), F.col("_note"))).otherwise("")
+        report = F.concat(report, F.coalesce(F.concat(F.lit("\n\n## Patch\n"), F.col("_patch"), warning), F.lit("")))
+        flag = flag | F.coalesce(F.col("_note") != "", F.lit(False))
+    return rows.select("run_id", report.alias("report"), G.needs_review(flag).alias("review"), "candidates", "fallback")

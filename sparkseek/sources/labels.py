@@ -15,16 +15,19 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(LABEL_SCHEMA).json(path).where(F.col("id").isNotNull())
 
 
+def read_answers(spark: SparkSession, path: str) -> DataFrame:
+    """JSON lines with the recorded answer of each bug: id, answer."""
+    return spark.read.schema("id string, answer string").json(path).where(F.col("id").isNotNull())
+
+
 def gold(labels: DataFrame, column: str = "gold_files") -> DataFrame:
     """query_id, path: gold files of each bug."""
     return labels.select(F.col("id").alias("query_id"), F.explode(column).alias("path"))
 
 
-def read_logs(spark: SparkSession, path: str, max_chars: int = 50_000) -> DataFrame:
-    """path, log: whole log files, each cut to `max_chars` characters as the reports take them."""
-    return spark.read.text(path, wholetext=True).select(
-        F.input_file_name().alias("path"), F.substring("value", 1, max_chars).alias("log")
-    )
+def read_logs(spark: SparkSession, path: str) -> DataFrame:
+    """path, log: whole log files."""
+    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("log"))
 
 
 def write_results(rows: DataFrame, summary: DataFrame, folder: str) -> None:

@@ -19,13 +19,12 @@ def load_folder(folder: str | Path, extra=()) -> list[str]:
 
 
 def pack_notes(folder: str | Path, packs) -> str:
-    """Text of the named context packs; a note whose first 80 characters were seen before is left out."""
+    """Text of the named context packs; a note that was seen before is left out."""
     names = {name: parts for name, *_, parts in fv.CONTEXT_PACKS}
     files = sorted(Path(folder).glob("*.md")) if Path(folder).is_dir() else []
-    chosen: dict[str, str] = {}
+    chosen: dict[str, None] = {}
     for pack in packs:
         for file in files:
             if any(part in file.name.lower() for part in names[pack]):
-                text = file.read_text(encoding="utf-8")
-                chosen.setdefault(text[:80], text)
-    return "\n\n".join(chosen.values())
+                chosen[file.read_text(encoding="utf-8")] = None
+    return "\n\n".join(chosen)

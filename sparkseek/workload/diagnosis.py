@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
@@ -146,3 +147,54 @@ def debate_rounds(spark, sf_dir):
     committed = seats.groupBy("bug_id").agg(F.min("layer").alias("committed_layer"))
     _, consensus = L.debate(seats, committed, recorded)
     return consensus.select("bug_id", F.col("total").alias("seats"), "status", "rounds")
+
+
+@query("silent_voters", f"""WITH {D.TREE_SQL},
+seat AS (SELECT DISTINCT source AS bug_id, {D.sql_layer('path')} AS layer FROM tree),
+vote AS (SELECT bug_id, layer, CASE WHEN CAST(substr(bug_id, 4) AS INT) % 4 = 0 OR layer = 'native' THEN 'ABSTAIN'
+  WHEN CAST(substr(bug_id, 4) AS INT) % 4 = 1 THEN 'DISAGREE' ELSE 'AGREE' END AS v FROM seat)
+SELECT bug_id, count(*) FILTER (WHERE v = 'AGREE') AS agree, count(*) FILTER (WHERE v = 'DISAGREE') AS disagree,
+  count(*) FILTER (WHERE v = 'ABSTAIN') AS abstain,
+  CASE WHEN bool_or(v = 'AGREE') THEN 'agree' WHEN bool_or(v = 'DISAGREE') THEN 'reject' ELSE 'weak' END AS status,
+  CASE WHEN bool_or(v = 'AGREE') THEN 1 ELSE 2 END AS rounds FROM vote GROUP BY bug_id""")
+def silent_voters(spark, sf_dir):
+    """Specialist rounds where one bug in four gets no answer, and the others none from the native seat."""
+    tree = D.source_tree(spark, sf_dir)
+    seats = written(tree.select(F.col("source").alias("bug_id"), P.guess_layer("path").alias("layer")).distinct(), "seats")
+    kind = F.regexp_extract("bug_id", r"(\d+)", 1).cast("int") % 4
+
+    def recorded(wanted):
+        says = F.when(kind == 1, "DISAGREE").otherwise("AGREE")
+        raw = F.format_string('{"verdict": "%s", "owns_layer": true, "confidence": 0.8}', says).alias("raw")
+        return wanted.where((kind != 0) & (F.col("layer") != "native")).select("bug_id", "layer", raw)
+
+    committed = seats.groupBy("bug_id").agg(F.min("layer").alias("committed_layer"))
+    _, consensus = L.debate(seats, committed, recorded)
+    return consensus.select("bug_id", "agree", "disagree", "abstain", "status", "rounds")
+
+
+# Every second run has no candidates left and falls back on the files of its messages, in the order of the turns.
+_FINAL_SQL = f"""{_COMMIT_SQL},
+seen AS (SELECT run_id, string_agg(rank || '. ' || path || ' [' || {D.sql_layer('path')} || '] — retriever-ranked (score=' || printf('%.3f', 1.0 / rank) || ')', chr(10) ORDER BY rank) AS listed
+  FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY turn) AS rank FROM messages) WHERE rank <= 3 GROUP BY run_id)"""
+
+
+@query("final_reports", f"""WITH {_FINAL_SQL}
+SELECT run_id, run_id % 2 = 0 AS fallback, md5('## Candidate files (ranked)' || chr(10)
+  || CASE WHEN run_id % 2 = 0 THEN listed ELSE '1. ' || path || ' [' || {D.sql_layer('path')} || '] — seen' END || chr(10) || chr(10) || '## Root cause' || chr(10)
+  || 'cause ' || run_id || chr(10) || chr(10) || '_Committed facts — symbols: ' || word || '._' || CASE WHEN problems = 0 THEN '' ELSE chr(10) || chr(10) || '> ⚠ Diagnosis grounding problems: '
+  || array_to_string(list_filter([CASE WHEN committed THEN NULL WHEN claim <> '' THEN 'target file ''' || claim || ''' is not in the evidence — not grounded' ELSE 'no target file proposed' END,
+    CASE WHEN odd THEN 'symbol ''NotThereManager'' not found in evidence — dropped' END], lambda x: x IS NOT NULL), '; ') END
+  || CASE WHEN run_id % 3 = 1 THEN chr(10) || chr(10) || '## Patch' || chr(10) || 'patch ' || run_id || chr(10) || chr(10) || '> not verified' ELSE '' END) AS digest
+FROM judged JOIN seen USING (run_id)""")
+def final_reports(spark, sf_dir):
+    """Finished reports: diagnosis with fallback candidates, and a patch for one run in three."""
+    msgs = written(messages(spark, sf_dir), "messages")
+    dx = G.commit(proposals(spark, sf_dir, msgs), msgs, G.evidence_paths(msgs))
+    none = F.array().cast(G.CANDIDATES)
+    dx = dx.withColumn("candidates", F.when(F.col("run_id") % 2 == 0, none).otherwise(F.col("candidates")))
+    rank = F.row_number().over(Window.partitionBy("run_id").orderBy("turn"))
+    hits = msgs.select("run_id", "path", rank.alias("rank")).withColumn("score", 1.0 / F.col("rank")).withColumn("layer", P.guess_layer("path"))
+    wanted = dx.where("run_id % 3 = 1").select(F.col("run_id").alias("bug_id"))
+    patches = wanted.select("bug_id", F.concat(F.lit("patch "), F.col("bug_id").cast("string")).alias("patch"), F.lit("not verified").alias("note"))
+    return L.finalise(dx, hits, patches=patches, k=3).select("run_id", "fallback", F.md5("report").alias("digest"))

@@ -122,7 +122,7 @@ def test_commit(spark):
         (2, "no json"), (3, raw(file="vendor/p.java", symbols=["go"]))], "run_id int, raw string")
     dx = {r.run_id: r for r in G.commit(answers, messages, paths).collect()}
     assert dx[1].file == "src/car/A.java" and dx[1].symbols == ["setSpeed"] and dx[1].property_ids == ["saw"] and dx[1].confidence == "medium"
-    assert [c.path for c in dx[1].candidates] == ["src/car/A.java", "lib/x/Only.cpp"] and len(dx[1].candidates[1].why) == 200
+    assert [c.path for c in dx[1].candidates] == ["src/car/A.java", "lib/x/Only.cpp"] and len(dx[1].candidates[1].why) == 300
     assert dx[1].grounding_problems == ["symbol 'ghost' not found in evidence — dropped"] and dx[1].root_cause == "c"
     assert (dx[2].committed, dx[2].confidence, dx[2].grounding_problems) == (False, "low", ["no target file proposed"])
     assert (dx[3].confidence, dx[3].layer) == ("high", "customer")
@@ -167,6 +167,26 @@ def test_patch_loop(spark):
     assert verified[1] == "" and "style NOT enforced" in verified[2]
 
 
+def test_silent_backends_lose_no_bug(spark):
+    seats = spark.createDataFrame([(1, "vhal"), (1, "hmi"), (2, "vhal")], "bug_id int, layer string")
+    committed = spark.createDataFrame([(1, "vhal"), (2, "vhal")], "bug_id int, committed_layer string")
+    voter = lambda wanted: wanted.where("bug_id = 1 AND layer = 'vhal'").select("bug_id", "layer", F.lit('{"verdict": "AGREE", "owns_layer": true}').alias("raw"))
+    _, consensus = L.debate(seats, committed, voter)
+    assert {r.bug_id: (r.status, r.abstain) for r in consensus.collect()} == {1: ("agree", 1), 2: ("weak", 1)}
+    targets = spark.createDataFrame([(1, "a.py", "x", []), (2, "b.py", "x\n" * 20_000 + "y", ["x"])], "bug_id int, path string, text string, symbols array<string>")
+    far = "--- a/f\n+++ b/f\n@@ -20001 +20001 @@\n-y\n+z"
+    patched = L.patch_loop(targets, lambda wanted: wanted.where("bug_id = 2").select("bug_id", F.lit(far).alias("answer")))
+    notes = {r.bug_id: r.note for r in patched.collect()}
+    assert "no answer came" in notes[1] and "no parser" in notes[2]  # the whole file is patched, not the part that was shown
+
+
+def test_catalog_keys_count_at_any_depth():
+    from sparkseek.operators.chunking import looks_like_catalog
+    filler = {f"k{i}": "x" * 50 for i in range(200)}
+    assert looks_like_catalog({**filler, "z": {"y": [{"datatype": "int"}]}})
+    assert not looks_like_catalog({**filler, "z": "datatype"}) and not looks_like_catalog([1])
+
+
 def test_evaluation(spark):
     ranked = spark.createDataFrame([(1, 1, "x/a.java"), (1, 2, "./B/c.java"), (2, 6, "d.c"), (3, 1, "xa.java")], "query_id int, rank int, path string")
     gold = spark.createDataFrame([(1, "c.java"), (2, "d.c"), (3, "a.java")], "query_id int, path string")
