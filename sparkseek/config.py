@@ -66,11 +66,12 @@ class Loop:
 
 @dataclass(frozen=True)
 class Limits:
-    """Upper bounds on what may be sent to every task at once; larger inputs take the shuffled or sliced way."""
+    """Upper bounds on what may be sent to every task at once; larger tables are shuffled, larger batches of queries go in blocks."""
 
     broadcast_rows: int = 200_000
     broadcast_bytes: int = 64 << 20
     queries_per_slice: int = 1024
+    weights_per_block: int = 200_000
 
 
 @dataclass(frozen=True)

@@ -110,16 +110,17 @@ def _has_segment(path, segments) -> Column:
     return F.arrays_overlap(F.split(lowered(path), "/"), F.array(*[F.lit(s) for s in segments]))
 
 
-def should_index(path, size_bytes, mode: str = "base", content=None) -> Column:
-    """Whether a file goes into the index. Paths are taken relative to the scanned root."""
+def should_index(path, size_bytes, mode: str = "base", content=None, max_bytes: int | None = None) -> Column:
+    """Whether a file goes into the index. Paths are taken relative to the scanned root; `max_bytes`, if given, bounds the size."""
     if mode not in ("base", "customer"):
         raise ValueError(f"unknown index mode {mode!r}")
     keep = (
         suffix(path).isin(*fv.CODE_SUFFIXES)
         & ~is_legacy_path(path, content)
-        & (_col(size_bytes) <= fv.MAX_FILE_BYTES)
         & ~_has_segment(path, fv.BASE_EXCLUDED_SEGMENTS if mode == "base" else fv.CUSTOMER_EXCLUDED_SEGMENTS)
     )
+    if max_bytes is not None:
+        keep = keep & (_col(size_bytes) <= max_bytes)
     if mode == "base":
         keep = keep & ~path_matches(path, fv.BASE_EXCLUDED_PARTS, fv.BASE_EXCLUDED_ENDINGS)
     return keep

@@ -80,9 +80,11 @@ def snippet(content, chars: int) -> Column:
     return F.translate(F.substring(F.coalesce(_col(content), F.lit("")), 1, chars), "\n", " ")
 
 
-def cut(text, chars: int, marker: str = "") -> Column:
-    """The first `chars` characters, with a marker when something was left out."""
+def cut(text, chars: int | None, marker: str = "") -> Column:
+    """The first `chars` characters, with a marker when something was left out; the whole text without a number."""
     t = _col(text)
+    if chars is None:
+        return t
     return F.when(F.length(t) > chars, F.concat(F.substring(t, 1, chars), F.lit(marker))).otherwise(t)
 
 

@@ -72,3 +72,22 @@ def hashing_embedder(dim: int = 64):
         return pd.Series([hashing_vector(t, dim) for t in texts], index=texts.index)
 
     return embed
+
+
+def term_embedder(dim: int = 64):
+    """The same vectors from counted terms (two array columns, terms and their counts): no text is read and each distinct
+    term of a batch is hashed once."""
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def embed(terms: pd.Series, counts: pd.Series) -> pd.Series:
+        lists = [t if t is not None else () for t in terms]
+        row = np.repeat(np.arange(len(lists)), [len(t) for t in lists])
+        total = np.zeros(len(lists) * dim)
+        if len(row):
+            code, distinct = pd.factorize(np.concatenate([np.asarray(t, dtype=object) for t in lists if len(t)]))
+            slot, sign = np.array([_slot(t, dim) for t in distinct]).T
+            weight = sign[code] * np.concatenate([c for c in counts if c is not None and len(c)])
+            total = np.bincount(row * dim + slot[code].astype(np.int64), weight, len(lists) * dim)
+        return pd.Series(list(total.reshape(len(lists), dim)), index=terms.index)
+
+    return embed

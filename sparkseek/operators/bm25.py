@@ -5,28 +5,31 @@ Scale notes
   shuffle.
 * Counted documents and the vocabulary are written once; every later step reads those tables. The vocabulary shuffle
   carries one pre-aggregated row per (store, term) and task.
-* A bounded batch of queries is scored where the documents are: a task sums the weights of its own documents and keeps
-  its best k per query and store. Neither postings nor (query, document) pairs are shuffled, and a word that occurs in
-  most documents costs no more than any other.
-* A batch beyond that bound goes through shuffled joins on the term, whose skew AQE splits.
+* Queries come in blocks of bounded size, a batch of any size in one pass over the documents: a task looks up the terms
+  of a batch of rows at once, sums the weights of its own documents and keeps its best k per query and store. Neither
+  postings nor (query, document) pairs are shuffled, and a word that occurs in most documents costs no more than any other.
 """
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..config import Bm25, Limits
 from ..functions import text as X
 from ..functions.paths import bound
 from ..sizes import fits, small_side
 from ..workspace import written
-from .topk import BLOCK_ROWS, RunningBest, leading
+from .topk import BLOCK_ROWS, RunningBest, leading, query_blocks
+
+# Pairs of posting and query that a task expands at a time.
+ENTRIES = 2_000_000
 
 
 def term_counts(tokens: Column) -> Column:
@@ -97,90 +100,87 @@ def term_weights(idf: DataFrame, queries: DataFrame, small: bool) -> DataFrame:
     )
 
 
-def _scores_in_place(docs: DataFrame, weights: DataFrame, stats: DataFrame, k: int, keys: list[str], params: Bm25) -> DataFrame:
-    """Best k candidates per query, store and task, scored where the documents are. For a bounded batch only."""
-    rows = weights.collect()  # bounded by the size of the batch
-    ids = np.array(sorted({r["query_id"] for r in rows}), dtype=object)
-    number = {q: i for i, q in enumerate(ids)}
+def _tables(rows: list) -> dict:
+    """Per store, the terms that some query of a block asks for, and for each its queries and weights."""
     by_store: dict = {}
     for r in rows:
-        by_store.setdefault(r["store"], {}).setdefault(r["term"], []).append((number[r["query_id"]], r["w"]))
+        by_store.setdefault(r["store"], {}).setdefault(r["term"], []).append((r["query_id"], r["w"]))
     tables = {}
     for store, terms in by_store.items():
+        ids = sorted({q for entries in terms.values() for q, _ in entries})
+        number = {q: i for i, q in enumerate(ids)}
         entries = list(terms.values())
         tables[store] = (
-            {t: i for i, t in enumerate(terms)},
+            np.array(ids, dtype=object),
+            pa.array(terms, pa.string()),
             np.cumsum([0] + [len(e) for e in entries]),
-            np.array([q for e in entries for q, _ in e], dtype=np.int64),
+            np.array([number[q] for e in entries for q, _ in e], dtype=np.int64),
             np.array([w for e in entries for _, w in e]),
         )
-    shared = docs.sparkSession.sparkContext.broadcast((ids, tables, {r["store"]: r["avgdl"] for r in stats.collect()}))
-    schema = T.StructType(
-        [weights.schema["query_id"]] + [docs.schema[c] for c in ["store", *keys]] + [T.StructField("score", T.DoubleType())]
-    )
+    return tables
+
+
+def _scored(docs: DataFrame, blocks: list[Broadcast], stats: DataFrame, id_field: T.StructField, k: int, keys: list[str], params: Bm25) -> DataFrame:
+    """Best k candidates per query, store and task, scored where the documents are, in one pass for all blocks of queries."""
+    lengths = {r["store"]: r["avgdl"] for r in stats.collect()}  # one row per store
+    schema = T.StructType([id_field] + [docs.schema[c] for c in ["store", *keys]] + [T.StructField("score", T.DoubleType())])
     k1, b = params.k1, params.b
 
-    def score_block(block: pd.DataFrame, table, avgdl: float, n_queries: int) -> np.ndarray:
-        vocabulary, bounds, query_no, weight = table
-        counts = np.array([len(t) for t in block["_terms"]])
-        doc = np.repeat(np.arange(len(block)), counts)
-        term = np.array([vocabulary.get(t, -1) for terms in block["_terms"] for t in terms], dtype=np.int64)
-        known = term >= 0
-        doc, term = doc[known], term[known]
-        tf = np.concatenate([np.asarray(x, dtype=np.float64) for x in block["_tfs"]])[known]
-        norm = k1 * ((1 - b) + b * block["dl"].to_numpy(dtype=np.float64) / avgdl)
+    def score(doc, term, tf, norm, table, n_docs) -> np.ndarray:
+        """Scores of some documents for all queries of a table; one entry per posting and query that asks for its term."""
+        ids, _, bounds, query_no, weight = table
         gain = tf * (k1 + 1) / (tf + norm[doc])
-        # One entry per posting and query that asks for its term, summed per document and query.
         width = bounds[term + 1] - bounds[term]
-        first = np.repeat(bounds[term] - np.concatenate([[0], np.cumsum(width)[:-1]]), width)
-        entry = np.arange(width.sum()) + first
-        cell = np.repeat(doc * n_queries, width) + query_no[entry]
-        total = np.bincount(cell, np.repeat(gain, width) * weight[entry], len(block) * n_queries)
-        return np.round(total, 9).reshape(len(block), n_queries)
+        entry = np.arange(width.sum()) + np.repeat(bounds[term] - np.concatenate([[0], np.cumsum(width)[:-1]]), width)
+        cell = np.repeat(doc * len(ids), width) + query_no[entry]
+        total = np.bincount(cell, np.repeat(gain, width) * weight[entry], n_docs * len(ids))
+        return np.round(total, 9).reshape(n_docs, len(ids))
+
+    def pieces(doc, width, n_docs):
+        """Runs of documents with a bounded number of entries each."""
+        per_doc = np.bincount(doc, width, n_docs)
+        start = size = 0
+        for i, own in enumerate(per_doc):
+            if i > start and (size + own > ENTRIES or i - start >= BLOCK_ROWS):
+                yield start, i
+                start, size = i, 0
+            size += own
+        yield start, n_docs
 
     def scan(batches):
-        names, tables, avgdl = shared.value
-        best = RunningBest(k, ["q", "store"], keys)
+        best = RunningBest(k, ["query_id", "store"], keys)
         for batch in batches:
-            for store, frame in batch.groupby("store", sort=False):
-                if store not in tables:
-                    continue
-                frame = frame.sort_values(keys)
-                for at in range(0, len(frame), BLOCK_ROWS):
-                    block = frame.iloc[at:at + BLOCK_ROWS]
-                    scores = score_block(block, tables[store], avgdl[store], len(names))
-                    row, col = leading(scores, k)
-                    positive = scores[row, col] > 0
-                    row, col = row[positive], col[positive]
-                    part = block[["store", *keys]].iloc[row].reset_index(drop=True)
-                    part["q"], part["score"] = col, scores[row, col]
-                    best.add(part)
+            frame = pa.Table.from_batches([batch]).sort_by([(key, "ascending") for key in keys])
+            terms, tfs = frame.column("_terms").combine_chunks(), frame.column("_tfs").combine_chunks()
+            doc_of = pc.list_parent_indices(terms).to_numpy()
+            flat, tf_of = terms.flatten(), tfs.flatten().to_numpy().astype(np.float64)
+            stores = frame.column("store").to_numpy(zero_copy_only=False)
+            dl = frame.column("dl").to_numpy().astype(np.float64)
+            names = frame.select(["store", *keys]).to_pandas()
+            for block in blocks:
+                for store, table in block.value.items():
+                    number = pc.fill_null(pc.index_in(flat, value_set=table[1]), -1).to_numpy()
+                    wanted = np.flatnonzero((number >= 0) & (stores[doc_of] == store))
+                    doc, term, tf = doc_of[wanted], number[wanted].astype(np.int64), tf_of[wanted]
+                    rows, doc = np.unique(doc, return_inverse=True)
+                    if not len(rows):
+                        continue
+                    norm = k1 * ((1 - b) + b * dl[rows] / lengths[store])
+                    for start, end in pieces(doc, (table[2][term + 1] - table[2][term]).astype(np.float64), len(rows)):
+                        here = (doc >= start) & (doc < end)
+                        scores = score(doc[here] - start, term[here], tf[here], norm[start:end], table, end - start)
+                        row, col = leading(scores, k)
+                        positive = scores[row, col] > 0
+                        row, col = row[positive], col[positive]
+                        part = names.iloc[rows[start + row]].reset_index(drop=True)
+                        part["query_id"], part["score"] = table[0][col], scores[row, col]
+                        best.add(part)
         result = best.result()
         if result is not None:
-            result.insert(0, "query_id", names[result["q"].to_numpy()])
-            yield result[["query_id", "store", *keys, "score"]]
+            yield from pa.Table.from_pandas(result[["query_id", "store", *keys, "score"]], to_arrow_schema(schema), preserve_index=False).to_batches()
 
     columns = ["store", *keys, "dl", F.col("terms.term").alias("_terms"), F.col("terms.tf").alias("_tfs")]
-    return docs.where(F.size("terms") > 0).select(*columns).mapInPandas(scan, schema)
-
-
-def _scores_by_join(docs: DataFrame, weights: DataFrame, stats: DataFrame, keys: list[str], params: Bm25) -> DataFrame:
-    """All positive scores through joins on the term, for a batch of any size."""
-    k1, b = params.k1, params.b
-    norm = F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / F.col("avgdl"))
-    gains = (
-        docs.select("store", *keys, "dl", F.explode("terms").alias("p"))
-        .select("store", *keys, "dl", "p.term", "p.tf")
-        .join(weights.select("term").distinct(), "term", "left_semi")
-        .join(F.broadcast(stats.select("store", "avgdl")), "store")  # one row per store
-        .select("store", *keys, "term", (F.col("tf") * F.lit(k1 + 1) / (F.col("tf") + norm)).alias("gain"))
-    )
-    return (
-        gains.join(weights, ["store", "term"])
-        .groupBy("store", *keys, "query_id")
-        .agg(F.round(F.sum(F.col("w") * F.col("gain")), 9).alias("score"))
-        .where("score > 0")
-    )
+    return docs.where(F.size("terms") > 0).select(*columns).mapInArrow(scan, schema)
 
 
 def top_k(
@@ -197,12 +197,10 @@ def top_k(
 
     `docs` are counted documents. Scores have nine decimals; equal scores stay in key order.
     """
-    small = fits(queries, replace(limits, broadcast_rows=limits.queries_per_slice, broadcast_bytes=limits.broadcast_bytes // 8))
-    weights = term_weights(idf, queries, small)
-    if small:
-        scored = _scores_in_place(docs, weights, stats, k, keys, params)
-    else:
-        scored = _scores_by_join(docs, written(weights, "bm25-weights"), stats, keys, params)
+    weights = written(term_weights(idf, queries, fits(queries, limits)), "bm25-weights")
+    spark = docs.sparkSession
+    blocks = [spark.sparkContext.broadcast(_tables(rows)) for rows in query_blocks(weights, limits.weights_per_block, "query_id")]
+    scored = _scored(docs, blocks, stats, weights.schema["query_id"], k, keys, params)
     w = Window.partitionBy("query_id", "store").orderBy(F.desc("score"), *keys)
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

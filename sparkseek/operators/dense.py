@@ -1,21 +1,20 @@
 """Exact k-nearest neighbours by cosine for a batch of query vectors.
 
 Each task multiplies its own vectors with the query matrix and keeps its best k per query and store, so no pair of
-query and vector is ever a row and only k rows per query, store and task are shuffled. A batch of queries larger than
-one slice is answered slice by slice, which bounds what is sent to the tasks.
+query and vector is ever a row and only k rows per query, store and task are shuffled. Queries come in blocks of bounded
+size, and a batch of any size in one pass over the vectors.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import Limits
-from .topk import BLOCK_ROWS, RunningBest, leading
+from .topk import BLOCK_ROWS, RunningBest, leading, query_blocks
 
 
 def _unit_rows(vectors) -> np.ndarray:
@@ -25,43 +24,27 @@ def _unit_rows(vectors) -> np.ndarray:
     return matrix / norms[:, None]
 
 
-def _slices(queries: DataFrame, limits: Limits):
-    """The batch in pieces of bounded size, each as a list of rows."""
-    size = limits.queries_per_slice
-    head = queries.limit(size + 1).collect()
-    if len(head) <= size:
-        if head:
-            yield head
-        return
-    # Hash slices vary around their mean; half-filled ones stay below the bound.
-    parts = -(-2 * queries.count() // size)
-    for i in range(parts):
-        piece = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i).collect()
-        if piece:
-            yield piece
-
-
-def _candidates(vectors: DataFrame, rows: list, id_field: T.StructField, k: int, keys: list[str]) -> DataFrame:
-    ids = np.array([r["query_id"] for r in rows], dtype=object)
-    units = _unit_rows([r["embedding"] for r in rows]).T if rows else np.zeros((0, 0))
-    matrix = vectors.sparkSession.sparkContext.broadcast(units)
+def _candidates(vectors: DataFrame, blocks: list[Broadcast], id_field: T.StructField, k: int, keys: list[str]) -> DataFrame:
+    """Best k per query, store and task, in one pass over the vectors for all blocks of queries (ids, matrix)."""
     schema = T.StructType([id_field] + [vectors.schema[c] for c in ["store", *keys]] + [T.StructField("score", T.DoubleType())])
 
     def nearest(batches):
-        best = RunningBest(k, ["q", "store"], keys)
+        best = RunningBest(k, ["query_id", "store"], keys)
         for batch in batches:
             for store, frame in batch.groupby("store", sort=False):
                 frame = frame.sort_values(keys)
                 for at in range(0, len(frame), BLOCK_ROWS):
-                    block = frame.iloc[at:at + BLOCK_ROWS]
-                    sims = np.clip(np.round(_unit_rows(block["embedding"]) @ matrix.value, 9), 0.0, 1.0)
-                    row, col = leading(sims, k)
-                    part = block[["store", *keys]].iloc[row].reset_index(drop=True)
-                    part["q"], part["score"] = col, sims[row, col]
-                    best.add(part)
+                    rows = frame.iloc[at:at + BLOCK_ROWS]
+                    units = _unit_rows(rows["embedding"])
+                    for block in blocks:
+                        ids, matrix = block.value
+                        sims = np.clip(np.round(units @ matrix, 9), 0.0, 1.0)
+                        row, col = leading(sims, k)
+                        part = rows[["store", *keys]].iloc[row].reset_index(drop=True)
+                        part["query_id"], part["score"] = ids[col], sims[row, col]
+                        best.add(part)
         result = best.result()
         if result is not None:
-            result.insert(0, "query_id", ids[result["q"].to_numpy()])
             yield result[["query_id", "store", *keys, "score"]]
 
     return vectors.select("store", *keys, "embedding").mapInPandas(nearest, schema)
@@ -75,9 +58,11 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, keys: list[str], limit
     """
     queries = queries.select("query_id", "embedding")
     id_field = queries.schema["query_id"]
-    parts = [_candidates(vectors, rows, id_field, k, keys) for rows in _slices(queries, limits)]
-    if not parts:
-        parts = [_candidates(vectors.limit(0), [], id_field, k, keys)]
+    send = vectors.sparkSession.sparkContext.broadcast
+    blocks = [
+        send((np.array([r["query_id"] for r in rows], dtype=object), _unit_rows([r["embedding"] for r in rows]).T))
+        for rows in query_blocks(queries, limits.queries_per_slice, "query_id")
+    ]
+    found = _candidates(vectors, blocks, id_field, k, keys)
     w = Window.partitionBy("query_id", "store").orderBy(F.desc("score"), *keys)
-    found = reduce(DataFrame.unionByName, parts)
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

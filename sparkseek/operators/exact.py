@@ -6,8 +6,9 @@ result order; the first k files of a query are always among the first k files of
 
 from __future__ import annotations
 
-from functools import reduce
+import uuid
 
+import ahocorasick
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,22 +17,21 @@ from ..config import Limits
 from ..functions import paths as P
 from ..functions import text as X
 from ..sizes import fits, small_side
-from .topk import RunningBest
-
-try:
-    import ahocorasick
-except ImportError:  # pure-Python matching below
-    ahocorasick = None
-
-
-def _matcher(patterns: list[str]):
-    """text -> set of numbers of the patterns it holds."""
-    if ahocorasick is None:
-        return lambda text: {i for i, p in enumerate(patterns) if p in text}
-    machine = ahocorasick.Automaton()
-    for i, pattern in enumerate(patterns):
-        machine.add_word(pattern, i)
-    machine.make_automaton()
+from .topk import RunningBest, query_blocks
+
+_MACHINES: dict = {}
+
+
+def _matcher(key, patterns: list[str]):
+    """text -> set of numbers of the patterns it holds. A worker keeps the automata of a few blocks."""
+    if key not in _MACHINES:
+        if len(_MACHINES) > 3:
+            _MACHINES.clear()
+        machine = _MACHINES[key] = ahocorasick.Automaton()
+        for i, pattern in enumerate(patterns):
+            machine.add_word(pattern, i)
+        machine.make_automaton()
+    machine = _MACHINES[key]
     return lambda text: {i for _, i in machine.iter(text)}
 
 
@@ -40,49 +40,37 @@ def matches(texts: DataFrame, patterns: DataFrame, keys: list[str], text: str, k
     """pattern, keys: one row per text and pattern it holds as a substring, compared as written.
 
     `patterns` has one column `pattern` without repeats. With `keep`, a task emits only its first `keep` rows per
-    pattern in key order. Patterns beyond one slice are matched slice by slice.
+    pattern in key order. Patterns come in blocks, all in one pass over the texts.
     """
     schema = T.StructType([T.StructField("pattern", T.StringType())] + [texts.schema[c] for c in keys])
 
-    def one_slice(words: list[str]) -> DataFrame:
-        shared = texts.sparkSession.sparkContext.broadcast(words)
-
-        def scan(batches):
-            found_in = _matcher(shared.value) if shared.value else None
-            best = RunningBest(keep, ["pattern"], keys) if keep is not None else None
-            for batch in batches:
-                if found_in is None:
-                    continue
+    send = texts.sparkSession.sparkContext.broadcast
+    blocks = [
+        (uuid.uuid4().hex, send(sorted(r["pattern"] for r in rows)))
+        for rows in query_blocks(patterns, limits.queries_per_slice * 16, "pattern")
+    ]
+
+    def scan(batches):
+        best = RunningBest(keep, ["pattern"], keys) if keep is not None else None
+        for batch in batches:
+            for key, block in blocks:
+                words = block.value
+                found_in = _matcher(key, words)
                 hits = [(row, i) for row, t in enumerate(batch[text]) if t for i in found_in(t)]
                 if not hits:
                     continue
                 rows, numbers = zip(*hits)
                 found = batch[keys].iloc[list(rows)].reset_index(drop=True)
-                found.insert(0, "pattern", [shared.value[i] for i in numbers])
+                found.insert(0, "pattern", [words[i] for i in numbers])
                 if best is None:
                     yield found
                 else:
                     best.add(found.assign(score=0.0))
-            result = best.result() if best is not None else None
-            if result is not None:
-                yield result[["pattern", *keys]]
-
-        return texts.select(*keys, text).mapInPandas(scan, schema)
-
-    return reduce(DataFrame.unionByName, [one_slice(words) for words in _slices(patterns, limits)])
-
-
-def _slices(patterns: DataFrame, limits: Limits):
-    """The patterns in sorted lists of bounded size."""
-    head = [r["pattern"] for r in patterns.limit(limits.queries_per_slice * 16 + 1).collect()]
-    if len(head) <= limits.queries_per_slice * 16 and sum(map(len, head)) <= limits.broadcast_bytes:
-        yield sorted(head)
-        return
-    n, size = patterns.agg(F.count("*"), F.sum(F.length("pattern"))).first()
-    # Hash slices vary around their mean; half-filled ones stay below the bound.
-    parts = 2 * max(-(-n // (limits.queries_per_slice * 16)), -(-size // limits.broadcast_bytes))
-    for i in range(parts):
-        yield sorted(r["pattern"] for r in patterns.where(F.pmod(F.xxhash64("pattern"), F.lit(parts)) == i).collect())
+        result = best.result() if best is not None else None
+        if result is not None:
+            yield result[["pattern", *keys]]
+
+    return texts.select(*keys, text).mapInPandas(scan, schema)
 
 
 def query_keywords(queries: DataFrame, max_keywords: int, query: str = "query") -> DataFrame:

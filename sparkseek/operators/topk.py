@@ -2,13 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 # Rows scored against the query block at a time; bounds the memory of one score block.
 BLOCK_ROWS = 1024
 
 
+def query_blocks(rows: DataFrame, size: int, key: str) -> Iterator[list]:
+    """The rows of a batch of queries in lists of about `size`, one at a time through the driver; rows of a key stay together."""
+    parts = -(-rows.count() // size)
+    for part in range(parts):
+        block = rows.where(F.pmod(F.xxhash64(key), F.lit(parts)) == part).collect()
+        if block:
+            yield block
+
+
 def leading(block: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, column) of the k largest values of each column; of equal values at the cut the first rows stay."""
     n = len(block)

@@ -22,14 +22,14 @@ CHUNK_COLUMNS = ("path", "idx", "chunk_id", "content", "content_len", "ext", "la
 def chunk_rows(files: DataFrame, settings: Settings = Settings(), embed=None, ast_ranges=None) -> DataFrame:
     """Chunk table rows of files (path, text): content, term counts and embedding side by side."""
     r = settings.retrieval
-    embed = embed or V.hashing_embedder(r.embed_dim)
+    vector = V.term_embedder(r.embed_dim)("terms.term", "terms.tf") if embed is None else embed(F.col("content"))
     chunks = chunk_files(files.select("path", "text"), r.chunk_size, r.chunk_overlap, ast_ranges=ast_ranges)
     return (
         chunks.withColumn("content_len", F.length("content"))
         .withColumn("_tokens", X.code_tokens("content"))
         .withColumn("dl", F.size("_tokens"))
         .withColumn("terms", bm25.term_counts(F.col("_tokens")))
-        .withColumn("embedding", embed(F.col("content")).cast("array<float>"))
+        .withColumn("embedding", vector.cast("array<float>"))
         .select(*CHUNK_COLUMNS)
     )
 

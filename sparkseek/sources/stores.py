@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import bm25
+from .shared_files import exists, open_fs
 
 _SAFE = re.compile(r"[A-Za-z0-9][A-Za-z0-9._-]*")
 
@@ -48,18 +49,8 @@ class Manifest:
 # -- small text files through Hadoop, so that any shared file system works ---------------------------------------
 
 
-def _fs(spark: SparkSession, path: str):
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    p, fs = _fs(spark, path)
-    return fs.exists(p)
-
-
 def read_text(spark: SparkSession, path: str) -> str | None:
-    p, fs = _fs(spark, path)
+    p, fs = open_fs(spark, path)
     if not fs.exists(p):
         return None
     stream = fs.open(p)
@@ -71,14 +62,17 @@ def read_text(spark: SparkSession, path: str) -> str | None:
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     """Write beside the target, then put in place."""
-    target, fs = _fs(spark, path)
+    target, fs = open_fs(spark, path)
     side = spark._jvm.org.apache.hadoop.fs.Path(path + ".new")
     out = fs.create(side, True)
     out.write(bytearray(text.encode("utf-8")))
     out.close()
-    if fs.exists(target):
-        fs.delete(target, False)
-    fs.rename(side, target)
+    # One step, so that readers see the old text or the new one at any time.
+    jvm, kind = spark._jvm, "Options$Rename"
+    rename = getattr(jvm.org.apache.hadoop.fs, kind)
+    how = spark.sparkContext._gateway.new_array(rename, 1)
+    how[0] = rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration()).rename(side, target, how)
 
 
 def read_manifest(spark: SparkSession, folder: str) -> Manifest | None:

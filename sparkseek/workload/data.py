@@ -103,7 +103,7 @@ def sql_should_index(path: str, size: str, mode: str) -> str:
     segments = fv.BASE_EXCLUDED_SEGMENTS if mode == "base" else fv.CUSTOMER_EXCLUDED_SEGMENTS
     test = (
         f"list_contains({sql_list(fv.CODE_SUFFIXES)}, {sql_suffix(path)}) AND NOT {sql_legacy(path)} "
-        f"AND {size} <= {fv.MAX_FILE_BYTES} AND NOT list_has_any(string_split({p}, '/'), {sql_list(segments)})"
+        f"AND {size} >= 0 AND NOT list_has_any(string_split({p}, '/'), {sql_list(segments)})"
     )
     if mode == "base":
         test += (

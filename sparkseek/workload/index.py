@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from ..plans import indexing
 from ..sources import changes as C
-from ..workspace import written
+from ..sources import stores as S
+from ..workspace import new_folder, written
 from . import data as D
 from .chunks import sql_windows
 from .registry import query
-from .retrieval import _CONTENT, search_over_tree, sql_indexed
+from .retrieval import _CONTENT, SETTINGS, search_over_tree, sql_indexed
 
 # Between the two states toxic files are removed, good ones get a line, unlabelled ones with an even number are new.
 _STATES_SQL = f"""{D.TREE_SQL},
@@ -74,3 +75,21 @@ def name_status_changes(spark, sf_dir):
         .when(kind == 2, F.concat(F.lit("D\t"), "path")).otherwise(F.concat(F.lit("R087\told/"), "path", F.lit("\t"), "path"))
     )
     return C.parse_name_status(D.source_tree(spark, sf_dir).select(line.alias("value")))
+
+
+@query("tenant_views", f"""WITH {sql_indexed()}, owned AS (SELECT c.store, c.path, doc_id FROM chunk c JOIN tree t ON t.store = c.store AND t.path = c.path)
+SELECT tenant, store, count(*) AS chunks, count(DISTINCT path) AS files
+FROM owned JOIN (VALUES ('oem-a', 0), ('oem-b', 1)) v(tenant, side) ON store = 'base' OR doc_id % 2 = side GROUP BY ALL""")
+def tenant_views(spark, sf_dir):
+    """What two customers see of one shared layer and a layer of their own each."""
+    provider = S.StoreProvider(spark, new_folder(spark, "tenants"), SETTINGS.retrieval.embed_model)
+    tree = D.source_tree(spark, sf_dir).select("doc_id", "path", "store", "size_bytes", "text")
+    tenants = [S.Tenant("oem-a"), S.Tenant("oem-b")]
+    indexing.build_store(tree.where("store = 'base'").drop("store", "doc_id"), provider.base_folder(tenants[0].version), "base", SETTINGS)
+    views = []
+    for side, tenant in enumerate(tenants):
+        own = tree.where(F.col("store") == "customer").where(F.col("doc_id") % 2 == side).drop("store", "doc_id")
+        indexing.build_store(own, provider.customer_folder(tenant), "customer", SETTINGS)
+        chunks = provider.open(tenant).table("chunks").groupBy("store", "path").agg(F.count("*").alias("n"))
+        views.append(chunks.groupBy("store").agg(F.sum("n").alias("chunks"), F.count("*").alias("files")).withColumn("tenant", F.lit(tenant.customer)))
+    return views[0].unionByName(views[1])

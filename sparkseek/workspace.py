@@ -2,7 +2,8 @@
 
 A result that several later steps read is written once as parquet and read back. That cuts lineage, survives lost
 executors, and gives the planner true sizes. The folder is the shared one named by `spark.checkpoint.dir`; only a
-local session without that setting gets a temporary folder.
+local session without that setting gets a temporary folder. Each application writes below a folder of its own and can
+clear it at its end.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .sources.shared_files import open_fs
+
 _LOCAL_ROOT: str | None = None
 
 
@@ -30,8 +33,18 @@ def shared_root(spark: SparkSession) -> str:
     return _LOCAL_ROOT
 
 
+def _own_root(spark: SparkSession) -> str:
+    return f"{shared_root(spark)}/{spark.sparkContext.applicationId}"
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{_own_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete what this application has written here. For its end: frames that read it can't be used any more."""
+    path, fs = open_fs(spark, _own_root(spark))
+    fs.delete(path, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

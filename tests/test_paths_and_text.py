@@ -51,7 +51,8 @@ def test_index_filter(spark):
     dropped = {f"src/{s}/A.java" for s in fv.CUSTOMER_EXCLUDED_SEGMENTS} | {"a/b.py"}
     assert kept == set(paths) - dropped
     sizes = spark.createDataFrame([("a/b.java", 400_000), ("a/b.java", 400_001)], "path string, n long")
-    assert [r[0] for r in sizes.orderBy("n").select(P.should_index("path", "n")).collect()] == [True, False]
+    assert [r[0] for r in sizes.orderBy("n").select(P.should_index("path", "n", max_bytes=400_000)).collect()] == [True, False]
+    assert sizes.where(P.should_index("path", "n")).count() == 2
     module = spark.createDataFrame([("a/Android.bp", "hidl_interface {}")], "path string, c string")
     assert module.select(P.should_index("path", F.lit(1), "base", "c")).first()[0] is False
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkseek import fixed_values as fv
 from sparkseek.config import Limits, Ranking, Settings
-from sparkseek.operators import bm25, dense, exact, fusion, priors, rerank
+from sparkseek.operators import bm25, dense, exact, fusion, priors, rerank, vector_index
 
 TOKENS = re.compile(fv.TOKEN_PATTERN)
 CORPUS = {
@@ -34,8 +34,8 @@ def okapi(corpus, query, k1=1.5, b=0.75, epsilon=0.25):
     return [(d, s) for s, d in ranked]
 
 
-@pytest.mark.parametrize("limits", [Limits(), Limits(queries_per_slice=1)])
-def test_bm25_equals_brute_force_in_place_and_by_join(spark, limits):
+@pytest.mark.parametrize("limits", [Limits(), Limits(weights_per_block=1)])
+def test_bm25_equals_brute_force_in_blocks(spark, limits):
     docs = spark.createDataFrame([("base", d, t) for d, t in CORPUS.items()], "store string, doc string, text string")
     queries = spark.createDataFrame(list(QUERIES.items()), "query_id int, query string")
     hits = bm25.search(docs, queries, 3, ["doc"], "text", limits=limits).collect()
@@ -85,10 +85,11 @@ def test_exact_matches(spark, limits):
         (1, "vendor/b.java", 1), (1, "vendor/c.kt", 2), (2, "vendor/b.java", 1), (2, "vendor/c.kt", 2)]
 
 
-def test_matches_without_the_automaton(spark, monkeypatch):
-    assert exact._matcher(["ab", "b"])("xaby") == {0, 1}
-    monkeypatch.setattr(exact, "ahocorasick", None)
-    assert exact._matcher(["ab", "b"])("xaby") == {0, 1}
+def test_matcher_keeps_few_automata():
+    assert exact._matcher("one", ["ab", "b"])("xaby") == {0, 1}
+    for key in range(9):
+        assert exact._matcher(key, ["a", str(key)])(f"-{key}") == {1}
+    assert len(exact._MACHINES) <= 4
 
 
 HIT = "query_id int, channel string, store string, path string, idx int, rank int, content_len int, layer string"
@@ -159,3 +160,17 @@ def test_plan_prunes_before_the_shuffle(spark):
     q = spark.createDataFrame([(1, [1.0])], "query_id int, embedding array<double>")
     plan = dense.top_k(v, q, 3, ["id"])._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan and "WindowGroupLimit" in plan
+
+
+def test_vector_index_recall(spark, tmp_path):
+    vectors = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select(F.lit("base").alias("store"), "vec_id", "embedding")
+    queries = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    centroids = vector_index.fit(vectors, ["vec_id"], lists=16, sample=1000)
+    vector_index.build(vectors, centroids, str(tmp_path / "index"))
+    index = spark.read.parquet(str(tmp_path / "index"))
+    assert index.count() == vectors.count()  # every row, not the sample
+    exact = {(r.query_id, r.vec_id) for r in dense.top_k(vectors, queries, 10, ["vec_id"]).collect()}
+    found = {(r.query_id, r.vec_id) for r in vector_index.top_k(index, centroids, queries, 10, ["vec_id"], probes=12).collect()}
+    assert len(exact & found) / len(exact) >= 0.9
+    everything = vector_index.top_k(index, centroids, queries, 10, ["vec_id"], probes=16, limits=Limits(queries_per_slice=7))
+    assert {(r.query_id, r.vec_id) for r in everything.collect()} == exact

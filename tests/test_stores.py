@@ -65,7 +65,7 @@ def test_refresh_equals_full_build(spark, tmp_path):
     build(spark, provider, twin, after)
     got, manifest = contents(spark, provider.customer_folder(tenant))
     assert got == contents(spark, provider.customer_folder(twin))[0]
-    assert manifest.count == 2 and manifest.git_sha == "s2" and manifest.scope == "automotive"
+    assert manifest.count == 3 and manifest.git_sha == "s2" and manifest.scope == "automotive"
 
 
 def test_stream_of_changes(spark, tmp_path):
@@ -96,11 +96,13 @@ def test_scan_tree(spark, tmp_path):
                        "vendor/m.bp": b"hidl_interface {}", "vendor/read.me": b"z"}.items():
         (root / path).parent.mkdir(parents=True, exist_ok=True)
         (root / path).write_bytes(data)
-    found = {r.path: r.text for r in files.scan_tree(spark, str(root), "customer").collect()}
+    found = {r.path: r.text for r in files.scan_tree(spark, str(root), "customer", max_bytes=400_000).collect()}
     assert found == {"vendor/A.java": "café  bad\nend", "tools/C.KT": "y"}
-    scoped = files.scan_tree(spark, str(root), "customer", ["vendor"])
+    assert len({r.path: r.text for r in files.scan_tree(spark, str(root), "customer").collect()}["vendor/big.c"]) == 400_001
+    scoped = files.scan_tree(spark, str(root), "customer", ["vendor", "vendor/out", "nowhere"], max_bytes=400_000)
     assert [r.path for r in scoped.collect()] == ["vendor/A.java"]
-    fallback = files.scan_tree(spark, str(root), "customer", ["nowhere"])
+    assert all("/tree/vendor/" in path for path in scoped.inputFiles())  # nothing else is listed
+    fallback = files.scan_tree(spark, str(root), "customer", ["nowhere"], max_bytes=400_000)
     assert fallback.count() == 2
 
 
