@@ -23,11 +23,16 @@ def pieces(batch: pa.RecordBatch, column: str, most_bytes: int) -> Iterator[pa.R
         yield batch.slice(start)
 
 
-def with_columns(df: DataFrame, text: str, added: str, function: Callable[[list], list[pa.Array]], most_bytes: int = 4 << 20) -> DataFrame:
-    """The frame with columns computed from one text column; `added` is their DDL, `function` maps a list of values to arrays."""
+def with_columns(df: DataFrame, text: str, added: str, prepare: Callable[[], Callable[[list], list[pa.Array]]], most_bytes: int = 4 << 20) -> DataFrame:
+    """The frame with columns computed from one text column; `added` is their DDL.
+
+    `prepare` is called once per task and gives the function that maps a list of values to arrays; what it keeps goes
+    with the task, as Python workers live on.
+    """
     new = StructType.fromDDL(added)
 
     def run(batches):
+        function = prepare()
         for batch in batches:
             for piece in pieces(batch, text, most_bytes):
                 arrays = function(piece.column(text).to_pylist())

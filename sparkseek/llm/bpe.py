@@ -17,7 +17,6 @@ from __future__ import annotations
 import base64
 import heapq
 import re
-import uuid
 from collections.abc import Callable
 from itertools import chain
 
@@ -32,8 +31,8 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 from ..shipping import ship
 from .arrow import with_columns
 
-#: Words that a Python worker remembers between blocks.
-REMEMBERED = 400_000
+#: Words, and pairs of tokens, that a task remembers between blocks.
+REMEMBERED = 150_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -63,7 +62,7 @@ class Replay:
     def _merge(self, words: list[bytes]) -> list[tuple[int, ...]]:
         if not words:
             return []
-        if len(self.known) > 1_000_000:
+        if len(self.known) > REMEMBERED:
             self.known.clear()
         known, ranks, token = self.known, self.ranks, self.token
         # All words lie in one row of symbols. after/before skip symbols that went into a merge; -1 ends a word.
@@ -163,30 +162,24 @@ def splitter(pattern: str) -> Callable[[str], list[str]]:
     return lambda text: full(text) if beyond(text) else quick(text)
 
 
-_WORKER: dict[str, tuple[Callable, Replay, dict[str, tuple[int, ...]]]] = {}
-
-
 def _encode(vocabulary: Broadcast, pattern: str):
-    key = uuid.uuid4().hex
-
-    def run(texts: list) -> list[pa.Array]:
-        if key not in _WORKER:
-            _WORKER.clear()
-            _WORKER[key] = splitter(pattern), Replay(vocabulary.value), {}
-        split, replay, ids_of = _WORKER[key]
-        if len(ids_of) > REMEMBERED:
-            ids_of.clear()
-        split_texts = [split(text) if text else [] for text in texts]
-        fresh = list(set(chain.from_iterable(split_texts)).difference(ids_of))
-        ids_of.update(zip(fresh, replay.encode([word.encode() for word in fresh]), strict=True))
-        offsets, values = [0], []
-        for words in split_texts:
-            ids = np.fromiter(chain.from_iterable(map(ids_of.__getitem__, words)), dtype=np.int32)
-            values.append(ids)
-            offsets.append(offsets[-1] + len(ids))
-        return [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(values) if values else [], pa.int32()))]
-
-    return run
+    def prepare():
+        split, replay = splitter(pattern), Replay(vocabulary.value)
+        ids_of: dict[str, tuple[int, ...]] = {}
+
+        def run(texts: list) -> list[pa.Array]:
+            if len(ids_of) > REMEMBERED:
+                ids_of.clear()
+            split_texts = [split(text) if text else [] for text in texts]
+            fresh = list(set(chain.from_iterable(split_texts)).difference(ids_of))
+            ids_of.update(zip(fresh, replay.encode([word.encode() for word in fresh]), strict=True))
+            values = [np.fromiter(chain.from_iterable(map(ids_of.__getitem__, words)), dtype=np.int32) for words in split_texts]
+            offsets = np.cumsum([0, *map(len, values)])
+            return [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(values) if values else [], pa.int32()))]
+
+        return run
+
+    return prepare
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:

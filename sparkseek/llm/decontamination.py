@@ -16,7 +16,6 @@ columns pass through. Texts are searched whole.
 from __future__ import annotations
 
 import re
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -97,44 +96,45 @@ def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str |
         yield block
 
 
-_COMPILED: dict[tuple[str, int], list[WuManber]] = {}
-
-
 def _search(blocks: list[Broadcast], window: int):
-    key = uuid.uuid4().hex
-
-    def run(texts: list) -> list[pa.Array]:
-        rows = [words(text) for text in texts]
-        spans: list[list] = [[] for _ in rows]
-        items: list[set] = [set() for _ in rows]
-        for place, block in enumerate(blocks):
-            ids = block.value
-            if (key, place) not in _COMPILED:
-                _COMPILED.clear()  # one block's tables at a time
-                _COMPILED[key, place] = compile_items(ids, window)
-            for table in _COMPILED[key, place]:
-                for row, own, found in zip(rows, spans, items, strict=True):
-                    for first, number in table.search(row):
-                        own.append((first, first + table.length))
-                        if ids[number][0] is not None:
-                            found.add(ids[number][0])
-        hits = []
-        for own in spans:
-            merged: list[dict] = []
-            for start, end in sorted(own):
-                if merged and start <= merged[-1]["end"]:
-                    merged[-1]["end"] = max(end, merged[-1]["end"])
-                else:
-                    merged.append({"start": start, "end": end})
-            hits.append(merged)
-        span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-        return [
-            pa.array([len(row) for row in rows], pa.int64()),
-            pa.array(hits, span),
-            pa.array([sorted(found) for found in items], pa.list_(pa.string())),
-        ]
-
-    return run
+    def prepare():
+        compiled: dict[int, list[WuManber]] = {}
+
+        def run(texts: list) -> list[pa.Array]:
+            rows = [words(text) for text in texts]
+            spans: list[list] = [[] for _ in rows]
+            items: list[set] = [set() for _ in rows]
+            for place, block in enumerate(blocks):
+                ids = block.value
+                if place not in compiled:
+                    compiled.clear()  # one block's tables at a time
+                    compiled[place] = compile_items(ids, window)
+                for table in compiled[place]:
+                    for row, own, found in zip(rows, spans, items, strict=True):
+                        for first, number in table.search(row):
+                            own.append((first, first + table.length))
+                            if ids[number][0] is not None:
+                                found.add(ids[number][0])
+            span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+            return [
+                pa.array([len(row) for row in rows], pa.int64()),
+                pa.array([_merged(own) for own in spans], span),
+                pa.array([sorted(found) for found in items], pa.list_(pa.string())),
+            ]
+
+        return run
+
+    return prepare
+
+
+def _merged(spans: list[tuple[int, int]]) -> list[dict]:
+    merged: list[dict] = []
+    for start, end in sorted(spans):
+        if merged and start <= merged[-1]["end"]:
+            merged[-1]["end"] = max(end, merged[-1]["end"])
+        else:
+            merged.append({"start": start, "end": end})
+    return merged
 
 
 def find_items(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES,

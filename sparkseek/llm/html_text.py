@@ -258,4 +258,5 @@ def _table(rows: list[list[list[str]]], lines: _Lines) -> None:
 def extract(pages: DataFrame, html: str = "html", text: str = "text") -> DataFrame:
     """The frame with the visible text of each page."""
     ship(pages.sparkSession)
-    return with_columns(pages, html, f"`{text}` string", lambda column: [pa.array([render(build(one)) if one else "" for one in column], pa.string())])
+    shown = lambda column: [pa.array([render(build(one)) if one else "" for one in column], pa.string())]
+    return with_columns(pages, html, f"`{text}` string", lambda: shown)

@@ -34,7 +34,7 @@ from .words import Words, members
 WINDOW = 13
 ANCHOR = 5
 #: Windows in one automaton.
-SHARD = 100_000
+SHARD = 64_000
 
 RESULT = "doc_id long, n_words long, n_removed long, kept string"
 

@@ -156,7 +156,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", added: str = "score
         with np.errstate(over="ignore"):
             return [pa.array(1 / (1 + np.exp(-np.array(z, dtype=np.float64))), pa.float64())]
 
-    return with_columns(docs, text, f"`{added}` double", run)
+    return with_columns(docs, text, f"`{added}` double", lambda: run)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -6,12 +6,17 @@ bytes; runs of words combine the mixed hashes of their words. Equal runs always
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import lru_cache
+
 import numpy as np
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
+#: Text bytes that are hashed at a time; the arrays for them take some 40 times as much.
+PIECE_BYTES = 1 << 20
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -23,27 +28,46 @@ def mixed(values: np.ndarray, salt: int = 0) -> np.ndarray:
     return values ^ (values >> np.uint64(31))
 
 
+@lru_cache(maxsize=4)
 def _powers(base: int, n: int) -> np.ndarray:
     steps = np.full(n, base, dtype=np.uint64)
     steps[:1] = 1
     return np.multiply.accumulate(steps)
 
 
+def _word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words, and the number of words of each text."""
+    data = np.frombuffer(b" " + b" ".join(texts) + b" ", dtype=np.uint8)
+    blank = _SPACE[data]
+    start = np.flatnonzero(blank[:-1] & ~blank[1:]) + 1
+    end = np.flatnonzero(~blank[:-1] & blank[1:]) + 1
+    size = max(2 * PIECE_BYTES, len(data))
+    sums = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, size)[: len(data)], out=sums[1:])
+    hashes = mixed((sums[end] - sums[start]) * _powers(_INVERSE, size)[start] + (end - start).astype(np.uint64))
+    places = np.cumsum([1] + [len(text) + 1 for text in texts])
+    return hashes, np.diff(np.searchsorted(start, places))
+
+
+def _pieces(texts: list[bytes]) -> Iterator[list[bytes]]:
+    piece, size = [], 0
+    for text in texts:
+        if piece and size + len(text) > PIECE_BYTES:
+            yield piece
+            piece, size = [], 0
+        piece.append(text)
+        size += len(text) + 1
+    if piece:
+        yield piece
+
+
 class Words:
     """Words of texts (bytes). hashes: of each word; text: number of its text; first: of each text, its first word, and the end."""
 
     def __init__(self, texts: list[bytes]):
-        data = np.frombuffer(b" " + b" ".join(texts) + b" ", dtype=np.uint8)
-        blank = _SPACE[data]
-        start = np.flatnonzero(blank[:-1] & ~blank[1:]) + 1
-        end = np.flatnonzero(~blank[:-1] & blank[1:]) + 1
-        powers = _powers(_BASE, len(data))
-        sums = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers, out=sums[1:])
-        inverse = _powers(_INVERSE, len(data))
-        self.hashes = mixed((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64))
-        places = np.cumsum([1] + [len(text) + 1 for text in texts])
-        self.first = np.searchsorted(start, places)
+        found = [_word_hashes(piece) for piece in _pieces(texts)]
+        self.hashes = np.concatenate([np.zeros(0, dtype=np.uint64), *[hashes for hashes, _ in found]])
+        self.first = np.cumsum(np.concatenate([[0], *[counts for _, counts in found]]).astype(np.int64))
         self.text = np.repeat(np.arange(len(texts)), np.diff(self.first))
 
     def runs(self, length: int, salt: int = 0) -> np.ndarray:
