@@ -32,7 +32,7 @@ from ..shipping import ship
 from .arrow import with_columns
 
 #: Words, and pairs of tokens, that a task remembers between blocks.
-REMEMBERED = 150_000
+REMEMBERED = 400_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -52,7 +52,7 @@ class Replay:
         for token, rank in ranks.items():
             if len(token) == 2:
                 self.base[token[0], token[1]] = rank
-        self.known: dict[int, int] = {}
+        self.known: dict[tuple[int, int], int | None] = {}
 
     def encode(self, words: list[bytes]) -> list[tuple[int, ...]]:
         """The ids of each word. A word that is a token itself needs no merges."""
@@ -84,7 +84,6 @@ class Replay:
         queue = list(places)
         heapq.heapify(queue)
         symbol, after, before, pair = self.single[data].tolist(), after.tolist(), before.tolist(), pair.tolist()
-        size = len(token) + max(token)
         while queue:
             rank = heapq.heappop(queue)
             positions = places.pop(rank, None)
@@ -98,30 +97,42 @@ class Replay:
                 following = after[right]
                 symbol[left] = rank
                 after[left] = following
-                pair[right] = pair[left] = -1
+                pair[right] = -1
                 lowest = rank
-                touched = []
                 if following >= 0:
                     before[following] = left
-                    touched.append((left, rank, symbol[following]))
+                    key = (rank, symbol[following])
+                    new = known.get(key, -1)
+                    if new == -1:
+                        new = known[key] = ranks.get(token[rank] + token[key[1]])
+                    if new is None:
+                        pair[left] = -1
+                    else:
+                        pair[left] = new
+                        lowest = min(lowest, new)
+                        if new in places:
+                            places[new].append(left)
+                        else:
+                            places[new] = [left]
+                            heapq.heappush(queue, new)
+                else:
+                    pair[left] = -1
                 previous = before[left]
                 if previous >= 0:
-                    touched.append((previous, symbol[previous], rank))
-                for place, one, two in touched:
-                    key = one * size + two
-                    new = known.get(key)
+                    key = (symbol[previous], rank)
+                    new = known.get(key, -1)
+                    if new == -1:
+                        new = known[key] = ranks.get(token[key[0]] + token[rank])
                     if new is None:
-                        new = known[key] = ranks.get(token[one] + token[two], -1)
-                    pair[place] = new
-                    if new >= 0:
-                        if new < lowest:
-                            lowest = new
-                        entries = places.get(new)
-                        if entries is None:
-                            places[new] = [place]
-                            heapq.heappush(queue, new)
+                        pair[previous] = -1
+                    else:
+                        pair[previous] = new
+                        lowest = min(lowest, new)
+                        if new in places:
+                            places[new].append(previous)
                         else:
-                            entries.append(place)
+                            places[new] = [previous]
+                            heapq.heappush(queue, new)
                 if lowest < rank:
                     # The merge made an earlier one possible: that comes first, then the rest of this one.
                     places[rank] = positions[done + 1 :] + places.get(rank, [])
