@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from ..shipping import ship
 from .common import free_name, join_groups, stable, total_bytes, written
 from .components import components
-from .recurring import BLOCK_BYTES, block_of, marked, of_several, several
+from .recurring import block_of, marked, of_several, several
 from .words import Words, members, mixed
 
 SHINGLE = 3
@@ -44,6 +44,8 @@ SHARE = 12
 #: Documents in one chunk of a cluster.
 CHUNK = 256
 ORDERS = 3
+#: Bytes of texts, or of sets, in one block.
+BLOCK_BYTES = 4 << 20
 
 SETS = "row long, doc_id long, n_shingles long, set binary, shingles binary"
 PROFILES = "row long, n long, shingles binary, " + ", ".join(f"prefix{k} binary" for k in range(ORDERS))
