@@ -29,8 +29,9 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that links join the one with the smallest doc_id; documents that link with none stay."""
-    return ngram_join.kept(docs)
+    """Of documents that links join the one with the smallest doc_id; documents that link with none stay. Documents link that
+    share 80 % of their 5-word shingles; the 3 words and 90 % of op9 are that query's own."""
+    return ngram_join.kept(docs, shingle=5, least=80)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

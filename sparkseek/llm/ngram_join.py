@@ -1,13 +1,14 @@
 """Set-similarity join of documents over word shingles, filtered under several global orders.
 
-Two documents link when the Jaccard similarity of their sets of 3-word shingles is 0.9 or more. If so, in any order of all
-shingles, they share some of the first ones of either set: the first |x| - ceil(0.9 |x|) + l shingles of both hold the
-first l that they have in common. That is used three times, with more and more selective orders.
+Two documents link when the Jaccard similarity of their sets of word shingles is large enough: by default shingles of 3
+words and 0.9, which is what op9 asks for; both are arguments (`Rule`). If so, in any order of all shingles, they share some
+of the first ones of either set: with t for the similarity, the first |x| - ceil(t |x|) + l shingles of both hold the first
+l that they have in common. That is used three times, with more and more selective orders.
 
 1. Order by hash, l a share of the set. Each document, in its block, reports that prefix; a document of whose prefix fewer
    than l shingles occur in other documents links with none. Of equal sets, one goes on.
 2. Of those that are left the whole sets are reported, so for each shingle the number of blocks that hold it is known. Less
-   than 90 % of a set in other documents: no link. Three orders follow, all by rising number of blocks (shingles of one
+   than the share t of a set in other documents: no link. Three orders follow, all by rising number of blocks (shingles of one
    document first, which can match nothing), ties by three different hashes, the second and third by the number's
    magnitude only. The prefixes under each are a document's profile.
 3. Documents that share a prefix shingle under the first order are gathered, transitively, into clusters; clusters are cut
@@ -18,13 +19,15 @@ first l that they have in common. That is used three times, with more and more s
 The components of those forests are the classes. Nothing is capped: a hot shingle is one row per block, a hot set is one
 row per block, a cluster of any size is worked through in bounded chunks.
 
-Defined results: null and empty texts have no shingles and link with nothing, not even each other; fewer than three words
-are one shingle; a null doc_id has neither class nor links (component_id null); of rows that share a doc_id each is a
+Defined results: null and empty texts have no shingles and link with nothing, not even each other; fewer words than
+a shingle has are one shingle; a null doc_id has neither class nor links (component_id null); of rows that share a doc_id each is a
 document of its own; extra columns are ignored; empty tables give no rows.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,8 +39,8 @@ from .components import components
 from .recurring import block_of, marked, of_several, several
 from .words import Words, members, mixed
 
+#: What op9 asks for: words of a shingle, and the similarity in hundredths.
 SHINGLE = 3
-#: Similarity, in hundredths.
 LEAST = 90
 #: The first pass asks for this share of a set, in hundredths, beyond the plain prefix.
 SHARE = 12
@@ -55,38 +58,48 @@ def _upto(value: int, of: int) -> int:
     return -(-value // of)
 
 
-def overlap_needed(n: int) -> int:
-    """Shingles of a set of n that a linked set must hold."""
-    return _upto(n * LEAST, 100)
+class Rule(NamedTuple):
+    """When two sets link: words of a shingle, and the least similarity in hundredths."""
+
+    shingle: int = SHINGLE
+    least: int = LEAST
+
+    def needed(self, n: int) -> int:
+        """Shingles of a set of n that a linked set must hold."""
+        return _upto(n * self.least, 100)
+
+    def largest(self, n: int) -> int:
+        """No set that links with one of n has more shingles."""
+        return _upto(n * 100, self.least)
+
+    def asked(self, n: int) -> int:
+        """Shingles that the first pass asks for; never more than are needed."""
+        return _upto(n * min(SHARE, self.least), 100)
 
 
 def lower(text: str | None) -> bytes:
     return text.encode().lower() if text else b""
 
 
-def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
+def shingle_sets(texts: list[bytes], shingle: int = SHINGLE) -> list[np.ndarray]:
     """The distinct hashed shingles of each text, sorted."""
     words = Words(texts)
-    runs = [words.runs(length, length) for length in range(1, SHINGLE + 1)]
+    runs = [words.runs(length, length) for length in range(1, shingle + 1)]
     sets = []
     for start, end in zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True):
-        length = min(SHINGLE, end - start)
+        length = min(shingle, end - start)
         sets.append(np.unique(runs[length - 1][start : end - length + 1]) if length else np.zeros(0, dtype=np.uint64))
     return sets
 
 
-def _asked(n: int) -> int:
-    return _upto(n * SHARE, 100)
-
-
-def _report_prefixes(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+def _report_prefixes(rule: Rule, key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     shingles, document = [], []
-    sets = shingle_sets([lower(text) for text in table.column("text").to_pylist()])
+    sets = shingle_sets([lower(text) for text in table.column("text").to_pylist()], rule.shingle)
     for k, (own, doc_id) in enumerate(zip(sets, table.column("doc_id").to_pylist(), strict=True)):
         if doc_id is not None and len(own):
             n = len(own)
-            # Long enough for any linked document's share: its set has at most n / 0.9 shingles.
-            part = own[: n - overlap_needed(n) + _asked(_upto(n * 100, LEAST))]
+            # Long enough for any linked document's share.
+            part = own[: n - rule.needed(n) + rule.asked(rule.largest(n))]
             shingles.append(part)
             document.append(np.full(len(part), k))
     if not shingles:
@@ -95,20 +108,20 @@ def _report_prefixes(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     return pa.table({"shingle": pa.array(found.view(np.int64)), "mark": marked(key[0].as_py(), many)})
 
 
-def _sets(key: tuple[pa.Scalar, ...], docs: pa.Table, seen: pa.Table) -> pa.Table:
+def _sets(rule: Rule, key: tuple[pa.Scalar, ...], docs: pa.Table, seen: pa.Table) -> pa.Table:
     """Every document's set size and fingerprint; the set itself where the document may link and is the first of its set."""
     known = np.sort(seen.column("shingle").to_numpy().astype(np.int64).view(np.uint64))
     rows, ids = docs.column("row").to_pylist(), docs.column("doc_id").to_pylist()
     order = np.argsort(rows, kind="stable").tolist()
-    sets = shingle_sets([lower(text) for text in docs.column("text").to_pylist()])
+    sets = shingle_sets([lower(text) for text in docs.column("text").to_pylist()], rule.shingle)
     out, first = [], set()
     for k in order:
         own, n = sets[k], len(sets[k])
         mark = whole = None
         if n and ids[k] is not None:
             mark = np.array([(own * mixed(own)).sum(dtype=np.uint64), mixed(own, 0x2545F4914F6CDD1D).sum(dtype=np.uint64)]).tobytes()
-            asked = _asked(n)
-            if mark not in first and members(own[: n - overlap_needed(n) + asked], known).sum() >= asked:
+            asked = rule.asked(n)
+            if mark not in first and members(own[: n - rule.needed(n) + asked], known).sum() >= asked:
                 whole = own.tobytes()
             first.add(mark)
         out.append((rows[k], ids[k], n, mark, whole))
@@ -133,7 +146,7 @@ def _report_shingles(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     return pa.table({"shingle": pa.array(found.view(np.int64)), "mark": marked(key[0].as_py(), many)})
 
 
-def _profiles(key: tuple[pa.Scalar, ...], sets: pa.Table, seen: pa.Table) -> pa.Table:
+def _profiles(rule: Rule, key: tuple[pa.Scalar, ...], sets: pa.Table, seen: pa.Table) -> pa.Table:
     sets = _first_of_sets(sets)
     known = seen.column("shingle").to_numpy().astype(np.int64).view(np.uint64)
     blocks = seen.column("blocks").to_numpy().astype(np.int64)
@@ -143,7 +156,7 @@ def _profiles(key: tuple[pa.Scalar, ...], sets: pa.Table, seen: pa.Table) -> pa.
     for row, own in zip(sets.column("row").to_pylist(), _numbers(sets.column("shingles")), strict=True):
         n = len(own)
         shared = own[members(own, known)]
-        room = n - overlap_needed(n) + 1 - (n - len(shared))
+        room = n - rule.needed(n) + 1 - (n - len(shared))
         if room > 0:
             often = blocks[np.searchsorted(known, shared)]
             weights = [often, *[np.log2(often).astype(np.int64)] * (ORDERS - 1)]
@@ -176,7 +189,7 @@ class _Inverted:
         return np.bincount(self.owner[at], minlength=self.n)
 
 
-def _linked(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+def _linked(least: int, key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     """Links between two chunks of a cluster (or within one): a spanning forest, and for each document its number of links."""
     chunk, one, two = table.column("chunk").to_numpy(), key[1].as_py(), key[2].as_py()
     rows, n, documents = (table.column(name).to_numpy() for name in ("row", "n", "documents"))
@@ -197,7 +210,7 @@ def _linked(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         by_prefix = [_Inverted([prefix[k] for k in right]) for prefix in prefixes]
         by_shingle = _Inverted([sets[k] for k in right])
         for x in left.tolist():
-            may = (n[right] * 100 >= LEAST * n[x]) & (n[x] * 100 >= LEAST * n[right])
+            may = (n[right] * 100 >= least * n[x]) & (n[x] * 100 >= least * n[right])
             if one == two:
                 may &= right > x
             for prefix, inverted in zip(prefixes, by_prefix, strict=True):
@@ -206,7 +219,7 @@ def _linked(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
             if not may.any():
                 continue
             both = by_shingle.shared(sets[x])
-            for y in right[may & (100 * both >= LEAST * (n[x] + n[right] - both))].tolist():
+            for y in right[may & (100 * both >= least * (n[x] + n[right] - both))].tolist():
                 links[x] += documents[y]
                 links[y] += documents[x]
                 a, b = root(x), root(y)
@@ -221,18 +234,22 @@ def _linked(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     })
 
 
-def link_documents(docs: DataFrame, block_bytes: int = BLOCK_BYTES, chunk: int = CHUNK) -> DataFrame:
+def link_documents(docs: DataFrame, block_bytes: int = BLOCK_BYTES, chunk: int = CHUNK, shingle: int = SHINGLE, least: int = LEAST) -> DataFrame:
     """Of documents (doc_id, text): row, doc_id, n_shingles, component_id, n_links (the number of documents it links with).
 
+    Documents link whose sets of shingles of `shingle` words have a similarity of `least` hundredths or more.
     `row` numbers the rows, as monotonically_increasing_id does over stable(docs).
     """
+    if shingle < 1 or not 1 <= least <= 100:
+        raise ValueError("shingle is a number of words, least a similarity in hundredths")
     ship(docs.sparkSession)
+    rule = Rule(shingle, least)
     docs = stable(docs)
     row = F.monotonically_increasing_id()
     block = block_of(total_bytes(docs), F.col("doc_id"), F.octet_length("text"), block_bytes=block_bytes)
     dealt = docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text", block.alias("block")).groupBy("block")
-    seen = of_several(dealt.applyInArrow(_report_prefixes, "shingle long, mark long"), ["shingle"]).select("block", "shingle")
-    sets = written(dealt.cogroup(seen.groupBy("block")).applyInArrow(_sets, SETS), "shingle-sets")
+    seen = of_several(dealt.applyInArrow(lambda key, table: _report_prefixes(rule, key, table), "shingle long, mark long"), ["shingle"]).select("block", "shingle")
+    sets = written(dealt.cogroup(seen.groupBy("block")).applyInArrow(lambda key, docs, seen: _sets(rule, key, docs, seen), SETS), "shingle-sets")
 
     classes = sets.filter("set IS NOT NULL").groupBy("set").agg(F.min("row").alias("node"), F.min("doc_id").alias("least"), F.count("*").alias("documents"))
     classes = written(classes, "set-classes")
@@ -240,16 +257,16 @@ def link_documents(docs: DataFrame, block_bytes: int = BLOCK_BYTES, chunk: int =
     size = sets.agg(F.coalesce(F.sum(F.octet_length("shingles")), F.lit(0))).first()[0]
     dealt = open_sets.withColumn("block", block_of(size, F.col("set"), block_bytes=block_bytes)).groupBy("block")
     seen = of_several(dealt.applyInArrow(_report_shingles, "shingle long, mark long"), ["shingle"]).select("block", "shingle", F.col("blocks_").alias("blocks"))
-    profiles = written(dealt.cogroup(seen.groupBy("block")).applyInArrow(_profiles, PROFILES), "profiles")
+    profiles = written(dealt.cogroup(seen.groupBy("block")).applyInArrow(lambda key, sets, seen: _profiles(rule, key, sets, seen), PROFILES), "profiles")
 
-    links = written(_links_of_clusters(profiles, classes, chunk), "links")
+    links = written(_links_of_clusters(profiles, classes, chunk, least), "links")
     roots = components(links.filter("b IS NOT NULL").select("a", "b")).withColumnRenamed("node", "row")
     classes = classes.withColumnRenamed("node", "row").join(roots, "row", "left").withColumn("root", F.coalesce("root", "row"))
     partners = links.filter("links IS NOT NULL").groupBy(F.col("a").alias("row")).agg(F.sum("links").alias("links"))
     classes = classes.join(partners, "row", "left")
-    least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
+    smallest = classes.groupBy("root").agg(F.min("least").alias("component_id"))
     n_links = F.coalesce("links", F.lit(0)) + F.col("documents") - 1
-    classes = written(classes.join(least, "root").select("set", "documents", "component_id", n_links.alias("n_links")), "classes")
+    classes = written(classes.join(smallest, "root").select("set", "documents", "component_id", n_links.alias("n_links")), "classes")
     total = classes.agg(F.coalesce(F.sum("documents"), F.lit(0))).first()[0]
     columns = ["row", "doc_id", "n_shingles", "component_id", "n_links"]
     alone = sets.filter("set IS NULL").select("row", "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
@@ -257,18 +274,18 @@ def link_documents(docs: DataFrame, block_bytes: int = BLOCK_BYTES, chunk: int =
     return members_of.select(columns).unionByName(alone)
 
 
-def kept(docs: DataFrame) -> DataFrame:
+def kept(docs: DataFrame, shingle: int = SHINGLE, least: int = LEAST) -> DataFrame:
     """One document of each class, the one with the smallest doc_id; documents without a class stay. All columns pass through."""
     docs = stable(docs)
     row = free_name(docs, "row")
-    found = link_documents(docs.select("doc_id", "text"))
+    found = link_documents(docs.select("doc_id", "text"), shingle=shingle, least=least)
     # Of rows that share the smallest doc_id of a class, the first stays.
     first = found.filter("doc_id = component_id AND n_links > 0").groupBy("component_id").agg(F.min("row").alias("row"))
     gone = found.filter("n_links > 0").select("row").join(first.select("row"), "row", "left_anti").withColumnRenamed("row", row)
     return docs.withColumn(row, F.monotonically_increasing_id()).join(gone, row, "left_anti").drop(row)
 
 
-def _links_of_clusters(profiles: DataFrame, classes: DataFrame, chunk: int) -> DataFrame:
+def _links_of_clusters(profiles: DataFrame, classes: DataFrame, chunk: int, least: int) -> DataFrame:
     unpacked = profiles.select("row", "prefix0").mapInArrow(_unpack, "row long, shingle long")
     tokens = written(unpacked, "prefix-shingles")
     heads = tokens.groupBy("shingle").agg(F.min("row").alias("head"), F.count("*").alias("size")).filter("size > 1")
@@ -283,7 +300,7 @@ def _links_of_clusters(profiles: DataFrame, classes: DataFrame, chunk: int) -> D
     full = profiles.join(placed, "row").join(classes.select(F.col("node").alias("row"), "documents"), "row")
     pairs = full.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
     pairs = pairs.withColumn("one", F.least("chunk", "other")).withColumn("two", F.greatest("chunk", "other")).drop("other", "chunks")
-    return pairs.groupBy("cluster", "one", "two").applyInArrow(_linked, "a long, b long, links long")
+    return pairs.groupBy("cluster", "one", "two").applyInArrow(lambda key, table: _linked(least, key, table), "a long, b long, links long")
 
 
 def _unpack(batches):

@@ -1,6 +1,7 @@
 """Every stage of the pipeline against brute force on its own input."""
 
 import hashlib
+import random
 import sys
 from collections import defaultdict
 from pathlib import Path
@@ -12,7 +13,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 
 import corpus_pipeline
 from pyspark.sql import functions as F
-from sparkseek.llm import bpe, toxicity, workload
+from sparkseek.llm import bpe, ngram_join, toxicity, workload
 
 from .test_dedup import brute_links, normalised
 from .test_text import brute_items
@@ -72,3 +73,43 @@ def test_toxicity_is_learned(spark):
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     held = found.join(labels, "doc_id").filter("held_out").collect()
     assert sum(row.predicted == row.toxic for row in held) / len(held) > 0.93
+
+
+def brute_kept(rows, shingle, least):
+    """The smallest doc_id of each class."""
+    sets = []
+    for _, text in rows:
+        words = text.lower().split()
+        sets.append({tuple(words[k : k + shingle]) for k in range(max(1, len(words) - shingle + 1))})
+    above = list(range(len(rows)))
+
+    def root(k):
+        while above[k] != k:
+            k = above[k]
+        return k
+
+    for i, own in enumerate(sets):
+        for j in range(i):
+            if 100 * len(own & sets[j]) >= least * len(own | sets[j]):
+                above[root(i)] = root(j)
+    return {min(rows[j][0] for j in range(len(rows)) if root(j) == k) for k in range(len(rows)) if above[k] == k}
+
+
+def test_near_stage_links_at_five_words_and_four_fifths(spark):
+    pick = random.Random(6)
+    rows = []
+    for k in range(30):
+        base = [f"w{pick.randrange(5000)}" for _ in range(200)]
+        edited = list(base)
+        for _ in range(k % 7):  # some are links at 3 words and 0.9, some only at 5 and 0.8, some not at all
+            edited[pick.randrange(200)] = f"x{pick.randrange(5000)}"
+        longer = base[:90] + [f"y{pick.randrange(5000)}" for _ in range(10 + k)] + base[90:]
+        rows += [(10 * k, " ".join(base)), (10 * k + 1, " ".join(edited)), (10 * k + 2, " ".join(longer))]
+    rows += [(1000 + k, "a b c d e f g"[: 2 * k + 1]) for k in range(7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {row.doc_id for row in corpus_pipeline.near_dedup(spark, docs, FOLDER).collect()}
+    assert got == brute_kept(rows, 5, 80)
+    assert len(brute_kept(rows, 3, 90)) - len(got) > 10
+    for shingle, least in ((1, 50), (2, 5), (4, 100)):
+        got = {row.doc_id for row in ngram_join.kept(docs, shingle=shingle, least=least).collect()}
+        assert got == brute_kept(rows, shingle, least)
