@@ -14,6 +14,8 @@ apart by their place in the table; empty tables give no rows; extra columns pass
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +26,20 @@ ROLLING = 3
 MASK = 3
 
 
+class Cut(NamedTuple):
+    """Where chunks end. With `pairs`, no chunk of a text of several lines has a single line: of boundaries at adjacent lines
+    every second one counts, and the first and the last line join their neighbours."""
+
+    rolling: int = ROLLING
+    mask: int = MASK
+    pairs: bool = False
+
+
+#: The cut of op1: chunks of two lines and more, three on average; a boundary depends on its own line and on those
+#: before it that have the bit zero as well.
+FINE = Cut(1, 1, True)
+
+
 def _rotated(value: Column, by: int) -> Column:
     return F.shiftleft(value, by).bitwiseOR(F.shiftrightunsigned(value, 64 - by)) if by else value
 
@@ -38,7 +54,7 @@ def with_rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.struct("*").alias("own"), F.monotonically_increasing_id().alias("row"))
 
 
-def with_chunks(rows: DataFrame) -> DataFrame:
+def with_chunks(rows: DataFrame, cut: Cut = Cut()) -> DataFrame:
     """Rows with doc, lines and chunks added; chunks: first line (from 1) and number of lines of each chunk."""
     keep = rows.columns
     doc = F.coalesce(F.col("own.doc_id").cast("long"), F.lit((1 << 63) - 1))
@@ -48,14 +64,21 @@ def with_chunks(rows: DataFrame) -> DataFrame:
 
     def rolling(place: Column) -> Column:
         value = F.element_at("hashes", place)
-        for back in range(1, ROLLING):
+        for back in range(1, cut.rolling):
             earlier = F.when(place > back, F.element_at("hashes", F.greatest(place - back, F.lit(1)))).otherwise(F.lit(0))
             value = value.bitwiseXOR(_rotated(earlier, back))
         return value
 
     count = F.size("lines")
-    ends = F.filter(F.sequence(F.lit(1), count), lambda place: (place == count) | (rolling(place).bitwiseAND(F.lit(MASK)) == 0))
-    rows = _held(rows, ends=ends)
+    places = F.sequence(F.lit(1), count)
+    ends_at = lambda place: rolling(place).bitwiseAND(F.lit(cut.mask)) == 0
+    if cut.pairs:
+        inside = lambda place: (place > 1) & (place < count - 1)
+        marks = F.array_join(F.transform(places, lambda place: F.when(inside(place) & ends_at(place), "1").otherwise("0")), "")
+        # From left to right, the second of two boundaries goes.
+        rows = _held(rows, marks=F.split(F.replace(marks, F.lit("11"), F.lit("10")), ""))
+        ends_at = lambda place: F.element_at("marks", place) == "1"
+    rows = _held(rows, ends=F.filter(places, lambda place: (place == count) | ends_at(place)))
     first = lambda k: F.when(k == 0, F.lit(1)).otherwise(F.element_at("ends", F.greatest(k, F.lit(1))) + 1)
     chunks = F.transform("ends", lambda end, k: F.struct(first(k).alias("first"), (end - first(k) + 1).alias("n")))
     return rows.select(*keep, "doc", "lines", chunks.alias("chunks"))
@@ -69,9 +92,9 @@ def _chunk_rows(chunked: DataFrame) -> DataFrame:
     return each.withColumn("hash", F.xxhash64("text"))
 
 
-def repeated_chunks(docs: DataFrame) -> DataFrame:
+def repeated_chunks(docs: DataFrame, cut: Cut = Cut()) -> DataFrame:
     """(row, k) of the chunks to remove; rows are numbered as in with_rows."""
-    chunks = _chunk_rows(with_chunks(with_rows(stable(docs))))
+    chunks = _chunk_rows(with_chunks(with_rows(stable(docs)), cut))
     # Grouping by the text itself compares bytes.
     texts = chunks.groupBy("hash", "text").agg(F.min("doc").alias("first_doc"), F.count("*").alias("size"))
     texts = written(texts.groupBy("hash").agg(
@@ -91,11 +114,13 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     return elsewhere.unionByName(own).unionByName(collided)
 
 
-def remove_repeated(docs: DataFrame, text: str = "deduplicated", n_lines: str = "n_lines", n_removed: str = "n_removed") -> DataFrame:
+def remove_repeated(
+    docs: DataFrame, text: str = "deduplicated", n_lines: str = "n_lines", n_removed: str = "n_removed", cut: Cut = Cut()
+) -> DataFrame:
     """The documents with the text that is left, the number of lines, and that of removed lines."""
     docs = stable(docs)
-    gone = repeated_chunks(docs).groupBy("row").agg(F.collect_set("k").alias("gone"))
-    found = with_chunks(with_rows(docs).join(gone, "row", "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<int>"))))
+    gone = repeated_chunks(docs, cut).groupBy("row").agg(F.collect_set("k").alias("gone"))
+    found = with_chunks(with_rows(docs).join(gone, "row", "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<int>"))), cut)
     found = _held(found, left=F.filter("chunks", lambda chunk, k: ~F.array_contains("gone", k)))
     lines = F.flatten(F.transform("left", lambda chunk: F.slice("lines", chunk["first"], chunk["n"])))
     found = _held(found, kept=lines)

@@ -104,7 +104,7 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the chunks of lines that other places hold first."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = line_dedup.remove_repeated(docs)
+    found = line_dedup.remove_repeated(docs, cut=line_dedup.FINE)
     return found.select("doc_id", "n_lines", "n_removed", F.sha2("deduplicated", 256).alias("kept_sha256"))
 
 
