@@ -8,9 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, html_text, line_dedup, ngram_join, sharding, substring_dedup, toxicity, warc
+from . import bpe, compression_quality, decontamination, html_text, line_dedup, ngram_join, periodic_runs, sharding, substring_dedup, toxicity, warc
 from .common import new_folder, table
 from .exact_dedup import DigestIndex
+from .lexical_search import LexicalIndex
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -186,3 +187,49 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The class of near-equal documents of every document."""
     found = ngram_join.link_documents(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_shingles", "component_id", "n_links")
+
+
+@_query()
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learned from the labels of three fourths of the documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    own = compression_quality.held_out(F.col("doc_id"))
+    scored = compression_quality.score(docs, compression_quality.train(docs, table(spark, sf_dir, "labels").filter(~own)))
+    return scored.select("doc_id", own.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@_query()
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The periodic runs of every document, and its words without their repeats."""
+    found = periodic_runs.find_runs(periodic_runs.with_planted_runs(table(spark, sf_dir, "documents")))
+    found = found.withColumn("best", periodic_runs.longest(F.col("runs")))
+    lines = F.transform("runs", lambda run: F.concat(F.concat_ws(",", run["start"], run["length"], run["period"]), F.lit("\n")))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(F.col("best.length") * 1000 / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+@_query(r"""
+WITH t AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents
+), i AS (
+  SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+), d AS (SELECT doc_id, count(*)::BIGINT AS n FROM t GROUP BY doc_id),
+g AS (SELECT count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_terms FROM d),
+p AS (SELECT doc_id, term, count(*)::BIGINT AS tf FROM t GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM p, g GROUP BY term, n_docs),
+s AS (
+  SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_terms))))::BIGINT AS score
+  FROM (SELECT item_id, term, count(*) AS times FROM i GROUP BY ALL) JOIN w USING (term) JOIN p USING (term) JOIN d USING (doc_id), g GROUP BY item_id, doc_id
+), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM r WHERE rank <= 20
+""")
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty best documents for every test item."""
+    index = LexicalIndex(spark, new_folder(spark, "lexical-index"))
+    index.add(table(spark, sf_dir, "documents"))
+    return index.search(table(spark, sf_dir, "benchmark"))

@@ -15,7 +15,7 @@ import corpus_pipeline
 from pyspark.sql import functions as F
 from sparkseek.llm import bpe, ngram_join, toxicity, workload
 
-from .test_dedup import brute_links, normalised
+from .test_dedup import normalised
 from .test_text import brute_items
 
 FOLDER = "/root/testdata/sf0.001"
@@ -42,7 +42,7 @@ def test_stages(spark, tmp_path):
         groups[normalised(text)].append(doc_id)
     assert set(rows["ngram_join"]) == {min(own) for own in groups.values()}
 
-    assert set(rows["decontamination"]) == {doc for doc, _, component, _ in brute_links(list(rows["ngram_join"].items())) if doc == component}
+    assert set(rows["decontamination"]) == brute_kept(list(rows["ngram_join"].items()), 5, 80)
 
     items = [tuple(row) for row in spark.read.parquet(f"{FOLDER}/benchmark.parquet").collect()]
     for doc_id, text in rows["decontamination"].items():
