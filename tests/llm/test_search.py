@@ -114,7 +114,7 @@ def test_quality_of_odd_inputs(spark):
     assert found.columns == [*docs.columns, "own"]
     rows = found.collect()
     assert all(0 <= row.own <= 1 for row in rows)
-    prior = 42 / 83
+    prior = 41 / 82
     assert all(abs(row.own - prior) < 1e-9 for row in rows if not row.text)
     mean = lambda low: np.mean([row.own for row in rows if row.doc_id is not None and low <= row.doc_id < low + 40])
     assert mean(10) > mean(60) + 0.3
