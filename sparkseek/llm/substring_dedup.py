@@ -1,15 +1,18 @@
 """Removing passages that an earlier document holds, with Aho-Corasick automata over words.
 
 Every run of 13 words (a window) that starts in several documents belongs to the one with the smallest doc_id; in all
-others its words go. The search takes three passes over documents that lie in blocks, all reading one shuffle:
+others its words go. Documents lie in blocks of bounded size, dealt in one shuffle that all passes read:
 
 1. Each window is stood for by an anchor, the 5-word run in it with the smallest hash. Neighbouring windows share anchors,
    so only about one word in five is reported. Anchors found in one document only rule out all their windows.
-2. The windows of the other anchors are reported with 95 bits of hash and the smallest doc_id of the block. That confirms
-   those that recur, and names the owner of each.
-3. In each block the windows that recur in others than their owner are compiled into Aho-Corasick automata over word
-   numbers, sharded to bounded size, and the block's documents are streamed through them; every occurrence in a document
-   behind the owner is covered.
+2. The windows of the other anchors are reported with hashes of two independent families, 96 bits, and the smallest doc_id of
+   the block. That tells which recur, which document owns each, and which blocks have to look for it.
+3. The owner's block turns the windows that others look for into passages: the owner's own words, as long as neighbouring
+   windows are looked for by the same blocks. That is the table of recurring passages.
+4. Each block compiles the windows of the passages that it has to look for into Aho-Corasick automata over numbered words,
+   sharded to bounded size, and streams its documents through them. Words get their numbers by comparison, so what an automaton
+   finds are equal words; a document loses the words of each occurrence whose owner comes before it. Hashes only
+   choose which passages a block looks for: equal hashes of different words remove nothing.
 
 Defined results: null and empty texts have no words; a null doc_id owns nothing and loses nothing; rows that share a
 doc_id are one document for ownership; extra columns are ignored; an empty table gives no rows. Texts are searched whole,
@@ -18,6 +21,8 @@ and no window is left out.
 
 from __future__ import annotations
 
+from array import array
+from collections.abc import Iterator
 from itertools import compress
 
 import ahocorasick
@@ -25,31 +30,38 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..shipping import ship
 from .common import total_bytes
-from .recurring import BLOCK_BYTES, block_of, marked, of_several, several
+from .memory import of_group, of_groups
+from .recurring import block_of, marked, of_several, several
 from .words import Words, members
 
 WINDOW = 13
 ANCHOR = 5
+#: Bytes of texts in one block.
+BLOCK_BYTES = 4 << 20
 #: Windows in one automaton.
-SHARD = 64_000
+SHARD = 32_000
+#: Blocks that one row of a window names, as a power of two.
+NAMED = 12
 
 RESULT = "doc_id long, n_words long, n_removed long, kept string"
+PASSAGES = "owner long, passage string, blocks array<long>"
 
 
 class _Block:
     """The words of a block's documents, and its windows by the place of their first word."""
 
-    def __init__(self, table: pa.Table):
-        self.ids = table.column("doc_id").to_pylist()
+    def __init__(self, table: pa.Table, families: int = 1):
         self.texts = [text.encode() if text else b"" for text in table.column("text").to_pylist()]
-        self.words = Words(self.texts)
-        named = np.array([one is not None for one in self.ids], dtype=bool)
+        self.words = Words(self.texts, families)
+        ids = table.column("doc_id").combine_chunks()
+        named = ids.is_valid().to_numpy(zero_copy_only=False)
         at = self.words.whole(WINDOW)
         self.at = at[named[self.words.text[at]]] if len(at) else at
-        self.document = np.array([0 if one is None else one for one in self.ids], dtype=np.int64)[self.words.text[self.at]]
+        self.document = ids.fill_null(0).to_numpy()[self.words.text[self.at]]
 
     def anchors(self) -> np.ndarray:
         """The anchor of each window."""
@@ -59,23 +71,6 @@ class _Block:
             np.minimum(least[:-step], run[step:], out=least[:-step])
         return least[self.at]
 
-    def letters(self) -> str:
-        """Two letters for each word, from alphabets of their own; equal words have equal letters.
-
-        A node of an automaton looks through its children one by one, so an alphabet is the root of the number of words.
-        """
-        kinds, number = np.unique(self.words.hashes, return_inverse=True)
-        base = int(len(kinds) ** 0.5) + 1
-        out = np.empty(2 * len(number), dtype=np.uint32)
-        out[0::2] = number // base + 1
-        out[1::2] = number % base + base + 1
-        return out.tobytes().decode("utf-32-le", "surrogatepass")
-
-    def hashes(self) -> tuple[np.ndarray, np.ndarray]:
-        """64 and 32 bits for each window."""
-        more = self.words.runs(WINDOW, 0x5851F42D4C957F2D)[self.at]
-        return self.words.runs(WINDOW)[self.at], (more >> np.uint64(33)).astype(np.int32)
-
 
 def _signed(values: np.ndarray) -> pa.Array:
     return pa.array(values.view(np.int64))
@@ -95,65 +90,135 @@ def _report_anchors(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
 
 
 def _report_windows(key: tuple[pa.Scalar, ...], docs: pa.Table, anchors: pa.Table) -> pa.Table:
-    block = _Block(docs)
+    block = _Block(docs, families=2)
     known = np.sort(_unsigned(anchors.column("anchor")))
     use = members(block.anchors(), known) if len(block.at) else np.zeros(0, dtype=bool)
-    one, two = (hashes[use] for hashes in block.hashes())
-    document = block.document[use]
+    at, document = block.at[use], block.document[use]
+    one = block.words.runs(WINDOW)[at]
+    two = (block.words.runs(WINDOW, family=1)[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)
     order = np.lexsort((document, two, one))
     one, two, document = one[order], two[order], document[order]
     new = np.ones(len(one), dtype=bool)
     new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
     start = np.flatnonzero(new)
-    last = np.append(start[1:], len(one)) - 1 if len(start) else start
+    last = np.append(start, len(one))[1:] - 1
     return pa.table({
         "one": _signed(one[start]), "two": pa.array(two[start]), "least": pa.array(document[start]),
         "mark": marked(key[0].as_py(), document[last] != document[start]),
     })
 
 
-def _automata(block: _Block, windows: pa.Table):
-    """Automata for windows of the block, each with the block's words as letters: letters of a window -> its owner."""
-    one, two, owner = _unsigned(windows.column("one")), windows.column("two").to_numpy(), windows.column("owner").to_numpy()
-    order = np.lexsort((two, one))
-    one, two, owner = one[order], two[order], owner[order]
-    own_one, own_two = block.hashes()
-    first = np.searchsorted(one, own_one)
-    here = np.flatnonzero((first < len(one)) & (one[np.minimum(first, len(one) - 1)] == own_one)) if len(one) else np.zeros(0, dtype=np.int64)
-    place = first[here]
-    # Windows with one first hash but another second one stand next to each other; go on to the right one.
-    for _ in range(len(one)):
-        ahead = (two[place] != own_two[here]) & (place + 1 < len(one)) & (one[np.minimum(place + 1, len(one) - 1)] == own_one[here])
+def _passages(key: tuple[pa.Scalar, ...], docs: pa.Table, wanted: pa.Table) -> pa.Table:
+    """The words of this block's documents that others look for, and the blocks that do."""
+    block = _Block(docs)
+    one, owner = _unsigned(wanted.column("one")), wanted.column("owner").to_numpy()
+    lists = wanted.column("blocks").combine_chunks()
+    cuts, named = lists.offsets.to_numpy(), lists.flatten().to_numpy()
+    size = np.diff(cuts)
+    # Rows of one window and owner stand together; their lists are told apart by a sum.
+    order = np.lexsort((owner, one))
+    total = np.zeros(len(named) + 1, dtype=np.int64)
+    np.cumsum((named + 1) * np.int64(0x5851F42D4C957F2D) ^ (named << np.int64(7)), out=total[1:])
+    one, owner, sums = one[order], owner[order], (total[cuts[1:]] - total[cuts[:-1]])[order]
+    new = np.ones(len(one), dtype=bool)
+    new[1:] = (one[1:] != one[:-1]) | (owner[1:] != owner[:-1])
+    start = np.flatnonzero(new)
+    end = np.append(start, len(one))[1:]
+    sums = np.add.reduceat(sums, start) if len(start) else sums
+    # Windows of the block by hash and document, to find the rows that want them.
+    own = block.words.runs(WINDOW)[block.at]
+    use = np.flatnonzero(members(own, one[start])) if len(start) else np.zeros(0, dtype=np.int64)
+    row = np.searchsorted(one[start], own[use])
+    for _ in range(len(start)):
+        ahead = (owner[start][row] != block.document[use]) & (row + 1 < len(start))
+        ahead &= one[start][np.minimum(row + 1, len(start) - 1)] == own[use]
         if not ahead.any():
             break
-        place = place + ahead
-    right = two[place] == own_two[here]
-    _, pick = np.unique(place[right], return_index=True)
-    starts, owners = block.at[here[right][pick]].tolist(), owner[place[right][pick]].tolist()
-    letters = block.letters()
-    for shard in range(0, len(starts), SHARD):
+        row = row + ahead
+    right = owner[start][row] == block.document[use] if len(use) else np.zeros(0, dtype=bool)
+    use, row = use[right], row[right]
+    at, text = block.at[use], block.words.text[block.at[use]]
+    breaks = np.ones(len(at), dtype=bool)
+    breaks[1:] = (at[1:] != at[:-1] + 1) | (text[1:] != text[:-1]) | (sums[row[1:]] != sums[row[:-1]])
+    first = np.flatnonzero(breaks)
+    last = np.append(first, len(at))[1:] - 1
+    passages, owners, blocks, split = [], [], [], (-1, [])
+    for a, b in zip(first.tolist(), last.tolist(), strict=True):
+        k = int(text[a])
+        if split[0] != k:
+            split = (k, block.texts[k].split())
+        begin = int(block.words.first[k])
+        passages.append(b" ".join(split[1][int(at[a]) - begin : int(at[b]) - begin + WINDOW]).decode())
+        owners.append(int(block.document[use[a]]))
+        rows = order[start[row[a]] : end[row[a]]]
+        blocks.append(np.concatenate([named[cuts[r] : cuts[r] + size[r]] for r in rows.tolist()]))
+    return pa.table({"owner": pa.array(owners, pa.int64()), "passage": pa.array(passages, pa.string()), "blocks": pa.array(blocks, pa.list_(pa.int64()))})
+
+
+class _Letters:
+    """Two letters for each word that passages hold, from alphabets of their own; equal words have equal letters.
+
+    A node of an automaton looks through its children one by one, so an alphabet is the root of the number of words.
+    """
+
+    def __init__(self, passages: list[bytes]):
+        self.number: dict[bytes, int] = {}
+        for passage in passages:
+            for word in passage.split():
+                self.number.setdefault(word, len(self.number) + 1)
+        self.base = int(len(self.number) ** 0.5) + 1
+
+    def of(self, text: bytes) -> str:
+        """The letters of a text; words that no passage holds share a pair of their own."""
+        get = self.number.get
+        number = np.array([get(word, 0) for word in text.split()], dtype=np.uint32)
+        out = np.zeros(2 * len(number), dtype=np.uint32)
+        known = number > 0
+        out[0::2][known] = number[known] // self.base + 1
+        out[1::2][known] = number[known] % self.base + self.base + 2
+        return out.tobytes().decode("utf-32-le", "surrogatepass")
+
+
+def _automata(letters: _Letters, passages: list[bytes], owners: list[int]) -> Iterator[ahocorasick.Automaton]:
+    """Automata for the windows of passages: letters of a window -> its owner."""
+    windows: dict[str, int] = {}
+    for passage, owner in zip(passages, owners, strict=True):
+        own = letters.of(passage)
+        for end in range(2 * WINDOW, len(own) + 1, 2):
+            window = own[end - 2 * WINDOW : end]
+            if windows.setdefault(window, owner) > owner:
+                windows[window] = owner
+    while windows:
         automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY)
-        for start, owned in zip(starts[shard : shard + SHARD], owners[shard : shard + SHARD], strict=True):
-            automaton.add_word(letters[2 * start : 2 * (start + WINDOW)], owned)
+        for _ in range(min(SHARD, len(windows))):
+            automaton.add_word(*windows.popitem())
         automaton.make_automaton()
-        yield automaton, letters
+        yield automaton
 
 
-def _remove(key: tuple[pa.Scalar, ...], docs: pa.Table, windows: pa.Table) -> pa.Table:
-    block = _Block(docs)
-    bounds = block.words.first.tolist()
-    ends: list[list[int]] = [[] for _ in block.ids]
-    for automaton, letters in _automata(block, windows):
-        for k, document in enumerate(block.ids):
-            if document is not None and bounds[k + 1] - bounds[k] >= WINDOW:
-                ends[k] += [end // 2 for end, owner in automaton.iter(letters[2 * bounds[k] : 2 * bounds[k + 1]]) if owner < document]
-    n_removed, kept = [], []
-    for k, text in enumerate(block.texts):
+def _remove(key: tuple[pa.Scalar, ...], docs: pa.Table, found: pa.Table) -> pa.Table:
+    ids, texts = docs.column("doc_id").to_pylist(), [text.encode() if text else b"" for text in docs.column("text").to_pylist()]
+    ends: dict[int, array] = {}
+    if found.num_rows:
+        passages = [passage.encode() for passage in found.column("passage").to_pylist()]
+        letters = _Letters(passages)
+        # One at a time: documents of the block, as letters, stay; automata come and go.
+        streamed = [(k, document, letters.of(text)) for k, (document, text) in enumerate(zip(ids, texts, strict=True)) if document is not None]
+        for automaton in _automata(letters, passages, found.column("owner").to_pylist()):
+            for k, document, own in streamed:
+                here = [end // 2 for end, owner in automaton.iter(own) if owner < document]
+                if here:
+                    ends.setdefault(k, array("q")).extend(here)
+        del streamed, letters
+    n_words, n_removed, kept = [], [], []
+    for k, text in enumerate(texts):
         row = text.split()
-        if ends[k]:
+        n_words.append(len(row))
+        if k in ends:
+            last = np.array(ends.pop(k))
             change = np.zeros(len(row) + 1, dtype=np.int64)
-            np.add.at(change, np.array(ends[k]) + 1, -1)
-            np.add.at(change, np.array(ends[k]) - WINDOW + 1, 1)
+            np.add.at(change, last + 1, -1)
+            np.add.at(change, last - WINDOW + 1, 1)
             stays = np.cumsum(change[:-1]) == 0
             n_removed.append(int(len(row) - stays.sum()))
             row = list(compress(row, stays.tolist()))
@@ -161,20 +226,36 @@ def _remove(key: tuple[pa.Scalar, ...], docs: pa.Table, windows: pa.Table) -> pa
             n_removed.append(0)
         kept.append(b" ".join(row).decode())
     return pa.table({
-        "doc_id": pa.array(block.ids, pa.int64()), "n_words": pa.array(np.diff(block.words.first), pa.int64()),
+        "doc_id": pa.array(ids, pa.int64()), "n_words": pa.array(n_words, pa.int64()),
         "n_removed": pa.array(n_removed, pa.int64()), "kept": pa.array(kept, pa.string()),
     })
 
 
-def remove_repeated(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Of documents (doc_id, text): doc_id, number of words, number of removed ones, and the kept words joined by one space."""
-    ship(docs.sparkSession)
+def _wanted(reported: DataFrame) -> DataFrame:
+    """(block of the owner, one, owner, blocks): windows that other documents hold, and the blocks of those."""
+    rows = Window.partitionBy("one", "two")
+    block = F.shiftright("mark", 1)
+    many = F.col("mark").bitwiseAND(F.lit(1))
+    seen = reported.select("one", "two", "least", block.alias("in"), many.alias("many"), F.min(F.struct("least", block.alias("in"))).over(rows).alias("first"))
+    # A block whose only document with a window is the owner has nothing to remove.
+    seen = seen.filter((F.col("first.least") < F.col("least")) | (F.col("many") == 1))
+    lists = seen.groupBy("one", "two", F.col("first.in").alias("block"), F.col("first.least").alias("owner"), F.shiftright("in", NAMED).alias("part"))
+    return lists.agg(F.sort_array(F.collect_list("in")).alias("blocks")).select("block", "one", "owner", "blocks")
+
+
+def recurring_passages(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, DataFrame]:
+    """Documents (doc_id, text, block) dealt into blocks, and the passages (owner, passage, block) that each block looks for."""
     block = block_of(total_bytes(docs), F.col("doc_id"), F.octet_length("text"), block_bytes=block_bytes)
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", block.alias("block"))
     blocks = dealt.groupBy("block")
-    anchors = of_several(blocks.applyInArrow(_report_anchors, "anchor long, mark long"), ["anchor"]).select("block", "anchor")
-    reported = blocks.cogroup(anchors.groupBy("block")).applyInArrow(_report_windows, "one long, two int, least long, mark long")
-    windows = of_several(reported, ["one", "two"], owner=F.min("least"))
-    # A block whose only document with a window is the owner has nothing to remove.
-    windows = windows.filter("owner < least OR mark % 2 = 1").select("block", "one", "two", "owner")
-    return blocks.cogroup(windows.groupBy("block")).applyInArrow(_remove, RESULT)
+    anchors = of_several(blocks.applyInArrow(of_group(_report_anchors), "anchor long, mark long"), ["anchor"]).select("block", "anchor")
+    reported = blocks.cogroup(anchors.groupBy("block")).applyInArrow(of_groups(_report_windows), "one long, two int, least long, mark long")
+    passages = blocks.cogroup(_wanted(reported).groupBy("block")).applyInArrow(of_groups(_passages), PASSAGES)
+    return dealt, passages.select("owner", "passage", F.explode("blocks").alias("block"))
+
+
+def remove_repeated(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Of documents (doc_id, text): doc_id, number of words, number of removed ones, and the kept words joined by one space."""
+    ship(docs.sparkSession)
+    dealt, passages = recurring_passages(docs, block_bytes)
+    return dealt.groupBy("block").cogroup(passages.groupBy("block")).applyInArrow(of_groups(_remove), RESULT)

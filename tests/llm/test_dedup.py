@@ -4,10 +4,12 @@ import hashlib
 import re
 from collections import defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
-from sparkseek.llm import line_dedup, ngram_join, substring_dedup
+from sparkseek.llm import line_dedup, ngram_join, substring_dedup, words
 from sparkseek.llm.components import components
 from sparkseek.llm.exact_dedup import DigestIndex
 
@@ -208,3 +210,44 @@ def test_components_of_a_path_and_a_star(spark):
     found = {row.node: row.root for row in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert {found[k] for k in range(51)} == {0}
     assert {found[k] for k in [*range(900, 960), 1000]} == {900}
+
+
+def test_families_of_hashes_are_independent():
+    """No function of one family's hash gives the other's: words that agree in the sums of one differ in those of the other."""
+    found = words.Words([shared_passages(1, 3, words=200, length=5000)[0].encode()], families=2)
+    one, two = (found.runs(13, family=k) for k in (0, 1))
+    assert len(set(one.tolist())) == len(set(two.tolist()))
+    # The old second hash was a scramble of the first one's sum; these sums have nothing in common.
+    assert not np.isin(one, two).any()
+    assert abs(np.corrcoef((one >> np.uint64(40)).astype(float), (two >> np.uint64(40)).astype(float))[0, 1]) < 0.1
+
+
+def test_automata_remove_equal_words_only():
+    text = " ".join(f"w{k}" for k in range(40))
+    docs = pa.table({"doc_id": pa.array([5, 6, None, 1]), "text": pa.array([text, text.replace("w20", "W20"), text, text])})
+    passages = pa.table({
+        "owner": pa.array([3, 3, 2]), "block": pa.array([0, 0, 0]),
+        "passage": pa.array([" ".join(f"w{k}" for k in range(10, 33)), " ".join("unrelated" for _ in range(20)), "too short"]),
+    })
+    found = substring_dedup._remove((pa.scalar(0),), docs, passages).to_pylist()
+    gone = [sorted(set(text.split()) - set(row["kept"].split()), key=lambda word: int(word[1:])) for row in found]
+    assert gone[0] == [f"w{k}" for k in range(10, 33)]
+    assert found[1]["n_removed"] == 0 and found[2]["n_removed"] == 0 and found[3]["n_removed"] == 0
+
+
+def test_passages_are_the_owners_words(spark):
+    rows = [(k, text) for k, text in enumerate(shared_passages(120, 9))]
+    dealt, passages = substring_dedup.recurring_passages(documents(spark, rows), block_bytes=700)
+    texts = {doc_id: text.split() for doc_id, text in rows}
+    first = {}
+    for doc_id, own in texts.items():
+        for k in range(len(own) - 12):
+            first.setdefault(tuple(own[k : k + 13]), set()).add(doc_id)
+    covered = set()
+    for row in passages.collect():
+        own = row.passage.split()
+        for k in range(len(own) - 12):
+            window = tuple(own[k : k + 13])
+            assert min(first[window]) == row.owner and len(first[window]) > 1
+            covered.add(window)
+    assert covered == {window for window, ids in first.items() if len(ids) > 1}
