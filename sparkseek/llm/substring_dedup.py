@@ -102,10 +102,8 @@ def _report_windows(key: tuple[pa.Scalar, ...], docs: pa.Table, anchors: pa.Tabl
     new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
     start = np.flatnonzero(new)
     last = np.append(start, len(one))[1:] - 1
-    return pa.table({
-        "one": _signed(one[start]), "two": pa.array(two[start]), "least": pa.array(document[start]),
-        "mark": marked(key[0].as_py(), document[last] != document[start]),
-    })
+    mark = marked(key[0].as_py(), document[last] != document[start]).to_numpy()
+    return pa.table({"one": _signed(one[start]), "two_mark": pa.array(two[start].astype(np.int64) << 32 | mark), "least": pa.array(document[start])})
 
 
 def _passages(key: tuple[pa.Scalar, ...], docs: pa.Table, wanted: pa.Table) -> pa.Table:
@@ -168,30 +166,40 @@ class _Letters:
                 self.number.setdefault(word, len(self.number) + 1)
         self.base = int(len(self.number) ** 0.5) + 1
 
-    def of(self, text: bytes) -> str:
-        """The letters of a text; words that no passage holds share a pair of their own."""
+    def of(self, texts: list[bytes]) -> list[str]:
+        """The letters of each text; words that no passage holds share a pair of their own. Empty where no window can match."""
         get = self.number.get
-        number = np.array([get(word, 0) for word in text.split()], dtype=np.uint32)
+        split = [text.split() for text in texts]
+        number = np.array([get(word, 0) for words in split for word in words], dtype=np.uint32)
+        cuts = np.cumsum([0] + [len(words) for words in split])
+        del split
         out = np.zeros(2 * len(number), dtype=np.uint32)
         known = number > 0
-        out[0::2][known] = number[known] // self.base + 1
-        out[1::2][known] = number[known] % self.base + self.base + 2
-        return out.tobytes().decode("utf-32-le", "surrogatepass")
+        out[0::2] = np.where(known, number // self.base + 1, 0)
+        out[1::2] = np.where(known, number % self.base + self.base + 2, 0)
+        letters = out.tobytes().decode("utf-32-le", "surrogatepass")
+        # Windows of known words before each place, to see which texts hold one.
+        sums = np.concatenate([[0], np.cumsum(known)])
+        full = np.concatenate([[0], np.cumsum(sums[WINDOW:] - sums[:-WINDOW] == WINDOW)]) if len(number) >= WINDOW else np.zeros(1, dtype=np.int64)
+        last = np.minimum(np.maximum(cuts[1:] - WINDOW + 1, cuts[:-1]), len(full) - 1)
+        some = full[last] > full[np.minimum(cuts[:-1], len(full) - 1)]
+        return [letters[2 * a : 2 * b] if any_ else "" for a, b, any_ in zip(cuts[:-1].tolist(), cuts[1:].tolist(), some.tolist(), strict=True)]
 
 
 def _automata(letters: _Letters, passages: list[bytes], owners: list[int]) -> Iterator[ahocorasick.Automaton]:
     """Automata for the windows of passages: letters of a window -> its owner."""
     windows: dict[str, int] = {}
-    for passage, owner in zip(passages, owners, strict=True):
-        own = letters.of(passage)
+    for own, owner in zip(letters.of(passages), owners, strict=True):
         for end in range(2 * WINDOW, len(own) + 1, 2):
             window = own[end - 2 * WINDOW : end]
             if windows.setdefault(window, owner) > owner:
                 windows[window] = owner
-    while windows:
+    # In order, so that an automaton has few first letters to try and shares the starts of windows.
+    order = sorted(windows)
+    for shard in range(0, len(order), SHARD):
         automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY)
-        for _ in range(min(SHARD, len(windows))):
-            automaton.add_word(*windows.popitem())
+        for window in order[shard : shard + SHARD]:
+            automaton.add_word(window, windows[window])
         automaton.make_automaton()
         yield automaton
 
@@ -203,7 +211,7 @@ def _remove(key: tuple[pa.Scalar, ...], docs: pa.Table, found: pa.Table) -> pa.T
         passages = [passage.encode() for passage in found.column("passage").to_pylist()]
         letters = _Letters(passages)
         # One at a time: documents of the block, as letters, stay; automata come and go.
-        streamed = [(k, document, letters.of(text)) for k, (document, text) in enumerate(zip(ids, texts, strict=True)) if document is not None]
+        streamed = [(k, document, own) for k, (document, own) in enumerate(zip(ids, letters.of(texts), strict=True)) if own and document is not None]
         for automaton in _automata(letters, passages, found.column("owner").to_pylist()):
             for k, document, own in streamed:
                 here = [end // 2 for end, owner in automaton.iter(own) if owner < document]
@@ -233,14 +241,15 @@ def _remove(key: tuple[pa.Scalar, ...], docs: pa.Table, found: pa.Table) -> pa.T
 
 def _wanted(reported: DataFrame) -> DataFrame:
     """(block of the owner, one, owner, blocks): windows that other documents hold, and the blocks of those."""
-    rows = Window.partitionBy("one", "two")
-    block = F.shiftright("mark", 1)
-    many = F.col("mark").bitwiseAND(F.lit(1))
-    seen = reported.select("one", "two", "least", block.alias("in"), many.alias("many"), F.min(F.struct("least", block.alias("in"))).over(rows).alias("first"))
+    # Dealt by one hash alone: two and the mark travel in one number.
+    rows = reported.repartition("one").withColumn("two", F.shiftright("two_mark", 32).cast("int"))
+    same = Window.partitionBy("one", "two")
+    rows = rows.withColumn("mark", F.col("two_mark").bitwiseAND(F.lit((1 << 32) - 1))).drop("two_mark")
+    rows = rows.select("one", "two", "least", "mark", F.min("least").over(same).alias("owner"), F.min_by("mark", "least").over(same).alias("first"))
     # A block whose only document with a window is the owner has nothing to remove.
-    seen = seen.filter((F.col("first.least") < F.col("least")) | (F.col("many") == 1))
-    lists = seen.groupBy("one", "two", F.col("first.in").alias("block"), F.col("first.least").alias("owner"), F.shiftright("in", NAMED).alias("part"))
-    return lists.agg(F.sort_array(F.collect_list("in")).alias("blocks")).select("block", "one", "owner", "blocks")
+    rows = rows.filter("owner < least OR mark % 2 = 1").select("one", "two", "owner", F.shiftright("first", 1).alias("block"), F.shiftright("mark", 1).alias("in"))
+    lists = rows.groupBy("one", "two", "block", "owner", F.shiftright("in", NAMED).alias("part")).agg(F.sort_array(F.collect_list("in")).alias("blocks"))
+    return lists.select("block", "one", "owner", "blocks")
 
 
 def recurring_passages(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, DataFrame]:
@@ -249,7 +258,7 @@ def recurring_passages(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", block.alias("block"))
     blocks = dealt.groupBy("block")
     anchors = of_several(blocks.applyInArrow(of_group(_report_anchors), "anchor long, mark long"), ["anchor"]).select("block", "anchor")
-    reported = blocks.cogroup(anchors.groupBy("block")).applyInArrow(of_groups(_report_windows), "one long, two int, least long, mark long")
+    reported = blocks.cogroup(anchors.groupBy("block")).applyInArrow(of_groups(_report_windows), "one long, two_mark long, least long")
     passages = blocks.cogroup(_wanted(reported).groupBy("block")).applyInArrow(of_groups(_passages), PASSAGES)
     return dealt, passages.select("owner", "passage", F.explode("blocks").alias("block"))
 
