@@ -9,6 +9,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
+from .memory import release
+
 
 def pieces(batch: pa.RecordBatch, column: str, most_bytes: int) -> Iterator[pa.RecordBatch]:
     """Slices of a batch that hold about `most_bytes` of a text column each, and one row at least."""
@@ -33,9 +35,16 @@ def with_columns(df: DataFrame, text: str, added: str, prepare: Callable[[], Cal
 
     def run(batches):
         function = prepare()
-        for batch in batches:
-            for piece in pieces(batch, text, most_bytes):
-                arrays = function(piece.column(text).to_pylist())
-                yield pa.RecordBatch.from_arrays([*piece.columns, *arrays], names=[*piece.schema.names, *new.names])
+        try:
+            for batch in batches:
+                for piece in pieces(batch, text, most_bytes):
+                    arrays = function(piece.column(text).to_pylist())
+                    yield pa.RecordBatch.from_arrays([*piece.columns, *arrays], names=[*piece.schema.names, *new.names])
+                    del arrays
+                del batch, piece
+                release()
+        finally:
+            del function
+            release()
 
     return df.mapInArrow(run, StructType([*df.schema.fields, *new.fields]))

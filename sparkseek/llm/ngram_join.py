@@ -26,6 +26,7 @@ document of its own; extra columns are ignored; empty tables give no rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -36,8 +37,9 @@ from pyspark.sql import functions as F
 from ..shipping import ship
 from .common import free_name, join_groups, stable, total_bytes, written
 from .components import components
+from .memory import of_group, of_groups
 from .recurring import block_of, marked, of_several, several
-from .words import Words, members, mixed
+from .words import Words, members, mixed, text_pieces
 
 #: What op9 asks for: words of a shingle, and the similarity in hundredths.
 SHINGLE = 3
@@ -81,15 +83,14 @@ def lower(text: str | None) -> bytes:
     return text.encode().lower() if text else b""
 
 
-def shingle_sets(texts: list[bytes], shingle: int = SHINGLE) -> list[np.ndarray]:
-    """The distinct hashed shingles of each text, sorted."""
-    words = Words(texts)
-    runs = [words.runs(length, length) for length in range(1, shingle + 1)]
-    sets = []
-    for start, end in zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True):
-        length = min(shingle, end - start)
-        sets.append(np.unique(runs[length - 1][start : end - length + 1]) if length else np.zeros(0, dtype=np.uint64))
-    return sets
+def shingle_sets(texts: list[bytes], shingle: int = SHINGLE) -> Iterator[np.ndarray]:
+    """The distinct hashed shingles of each text, sorted; words are hashed for a bounded piece of the texts at a time."""
+    for piece in text_pieces(texts):
+        words = Words(piece)
+        runs = [words.runs(length, length) for length in range(1, shingle + 1)]
+        for start, end in zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True):
+            length = min(shingle, end - start)
+            yield np.unique(runs[length - 1][start : end - length + 1]) if length else np.zeros(0, dtype=np.uint64)
 
 
 def _report_prefixes(rule: Rule, key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
@@ -113,7 +114,7 @@ def _sets(rule: Rule, key: tuple[pa.Scalar, ...], docs: pa.Table, seen: pa.Table
     known = np.sort(seen.column("shingle").to_numpy().astype(np.int64).view(np.uint64))
     rows, ids = docs.column("row").to_pylist(), docs.column("doc_id").to_pylist()
     order = np.argsort(rows, kind="stable").tolist()
-    sets = shingle_sets([lower(text) for text in docs.column("text").to_pylist()], rule.shingle)
+    sets = list(shingle_sets([lower(text) for text in docs.column("text").to_pylist()], rule.shingle))
     out, first = [], set()
     for k in order:
         own, n = sets[k], len(sets[k])
@@ -248,16 +249,16 @@ def link_documents(docs: DataFrame, block_bytes: int = BLOCK_BYTES, chunk: int =
     row = F.monotonically_increasing_id()
     block = block_of(total_bytes(docs), F.col("doc_id"), F.octet_length("text"), block_bytes=block_bytes)
     dealt = docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text", block.alias("block")).groupBy("block")
-    seen = of_several(dealt.applyInArrow(lambda key, table: _report_prefixes(rule, key, table), "shingle long, mark long"), ["shingle"]).select("block", "shingle")
-    sets = written(dealt.cogroup(seen.groupBy("block")).applyInArrow(lambda key, docs, seen: _sets(rule, key, docs, seen), SETS), "shingle-sets")
+    seen = of_several(dealt.applyInArrow(of_group(lambda key, table: _report_prefixes(rule, key, table)), "shingle long, mark long"), ["shingle"]).select("block", "shingle")
+    sets = written(dealt.cogroup(seen.groupBy("block")).applyInArrow(of_groups(lambda key, docs, seen: _sets(rule, key, docs, seen)), SETS), "shingle-sets")
 
     classes = sets.filter("set IS NOT NULL").groupBy("set").agg(F.min("row").alias("node"), F.min("doc_id").alias("least"), F.count("*").alias("documents"))
     classes = written(classes, "set-classes")
     open_sets = sets.filter("shingles IS NOT NULL").select("row", "set", "shingles")
     size = sets.agg(F.coalesce(F.sum(F.octet_length("shingles")), F.lit(0))).first()[0]
     dealt = open_sets.withColumn("block", block_of(size, F.col("set"), block_bytes=block_bytes)).groupBy("block")
-    seen = of_several(dealt.applyInArrow(_report_shingles, "shingle long, mark long"), ["shingle"]).select("block", "shingle", F.col("blocks_").alias("blocks"))
-    profiles = written(dealt.cogroup(seen.groupBy("block")).applyInArrow(lambda key, sets, seen: _profiles(rule, key, sets, seen), PROFILES), "profiles")
+    seen = of_several(dealt.applyInArrow(of_group(_report_shingles), "shingle long, mark long"), ["shingle"]).select("block", "shingle", F.col("blocks_").alias("blocks"))
+    profiles = written(dealt.cogroup(seen.groupBy("block")).applyInArrow(of_groups(lambda key, sets, seen: _profiles(rule, key, sets, seen)), PROFILES), "profiles")
 
     links = written(_links_of_clusters(profiles, classes, chunk, least), "links")
     roots = components(links.filter("b IS NOT NULL").select("a", "b")).withColumnRenamed("node", "row")
@@ -300,7 +301,7 @@ def _links_of_clusters(profiles: DataFrame, classes: DataFrame, chunk: int, leas
     full = profiles.join(placed, "row").join(classes.select(F.col("node").alias("row"), "documents"), "row")
     pairs = full.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
     pairs = pairs.withColumn("one", F.least("chunk", "other")).withColumn("two", F.greatest("chunk", "other")).drop("other", "chunks")
-    return pairs.groupBy("cluster", "one", "two").applyInArrow(lambda key, table: _linked(least, key, table), "a long, b long, links long")
+    return pairs.groupBy("cluster", "one", "two").applyInArrow(of_group(lambda key, table: _linked(least, key, table)), "a long, b long, links long")
 
 
 def _unpack(batches):

@@ -53,7 +53,8 @@ def _word_hashes(texts: list[bytes], families: int) -> tuple[list[np.ndarray], n
     return hashes, np.diff(np.searchsorted(start, places))
 
 
-def _pieces(texts: list[bytes]) -> Iterator[list[bytes]]:
+def text_pieces(texts: list[bytes]) -> Iterator[list[bytes]]:
+    """The texts in lists of PIECE_BYTES each, or of one text."""
     piece, size = [], 0
     for text in texts:
         if piece and size + len(text) > PIECE_BYTES:
@@ -69,7 +70,7 @@ class Words:
     """Words of texts (bytes). hashes: of each word; text: number of its text; first: of each text, its first word, and the end."""
 
     def __init__(self, texts: list[bytes], families: int = 1):
-        found = [_word_hashes(piece, families) for piece in _pieces(texts)]
+        found = [_word_hashes(piece, families) for piece in text_pieces(texts)]
         self.families = [np.concatenate([np.zeros(0, dtype=np.uint64), *[hashes[k] for hashes, _ in found]]) for k in range(families)]
         self.hashes = self.families[0]
         self.first = np.cumsum(np.concatenate([[0], *[counts for _, counts in found]]).astype(np.int64))
