@@ -5,7 +5,7 @@ distinct words of a block of the corpus at once: an inverted index holds, for ea
 positions of its pairs in those words; merges are applied in rank order, each to all its positions, and only the two
 neighbours of a merged pair get new index entries. Because merges never cross words, replaying blocks of the corpus in
 parallel gives the same ids as one replay over the whole corpus, and no word table has to be shuffled or broadcast. Words
-that earlier blocks of a task brought are kept, up to a bounded number, and aren't replayed again.
+that earlier blocks of a task brought are kept, up to a bound in bytes, and aren't replayed again.
 
 Defined results: a null text encodes as an empty text, to no ids; null ids decode to empty bytes; special tokens are
 never recognised; extra columns pass through; texts of any length are encoded whole, a single word of any length in
@@ -17,6 +17,7 @@ from __future__ import annotations
 import base64
 import heapq
 import re
+from array import array
 from collections.abc import Callable
 from itertools import chain
 
@@ -31,8 +32,13 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 from ..shipping import ship
 from .arrow import with_columns
 
-#: Words, and pairs of tokens, that a task remembers between blocks.
-REMEMBERED = 400_000
+#: Bytes of words with their ids that a task remembers between blocks, and pairs of tokens.
+REMEMBERED_BYTES = 48 << 20
+REMEMBERED_PAIRS = 150_000
+#: What an entry takes besides its characters and ids.
+ENTRY_BYTES = 190
+#: Text bytes in a block.
+BLOCK_BYTES = 2 << 20
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -62,7 +68,7 @@ class Replay:
     def _merge(self, words: list[bytes]) -> list[tuple[int, ...]]:
         if not words:
             return []
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > REMEMBERED_PAIRS:
             self.known.clear()
         known, ranks, token = self.known, self.ranks, self.token
         # All words lie in one row of symbols. after/before skip symbols that went into a merge; -1 ends a word.
@@ -173,20 +179,32 @@ def splitter(pattern: str) -> Callable[[str], list[str]]:
     return lambda text: full(text) if beyond(text) else quick(text)
 
 
-def _encode(vocabulary: Broadcast, pattern: str):
+def _encode(vocabulary: Broadcast, pattern: str, decoded: bool = False):
+    """Ids of texts, and with `decoded` the bytes that those ids stand for."""
+
     def prepare():
         split, replay = splitter(pattern), Replay(vocabulary.value)
-        ids_of: dict[str, tuple[int, ...]] = {}
+        token = replay.token.__getitem__
+        ids_of: dict[str, bytes] = {}
+        size = 0
 
         def run(texts: list) -> list[pa.Array]:
-            if len(ids_of) > REMEMBERED:
+            nonlocal size
+            if size > REMEMBERED_BYTES:
                 ids_of.clear()
+                size = 0
             split_texts = [split(text) if text else [] for text in texts]
             fresh = list(set(chain.from_iterable(split_texts)).difference(ids_of))
-            ids_of.update(zip(fresh, replay.encode([word.encode() for word in fresh]), strict=True))
-            values = [np.fromiter(chain.from_iterable(map(ids_of.__getitem__, words)), dtype=np.int32) for words in split_texts]
-            offsets = np.cumsum([0, *map(len, values)])
-            return [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(values) if values else [], pa.int32()))]
+            for word, ids in zip(fresh, replay.encode([word.encode() for word in fresh]), strict=True):
+                packed = ids_of[word] = array("i", ids).tobytes()
+                size += ENTRY_BYTES + len(word) + len(packed)
+            values = [b"".join(map(ids_of.__getitem__, words)) for words in split_texts]
+            offsets = np.cumsum([0, *(len(value) // 4 for value in values)])
+            flat = np.frombuffer(b"".join(values), dtype=np.int32)
+            found = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))]
+            if decoded:
+                found.append(pa.array([b"".join(map(token, np.frombuffer(value, dtype=np.int32).tolist())) for value in values], pa.binary()))
+            return found
 
         return run
 
@@ -197,7 +215,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
     """The frame with a column of token ids. The vocabulary has a fixed size and is broadcast."""
     spark = docs.sparkSession
     ship(spark)
-    return with_columns(docs, text, f"`{ids}` array<int>", _encode(spark.sparkContext.broadcast(ranks), pattern))
+    return with_columns(docs, text, f"`{ids}` array<int>", _encode(spark.sparkContext.broadcast(ranks), pattern), BLOCK_BYTES)
 
 
 def decode(tokens: DataFrame, ranks: dict[bytes, int], ids: str = "ids", decoded: str = "decoded") -> DataFrame:
@@ -218,9 +236,13 @@ def decode(tokens: DataFrame, ranks: dict[bytes, int], ids: str = "ids", decoded
 
 
 def with_digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
-    """Of documents (doc_id, text): doc_id, ids, n_tokens, and SHA-256 of the ids in decimal, joined by commas, and of the decoded bytes."""
-    encoded = encode(docs.select("doc_id", "text"), ranks, pattern)
-    decoded = decode(encoded.select("doc_id", "ids"), ranks)
+    """Of documents (doc_id, text): doc_id, ids, n_tokens, and SHA-256 of the ids in decimal, joined by commas, and of the decoded bytes.
+
+    Encodes and decodes in one pass, so that a task needs one Python worker."""
+    spark = docs.sparkSession
+    ship(spark)
+    function = _encode(spark.sparkContext.broadcast(ranks), pattern, decoded=True)
+    decoded = with_columns(docs.select("doc_id", "text"), "text", "ids array<int>, decoded binary", function, BLOCK_BYTES)
     return decoded.select(
         "doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
