@@ -42,6 +42,8 @@ SHARD_BYTES = 16 << 20
 BLOCK = 128
 #: (query, term) pairs that are sent to the shards at a time.
 ROUND_TERMS = 50_000
+#: Tasks that the shards are dealt to at most.
+MOST_TASKS = 20_000
 #: Documents that are looked at together; the bar rises from one such range to the next.
 RANGE = 1 << 13
 
@@ -319,7 +321,8 @@ class LexicalIndex:
         pairs = written(queries.select("query", F.explode(found).alias("term")).groupBy("query", "term").agg(F.count("*").alias("times")), "query-terms")
         rounds = 1 + pairs.count() // round_terms
         rows = self.rows()
-        n_documents, n_terms = rows.filter("term IS NULL").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
+        heads = rows.filter("term IS NULL").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0)), F.count("*"))
+        n_documents, n_terms, shards = heads.first()
         answers = new_folder(spark, "answers")
         for number in range(rounds):
             # Some `round_terms` pairs, so all that is sent out or collected here is bounded.
@@ -334,6 +337,8 @@ class LexicalIndex:
             shared = spark.sparkContext.broadcast((sorted(by_query.items()), n_documents, n_terms))
             wanted = F.broadcast(terms.unionByName(spark.range(1).select(F.lit(None).cast("string").alias("term"))).withColumnRenamed("term", "wanted"))
             postings = rows.join(wanted, F.col("term").eqNullSafe(F.col("wanted")), "left_semi")
+            # Shards take long for their size, so each may be a task of its own.
+            postings = postings.repartition(max(1, min(shards, MOST_TASKS)), "batch", "shard")
             best = postings.groupBy("batch", "shard").applyInArrow(_answering(shared, k), ANSWERS)
             best.write.mode("append").parquet(answers)
             shared.unpersist()
