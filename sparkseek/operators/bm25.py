@@ -3,33 +3,22 @@
 Scale notes
 * Term counts of a document are taken inside its own row (sort the tokens, measure the runs), so counting needs no
   shuffle.
-* Counted documents and the vocabulary are written once; every later step reads those tables. The vocabulary shuffle
-  carries one pre-aggregated row per (store, term) and task.
-* Queries come in blocks of bounded size, a batch of any size in one pass over the documents: a task looks up the terms
-  of a batch of rows at once, sums the weights of its own documents and keeps its best k per query and store. Neither
-  postings nor (query, document) pairs are shuffled, and a word that occurs in most documents costs no more than any other.
+* The vocabulary comes from the sizes of the postings (`postings.py`), one row per term and slice of documents.
+* Queries are scored against the postings of their terms, in blocks of bounded size; neither all terms of a document nor
+  (query, document) pairs are handed on.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..config import Bm25, Limits
 from ..functions import text as X
 from ..functions.paths import bound
 from ..sizes import fits, small_side
 from ..workspace import written
-from .topk import BLOCK_ROWS, RunningBest, leading, query_blocks
-
-# Pairs of posting and query that a task expands at a time.
-ENTRIES = 2_000_000
+from . import postings
 
 
 def term_counts(tokens: Column) -> Column:
@@ -100,111 +89,6 @@ def term_weights(idf: DataFrame, queries: DataFrame, small: bool) -> DataFrame:
     )
 
 
-def _tables(rows: list) -> dict:
-    """Per store, the terms that some query of a block asks for, and for each its queries and weights."""
-    by_store: dict = {}
-    for r in rows:
-        by_store.setdefault(r["store"], {}).setdefault(r["term"], []).append((r["query_id"], r["w"]))
-    tables = {}
-    for store, terms in by_store.items():
-        ids = sorted({q for entries in terms.values() for q, _ in entries})
-        number = {q: i for i, q in enumerate(ids)}
-        entries = list(terms.values())
-        tables[store] = (
-            np.array(ids, dtype=object),
-            pa.array(terms, pa.string()),
-            np.cumsum([0] + [len(e) for e in entries]),
-            np.array([number[q] for e in entries for q, _ in e], dtype=np.int64),
-            np.array([w for e in entries for _, w in e]),
-        )
-    return tables
-
-
-def _scored(docs: DataFrame, blocks: list[Broadcast], stats: DataFrame, id_field: T.StructField, k: int, keys: list[str], params: Bm25) -> DataFrame:
-    """Best k candidates per query, store and task, scored where the documents are, in one pass for all blocks of queries."""
-    lengths = {r["store"]: r["avgdl"] for r in stats.collect()}  # one row per store
-    schema = T.StructType([id_field] + [docs.schema[c] for c in ["store", *keys]] + [T.StructField("score", T.DoubleType())])
-    k1, b = params.k1, params.b
-
-    def score(doc, term, tf, norm, table, n_docs) -> np.ndarray:
-        """Scores of some documents for all queries of a table; one entry per posting and query that asks for its term."""
-        ids, _, bounds, query_no, weight = table
-        gain = tf * (k1 + 1) / (tf + norm[doc])
-        width = bounds[term + 1] - bounds[term]
-        entry = np.arange(width.sum()) + np.repeat(bounds[term] - np.concatenate([[0], np.cumsum(width)[:-1]]), width)
-        cell = np.repeat(doc * len(ids), width) + query_no[entry]
-        total = np.bincount(cell, np.repeat(gain, width) * weight[entry], n_docs * len(ids))
-        return np.round(total, 9).reshape(n_docs, len(ids))
-
-    def pieces(doc, width, n_docs):
-        """Runs of documents with a bounded number of entries each."""
-        per_doc = np.bincount(doc, width, n_docs)
-        start = size = 0
-        for i, own in enumerate(per_doc):
-            if i > start and (size + own > ENTRIES or i - start >= BLOCK_ROWS):
-                yield start, i
-                start, size = i, 0
-            size += own
-        yield start, n_docs
-
-    def scan(batches):
-        best = RunningBest(k, ["query_id", "store"], keys)
-        for batch in batches:
-            frame = pa.Table.from_batches([batch]).sort_by([(key, "ascending") for key in keys])
-            terms, tfs = frame.column("_terms").combine_chunks(), frame.column("_tfs").combine_chunks()
-            doc_of = pc.list_parent_indices(terms).to_numpy()
-            flat, tf_of = terms.flatten(), tfs.flatten().to_numpy().astype(np.float64)
-            stores = frame.column("store").to_numpy(zero_copy_only=False)
-            dl = frame.column("dl").to_numpy().astype(np.float64)
-            names = frame.select(["store", *keys]).to_pandas()
-            for block in blocks:
-                for store, table in block.value.items():
-                    number = pc.fill_null(pc.index_in(flat, value_set=table[1]), -1).to_numpy()
-                    wanted = np.flatnonzero((number >= 0) & (stores[doc_of] == store))
-                    doc, term, tf = doc_of[wanted], number[wanted].astype(np.int64), tf_of[wanted]
-                    rows, doc = np.unique(doc, return_inverse=True)
-                    if not len(rows):
-                        continue
-                    norm = k1 * ((1 - b) + b * dl[rows] / lengths[store])
-                    for start, end in pieces(doc, (table[2][term + 1] - table[2][term]).astype(np.float64), len(rows)):
-                        here = (doc >= start) & (doc < end)
-                        scores = score(doc[here] - start, term[here], tf[here], norm[start:end], table, end - start)
-                        row, col = leading(scores, k)
-                        positive = scores[row, col] > 0
-                        row, col = row[positive], col[positive]
-                        part = names.iloc[rows[start + row]].reset_index(drop=True)
-                        part["query_id"], part["score"] = table[0][col], scores[row, col]
-                        best.add(part)
-        result = best.result()
-        if result is not None:
-            yield from pa.Table.from_pandas(result[["query_id", "store", *keys, "score"]], to_arrow_schema(schema), preserve_index=False).to_batches()
-
-    columns = ["store", *keys, "dl", F.col("terms.term").alias("_terms"), F.col("terms.tf").alias("_tfs")]
-    return docs.where(F.size("terms") > 0).select(*columns).mapInArrow(scan, schema)
-
-
-def top_k(
-    docs: DataFrame,
-    idf: DataFrame,
-    stats: DataFrame,
-    queries: DataFrame,
-    k: int,
-    keys: list[str],
-    params: Bm25 = Bm25(),
-    limits: Limits = Limits(),
-) -> DataFrame:
-    """query_id, store, keys, score, rank: best k documents per query and store with a positive score.
-
-    `docs` are counted documents. Scores have nine decimals; equal scores stay in key order.
-    """
-    weights = written(term_weights(idf, queries, fits(queries, limits)), "bm25-weights")
-    spark = docs.sparkSession
-    blocks = [spark.sparkContext.broadcast(_tables(rows)) for rows in query_blocks(weights, limits.weights_per_block, "query_id")]
-    scored = _scored(docs, blocks, stats, weights.schema["query_id"], k, keys, params)
-    w = Window.partitionBy("query_id", "store").orderBy(F.desc("score"), *keys)
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
 def search(
     docs: DataFrame,
     queries: DataFrame,
@@ -215,7 +99,11 @@ def search(
     limits: Limits = Limits(),
 ) -> DataFrame:
     """BM25 top-k straight from texts: `docs` has store, keys and text; `queries` has query_id and query."""
-    corpus = written(counted(docs, keys, text), "bm25-terms")
+    small = fits(queries, limits)
+    corpus = written(postings.placed(counted(docs, keys, text), ["store", *keys]), "bm25-terms")
     vocab = written(vocabulary(corpus), "bm25-vocabulary")
     stats = written(collection_stats(corpus, vocab), "bm25-stats")
-    return top_k(corpus, with_idf(vocab, stats, params), stats, queries, k, keys, params, limits)
+    # For one batch, the part of an index that its terms need.
+    index = postings.postings(corpus, small_side(query_terms(queries).select("term").distinct(), small))
+    weights = term_weights(with_idf(vocab, stats, params), queries, small)
+    return postings.top_k(index if small else written(index, "bm25-postings"), corpus, weights, stats, k, keys, params, limits)

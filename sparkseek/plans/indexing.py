@@ -12,6 +12,7 @@ from ..functions import paths as P
 from ..functions import text as X
 from ..functions import vectors as V
 from ..operators import bm25
+from ..operators import postings as inverted
 from ..operators.chunking import chunk_files
 from ..sources import changes as C
 from ..sources import stores as S
@@ -38,13 +39,16 @@ def _write_store(spark: SparkSession, folder: str, chunks: DataFrame, files: Dat
     """Write a complete new data folder, then point the manifest at it."""
     data = f"v-{uuid.uuid4().hex}"
     at = f"{folder}/{data}"
-    chunks.write.parquet(f"{at}/chunks")
-    written = spark.read.parquet(f"{at}/chunks").withColumn("store", F.lit("s"))
-    bm25.vocabulary(written).drop("store").write.parquet(f"{at}/vocabulary")
+    inverted.placed(chunks, ["path", "idx", "content_len"]).write.parquet(f"{at}/chunks")
+    documents = spark.read.parquet(f"{at}/chunks").withColumn("store", F.lit("s"))
+    inverted.write(inverted.postings(documents).drop("store"), f"{at}/postings")
+    postings = spark.read.parquet(f"{at}/postings").withColumn("store", F.lit("s"))
+    inverted.vocabulary(postings).drop("store").write.parquet(f"{at}/vocabulary")
     vocabulary = spark.read.parquet(f"{at}/vocabulary").withColumn("store", F.lit("s"))
-    bm25.collection_stats(written, vocabulary).drop("store").coalesce(1).write.parquet(f"{at}/stats")
+    stats = bm25.collection_stats(documents, vocabulary)
+    stats.drop("store").coalesce(1).write.parquet(f"{at}/stats")
     files.write.parquet(f"{at}/files")
-    result = S.Manifest(count=written.count(), data=data, **manifest)
+    result = S.Manifest(count=documents.count(), data=data, **manifest)
     S.write_manifest(spark, folder, result)
     return result
 

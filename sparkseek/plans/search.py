@@ -12,7 +12,7 @@ from ..config import Settings
 from ..functions import paths as P
 from ..functions import text as X
 from ..functions import vectors as V
-from ..operators import bm25, dense, exact, fusion, priors, rerank
+from ..operators import bm25, dense, exact, fusion, postings, priors, rerank
 from ..sizes import fits, small_side
 from ..sources.files import TRUNCATED
 from ..sources.stores import CompositeStore
@@ -55,7 +55,10 @@ class HybridSearch:
         s = self.settings
         stats = self.store.table("stats")
         idf = bm25.with_idf(self.store.table("vocabulary"), stats, s.bm25)
-        hits = bm25.top_k(self.store.table("chunks"), idf, stats, queries, s.retrieval.k_bm25, KEYS, s.bm25, s.limits)
+        weights = bm25.term_weights(idf, queries, fits(queries, s.limits))
+        hits = postings.top_k(
+            self.store.table("postings"), self.store.table("documents"), weights, stats, s.retrieval.k_bm25, KEYS, s.bm25, s.limits
+        )
         return fusion.rank_across_stores(hits, KEYS, s.ranking.rank_scope)
 
     def exact_hits(self, queries: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@
     <root>/<customer>/<project>/<version>/       one customer's layer
 
 Each holds `manifest.json`, which names the data folder currently in force, and that folder with the tables `chunks`,
-`vocabulary`, `stats` and `files`. A rebuild writes a new data folder and then replaces the manifest, so readers always
+`postings`, `vocabulary`, `stats` and `files`. A rebuild writes a new data folder and then replaces the manifest, so readers always
 see one complete version. A session only ever reads the folders of its own tenant: there is no filter to forget.
 """
 
@@ -19,9 +19,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import bm25
+from ..operators import bm25, postings
+from ..workspace import written
 from .shared_files import exists, open_fs
 
+#: Tables of a store's data folder.
+TABLES = ("chunks", "postings", "vocabulary", "stats", "files")
 _SAFE = re.compile(r"[A-Za-z0-9][A-Za-z0-9._-]*")
 
 
@@ -129,7 +132,11 @@ def _open_folder(spark: SparkSession, folder: str, name: str, embed_model: str |
             "re-index it or change the setting"
         )
     data = f"{folder}/{manifest.data}" if manifest and manifest.data else folder
-    tables = {t: spark.read.parquet(f"{data}/{t}") for t in ("chunks", "vocabulary", "stats", "files") if exists(spark, f"{data}/{t}")}
+    tables = {t: spark.read.parquet(f"{data}/{t}") for t in TABLES if exists(spark, f"{data}/{t}")}
+    if "chunks" in tables and "postings" not in tables:  # written before there were postings
+        tables |= _derived(tables["chunks"])
+    elif "chunks" in tables:
+        tables["documents"] = tables["chunks"]
     return Layer(name, tables, manifest)
 
 
@@ -140,11 +147,18 @@ def open_flat(spark: SparkSession, folder: str) -> CompositeStore:
         tokens = chunks.withColumn("_tokens", F.col("tokens") if "tokens" in chunks.columns else X.code_tokens("content"))
         chunks = tokens.withColumn("dl", F.size("_tokens")).withColumn("terms", bm25.term_counts(F.col("_tokens"))).drop("_tokens")
     chunks = chunks.withColumn("content_len", F.length("content"))
-    labelled = chunks.withColumn("store", F.lit("base"))
-    vocabulary = bm25.vocabulary(labelled)
-    stats = bm25.collection_stats(labelled, vocabulary)
-    tables = {"chunks": chunks, "vocabulary": vocabulary.drop("store"), "stats": stats.drop("store")}
-    return CompositeStore([Layer("base", tables, None)], name="flat")
+    return CompositeStore([Layer("base", {"chunks": chunks} | _derived(chunks), None)], name="flat")
+
+
+def _derived(chunks: DataFrame) -> dict:
+    """The search tables of chunks that a store holds none for, written for the application."""
+    keys = ["path", "idx", "content_len"]
+    documents = written(postings.placed(chunks.select(*keys, "dl", "terms"), keys), "flat-documents").withColumn("store", F.lit("base"))
+    rows = written(postings.postings(documents), "flat-postings")
+    vocabulary = postings.vocabulary(rows)
+    stats = bm25.collection_stats(documents, vocabulary)
+    frames = {"documents": documents.drop("terms"), "postings": rows, "vocabulary": vocabulary, "stats": stats}
+    return {name: frame.drop("store") for name, frame in frames.items()}
 
 
 class StoreProvider:
