@@ -40,9 +40,10 @@ class Retrieval:
     k_bm25: int = 20
     k_exact: int = 20
     k_final: int = 12
-    max_keywords: int = 8
-    exact_content_chars: int = 2000
-    rerank_content_chars: int = 1500
+    # Without a number: all keywords, whole files, whole contents.
+    max_keywords: int | None = None
+    exact_content_chars: int | None = None
+    rerank_content_chars: int | None = None
     max_file_chars: int = 14_000
     embed_model: str = "hashing-64"
     embed_dim: int = 64
@@ -58,7 +59,7 @@ class Retrieval:
 @dataclass(frozen=True)
 class Loop:
     max_tool_steps: int = 8
-    max_specialists: int = 5
+    max_specialists: int | None = None
     max_debate_rounds: int = 3
     patch_max_tries: int = 2
     patch_context_chars: int = 24_000

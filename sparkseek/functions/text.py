@@ -153,5 +153,5 @@ def framed_task(report, log) -> Column:
         "2) Rank candidate files by layer.\n3) State a root-cause hypothesis.\n"
         "4) If confident, propose minimal unified diffs.\n",
         F.coalesce(_col(report), F.lit("")),
-        F.substring(F.coalesce(_col(log), F.lit("")), 1, 6000),
+        F.coalesce(_col(log), F.lit("")),
     )

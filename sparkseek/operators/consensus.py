@@ -14,8 +14,8 @@ def _tagged(blob: Column, rules) -> list[Column]:
     return [F.when(P.contains_any(blob, words), F.lit(layer)) for words, layer in rules]
 
 
-def route_layers(report, layer, candidate_layers, path_blob, max_layers: int = 5) -> Column:
-    """Layers whose specialists look at a bug, strongest reason first.
+def route_layers(report, layer, candidate_layers, path_blob, max_layers: int | None = None) -> Column:
+    """Layers whose specialists look at a bug, strongest reason first; with a number that many at most.
 
     Priority words of the report, the committed layer, candidate layers, path hints, then other words of the report.
     `path_blob` is the text of all paths concerned.
@@ -29,7 +29,8 @@ def route_layers(report, layer, candidate_layers, path_blob, max_layers: int = 5
         P.bound(q, lambda x: F.array(*_tagged(x, fv.KEYWORD_LAYERS))),
     )
     known = F.filter(wanted, lambda l: l.isin(*fv.SPECIALIST_LAYERS))
-    return F.slice(F.array_distinct(known), 1, max_layers)
+    layers = F.array_distinct(known)
+    return layers if max_layers is None else F.slice(layers, 1, max_layers)
 
 
 def context_packs(layer, report, path_blob) -> Column:

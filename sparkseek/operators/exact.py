@@ -73,15 +73,17 @@ def matches(texts: DataFrame, patterns: DataFrame, keys: list[str], text: str, k
     return texts.select(*keys, text).mapInPandas(scan, schema)
 
 
-def query_keywords(queries: DataFrame, max_keywords: int, query: str = "query") -> DataFrame:
-    """query_id, keyword (lower case): the strongest keywords of each query."""
-    words = F.slice(X.code_keywords(query), 1, max_keywords)
+def query_keywords(queries: DataFrame, max_keywords: int | None = None, query: str = "query") -> DataFrame:
+    """query_id, keyword (lower case): the keywords of each query, with a number its strongest ones."""
+    words = X.code_keywords(query)
+    if max_keywords is not None:
+        words = F.slice(words, 1, max_keywords)
     return queries.select("query_id", F.explode(words).alias("keyword")).select(
         "query_id", F.lower("keyword").alias("keyword")
     ).distinct()
 
 
-def top_k(files: DataFrame, queries: DataFrame, k: int, roots, max_keywords: int = 8, text: str = "text",
+def top_k(files: DataFrame, queries: DataFrame, k: int, roots, max_keywords: int | None = None, text: str = "text",
           limits: Limits = Limits(), carry: list[str] = ()) -> DataFrame:
     """query_id, path, rank, score: the first k files per query in (root, path) order, score 1 / rank.
 

@@ -151,9 +151,10 @@ def _trimmed(column: str) -> Column:
     return F.filter(F.transform(items, lambda t: X.strip(t)), lambda t: t != "")
 
 
-def with_fallback_candidates(diagnoses: DataFrame, hits: DataFrame, k: int = 8) -> DataFrame:
-    """Diagnoses whose candidates are empty get the run's k best search hits (run_id, rank, path, layer, score)."""
-    shown = hits.where((F.col("rank") <= k) & (F.col("path") != "")).groupBy("run_id").agg(
+def with_fallback_candidates(diagnoses: DataFrame, hits: DataFrame, k: int | None = None) -> DataFrame:
+    """Diagnoses whose candidates are empty get the run's search hits (run_id, rank, path, layer, score), with k the best k."""
+    wanted = F.lit(True) if k is None else F.col("rank") <= k
+    shown = hits.where(wanted & (F.col("path") != "")).groupBy("run_id").agg(
         F.array_sort(F.collect_list(F.struct("rank", "path", "layer", "score"))).alias("_hits")
     )
     fallback = F.transform(

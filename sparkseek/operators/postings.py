@@ -36,30 +36,30 @@ LISTS = ("docs", "tfs", "dls")
 
 
 def placed(docs: DataFrame, keys: list[str]) -> DataFrame:
-    """The documents with slice and doc, their place in the index. Numbers hold once only, so write the frame before it is read twice."""
+    """The documents with _slice and _doc, their place in the index. Numbers hold once only, so write the frame before it is read twice."""
     place = docs.sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id())
     doc = F.col("_at").bitwiseAND(F.lit((1 << SLICE_BITS) - 1)).cast("int")
-    return place.withColumns({"slice": F.shiftright("_at", SLICE_BITS), "doc": doc}).drop("_at")
+    return place.withColumns({"_slice": F.shiftright("_at", SLICE_BITS), "_doc": doc}).drop("_at")
 
 
 def postings(documents: DataFrame, asked: DataFrame | None = None) -> DataFrame:
-    """store, bucket, term, slice, n, most, least, docs, tfs, dls of placed documents; with `asked` (term) of those terms only."""
-    each = documents.select("store", "slice", "doc", "dl", F.explode("terms").alias("t")).select("store", "slice", "doc", "dl", "t.term", "t.tf")
+    """store, bucket, term, _slice, n, most, least, docs, tfs, dls of placed documents; with `asked` (term) of those terms only."""
+    each = documents.select("store", "_slice", "_doc", "dl", F.explode("terms").alias("t")).select("store", "_slice", "_doc", "dl", "t.term", "t.tf")
     if asked is not None:
         each = each.join(asked, "term", "left_semi")
-    lists = each.groupBy("store", "slice", "term").agg(
-        F.sort_array(F.collect_list(F.struct("doc", "tf", "dl"))).alias("_p"),  # at most the documents of a slice
+    lists = each.groupBy("store", "_slice", "term").agg(
+        F.sort_array(F.collect_list(F.struct("_doc", "tf", "dl"))).alias("_p"),  # at most the documents of a slice
         F.max("tf").alias("most"), F.min("dl").alias("least"),
     )
     return lists.select(
-        "store", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int").alias("bucket"), "term", "slice", F.size("_p").alias("n"), "most", "least",
-        F.col("_p.doc").alias("docs"), F.col("_p.tf").alias("tfs"), F.col("_p.dl").alias("dls"),
+        "store", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int").alias("bucket"), "term", "_slice", F.size("_p").alias("n"), "most", "least",
+        F.col("_p._doc").alias("docs"), F.col("_p.tf").alias("tfs"), F.col("_p.dl").alias("dls"),
     )
 
 
 def write(rows: DataFrame, path: str) -> None:
     """The index, a folder per bucket, sorted by term so that readers skip what they don't ask for."""
-    rows.repartition("bucket").sortWithinPartitions("bucket", "term", "slice").write.partitionBy("bucket").parquet(path)
+    rows.repartition("bucket").sortWithinPartitions("bucket", "term", "_slice").write.partitionBy("bucket").parquet(path)
 
 
 def vocabulary(rows: DataFrame) -> DataFrame:
@@ -122,16 +122,16 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, pa.Ta
     held: list[pa.Table] = []
     for batch in batches:
         frame = pa.Table.from_batches([batch])
-        store, number = frame.column("store").to_pylist(), frame.column("slice").to_numpy()
+        store, number = frame.column("store").to_pylist(), frame.column("_slice").to_numpy()
         cuts = [i for i in range(1, len(store)) if store[i] != store[i - 1] or number[i] != number[i - 1]]
         for start, end in zip([0, *cuts], [*cuts, len(store)], strict=True):
-            if held and (held[0].column("store")[0].as_py(), held[0].column("slice")[0].as_py()) != (store[start], number[start]):
-                yield held[0].column("store")[0].as_py(), held[0].column("slice")[0].as_py(), pa.concat_tables(held)
+            if held and (held[0].column("store")[0].as_py(), held[0].column("_slice")[0].as_py()) != (store[start], number[start]):
+                yield held[0].column("store")[0].as_py(), held[0].column("_slice")[0].as_py(), pa.concat_tables(held)
                 held = []
             if end > start:
                 held.append(frame.slice(start, end - start))
     if held:
-        yield held[0].column("store")[0].as_py(), held[0].column("slice")[0].as_py(), pa.concat_tables(held)
+        yield held[0].column("store")[0].as_py(), held[0].column("_slice")[0].as_py(), pa.concat_tables(held)
 
 
 def _scan(block: Broadcast, means: dict[str, float], k: int, params: Bm25, query_type: pa.DataType):
@@ -180,7 +180,7 @@ def _scan(block: Broadcast, means: dict[str, float], k: int, params: Bm25, query
                 yield pa.RecordBatch.from_arrays([
                     pa.array(ids, query_type), pa.array([store] * len(ids), pa.string()), pa.array(places[:, 0]),
                     pa.array(places[:, 1].astype(np.int32)), pa.array(np.concatenate([score for score, _ in found.held])),
-                ], names=["query_id", "store", "slice", "doc", "score"])
+                ], names=["query_id", "store", "_slice", "_doc", "score"])
 
     return run
 
@@ -189,13 +189,13 @@ def top_k(index: DataFrame, documents: DataFrame, weights: DataFrame, stats: Dat
           params: Bm25 = Bm25(), limits: Limits = Limits()) -> DataFrame:
     """query_id, store, keys, score, rank: best k documents per query and store with a positive score.
 
-    `weights` has store, term, query_id, w; `documents` the keys of slice and doc. Scores have nine decimals; equal scores
+    `weights` has store, term, query_id, w; `documents` the keys of _slice and _doc. Scores have nine decimals; equal scores
     stay in key order.
     """
     spark = index.sparkSession
     id_field = weights.schema["query_id"]
     means = {r["store"]: r["avgdl"] for r in stats.select("store", "avgdl").collect()}  # one row per store
-    schema = T.StructType([id_field, *T.StructType.fromDDL("store string, slice long, doc int, score double").fields])
+    schema = T.StructType([id_field, *T.StructType.fromDDL("store string, _slice long, _doc int, score double").fields])
     asked_schema = T.StructType.fromDDL("store string, bucket int, term string")
 
     def answered(rows: list) -> DataFrame:
@@ -206,8 +206,8 @@ def top_k(index: DataFrame, documents: DataFrame, weights: DataFrame, stats: Dat
         block = spark.sparkContext.broadcast({store: _Queries(own) for store, own in by_store.items()})
         asked = spark.createDataFrame(sorted({(r["store"], r["bucket"], r["term"]) for r in rows}), asked_schema)
         buckets = sorted({r["bucket"] for r in rows})  # at most BUCKETS
-        lists = index.where(F.col("bucket").isin(buckets)).join(F.broadcast(asked), ["store", "bucket", "term"]).select("store", "slice", "term", "most", "least", *LISTS)
-        lists = lists.repartition("store", "slice").sortWithinPartitions("store", "slice")
+        lists = index.where(F.col("bucket").isin(buckets)).join(F.broadcast(asked), ["store", "bucket", "term"]).select("store", "_slice", "term", "most", "least", *LISTS)
+        lists = lists.repartition("store", "_slice").sortWithinPartitions("store", "_slice")
         return lists.mapInArrow(_scan(block, means, k, params, to_arrow_type(id_field.dataType)), schema)
 
     weights = weights.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int"))
@@ -220,6 +220,6 @@ def top_k(index: DataFrame, documents: DataFrame, weights: DataFrame, stats: Dat
         for rows in query_blocks(weights, limits.weights_per_block, "query_id"):
             answered(rows).write.mode("append").parquet(found)
         best = spark.read.schema(schema).parquet(found)
-    hits = documents.select("store", "slice", "doc", *keys).join(best, ["store", "slice", "doc"])
+    hits = documents.select("store", "_slice", "_doc", *keys).join(best, ["store", "_slice", "_doc"])
     order = Window.partitionBy("query_id", "store").orderBy(F.desc("score"), *keys)
     return hits.select("query_id", "store", *keys, "score", F.row_number().over(order).alias("rank")).where(F.col("rank") <= k)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Settings
+from ..functions import text as X
 from ..functions import vectors as V
 from .fusion import best
 
@@ -43,7 +44,7 @@ def blend(pool: DataFrame, raw: Column, normed: Column, k: int, weight: float) -
 
 def by_pairs(pool: DataFrame, scorer: PairScorer, k: int, settings: Settings = Settings()) -> DataFrame:
     """Rerank with a pair scorer; pool has query, path, content, score."""
-    document = F.concat(F.col("path"), F.lit("\n"), F.substring(F.coalesce("content", F.lit("")), 1, settings.retrieval.rerank_content_chars))
+    document = F.concat(F.col("path"), F.lit("\n"), X.cut(F.coalesce("content", F.lit("")), settings.retrieval.rerank_content_chars))
     raw = scorer(F.col("query"), document).cast("double")
     return blend(pool, raw, V.sigmoid(F.col("rerank_raw")), k, settings.ranking.rerank_blend)
 
@@ -51,7 +52,7 @@ def by_pairs(pool: DataFrame, scorer: PairScorer, k: int, settings: Settings = S
 def by_embedding(pool: DataFrame, embed, k: int, settings: Settings = Settings()) -> DataFrame:
     """Rerank with the cosine of query_vector and content embedding, mapped from [-1, 1] to [0, 1]."""
     content = F.when(F.coalesce(F.length("content"), F.lit(0)) > 0, F.col("content")).otherwise(F.col("path"))
-    embedded = pool.withColumn("_dv", embed(F.substring(content, 1, settings.retrieval.rerank_content_chars)))
+    embedded = pool.withColumn("_dv", embed(X.cut(content, settings.retrieval.rerank_content_chars)))
     similarity = F.round(V.cosine("query_vector", "_dv"), 9)
     ranked = blend(
         embedded, similarity, V.clamp((F.col("rerank_raw") + 1.0) / 2.0), k, settings.ranking.rerank_blend

@@ -136,10 +136,10 @@ def patch_loop(targets: DataFrame, patcher: Patcher | None, settings: Settings =
 
 
 def finalise(diagnoses: DataFrame, hits: DataFrame, consensus: DataFrame | None = None, notes: DataFrame | None = None,
-             patches: DataFrame | None = None, k: int = 8) -> DataFrame:
+             patches: DataFrame | None = None, k: int | None = None) -> DataFrame:
     """One finished report per diagnosis: run_id, report, review, candidates, fallback.
 
-    Diagnoses without candidates get the best of the run's search hits (run_id, rank, path, layer, score). The report
+    Diagnoses without candidates get the run's search hits, with k the best k (run_id, rank, path, layer, score). The report
     is the diagnosis, the consensus (bug_id, summary, force_human_review), the specialists' notes and the patch with its
     note, as far as there are any; drafts of diffs outside the patch are dropped.
     """

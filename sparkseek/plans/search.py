@@ -65,7 +65,8 @@ class HybridSearch:
         """query_id, path, content_len, score, rank."""
         r = self.settings.retrieval
         full = F.length("text")
-        shown = F.when(full > r.exact_content_chars, F.lit(r.exact_content_chars + len(TRUNCATED))).otherwise(full)
+        most = r.exact_content_chars
+        shown = full if most is None else F.when(full > most, F.lit(most + len(TRUNCATED))).otherwise(full)
         return exact.top_k(
             self.files.withColumn("content_len", shown), queries, r.k_exact, self.index_roots(), r.max_keywords,
             limits=self.settings.limits, carry=["content_len"],

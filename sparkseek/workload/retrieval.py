@@ -13,7 +13,6 @@ from ..operators import bm25, dense, exact, fusion
 from ..plans import indexing
 from ..plans.search import HybridSearch, cached_search, search_line
 from ..sources import stores as S
-from ..sources.files import TRUNCATED
 from ..workspace import new_folder
 from . import data as D
 from .chunks import sql_windows
@@ -64,8 +63,6 @@ def sql_hash_vectors(relation: str, keys: str, text: str, name: str, dim: int =
 
 
 _CONTENT = r"regexp_replace(content, '^\s+|\s+$', '', 'g')"
-_SHOWN = _R.exact_content_chars
-_TAIL = "chr(10) || chr(10) || '... [truncated] ...'"
 _ORDER_STORE = "CASE store WHEN 'base' THEN 0 ELSE 1 END"
 
 
@@ -109,10 +106,10 @@ def sql_exact(queries: str) -> str:
     return f"""
 {sql_keywords(queries, 'query_id', 'query')},
 searched AS MATERIALIZED (SELECT path, {_ROOT_NO} AS root_no, lower(text) AS low,
-    CASE WHEN length(text) > {_SHOWN} THEN {_SHOWN + len(TRUNCATED)} ELSE length(text) END AS content_len
+    length(text) AS content_len
   FROM tree WHERE list_contains({D.sql_list(fv.EXACT_SUFFIXES)}, {D.sql_suffix('path')}) AND NOT {_EXACT_DIRS} AND {_ROOT_NO} IS NOT NULL),
 exact AS MATERIALIZED (SELECT * FROM (SELECT query_id, path, content_len, row_number() OVER (PARTITION BY query_id ORDER BY root_no, path) AS rank FROM
-  (SELECT DISTINCT query_id, path, root_no, content_len FROM keywords JOIN searched ON contains(low, lower(keyword)) WHERE pos <= {_R.max_keywords}))
+  (SELECT DISTINCT query_id, path, root_no, content_len FROM keywords JOIN searched ON contains(low, lower(keyword))))
   WHERE rank <= {_R.k_exact})"""
 
 
@@ -156,11 +153,10 @@ pool AS MATERIALIZED (SELECT * FROM (SELECT query_id, query, path, store, source
 def sql_search(queries: str, k: int) -> str:
     """CTEs ending in `found`: the full search."""
     a = _K.rerank_blend
-    head = f"CASE WHEN length(t.text) > {_SHOWN} THEN substr(t.text, 1, {_SHOWN}) || {_TAIL} ELSE t.text END"
     return f"""{sql_indexed()},{sql_channels(queries)},{sql_fused()},{sql_pool(queries)},
-shown AS MATERIALIZED (SELECT p.*, CASE WHEN content_channel = 'exact' THEN {head} ELSE c.text END AS content
+shown AS MATERIALIZED (SELECT p.*, CASE WHEN content_channel = 'exact' THEN t.text ELSE c.text END AS content
   FROM pool p LEFT JOIN tree t USING (path) LEFT JOIN chunk c ON c.store = p.content_store AND c.path = p.path AND c.idx = p.content_idx),
-scored_text AS MATERIALIZED (SELECT query_id, path, substr(CASE WHEN length(coalesce(content, '')) > 0 THEN content ELSE path END, 1, {_R.rerank_content_chars}) AS text FROM shown),
+scored_text AS MATERIALIZED (SELECT query_id, path, CASE WHEN length(coalesce(content, '')) > 0 THEN content ELSE path END AS text FROM shown),
 {sql_hash_vectors('scored_text', 'query_id, path', 'text', 'pv')},
 sim AS (SELECT query_id, path, sum(q.w * p.w) AS s FROM pv p JOIN qv q USING (query_id, slot) GROUP BY ALL),
 reranked AS MATERIALIZED (SELECT s.*, round(coalesce(sim.s, 0.0), 9) AS rerank_raw,
@@ -268,7 +264,7 @@ def exact_topk(spark, sf_dir):
 
 
 @query("keyword_matches", f"""WITH {D.TREE_SQL}, {BUGS_SQL}, {sql_keywords('bugs', 'query_id', 'query')},
-word AS (SELECT DISTINCT lower(keyword) AS keyword FROM keywords WHERE pos <= {_R.max_keywords})
+word AS (SELECT DISTINCT lower(keyword) AS keyword FROM keywords)
 SELECT keyword, store, count(*) AS files FROM word JOIN tree ON contains(lower(text), keyword) GROUP BY ALL""")
 def keyword_matches(spark, sf_dir):
     """Number of files per store that hold each keyword of the batch."""

@@ -104,7 +104,7 @@ wanted AS (SELECT doc_id, list_concat({_cases('lower(text)', fv.PRIORITY_KEYWORD
     {_cases('lower(path)', fv.PATH_LAYER_HINTS)}, {_cases('lower(text)', fv.KEYWORD_LAYERS)}) AS l FROM tree),
 flat AS (SELECT doc_id, layer, min(pos) AS pos FROM (SELECT doc_id, unnest(l) AS layer, generate_subscripts(l, 1) AS pos FROM wanted)
   WHERE list_contains({D.sql_list(fv.SPECIALIST_LAYERS)}, layer) GROUP BY doc_id, layer)
-SELECT doc_id, layer, CAST(n AS INT) AS n FROM (SELECT doc_id, layer, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS n FROM flat) WHERE n <= 5""")
+SELECT doc_id, layer, CAST(n AS INT) AS n FROM (SELECT doc_id, layer, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS n FROM flat)""")
 def specialist_routing(spark, sf_dir):
     """Specialists asked about every document: its text is the report, its path the committed file."""
     tree = D.source_tree(spark, sf_dir)

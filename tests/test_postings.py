@@ -38,7 +38,7 @@ def stored(spark, texts, path, monkeypatch, bits=4):
 def test_index_equals_brute_force_with_ties_over_slices(spark, tmp_path, monkeypatch, limits):
     texts = corpus(300, 1)
     index, documents, vocabulary, stats = stored(spark, texts, str(tmp_path / "p"), monkeypatch)
-    assert documents.groupBy("slice").count().agg(F.max("count")).first()[0] <= 16
+    assert documents.groupBy("_slice").count().agg(F.max("count")).first()[0] <= 16
     queries = {1: "w3 w7", 2: "w0 w1 w2", 3: "w59 w5", 4: "nowhere", 5: "w7 w7 w58"}
     frame = spark.createDataFrame(list(queries.items()), "query_id int, query string")
     weights = bm25.term_weights(bm25.with_idf(vocabulary, stats), frame, True)
@@ -77,10 +77,10 @@ def test_slices_that_cannot_win_are_left_out():
         value = {"base": queries}
 
     def rows(number, term, n):
-        return {"store": "base", "slice": number, "term": term, "most": 1, "least": 10, "docs": list(range(n)), "tfs": [1] * n, "dls": [10] * n}
+        return {"store": "base", "_slice": number, "term": term, "most": 1, "least": 10, "docs": list(range(n)), "tfs": [1] * n, "dls": [10] * n}
 
     frames = [rows(0, "rare", 3), rows(0, "the", 8)] + [rows(k, "the", 8) for k in range(1, 50)]
-    table = pa.Table.from_pylist(frames, pa.schema([("store", pa.string()), ("slice", pa.int64()), ("term", pa.string()), ("most", pa.int32()), ("least", pa.int32()),
+    table = pa.Table.from_pylist(frames, pa.schema([("store", pa.string()), ("_slice", pa.int64()), ("term", pa.string()), ("most", pa.int32()), ("least", pa.int32()),
                                                     *[(name, pa.list_(pa.int32())) for name in postings.LISTS]]))
     scored = []
     add = postings._Best.add
@@ -91,5 +91,5 @@ def test_slices_that_cannot_win_are_left_out():
         postings._Best.add = add
     assert [queries for number, queries in scored if number] and all(queries == [1] for number, queries in scored if number)
     best = pa.Table.from_batches(out).to_pylist()
-    assert {(r["slice"], r["doc"]) for r in best if r["query_id"] == 1} == {(0, 0), (0, 1), (0, 2)}
+    assert {(r["_slice"], r["_doc"]) for r in best if r["query_id"] == 1} == {(0, 0), (0, 1), (0, 2)}
     assert np.isclose([r["score"] for r in best if r["query_id"] == 2], 0.1).all()

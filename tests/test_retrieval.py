@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from sparkseek import fixed_values as fv
 from sparkseek.config import Limits, Ranking, Settings
-from sparkseek.operators import bm25, dense, exact, fusion, priors, rerank, vector_index
+from sparkseek.functions import text as X
+from sparkseek.operators import bm25, consensus, dense, exact, fusion, priors, rerank, vector_index
+from sparkseek.plans.search import HybridSearch
 
 TOKENS = re.compile(fv.TOKEN_PATTERN)
 CORPUS = {
@@ -174,3 +176,34 @@ def test_vector_index_recall(spark, tmp_path):
     assert len(exact & found) / len(exact) >= 0.9
     everything = vector_index.top_k(index, centroids, queries, 10, ["vec_id"], probes=16, limits=Limits(queries_per_slice=7))
     assert {(r.query_id, r.vec_id) for r in everything.collect()} == exact
+
+
+def test_nothing_is_cut(spark, tmp_path):
+    """A passage behind any number of characters counts, and so does a query's last keyword."""
+    filler = "\n".join(f"line {k} of padding" for k in range(400))
+    root = Settings().scope_roots()[0]
+    files = spark.createDataFrame(
+        [(f"{root}/a/Long.java", filler + "\nTELLING_NINTH_NAME zebra quagga okapi"), (f"{root}/a/Short.java", "padding only")], "path string, text string",
+    )
+    words = " ".join(f"COMMON_{k}_NAME" for k in range(12)) + " TELLING_NINTH_NAME"
+    queries = spark.createDataFrame([(1, words)], "query_id int, query string")
+    assert exact.query_keywords(queries).where("keyword = 'telling_ninth_name'").count() == 1
+    settings = Settings()
+    search = HybridSearch(None, files, settings)
+    found = search.search(queries).collect()
+    assert [row.path for row in found] == [f"{root}/a/Long.java"] and found[0].content.endswith("okapi") and len(found[0].content) > 2000
+    pool = spark.createDataFrame([(1, "zebra quagga okapi", "a", filler), (1, "zebra quagga okapi", "b", filler + " zebra quagga okapi" * 40)],
+                                 "query_id int, query string, path string, content string")
+    pool = pool.withColumns({"score": F.lit(0.5), "rank": F.lit(1), "query_vector": search.embed(F.col("query"))})
+    ranked = rerank.by_embedding(pool, search.embed, 2, settings).orderBy("rank").collect()
+    assert ranked[0].path == "b" and ranked[0].rerank_raw > ranked[1].rerank_raw
+
+
+def test_layers_and_hits_have_no_limit_of_their_own(spark):
+    report = "suspend resume binder vhal car property vss signal hmi launcher selinux native crash kernel driver"
+    row = spark.createDataFrame([(report,)], "bug string")
+    every = row.select(consensus.route_layers(F.col("bug"), F.lit("vhal"), F.lit(None), F.lit(None))).first()[0]
+    three = row.select(consensus.route_layers(F.col("bug"), F.lit("vhal"), F.lit(None), F.lit(None), max_layers=3)).first()[0]
+    assert len(every) > 5 and three == every[:3]
+    log = "x" * 10_000 + "END"
+    assert row.select(X.framed_task(F.col("bug"), F.lit(log))).first()[0].count("END") == 1
