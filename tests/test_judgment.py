@@ -48,7 +48,7 @@ def test_verdicts(spark):
 def test_routing(spark):
     row = spark.createDataFrame([("Binder died after resume, CarProperty in VSS", "vhal", ["hmi", "nonsense", "vhal"], "frameworks/base/A.java")],
                                 "bug string, layer string, cand array<string>, blob string")
-    routed = row.select(C.route_layers(F.col("bug"), F.col("layer"), F.col("cand"), F.col("blob"))).first()[0]
+    routed = row.select(C.route_layers(F.col("bug"), F.col("layer"), F.col("cand"), F.col("blob"), max_layers=5)).first()[0]
     assert routed == ["startup_power", "binder", "vhal", "hmi", "frameworks"]
     packs = row.select(C.context_packs(F.lit("vss"), F.lit("nothing"), F.lit(""))).first()[0]
     assert packs == ["sdv_vss"]
