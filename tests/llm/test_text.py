@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import numpy as np
 import public_tokenizers
@@ -146,7 +147,13 @@ PAGES = {
     "<title>t</title><script>var a = '</p>';</script><style>p{}</style>seen<!-- no <b>never</b> -->": "seen",
     "<ul><li>a<li>b<ol start=3><li>c<li>d</ol></ul>after": "- a\n- b\n  3. c\n  4. d\n\nafter",
     "<table><tr><th>name<th>n<tr><td>long name<td>1<tr><td>x<td>22</table>": "name      | n\nlong name | 1\nx         | 22",
-    "a <span hidden>b</span><span style='display: none'>c</span><div aria-hidden=true>d</div>e": "a e",
+    "a <span hidden>b</span><span style='display: none'>c</span><div aria-hidden=true>d</div>e": "a\nd\ne",
+    "<textarea>a\n b &amp; <i></textarea><select><optgroup label=g><option>x<option>y</optgroup></select>z": "a\n b & <i>\ng\nx\ny\nz",
+    "<svg><title>no</title><desc>no</desc><text>l</text><text>m</text></svg><math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>no</annotation></math>": "l\nm\nx=1",
+    "<object>o</object> <video>v</video> <noscript>n</noscript><iframe>no</iframe>": "o v n",
+    "<i><table><tr><td>a</i>b<td>c</table>d": "ab | c\n\nd",
+    "<a title='x>y'>l</a><a title='m</a><b title='>n</b> <a": "ln <a",
+    "<a title='never closed>m</a><b title=\"x>y\">n": "my\">n",
     "x<br>y &amp; z&nbsp;&eacute;  w": "x\ny & z\xa0é w",
     "<pre>a\n  b\n</pre>c": "a\n  b\n\nc",
     "<h1>T</h1><blockquote>q<p>r</blockquote>s": "T\n\n    q\n\n    r\n\ns",
@@ -171,6 +178,16 @@ def test_any_markup_renders(page):
     html_text.render(html_text.build(page))
 
 
+@pytest.mark.parametrize("page", [
+    "<b>" * 40_000 + "</i>" * 40_000, "<a " * 80_000, "<a \"" * 40_000 + ">", "<i><table><tr><td>" + "<b>" * 40_000 + "</i>" * 40_000,
+    "<p>" + "<span>" * 40_000 + "<div>x</div>" * 40_000, "<div>" * 40_000 + "<ul></ul>" * 40_000, "<!--" * 80_000, "</" * 80_000,
+])
+def test_broken_markup_takes_linear_time(page):
+    start = time.process_time()
+    html_text.render(html_text.build(page))
+    assert time.process_time() - start < 5  # some 0.2 s; minutes if a step searched the page or the open elements
+
+
 def test_pages(spark):
     deep = "<div>" * 20_000 + "x"
     pages = spark.createDataFrame([(1, None), (1, None), (None, deep), (2, ""), (3, "<p>" + "y " * 100_000)], "page_id long, html string")
