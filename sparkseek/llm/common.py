@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..workspace import new_folder, written
 
-__all__ = ["table", "free_name", "join_groups", "new_folder", "stable", "total_bytes", "written"]
+__all__ = ["table", "free_name", "join_groups", "new_folder", "numbered_rows", "total_bytes", "written"]
 
 #: ASCII white space, as the contracts of the word-based operators write it.
 BLANKS = r"[\x20\x09-\x0D]+"
@@ -38,12 +36,10 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total:
     return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(groups.filter(~large), key))
 
 
-def stable(rows: DataFrame) -> DataFrame:
-    """The frame if it just scans files, else written and read back: monotonically_increasing_id then numbers its rows
-    alike in every pass, whichever columns a pass reads."""
-    plan = rows._jdf.queryExecution().optimizedPlan().treeString()
-    nodes = {found[1] for found in re.finditer(r"^[\s:|+*-]*(?:\(\d+\) )?(\w+)", plan, re.M)}
-    return rows if nodes <= {"Project", "Filter", "Relation"} else written(rows, "rows")
+def numbered_rows(rows: DataFrame, name: str = "row") -> DataFrame:
+    """The frame with a number for each row, written once: every pass reads the number from that table, so it is the same
+    for a row whichever executors take part and however files are split."""
+    return written(rows.withColumn(name, F.monotonically_increasing_id()), "numbered-rows")
 
 
 def utf8_size(text: Column) -> Column:

@@ -2,11 +2,15 @@
 
 A text is cut into lines, and the lines into chunks by their content: over the hashes of the last lines rolls a cyclic
 polynomial, and where its low bits are zero a chunk ends. An inserted or removed line shifts nothing beyond the next few
-boundaries. Chunks are grouped by hash, length and bytes, map side first, so a chunk that a third of all documents hold
-is one row per task, and chunks whose hashes collide are told apart. Everything is column expressions and joins.
+boundaries. A text may be cut by several rules at once, since a short run of lines in the middle of a text is one chunk
+only if boundaries happen to enclose it. Chunks are grouped by hash, length and bytes, map side first, so a chunk that a
+third of all documents hold is one row per task, and chunks whose hashes collide are told apart. Everything is column
+expressions and joins.
 
-A chunk occurs first in the document with the smallest doc_id, there at its first place. Chunks of one line, and those of
-blank lines alone, stay.
+A chunk occurs first in the document with the smallest doc_id, there at its first place; the other places lose it, but
+for those that overlap that first place. With several rules a line goes if a chunk of any rule takes it: every removed
+line is also in an earlier place, so no line is lost, although a chunk's first place may lose lines to a chunk of another
+rule. Chunks of one line, and those of blank lines alone, stay.
 
 Defined results: a null text counts as empty, one empty line; a null doc_id sorts behind all others; equal rows are told
 apart by their place in the table; empty tables give no rows; extra columns pass through; texts are cut whole.
@@ -14,12 +18,13 @@ apart by their place in the table; empty tables give no rows; extra columns pass
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_groups, stable, written
+from .common import join_groups, numbered_rows, written
 
 #: Lines under the rolling hash, and the mask of its bits that are zero at a boundary (one in four lines).
 ROLLING = 3
@@ -27,17 +32,18 @@ MASK = 3
 
 
 class Cut(NamedTuple):
-    """Where chunks end. With `pairs`, no chunk of a text of several lines has a single line: of boundaries at adjacent lines
+    """Where chunks end: where the masked bits of the hash over `rolling` lines equal `value`. With `pairs`, no chunk of a text of several lines has a single line: of boundaries at adjacent lines
     every second one counts, and the first and the last line join their neighbours."""
 
     rolling: int = ROLLING
     mask: int = MASK
     pairs: bool = False
+    value: int = 0
 
 
-#: The cut of op1: chunks of two lines and more, three on average; a boundary depends on its own line and on those
-#: before it that have the bit zero as well.
-FINE = Cut(1, 1, True)
+#: The cuts of op1: a hash rolls over two lines, and either value of its lowest bit gives boundaries; chunks have two lines
+#: and more, three on average.
+FINE = (Cut(2, 1, True, 0), Cut(2, 1, True, 1))
 
 
 def _rotated(value: Column, by: int) -> Column:
@@ -50,17 +56,25 @@ def _held(df: DataFrame, **columns: Column) -> DataFrame:
 
 
 def with_rows(docs: DataFrame) -> DataFrame:
-    """(own, row): each document as a struct of its columns, and a number."""
-    return docs.select(F.struct("*").alias("own"), F.monotonically_increasing_id().alias("row"))
+    """(own, row): each document as a struct of its columns, and a number; written."""
+    return numbered_rows(docs.select(F.struct("*").alias("own")))
 
 
-def with_chunks(rows: DataFrame, cut: Cut = Cut()) -> DataFrame:
-    """Rows with doc, lines and chunks added; chunks: first line (from 1) and number of lines of each chunk."""
+def with_chunks(rows: DataFrame, cuts: Sequence[Cut] = (Cut(),)) -> DataFrame:
+    """Rows with doc, lines and chunks added; chunks: first line (from 1) and number of lines of each chunk of any cut."""
     keep = rows.columns
     doc = F.coalesce(F.col("own.doc_id").cast("long"), F.lit((1 << 63) - 1))
     rows = rows.withColumn("doc", doc).withColumn("text", F.coalesce("own.text", F.lit("")))
     rows = _held(rows, lines=F.split("text", "\n")).drop("text")
     rows = _held(rows, hashes=F.transform("lines", lambda line: F.xxhash64(line)))
+    rows = rows.withColumn("chunks", F.array().cast("array<struct<first:int,n:int>>"))
+    for cut in cuts:
+        rows = _cut_once(rows, cut)
+    return rows.select(*keep, "doc", "lines", "chunks")
+
+
+def _cut_once(rows: DataFrame, cut: Cut) -> DataFrame:
+    """The chunks of one cut, added to those that are there."""
 
     def rolling(place: Column) -> Column:
         value = F.element_at("hashes", place)
@@ -71,7 +85,7 @@ def with_chunks(rows: DataFrame, cut: Cut = Cut()) -> DataFrame:
 
     count = F.size("lines")
     places = F.sequence(F.lit(1), count)
-    ends_at = lambda place: rolling(place).bitwiseAND(F.lit(cut.mask)) == 0
+    ends_at = lambda place: rolling(place).bitwiseAND(F.lit(cut.mask)) == cut.value
     if cut.pairs:
         inside = lambda place: (place > 1) & (place < count - 1)
         marks = F.array_join(F.transform(places, lambda place: F.when(inside(place) & ends_at(place), "1").otherwise("0")), "")
@@ -81,49 +95,56 @@ def with_chunks(rows: DataFrame, cut: Cut = Cut()) -> DataFrame:
     rows = _held(rows, ends=F.filter(places, lambda place: (place == count) | ends_at(place)))
     first = lambda k: F.when(k == 0, F.lit(1)).otherwise(F.element_at("ends", F.greatest(k, F.lit(1))) + 1)
     chunks = F.transform("ends", lambda end, k: F.struct(first(k).alias("first"), (end - first(k) + 1).alias("n")))
-    return rows.select(*keep, "doc", "lines", chunks.alias("chunks"))
+    return _held(rows.withColumnRenamed("chunks", "known"), chunks=F.array_union("known", chunks)).drop("known", "marks", "ends")
 
 
 def _chunk_rows(chunked: DataFrame) -> DataFrame:
-    """(row, doc, k, text, hash, size) of the chunks that may go."""
-    each = chunked.select("row", "doc", "lines", F.posexplode("chunks").alias("k", "chunk")).filter("chunk.n > 1")
-    text = F.array_join(F.slice("lines", F.col("chunk.first"), F.col("chunk.n")), "\n")
-    each = each.select("row", "doc", "k", text.alias("text")).filter(F.trim(F.translate("text", "\n\r\t", "")) != "")
+    """(row, doc, first, n, text, hash) of the chunks that may go."""
+    each = chunked.select("row", "doc", "lines", F.inline("chunks")).filter("n > 1")
+    text = F.array_join(F.slice("lines", F.col("first"), F.col("n")), "\n")
+    each = each.select("row", "doc", "first", "n", text.alias("text")).filter(F.trim(F.translate("text", "\n\r\t", "")) != "")
     return each.withColumn("hash", F.xxhash64("text"))
 
 
-def repeated_chunks(docs: DataFrame, cut: Cut = Cut()) -> DataFrame:
-    """(row, k) of the chunks to remove; rows are numbered as in with_rows."""
-    chunks = _chunk_rows(with_chunks(with_rows(stable(docs)), cut))
+def repeated_chunks(rows: DataFrame, cuts: Sequence[Cut] = (Cut(),)) -> DataFrame:
+    """(row, first, n) of the chunks to remove; rows as with_rows gives them."""
+    chunks = _chunk_rows(with_chunks(rows, cuts))
     # Grouping by the text itself compares bytes.
     texts = chunks.groupBy("hash", "text").agg(F.min("doc").alias("first_doc"), F.count("*").alias("size"))
     texts = written(texts.groupBy("hash").agg(
         F.count("*").alias("texts"), F.sum("size").alias("size"), F.max("size").alias("most"), F.min("first_doc").alias("first_doc"),
     ).filter("size > 1"), "chunk-hashes")
     total = texts.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    places = written(chunks.select("row", "doc", "k", "hash"), "chunk-places")
+    places = written(chunks.select("row", "doc", "first", "n", "hash"), "chunk-places")
     # One text per hash, as good as always: its places need no text any more.
-    plain = join_groups(places, texts.filter("texts = 1"), "hash", "size", total).select("hash", "row", "doc", "k", "first_doc")
-    stays = plain.filter(F.col("doc") == F.col("first_doc")).groupBy("hash").agg(F.min(F.struct("row", "k")).alias("stay"), F.count("*").alias("n"))
-    elsewhere = plain.filter(F.col("doc") != F.col("first_doc")).select("row", "k")
-    own = plain.filter(F.col("doc") == F.col("first_doc")).join(stays, "hash").filter(F.struct("row", "k") != F.col("stay")).select("row", "k")
+    plain = join_groups(places, texts.filter("texts = 1"), "hash", "size", total).select("hash", "row", "doc", "first", "n", "first_doc")
+    stays = plain.filter(F.col("doc") == F.col("first_doc")).groupBy("hash").agg(F.min(F.struct("row", "first")).alias("stay"))
+    elsewhere = plain.filter(F.col("doc") != F.col("first_doc")).select("row", "first", "n")
+    own = plain.filter(F.col("doc") == F.col("first_doc")).join(stays, "hash").filter(_behind()).select("row", "first", "n")
     # Several texts with one hash: those few are taken with their text.
     shared = chunks.join(texts.filter("texts > 1 AND most > 1").select("hash"), "hash", "left_semi")
-    first = shared.groupBy("hash", "text").agg(F.min(F.struct("doc", "row", "k")).alias("stay"))
-    collided = shared.join(first, ["hash", "text"]).filter(F.struct("doc", "row", "k") != F.col("stay")).select("row", "k")
+    first = shared.groupBy("hash", "text").agg(F.min(F.struct("doc", "row", "first")).alias("stay"))
+    collided = shared.join(first, ["hash", "text"]).filter(_behind()).select("row", "first", "n")
     return elsewhere.unionByName(own).unionByName(collided)
 
 
+def _behind() -> Column:
+    """Whether a place of a chunk neither is the one that stays nor overlaps it."""
+    return (F.col("row") != F.col("stay.row")) | (F.col("first") >= F.col("stay.first") + F.col("n"))
+
+
 def remove_repeated(
-    docs: DataFrame, text: str = "deduplicated", n_lines: str = "n_lines", n_removed: str = "n_removed", cut: Cut = Cut()
+    docs: DataFrame, text: str = "deduplicated", n_lines: str = "n_lines", n_removed: str = "n_removed", cut: Cut | Sequence[Cut] = Cut()
 ) -> DataFrame:
-    """The documents with the text that is left, the number of lines, and that of removed lines."""
-    docs = stable(docs)
-    gone = repeated_chunks(docs, cut).groupBy("row").agg(F.collect_set("k").alias("gone"))
-    found = with_chunks(with_rows(docs).join(gone, "row", "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<int>"))), cut)
-    found = _held(found, left=F.filter("chunks", lambda chunk, k: ~F.array_contains("gone", k)))
-    lines = F.flatten(F.transform("left", lambda chunk: F.slice("lines", chunk["first"], chunk["n"])))
-    found = _held(found, kept=lines)
+    """The documents with the text that is left, the number of lines, and that of removed lines, under a cut or several."""
+    cuts = (cut,) if isinstance(cut, Cut) else tuple(cut)
+    rows = with_rows(docs)
+    gone = repeated_chunks(rows, cuts).groupBy("row").agg(F.collect_set(F.struct("first", "n")).alias("gone"))
+    found = rows.join(gone, "row", "left").withColumn("lines", F.split(F.coalesce("own.text", F.lit("")), "\n"))
+    covered = F.flatten(F.transform("gone", lambda chunk: F.sequence(chunk["first"], chunk["first"] + chunk["n"] - 1)))
+    places = F.sequence(F.lit(1), F.size("lines"))
+    found = _held(found, left=F.when(F.col("gone").isNull(), places).otherwise(F.array_except(places, covered)))
+    found = _held(found, kept=F.transform("left", lambda place: F.element_at("lines", place)))
     return found.select(
         "own.*", F.array_join("kept", "\n").alias(text), F.size("lines").cast("long").alias(n_lines),
         (F.size("lines") - F.size("kept")).cast("long").alias(n_removed),

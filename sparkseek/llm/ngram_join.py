@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import free_name, join_groups, stable, total_bytes, written
+from .common import free_name, join_groups, numbered_rows, total_bytes, written
 from .components import components
 from .memory import of_group, of_groups
 from .recurring import block_of, marked, of_several, several
@@ -235,20 +235,20 @@ def _linked(least: int, key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table
     })
 
 
-def link_documents(docs: DataFrame, block_bytes: int = BLOCK_BYTES, chunk: int = CHUNK, shingle: int = SHINGLE, least: int = LEAST) -> DataFrame:
+def link_documents(docs: DataFrame, block_bytes: int = BLOCK_BYTES, chunk: int = CHUNK, shingle: int = SHINGLE, least: int = LEAST, row: str | None = None) -> DataFrame:
     """Of documents (doc_id, text): row, doc_id, n_shingles, component_id, n_links (the number of documents it links with).
 
     Documents link whose sets of shingles of `shingle` words have a similarity of `least` hundredths or more.
-    `row` numbers the rows, as monotonically_increasing_id does over stable(docs).
+    `row` of the result numbers the rows, with the numbers of the column `row` if it is given; that column must be stored,
+    not computed, as several passes read it.
     """
     if shingle < 1 or not 1 <= least <= 100:
         raise ValueError("shingle is a number of words, least a similarity in hundredths")
     ship(docs.sparkSession)
     rule = Rule(shingle, least)
-    docs = stable(docs)
-    row = F.monotonically_increasing_id()
+    docs = numbered_rows(docs.select("doc_id", "text")) if row is None else docs.select("doc_id", "text", F.col(row).alias("row"))
     block = block_of(total_bytes(docs), F.col("doc_id"), F.octet_length("text"), block_bytes=block_bytes)
-    dealt = docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text", block.alias("block")).groupBy("block")
+    dealt = docs.select("row", F.col("doc_id").cast("long").alias("doc_id"), "text", block.alias("block")).groupBy("block")
     seen = of_several(dealt.applyInArrow(of_group(lambda key, table: _report_prefixes(rule, key, table)), "shingle long, mark long"), ["shingle"]).select("block", "shingle")
     sets = written(dealt.cogroup(seen.groupBy("block")).applyInArrow(of_groups(lambda key, docs, seen: _sets(rule, key, docs, seen)), SETS), "shingle-sets")
 
@@ -277,13 +277,13 @@ def link_documents(docs: DataFrame, block_bytes: int = BLOCK_BYTES, chunk: int =
 
 def kept(docs: DataFrame, shingle: int = SHINGLE, least: int = LEAST) -> DataFrame:
     """One document of each class, the one with the smallest doc_id; documents without a class stay. All columns pass through."""
-    docs = stable(docs)
     row = free_name(docs, "row")
-    found = link_documents(docs.select("doc_id", "text"), shingle=shingle, least=least)
+    docs = numbered_rows(docs, row)
+    found = link_documents(docs, shingle=shingle, least=least, row=row)
     # Of rows that share the smallest doc_id of a class, the first stays.
     first = found.filter("doc_id = component_id AND n_links > 0").groupBy("component_id").agg(F.min("row").alias("row"))
     gone = found.filter("n_links > 0").select("row").join(first.select("row"), "row", "left_anti").withColumnRenamed("row", row)
-    return docs.withColumn(row, F.monotonically_increasing_id()).join(gone, row, "left_anti").drop(row)
+    return docs.join(gone, row, "left_anti").drop(row)
 
 
 def _links_of_clusters(profiles: DataFrame, classes: DataFrame, chunk: int, least: int) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import join_groups, stable, written
+from .common import join_groups, written
 
 
 def numbered(df: DataFrame, by: list[str], row: str, added: str, per_bucket: int = 50_000) -> DataFrame:
@@ -115,7 +115,7 @@ def shard_documents(docs: DataFrame, shards: int = 40) -> DataFrame:
     """Documents (doc_id, text) in shards; equal texts are linked. doc_id, size, text_crc32, shard, slot."""
     text = F.coalesce(F.col("text"), F.lit(""))
     nodes = written(
-        stable(docs).select(
+        docs.select(
             F.monotonically_increasing_id().alias("row"), "doc_id", (F.octet_length(text) + 16).cast("long").alias("size"),
             F.crc32(text.cast("binary")).alias("text_crc32"), F.unhex(F.sha2(text, 256)).alias("group"),
         ),

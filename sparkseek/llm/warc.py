@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ..shipping import ship
 from .arrow import pieces
-from .common import join_groups, stable, total_bytes, written
+from .common import join_groups, numbered_rows, total_bytes, written
 
 #: Payload bytes of an archive, about.
 ARCHIVE_BYTES = 32 << 20
@@ -77,16 +77,15 @@ def _pack(batches):
 def write_archives(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES) -> None:
     """Archives of pages (page_id, url, html) in a new folder."""
     ship(pages.sparkSession)
-    row = F.monotonically_increasing_id()
-    base = stable(pages).select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
+    base = numbered_rows(pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html"))
     text = F.coalesce(F.col("html"), F.lit(""))
-    keys = written(base.select("page_id", row.alias("row"), F.unhex(F.sha2(text, 256)).alias("digest")), "payloads")
+    keys = written(base.select("page_id", "row", F.unhex(F.sha2(text, 256)).alias("digest")), "payloads")
     groups = keys.groupBy("digest").agg(F.max(F.struct("page_id", "row")).alias("last"), F.count("*").alias("size"))
     groups = written(groups.filter("size > 1"), "payload-groups")
     several = groups.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     repeats = join_groups(keys, groups, "digest", "size", several).filter(F.col("row") != F.col("last.row"))
     repeats = repeats.select("row", F.lit(True).alias("revisits"), F.col("last.page_id").alias("refers_to"))
-    dealt = base.withColumn("row", row).join(repeats, "row", "left")
+    dealt = base.join(repeats, "row", "left")
     dealt = dealt.select("page_id", "url", "html", F.coalesce("revisits", F.lit(False)).alias("revisits"), "refers_to")
     members = dealt.mapInArrow(_pack, "member binary").select(F.col("member").cast("string"))
     # The mean size of a payload bounds the archives, whatever the partitions.

@@ -47,6 +47,16 @@ def test_exact_index_goes_on(spark, tmp_path):
     assert again.add(documents(spark, [])).count() == 0
 
 
+def test_exact_batch_added_twice(spark, tmp_path):
+    index = DigestIndex(spark, str(tmp_path), buckets=4)
+    batch = documents(spark, [(1, "a"), (2, "b"), (3, "a"), (None, None)])
+    assert sorted(row.doc_id or 0 for row in index.kept(batch).collect()) == [0, 1, 2]
+    assert index.kept(batch).count() == 0
+    again = index.add(batch).collect()
+    assert not any(row.kept for row in again) and {row.doc_id: row.keep_id for row in again} == {1: 1, 2: 2, 3: 1, None: None}
+    assert index.kept(documents(spark, [(1, "other"), (2, "b")])).count() == 1
+
+
 def test_exact_anti_join_reads_buckets_in_place(spark, tmp_path):
     index = DigestIndex(spark, str(tmp_path), buckets=4)
     index.kept(documents(spark, [(1, "one")]))

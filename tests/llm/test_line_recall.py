@@ -11,11 +11,15 @@ from .helpers import documents
 FOLDER = "/root/testdata/sf0.01"
 
 
-def cut(lines):
-    start, chunks = 0, []
-    for end, line in enumerate(lines):
-        zero = xxhash.xxh64(line.encode(), seed=42).intdigest() & line_dedup.FINE.mask == 0
-        if end == len(lines) - 1 or (zero and end - start >= 1 and end < len(lines) - 2):
+def cut(lines, rule):
+    start, chunks, rolled = 0, [], 0
+    hashes = [xxhash.xxh64(line.encode(), seed=42).intdigest() for line in lines]
+    for end in range(len(lines)):
+        rolled = hashes[end]
+        for back in range(1, min(rule.rolling, end + 1)):
+            rolled ^= (hashes[end - back] << back | hashes[end - back] >> 64 - back) & (1 << 64) - 1
+        ends = rolled & rule.mask == rule.value
+        if end == len(lines) - 1 or (ends and end - start >= 1 and end < len(lines) - 2):
             chunks.append((start, tuple(lines[start : end + 1])))
             start = end + 1
     return chunks
@@ -23,14 +27,15 @@ def cut(lines):
 
 def brute(rows):
     """Of each document the removed lines (numbers)."""
-    seen, removed = set(), {}
+    first, removed = {}, {}
     for doc_id, text in sorted(rows):
         gone = removed[doc_id] = set()
-        for start, lines in cut((text or "").split("\n")):
-            if len(lines) > 1 and any(line.strip() for line in lines):
-                if lines in seen:
-                    gone.update(range(start, start + len(lines)))
-                seen.add(lines)
+        lines = (text or "").split("\n")
+        for start, chunk in sorted({one for rule in line_dedup.FINE for one in cut(lines, rule)}):
+            if len(chunk) > 1 and any(line.strip() for line in chunk):
+                doc, at = first.setdefault(chunk, (doc_id, start))
+                if doc != doc_id or start >= at + len(chunk):
+                    gone.update(range(start, start + len(chunk)))
     return removed
 
 
@@ -53,15 +58,19 @@ def test_recall_of_repeated_runs(spark):
     for row in workload.queries()["op1_line_dedup"](spark, FOLDER).collect():
         left = "\n".join(line for k, line in enumerate(texts[row.doc_id]) if k not in removed[row.doc_id])
         assert (row.n_removed, row.kept_sha256) == (len(removed[row.doc_id]), hashlib.sha256(left.encode()).hexdigest())
-    # Lines in runs of two or more adjacent lines, none blank, that an earlier document holds; and exact copies.
-    seen, whole, repeated, hit = set(), set(), 0, 0
+    # Lines in runs of two or more adjacent lines, none blank, that an earlier document holds; those of runs of four and more; exact copies.
+    seen, whole, repeated, hit, longer, hit_longer = set(), set(), 0, 0, 0, 0
     for doc_id, lines in sorted(texts.items()):
         pairs = {k: (lines[k], lines[k + 1]) for k in range(len(lines) - 1) if lines[k].strip() and lines[k + 1].strip()}
         runs = {place for k, pair in pairs.items() if pair in seen for place in (k, k + 1)}
         repeated, hit = repeated + len(runs), hit + len(runs & removed[doc_id])
+        long = {k for k in runs if any(set(range(at, at + 4)) <= runs for at in range(k - 3, k + 1))}
+        longer, hit_longer = longer + len(long), hit_longer + len(long & removed[doc_id])
         seen.update(pairs.values())
         if len(lines) > 1 and any(line.strip() for line in lines):
             assert tuple(lines) not in whole or len(removed[doc_id]) == len(lines)
             whole.add(tuple(lines))
-    print(f"recall {hit} of {repeated}")
-    assert hit > 0.7 * repeated
+    print(f"recall {hit} of {repeated}, of runs of four lines and more {hit_longer} of {longer}")
+    assert hit > 0.85 * repeated and hit_longer > 0.9 * longer
+    # No line is lost.
+    assert {line for doc_id, lines in texts.items() for k, line in enumerate(lines) if k not in removed[doc_id]} == {line for lines in texts.values() for line in lines}
