@@ -122,7 +122,8 @@ def repeated_chunks(rows: DataFrame, cuts: Sequence[Cut] = (Cut(),)) -> DataFram
     elsewhere = plain.filter(F.col("doc") != F.col("first_doc")).select("row", "first", "n")
     own = plain.filter(F.col("doc") == F.col("first_doc")).join(stays, "hash").filter(_behind()).select("row", "first", "n")
     # Several texts with one hash: those few are taken with their text.
-    shared = chunks.join(texts.filter("texts > 1 AND most > 1").select("hash"), "hash", "left_semi")
+    collisions = written(texts.filter("texts > 1 AND most > 1").select("hash"), "chunk-collisions")
+    shared = chunks.join(collisions, "hash", "left_semi")
     first = shared.groupBy("hash", "text").agg(F.min(F.struct("doc", "row", "first")).alias("stay"))
     collided = shared.join(first, ["hash", "text"]).filter(_behind()).select("row", "first", "n")
     return elsewhere.unionByName(own).unionByName(collided)
