@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..workspace import new_folder
+
 # Rows scored against the query block at a time; bounds the memory of one score block.
 BLOCK_ROWS = 1024
 
@@ -16,8 +18,13 @@ BLOCK_ROWS = 1024
 def query_blocks(rows: DataFrame, size: int, key: str) -> Iterator[list]:
     """The rows of a batch of queries in lists of about `size`, one at a time through the driver; rows of a key stay together."""
     parts = -(-rows.count() // size)
+    if parts > 1:  # each block then reads its own folder, and the batch is computed once
+        numbered = rows.withColumn("_block", F.pmod(F.xxhash64(key), F.lit(parts)))
+        path = new_folder(rows.sparkSession, "query-blocks")
+        numbered.repartition("_block").write.partitionBy("_block").parquet(path)
+        rows = rows.sparkSession.read.schema(numbered.schema).parquet(path)
     for part in range(parts):
-        block = rows.where(F.pmod(F.xxhash64(key), F.lit(parts)) == part).collect()
+        block = (rows.where(F.col("_block") == part).drop("_block") if parts > 1 else rows).collect()
         if block:
             yield block
 
