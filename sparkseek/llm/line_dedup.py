@@ -3,9 +3,11 @@
 A text is cut into lines, and the lines into chunks by their content: over the hashes of the last lines rolls a cyclic
 polynomial, and where its low bits are zero a chunk ends. An inserted or removed line shifts nothing beyond the next few
 boundaries. A text may be cut by several rules at once, since a short run of lines in the middle of a text is one chunk
-only if boundaries happen to enclose it. Chunks are grouped by hash, length and bytes, map side first, so a chunk that a
-third of all documents hold is one row per task, and chunks whose hashes collide are told apart. Everything is column
-expressions and joins.
+only if boundaries happen to enclose it. Chunks are grouped by the hashes of their lines, map side first, so a chunk that a
+third of all documents hold is one row per task. The bytes are compared line by line: every distinct line of the corpus is
+grouped by itself, once for all cuts, and where a hash stands for one line only, equal hashes are equal lines. Chunks with a
+line whose hash several lines share, or that share their own hash, are compared by their whole bytes. Everything is
+column expressions and joins.
 
 A chunk occurs first in the document with the smallest doc_id, there at its first place; the other places lose it, but
 for those that overlap that first place. With several rules a line goes if a chunk of any rule takes it: every removed
@@ -61,7 +63,7 @@ def with_rows(docs: DataFrame) -> DataFrame:
 
 
 def with_chunks(rows: DataFrame, cuts: Sequence[Cut] = (Cut(),)) -> DataFrame:
-    """Rows with doc, lines and chunks added; chunks: first line (from 1) and number of lines of each chunk of any cut."""
+    """Rows with doc, lines, hashes (of the lines) and chunks added; chunks: first line (from 1) and number of lines of each chunk of any cut."""
     keep = rows.columns
     doc = F.coalesce(F.col("own.doc_id").cast("long"), F.lit((1 << 63) - 1))
     rows = rows.withColumn("doc", doc).withColumn("text", F.coalesce("own.text", F.lit("")))
@@ -70,7 +72,7 @@ def with_chunks(rows: DataFrame, cuts: Sequence[Cut] = (Cut(),)) -> DataFrame:
     rows = rows.withColumn("chunks", F.array().cast("array<struct<first:int,n:int>>"))
     for cut in cuts:
         rows = _cut_once(rows, cut)
-    return rows.select(*keep, "doc", "lines", "chunks")
+    return rows.select(*keep, "doc", "lines", "hashes", "chunks")
 
 
 def _cut_once(rows: DataFrame, cut: Cut) -> DataFrame:
@@ -99,33 +101,57 @@ def _cut_once(rows: DataFrame, cut: Cut) -> DataFrame:
 
 
 def _chunk_rows(chunked: DataFrame) -> DataFrame:
-    """(row, doc, first, n, text, hash) of the chunks that may go."""
-    each = chunked.select("row", "doc", "lines", F.inline("chunks")).filter("n > 1")
-    text = F.array_join(F.slice("lines", F.col("first"), F.col("n")), "\n")
-    each = each.select("row", "doc", "first", "n", text.alias("text")).filter(F.trim(F.translate("text", "\n\r\t", "")) != "")
-    return each.withColumn("hash", F.xxhash64("text"))
+    """(row, doc, first, n, key, hash) of the chunks that may go; key: the hashes of a chunk's lines, in order."""
+    shown = lambda line: F.trim(F.translate(line, "\r\t", "")) != ""
+    one = lambda chunk: F.struct(
+        chunk["first"].alias("first"), chunk["n"].alias("n"), F.slice("hashes", chunk["first"], chunk["n"]).alias("key"),
+        F.exists(F.slice("lines", chunk["first"], chunk["n"]), shown).alias("shown"),
+    )
+    long = F.filter("chunks", lambda chunk: chunk["n"] > 1)
+    each = chunked.select("row", "doc", F.inline(F.transform(long, one))).filter("shown").drop("shown")
+    return each.withColumn("hash", F.xxhash64("key"))
+
+
+def _line_collisions(rows: DataFrame) -> DataFrame:
+    """(line) the hashes that several lines share. Grouping by the line itself compares bytes; each task sends a line once."""
+    text = F.coalesce("own.text", F.lit(""))
+    lines = rows.filter(F.contains(text, F.lit("\n"))).select(F.explode(F.split(text, "\n")).alias("bytes"))
+    lines = lines.select(F.xxhash64("bytes").alias("line"), "bytes").groupBy("line", "bytes").agg(F.lit(1).alias("one"))
+    return lines.groupBy("line").agg(F.count("one").alias("lines")).filter("lines > 1").select("line")
+
+
+def _with_bytes(chunks: DataFrame, rows: DataFrame) -> DataFrame:
+    """Chunk places with the text of each chunk, as bytes to compare."""
+    lines = F.slice(F.split(F.coalesce("own.text", F.lit("")), "\n"), F.col("first"), F.col("n"))
+    return chunks.join(rows, "row").select(*chunks.columns, F.array_join(lines, "\n").alias("bytes"))
 
 
 def repeated_chunks(rows: DataFrame, cuts: Sequence[Cut] = (Cut(),)) -> DataFrame:
     """(row, first, n) of the chunks to remove; rows as with_rows gives them."""
-    chunks = _chunk_rows(with_chunks(rows, cuts))
-    # Grouping by the text itself compares bytes.
-    texts = chunks.groupBy("hash", "text").agg(F.min("doc").alias("first_doc"), F.count("*").alias("size"))
-    texts = written(texts.groupBy("hash").agg(
-        F.count("*").alias("texts"), F.sum("size").alias("size"), F.max("size").alias("most"), F.min("first_doc").alias("first_doc"),
-    ).filter("size > 1"), "chunk-hashes")
-    total = texts.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    places = written(chunks.select("row", "doc", "first", "n", "hash"), "chunk-places")
-    # One text per hash, as good as always: its places need no text any more.
-    plain = join_groups(places, texts.filter("texts = 1"), "hash", "size", total).select("hash", "row", "doc", "first", "n", "first_doc")
+    chunks = written(_chunk_rows(with_chunks(rows, cuts)), "chunk-places")
+    keys = chunks.groupBy("hash", "key").agg(F.min("doc").alias("first_doc"), F.count("*").alias("size"))
+    hashes = keys.groupBy("hash").agg(
+        F.count("*").alias("keys"), F.sum("size").alias("size"), F.min("first_doc").alias("first_doc"), F.first("key").alias("key"),
+    ).filter("size > 1")
+    hashes = written(hashes, "chunk-hashes")
+    total = hashes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    # Chunks with equal hashes are equal unless the hash of a chunk or of one of its lines stands for several: those few are
+    # compared by their own bytes below.
+    shared_lines = written(_line_collisions(rows), "line-collisions")
+    lines = hashes.select("hash", F.explode("key").alias("line"))
+    by_line = lines.join(shared_lines, "line", "left_semi").select("hash")
+    collisions = written(hashes.filter("keys > 1").select("hash").unionByName(by_line).distinct(), "chunk-collisions")
+    plain = hashes.join(collisions, "hash", "left_anti").select("hash", "size", "first_doc")
+
+    places = chunks.drop("key")
+    plain = join_groups(places, plain, "hash", "size", total).select("hash", "row", "doc", "first", "n", "first_doc")
     stays = plain.filter(F.col("doc") == F.col("first_doc")).groupBy("hash").agg(F.min(F.struct("row", "first")).alias("stay"))
     elsewhere = plain.filter(F.col("doc") != F.col("first_doc")).select("row", "first", "n")
     own = plain.filter(F.col("doc") == F.col("first_doc")).join(stays, "hash").filter(_behind()).select("row", "first", "n")
-    # Several texts with one hash: those few are taken with their text.
-    collisions = written(texts.filter("texts > 1 AND most > 1").select("hash"), "chunk-collisions")
-    shared = chunks.join(collisions, "hash", "left_semi")
-    first = shared.groupBy("hash", "text").agg(F.min(F.struct("doc", "row", "first")).alias("stay"))
-    collided = shared.join(first, ["hash", "text"]).filter(_behind()).select("row", "first", "n")
+
+    shared = _with_bytes(places.join(collisions, "hash", "left_semi"), rows)
+    first = shared.groupBy("hash", "bytes").agg(F.min(F.struct("doc", "row", "first")).alias("stay"))
+    collided = shared.join(first, ["hash", "bytes"]).filter(_behind()).select("row", "first", "n")
     return elsewhere.unionByName(own).unionByName(collided)
 
 

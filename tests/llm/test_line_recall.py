@@ -3,6 +3,7 @@
 import hashlib
 
 import xxhash
+from pyspark.sql import functions as F
 
 from sparkseek.llm import line_dedup, workload
 
@@ -52,6 +53,26 @@ def test_fine_cut_against_brute_force(spark):
     assert [found[k].n_removed for k in (104, 106)] == [2, 3]
 
 
+def test_chunks_are_compared_by_bytes_where_line_hashes_collide(spark, monkeypatch):
+    """With every line hash, or none, taken for one that several lines share, the rows are the same."""
+    block = [f"common {k}" for k in range(12)]
+    rows = [(k, "\n".join([f"own {k}", *block[k % 4 : 5 + k % 7], *block[: k % 5]])) for k in range(20)]
+    rows += [(50, "x\n" * 40), (51, "x\n" * 41), (52, None), (None, "\n".join(block)), (53, "a\nb"), (53, "a\nb")]
+
+    def found():
+        return sorted((row.doc_id or -1, row.n_removed, row.deduplicated) for row in line_dedup.remove_repeated(documents(spark, rows), cut=line_dedup.FINE).collect())
+
+    plain = found()
+    lines = F.explode(F.split(F.coalesce("own.text", F.lit("")), "\n"))
+    monkeypatch.setattr(line_dedup, "_line_collisions", lambda rows: rows.select(lines.alias("one")).select(F.xxhash64("one").alias("line")).distinct())
+    assert found() == plain and sum(removed for _, removed, _ in plain) > 50
+
+
+def test_line_hashes_of_several_lines(spark):
+    rows = line_dedup.with_rows(documents(spark, [(0, "a\nb\na"), (1, "a"), (2, None), (3, "b\na")]))
+    assert line_dedup._line_collisions(rows).count() == 0
+
+
 def test_recall_of_repeated_runs(spark):
     texts = {row.doc_id: (row.text or "").split("\n") for row in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()}
     removed = brute([(doc_id, "\n".join(lines)) for doc_id, lines in texts.items()])
