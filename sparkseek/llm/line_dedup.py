@@ -149,7 +149,8 @@ def repeated_chunks(rows: DataFrame, cuts: Sequence[Cut] = (Cut(),)) -> DataFram
     elsewhere = plain.filter(F.col("doc") != F.col("first_doc")).select("row", "first", "n")
     own = plain.filter(F.col("doc") == F.col("first_doc")).join(stays, "hash").filter(_behind()).select("row", "first", "n")
 
-    shared = _with_bytes(places.join(collisions, "hash", "left_semi"), rows)
+    # Written first, so Spark knows how few they are and doesn't shuffle the texts to find them.
+    shared = _with_bytes(written(places.join(collisions, "hash", "left_semi"), "collided-places"), rows)
     first = shared.groupBy("hash", "bytes").agg(F.min(F.struct("doc", "row", "first")).alias("stay"))
     collided = shared.join(first, ["hash", "bytes"]).filter(_behind()).select("row", "first", "n")
     return elsewhere.unionByName(own).unionByName(collided)
