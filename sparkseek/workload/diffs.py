@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import fixed_values as fv
 from ..functions import text as X
 from ..operators import diffs as V
+from ..operators.line_difference import changed_ranges_udf
 from ..plans import diagnosis as L
 from ..workspace import written
 from . import data as D
@@ -75,8 +76,8 @@ names AS (SELECT doc_id, test, list_distinct(regexp_extract_all(source, '{_NAME}
     list_distinct(regexp_extract_all(test, '{_NAME}')) AS t FROM sides),
 kept AS (SELECT *, list_sort(list_filter(a, lambda n: length(n) > 3 AND NOT list_contains({D.sql_list(fv.TEST_SCAFFOLD_NAMES)}, n))) AS patched FROM names)
 SELECT doc_id, array_to_string(patched, ',') AS patched, len(patched) > 0 AND NOT list_has_any(patched, t) AS unrelated,
-  CASE WHEN doc_id % 2 = 0 AND NOT list_contains(s, 'WRONG_ID') AND NOT list_contains(a, 'WRONG_ID') THEN true ELSE false END AS wrong_id_unknown,
-  CASE WHEN doc_id % 2 = 1 THEN false ELSE false END AS max_speed_unknown FROM kept""")
+  list_contains(t, 'WRONG_ID') AND NOT list_contains(s, 'WRONG_ID') AND NOT list_contains(a, 'WRONG_ID') AS wrong_id_unknown,
+  list_contains(t, 'MAX_SPEED') AND NOT list_contains(s, 'MAX_SPEED') AND NOT list_contains(a, 'MAX_SPEED') AS max_speed_unknown FROM kept""")
 def test_consistency(spark, sf_dir):
     """Whether a test of each patch names what the patch adds, and uses constants nobody defines."""
     rows = patches(spark, sf_dir)
@@ -93,14 +94,38 @@ def test_consistency(spark, sf_dir):
     )
 
 
-@query("changed_lines", f"""WITH {_PATCH_SQL} SELECT doc_id, CAST(min(n) AS INT) AS first, CAST(max(n) AS INT) AS last FROM
-  (SELECT doc_id, CASE WHEN l[2] = '' AND false THEN 0 ELSE unnest([2, 3]) END AS n FROM patched WHERE doc_id % 3 <> 0 AND len(l) > 1) GROUP BY doc_id""")
+# An edited document: line after line, one in five goes, one in seven gets a mark, and a marked line follows one in eleven.
+# A marked line equals no other line, so a shortest edit script keeps all lines without a mark.
+_EDITED_SQL = f"""{_PATCH_SQL},
+numbered AS (SELECT doc_id, n, l[n] AS line, (n + doc_id) % 5 = 0 AS gone, (n + doc_id) % 7 = 0 AS marked, (n * doc_id) % 11 = 3 AS followed
+  FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS n FROM patched)),
+edited AS (
+  SELECT doc_id, n, 0 AS place, CASE WHEN marked THEN line || ' mark' || n ELSE line END AS line, marked FROM numbered WHERE NOT gone
+  UNION ALL SELECT doc_id, n, 1, 'mark' || n, true FROM numbered WHERE followed),
+placed AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n, place) AS k FROM edited)"""
+
+
+def edits(spark, sf_dir):
+    """doc_id, text, edited."""
+    tree = D.source_tree(spark, sf_dir).select("doc_id", "text").withColumn("l", X.split_lines("text"))
+    doc = F.col("doc_id")
+
+    def one(line, k):
+        n = k + 1
+        own = F.when((n + doc) % 7 == 0, F.concat(line, F.lit(" mark"), n.cast("string"))).otherwise(line)
+        more = F.concat(F.lit("mark"), n.cast("string"))
+        return F.array_compact(F.array(F.when((n + doc) % 5 != 0, own), F.when((n * doc) % 11 == 3, more)))
+
+    return tree.select("doc_id", F.array_join("l", "\n").alias("text"), F.array_join(F.flatten(F.transform("l", one)), "\n").alias("edited"))
+
+
+@query("changed_lines", f"""WITH {_EDITED_SQL}
+SELECT doc_id, min(k) AS first, max(k) AS last FROM (SELECT doc_id, k, k - row_number() OVER (PARTITION BY doc_id ORDER BY k) AS run FROM placed WHERE marked)
+GROUP BY doc_id, run""")
 def changed_lines(spark, sf_dir):
-    """First and last line that each fitting patch changes."""
-    rows = patches(spark, sf_dir).select("doc_id", V.added_lines_udf("text", "patch").alias("n")).where("n IS NOT NULL")
-    return rows.select("doc_id", V.number_ranges(F.col("n")).alias("r")).select(
-        "doc_id", F.array_min("r.first").alias("first"), F.array_max("r.last").alias("last")
-    )
+    """Ranges of lines that were added or changed between each document and its edited form, from the two texts alone."""
+    ranges = changed_ranges_udf("text", "edited")
+    return edits(spark, sf_dir).select("doc_id", F.inline(ranges)).select("doc_id", F.col("first").cast("long"), F.col("last").cast("long"))
 
 
 @query("symbol_windows", f"""WITH {D.TREE_SQL}

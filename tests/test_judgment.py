@@ -9,6 +9,7 @@ from sparkseek.operators import consensus as C
 from sparkseek.operators import diffs as V
 from sparkseek.operators import evaluation as E
 from sparkseek.operators import grounding as G
+from sparkseek.operators.line_difference import changed_ranges, changed_ranges_udf, inserted
 from sparkseek.plans import diagnosis as L
 
 NOTE = "bug_id int, layer string, verdict string, owns_layer boolean, confidence double, note_no int"
@@ -81,6 +82,32 @@ def test_apply_inverts_a_generated_diff(old, new):
         assert V.apply_diff("\n".join(old), diff) == "\n".join(new)
 
 
+LINES = st.lists(st.sampled_from(["a", "b", "c", "d"]), max_size=14)
+
+
+@settings(max_examples=400, deadline=None)
+@given(LINES, LINES)
+def test_a_shortest_edit_script_inserts_as_few_lines_as_can_be(old, new):
+    longest = [[0] * (len(new) + 1) for _ in range(len(old) + 1)]
+    for i, one in enumerate(old):
+        for j, two in enumerate(new):
+            longest[i + 1][j + 1] = longest[i][j] + 1 if one == two else max(longest[i][j + 1], longest[i + 1][j])
+    places = inserted(old, new)
+    assert places == sorted(set(places)) and len(places) == len(new) - longest[-1][-1]
+    rest, kept = iter(old), [line for k, line in enumerate(new) if k not in places]
+    assert all(line in rest for line in kept)
+
+
+def test_changed_ranges(spark):
+    assert changed_ranges("a\nb\nc", "a\nx\ny\nc\nz") == [(2, 3), (5, 5)] and changed_ranges("a\nb", "b") == [] and changed_ranges("", "a") == [(1, 1)]
+    many = [str(k % 97) for k in range(30_000)]
+    edited = [line for k, line in enumerate(many) if k % 1000] + ["end"]
+    assert changed_ranges("\n".join(many), "\n".join(edited)) == [(len(edited), len(edited))]
+    rows = spark.createDataFrame([(1, "a", "b"), (2, None, "b"), (3, "a", None), (4, "a", "a"), (5, "", "")], "i int, o string, n string")
+    got = {r.i: r.c for r in rows.select("i", changed_ranges_udf("o", "n").alias("c")).collect()}
+    assert got == {1: [(1, 1)], 2: None, 3: None, 4: [], 5: []}
+
+
 def test_check_diffs(spark):
     files = spark.createDataFrame([("f.c", "one\ntwo\n\nthree"), ("g.c", "x")], "path string, text string")
     answers = spark.createDataFrame([(1, "--- a/f.c\n+++ b/f.c\n@@ -1 +1 @@\n one\n-two\n+2\ntext\n+++ b/g.c\n@@ -1 +1 @@\n-nope\n+y"),
