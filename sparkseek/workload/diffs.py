@@ -70,7 +70,8 @@ _NAME = "[A-Za-z_][A-Za-z0-9_]{2,}"
 
 
 @query("test_consistency", f"""WITH {_PATCH_SQL},
-sides AS (SELECT doc_id, text AS source, l2 || ' fixedValue' || chr(10) || 'added MAX_SPEED' AS added,
+sides AS (SELECT doc_id, text || CASE WHEN doc_id % 5 = 0 THEN ' WRONG_ID' ELSE '' END AS source,
+    l2 || ' fixedValue' || chr(10) || 'added ' || CASE WHEN doc_id % 7 = 0 THEN 'MAX_POWER' ELSE 'MAX_SPEED' END AS added,
     CASE WHEN doc_id % 2 = 0 THEN 'TEST_F(X) ' || l[1] || ' WRONG_ID' ELSE 'fixedValue MAX_SPEED' END AS test FROM patched),
 names AS (SELECT doc_id, test, list_distinct(regexp_extract_all(source, '{_NAME}')) AS s, list_distinct(regexp_extract_all(added, '{_NAME}')) AS a,
     list_distinct(regexp_extract_all(test, '{_NAME}')) AS t FROM sides),
@@ -79,12 +80,15 @@ SELECT doc_id, array_to_string(patched, ',') AS patched, len(patched) > 0 AND NO
   list_contains(t, 'WRONG_ID') AND NOT list_contains(s, 'WRONG_ID') AND NOT list_contains(a, 'WRONG_ID') AS wrong_id_unknown,
   list_contains(t, 'MAX_SPEED') AND NOT list_contains(s, 'MAX_SPEED') AND NOT list_contains(a, 'MAX_SPEED') AS max_speed_unknown FROM kept""")
 def test_consistency(spark, sf_dir):
-    """Whether a test of each patch names what the patch adds, and uses constants nobody defines."""
-    rows = patches(spark, sf_dir)
+    """Whether a test of each patch names what the patch adds, and uses constants nobody defines: one source in five defines
+    the constant of every second test, one patch in seven doesn't add that of the others."""
+    doc = F.col("doc_id")
+    rows = patches(spark, sf_dir).withColumn("patch", F.when(doc % 7 == 0, F.replace("patch", F.lit("added MAX_SPEED"), F.lit("added MAX_POWER"))).otherwise(F.col("patch")))
     test = F.when(
         F.col("doc_id") % 2 == 0, F.concat(F.lit("TEST_F(X) "), F.element_at(X.split_lines("text"), 1), F.lit(" WRONG_ID"))
     ).otherwise(F.lit("fixedValue MAX_SPEED"))
-    judged = rows.withColumn("test", test).withColumn("c", V.test_consistency("text", "patch", "test"))
+    rows = rows.withColumn("test", test).withColumn("text", F.when(doc % 5 == 0, F.concat("text", F.lit(" WRONG_ID"))).otherwise(F.col("text")))
+    judged = rows.withColumn("c", V.test_consistency("text", "patch", "test"))
     return judged.select(
         "doc_id",
         F.array_join("c.patched", ",").alias("patched"),
