@@ -132,21 +132,29 @@ def changed_lines(spark, sf_dir):
     return edits(spark, sf_dir).select("doc_id", F.inline(ranges)).select("doc_id", F.col("first").cast("long"), F.col("last").cast("long"))
 
 
-@query("symbol_windows", f"""WITH {D.TREE_SQL}
-SELECT doc_id, length(text) > 1000 AS cut, true AS holds_symbol, true AS within_budget, true AS is_part FROM tree""")
+# Lines from 1; `upto` is the number of characters of a document's first n lines, with their ends.
+@query("symbol_windows", f"""WITH {D.TREE_SQL},
+lined AS (SELECT doc_id, text, string_split(regexp_replace(text, '\\n$', ''), chr(10)) AS l, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')[-1] AS word FROM tree),
+named AS (SELECT *, list_position(list_transform(l, lambda x: contains(x, word)), true) AS found FROM lined WHERE length(text) > 1000),
+sums AS (SELECT doc_id, n, sum(size) OVER (PARTITION BY doc_id ORDER BY n) AS upto FROM
+  (SELECT doc_id, 0 AS n, 0 AS size FROM named UNION ALL SELECT doc_id, unnest(range(1, len(l) + 1)), unnest(list_transform(l, lambda x: length(x) + 1)) FROM named)),
+radius AS (SELECT doc_id, max(found - 1 - lo.n) AS r FROM named JOIN sums lo USING (doc_id) JOIN sums hi USING (doc_id)
+  WHERE lo.n < found AND hi.n = found + (found - 1 - lo.n) AND hi.upto - lo.upto <= 1000 GROUP BY doc_id),
+core AS (SELECT doc_id, found - coalesce(r, 0) AS top, found + coalesce(r, 0) AS bottom FROM named LEFT JOIN radius USING (doc_id) WHERE found > 0),
+upwards AS (SELECT doc_id, min(lo.n) + 1 AS top FROM core JOIN sums hi USING (doc_id) JOIN sums lo USING (doc_id)
+  WHERE hi.n = bottom AND lo.n < core.top - 1 AND hi.upto - lo.upto <= 1000 GROUP BY doc_id),
+downwards AS (SELECT doc_id, max(hi.n) AS bottom FROM core JOIN sums hi USING (doc_id) JOIN sums lo USING (doc_id)
+  WHERE lo.n = core.top - 1 AND hi.n > core.bottom AND hi.upto - lo.upto <= 1000 GROUP BY doc_id),
+spans AS (SELECT doc_id, coalesce(u.top, c.top) AS top, CASE WHEN u.top IS NULL THEN coalesce(d.bottom, c.bottom) ELSE c.bottom END AS bottom
+  FROM core c LEFT JOIN upwards u USING (doc_id) LEFT JOIN downwards d USING (doc_id))
+SELECT doc_id, length(text) > 1000 AS cut, md5(CASE WHEN length(text) <= 1000 THEN text WHEN top IS NULL THEN left(text, 1000) ELSE array_to_string(l[top:bottom], chr(10)) END) AS digest
+FROM lined LEFT JOIN spans USING (doc_id)""")
 def symbol_windows(spark, sf_dir):
-    """Window of at most 1000 characters around the last word of every document: it holds the word and is part of the text."""
+    """Window of at most 1000 characters around the first line with the last word of every document."""
     tree = D.source_tree(spark, sf_dir).select("doc_id", "text")
     word = F.element_at(F.filter(F.split("text", r"\s+"), lambda w: w != ""), -1)
-    rows = tree.withColumn("word", word).withColumn("w", V.symbol_window_udf(1000)(F.col("text"), F.array("word")))
-    single = F.size(F.filter(X.split_lines("text"), lambda l: F.contains(l, F.col("word")) & (F.length(l) < 1000))) > 0
-    return rows.select(
-        "doc_id",
-        F.col("w.cut").alias("cut"),
-        (F.contains("w.text", F.col("word")) | ~single).alias("holds_symbol"),
-        ((F.length("w.text") <= 1000) | (F.size(X.split_lines("w.text")) == 1)).alias("within_budget"),
-        F.contains("text", F.col("w.text")).alias("is_part"),
-    )
+    rows = tree.withColumn("w", V.symbol_window_udf(1000)(F.col("text"), F.array(word)))
+    return rows.select("doc_id", F.col("w.cut").alias("cut"), F.md5("w.text").alias("digest"))
 
 
 @query("dropped_drafts", f"""WITH {_PATCH_SQL}

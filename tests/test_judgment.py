@@ -131,6 +131,27 @@ def test_window_and_drafts():
     assert V.drop_drafts(kept, "\n\n## Patch\n") == (kept, False)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(0, 9), min_size=1, max_size=12), st.integers(0, 11), st.integers(1, 40))
+def test_window_grows_evenly(lengths, at, budget):
+    lines = ["x" * n for n in lengths]
+    at %= len(lines)
+    lines[at] = "name"
+    text = "\n".join(lines)
+    lines = text.splitlines()  # no line behind the last end
+    cost = lambda top, bottom: sum(len(line) + 1 for line in lines[top:bottom + 1])
+    # Of all windows around the line, the one that steps reach which add a line above and one below by turns.
+    top, bottom, open_sides = at, at, ["above", "below"]
+    while open_sides:
+        side = open_sides.pop(0)
+        wider = (top - 1, bottom) if side == "above" else (top, bottom + 1)
+        if wider[0] >= 0 and wider[1] < len(lines) and cost(*wider) <= budget:
+            top, bottom = wider
+            open_sides.append(side)
+    expected = (text, False) if len(text) <= budget else ("\n".join(lines[top:bottom + 1]), True)
+    assert V.symbol_window(text, ["name"], budget) == expected
+
+
 def test_unit_test_consistency(spark):
     row = spark.createDataFrame([("int known_value KNOWN_ID", "+++ b/f\n+fixSpeed()", "EXPECT_EQ(OTHER_ID, KNOWN_ID)")], "s string, p string, t string")
     got = row.select(V.test_consistency("s", "p", "t").alias("c")).first().c
