@@ -111,7 +111,7 @@ def run_evaluate(spark: SparkSession, args, settings: Settings):
         ranked, patched = listed(X.ranked_paths("text")), listed(X.diff_targets("text"))
     patch_ranks = E.gold_ranks(patched, labels.gold(bugs, "gold_diff_files")) if patched is not None else None
     rows = E.score_answers(answers, E.gold_ranks(ranked, labels.gold(bugs), args.k), patch_ranks)
-    summary = E.summarize(rows)
+    summary = E.summarize(rows, "error" if "error" in rows.columns else None)
     labels.write_results(rows, summary, args.out)
     return summary
 

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import paths as P
 
 WARNING = "did not validate against the source folder"
+#: Columns of an answer that evaluation hands on.
+RECORDED = ("error", "verified_candidates", "needs_human_review")
 
 
 def gold_ranks(ranked: DataFrame, gold: DataFrame, k: int | None = None, strict: bool = False, key: str = "query_id") -> DataFrame:
@@ -26,22 +28,28 @@ def gold_ranks(ranked: DataFrame, gold: DataFrame, k: int | None = None, strict:
 
 
 def score_answers(answers: DataFrame, ranks: DataFrame, patch_ranks: DataFrame | None = None, key: str = "query_id") -> DataFrame:
-    """Per answer (key, text, has_gold_diff): hit, rank, rr, produced_diff, diff_validated, patch_file_hit."""
+    """Per answer (key, text, has_gold_diff): hit, rank, rr, produced_diff, diff_validated, patch_file_hit.
+
+    What a run recorded besides its text stays in its row: `error`, `verified_candidates`, `needs_human_review`, as far as
+    `answers` has them. A run that ended in an error has no scores.
+    """
     scored = answers.join(ranks, key, "left")
     if patch_ranks is not None:
         scored = scored.join(patch_ranks.select(key, F.lit(True).alias("_patch")), key, "left")
     else:
         scored = scored.withColumn("_patch", F.lit(None).cast("boolean"))
     produced = F.contains("text", F.lit("@@"))
-    return scored.select(
-        key,
-        F.col("rank").isNotNull().alias("hit"),
-        "rank",
-        F.when(F.col("rank").isNotNull(), F.lit(1.0) / F.col("rank")).otherwise(0.0).alias("rr"),
-        produced.alias("produced_diff"),
-        (produced & ~F.contains("text", F.lit(WARNING))).alias("diff_validated"),
-        F.when(F.col("has_gold_diff"), F.coalesce("_patch", F.lit(False))).alias("patch_file_hit"),
-    )
+    recorded = [name for name in RECORDED if name in answers.columns]
+    judged = F.col("error").isNull() if "error" in recorded else F.lit(True)
+    scores = {
+        "hit": F.col("rank").isNotNull(),
+        "rank": F.col("rank"),
+        "rr": F.when(F.col("rank").isNotNull(), F.lit(1.0) / F.col("rank")).otherwise(0.0),
+        "produced_diff": produced,
+        "diff_validated": produced & ~F.contains("text", F.lit(WARNING)),
+        "patch_file_hit": F.when(F.col("has_gold_diff"), F.coalesce("_patch", F.lit(False))),
+    }
+    return scored.select(key, *[F.when(judged, score).alias(name) for name, score in scores.items()], *recorded)
 
 
 def summarize(rows: DataFrame, error: str | None = None) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 LABEL_SCHEMA = (
     "id string, bug string, logcat string, gold_files array<string>, gold_diff_files array<string>, notes string"
 )
+ANSWER_SCHEMA = "id string, answer string, error string, verified_candidates array<string>, needs_human_review boolean"
 
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
@@ -16,8 +17,9 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_answers(spark: SparkSession, path: str) -> DataFrame:
-    """JSON lines with the recorded answer of each bug: id, answer."""
-    return spark.read.schema("id string, answer string").json(path).where(F.col("id").isNotNull())
+    """JSON lines with the recorded answer of each bug: id, answer; where given, the error the run ended in, the candidates
+    it verified, and whether a person has to look at it."""
+    return spark.read.schema(ANSWER_SCHEMA).json(path).where(F.col("id").isNotNull())
 
 
 def gold(labels: DataFrame, column: str = "gold_files") -> DataFrame:

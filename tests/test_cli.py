@@ -38,5 +38,11 @@ def test_index_report_evaluate(spark, tmp_path):
     answers.write_text(json.dumps({"id": "a", "answer": patch}))
     summary = cli.run_evaluate(spark, parse("evaluate", "--labels", str(bugs), "--answers", str(answers), "--out", out), settings).first()
     assert (summary.n, summary.hit_rate_at_k, summary.produced_diff_rate, summary.patch_file_hit_rate) == (2, 0.5, 0.5, 1.0)
+    answers.write_text("\n".join(json.dumps(a) for a in (
+        {"id": "a", "answer": patch, "verified_candidates": ["vendor/oem/Speed.java"], "needs_human_review": True}, {"id": "b", "error": "timed out"})))
+    failed = cli.run_evaluate(spark, parse("evaluate", "--labels", str(bugs), "--answers", str(answers), "--out", out), settings).first()
+    assert (failed.n, failed.n_scored, failed.hit_rate_at_k) == (2, 1, 1.0)
+    rows = {r.query_id: r for r in spark.read.json(f"{out}/rows").collect()}
+    assert (rows["a"].verified_candidates, rows["a"].needs_human_review, rows["b"].error, rows["b"].hit) == (["vendor/oem/Speed.java"], True, "timed out", None)
     searched = cli.run_evaluate(spark, parse("evaluate", "--labels", str(bugs), "--out", out), settings).first()
     assert searched.hit_rate_at_k == 1.0

@@ -247,3 +247,6 @@ def test_evaluation(spark):
     assert (got.n, got.hit_rate_at_k, got.mrr, got.produced_diff_rate, got.diff_validated_rate, got.patch_file_hit_rate) == (3, 0.667, 0.5, 0.667, 0.333, 0.5)
     failed = rows.withColumn("error", F.when(F.col("query_id") == 2, "boom"))
     assert E.summarize(failed, "error").first().hit_rate_at_k == 1.0
+    ended = answers.withColumn("error", F.when(F.col("query_id") == 2, "boom")).withColumn("needs_human_review", F.col("query_id") == 3)
+    kept = {r.query_id: r for r in E.score_answers(ended, ranks).collect()}
+    assert (kept[2].error, kept[2].hit, kept[2].rr, kept[3].needs_human_review, kept[3].hit) == ("boom", None, None, True, True)
