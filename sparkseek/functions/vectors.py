@@ -4,10 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import re
-from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,19 +42,17 @@ def sigmoid(x) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-_col(x)))
 
 
-@lru_cache(maxsize=1 << 18)
-def _slot(token: str, dim: int) -> tuple[int, float]:
-    digest = hashlib.md5(token.encode("utf-8")).hexdigest()
-    return int(digest[:7], 16) % dim, (1.0 if int(digest[7], 16) % 2 == 0 else -1.0)
+def _slots(tokens: list[str], dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Slot and sign of each token: the first seven hexadecimal digits of its md5, and the eighth's lowest bit."""
+    digests = b"".join([hashlib.md5(token.encode("utf-8")).digest()[:4] for token in tokens])
+    leading = np.frombuffer(digests, dtype=">u4").astype(np.int64)
+    return (leading >> 4) % dim, 1.0 - 2.0 * (leading & 1)
 
 
 def hashing_vector(text: str | None, dim: int) -> np.ndarray:
     """Signed token counts in `dim` slots; slot and sign come from the token's md5."""
-    vector = np.zeros(dim)
-    for token in _TOKENS.findall((text or "").lower()):
-        slot, sign = _slot(token, dim)
-        vector[slot] += sign
-    return vector
+    slot, sign = _slots(_TOKENS.findall((text or "").lower()), dim)
+    return np.bincount(slot, sign, dim)
 
 
 _TOKENS = re.compile(fv.TOKEN_PATTERN)
@@ -67,27 +64,16 @@ def hashing_embedder(dim: int = 64):
     It is a feature-hashing vector, not a neural embedding, and is named so in every manifest it is written to.
     """
 
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def embed(texts: pd.Series) -> pd.Series:
-        return pd.Series([hashing_vector(t, dim) for t in texts], index=texts.index)
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def embed(texts: pa.Array) -> pa.Array:
+        flat = np.array([hashing_vector(t.as_py(), dim) for t in texts]).ravel()
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * dim, pa.int32()), pa.array(flat, pa.float64()))
 
     return embed
 
 
-def term_embedder(dim: int = 64):
-    """The same vectors from counted terms (two array columns, terms and their counts): no text is read and each distinct
-    term of a batch is hashed once."""
-
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def embed(terms: pd.Series, counts: pd.Series) -> pd.Series:
-        lists = [t if t is not None else () for t in terms]
-        row = np.repeat(np.arange(len(lists)), [len(t) for t in lists])
-        total = np.zeros(len(lists) * dim)
-        if len(row):
-            code, distinct = pd.factorize(np.concatenate([np.asarray(t, dtype=object) for t in lists if len(t)]))
-            slot, sign = np.array([_slot(t, dim) for t in distinct]).T
-            weight = sign[code] * np.concatenate([c for c in counts if c is not None and len(c)])
-            total = np.bincount(row * dim + slot[code].astype(np.int64), weight, len(lists) * dim)
-        return pd.Series(list(total.reshape(len(lists), dim)), index=terms.index)
-
-    return embed
+def term_vectors(terms: pa.DictionaryArray, counts: np.ndarray, row: np.ndarray, rows: int, dim: int = 64) -> np.ndarray:
+    """The same vectors, a row each, from counted terms: `row` names the text of each term. A distinct term is hashed once."""
+    slot, sign = _slots(terms.dictionary.to_pylist(), dim)
+    code = terms.indices.to_numpy()
+    return np.bincount(row * dim + slot[code], sign[code] * counts, rows * dim).reshape(rows, dim)

@@ -2,27 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
-from .memory import release
-
-
-def pieces(batch: pa.RecordBatch, column: str, most_bytes: int) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch that hold about `most_bytes` of a text column each, and one row at least."""
-    start = size = 0
-    for row, length in enumerate(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()):
-        if size and size + length > most_bytes:
-            yield batch.slice(start, row - start)
-            start = row
-            size = 0
-        size += length
-    if start < batch.num_rows:
-        yield batch.slice(start)
+from ..batches import pieces, release
 
 
 def with_columns(df: DataFrame, text: str, added: str, prepare: Callable[[], Callable[[list], list[pa.Array]]], most_bytes: int = 4 << 20) -> DataFrame:

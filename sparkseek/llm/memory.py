@@ -6,22 +6,11 @@ executors with a fixed share of memory for Python, that would add up to the larg
 
 from __future__ import annotations
 
-import ctypes
 from collections.abc import Callable
 
 import pyarrow as pa
 
-try:
-    _TRIM = ctypes.CDLL(None).malloc_trim
-except (AttributeError, OSError, TypeError):  # another C library
-    _TRIM = None
-
-
-def release() -> None:
-    """Hand freed memory back to the system."""
-    pa.default_memory_pool().release_unused()
-    if _TRIM is not None:
-        _TRIM(0)
+from ..batches import release
 
 
 def of_group(function: Callable[..., pa.Table]) -> Callable[[tuple, pa.Table], pa.Table]:

@@ -1,7 +1,7 @@
 """Okapi BM25 over an inverted view of the corpus, for many queries at once.
 
 Scale notes
-* Term counts of a document are taken inside its own row (sort the tokens, measure the runs), so counting needs no
+* Term counts of a document are taken in one Arrow pass over the texts, in pieces of bounded size, so counting needs no
   shuffle.
 * The vocabulary comes from the sizes of the postings (`postings.py`), one row per term and slice of documents.
 * Queries are scored against the postings of their terms, in blocks of bounded size; neither all terms of a document nor
@@ -10,9 +10,17 @@ Scale notes
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..batches import pieces, release
 from ..config import Bm25, Limits
 from ..functions import text as X
 from ..functions.paths import bound
@@ -39,10 +47,63 @@ def term_counts(tokens: Column) -> Column:
     return bound(F.sort_array(tokens), lambda s: F.when(F.size(s) > 0, run_lengths(s)))
 
 
+TERMS = "array<struct<term: string, tf: int>>"
+# A token (see TOKEN_PATTERN) is a run of these bytes without its leading digits and dots, of two at least.
+_RUNS = bytes(c if chr(c) in "abcdefghijklmnopqrstuvwxyz0123456789_." else 32 for c in range(256))
+_NO_START = "0123456789."
+
+
+@dataclass(frozen=True)
+class Counts:
+    """Counted terms of some texts, text after text, each text's in order."""
+
+    dl: pa.Array
+    row: np.ndarray  # the text of each counted term
+    terms: pa.DictionaryArray
+    tfs: np.ndarray
+
+    @classmethod
+    def of(cls, texts: Iterable[str | None]) -> Counts:
+        runs, sizes, known = [], [], []
+        for text in texts:
+            own = (text or "").lower().encode("utf-8", "replace").translate(_RUNS).split()
+            runs += own
+            sizes.append(len(own))
+            known.append(text is not None)
+        tokens = pc.ascii_ltrim(pa.array(runs, pa.string()), characters=_NO_START)
+        kept = pc.greater_equal(pc.binary_length(tokens), 2)
+        coded = tokens.filter(kept).dictionary_encode()
+        row = np.repeat(np.arange(len(sizes)), sizes)[kept.to_numpy(zero_copy_only=False)]
+        order = pc.sort_indices(coded.dictionary).to_numpy()
+        rank = np.empty(len(order), dtype=np.int64)
+        rank[order] = np.arange(len(order))
+        width = max(len(order), 1)
+        pairs, tfs = np.unique(row * width + rank[coded.indices.to_numpy()], return_counts=True)
+        terms = pa.DictionaryArray.from_arrays(pa.array(pairs % width, pa.int32()), coded.dictionary.take(pa.array(order)))
+        dl = pa.array(np.bincount(row, minlength=len(sizes)).astype(np.int32), mask=~np.array(known, dtype=bool))
+        return cls(dl, pairs // width, terms, tfs.astype(np.int32))
+
+    def columns(self) -> list[pa.Array]:
+        """dl int, terms; a text without a token has no list."""
+        pairs = pa.StructArray.from_arrays([self.terms.dictionary_decode(), pa.array(self.tfs)], names=["term", "tf"])
+        size = np.bincount(self.row, minlength=len(self.dl))
+        ends = pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32())
+        return [self.dl, pa.ListArray.from_arrays(ends, pairs, mask=pa.array(size == 0))]
+
+
 def counted(docs: DataFrame, keys: list[str], text: str) -> DataFrame:
     """store, keys, dl, terms: each document with its length and term counts."""
-    tokens = docs.select("store", *keys, X.code_tokens(text).alias("_tokens"))
-    return tokens.select("store", *keys, F.size("_tokens").alias("dl"), term_counts(F.col("_tokens")).alias("terms"))
+    carried = ["store", *keys]
+    schema = T.StructType([docs.schema[name] for name in carried] + T.StructType.fromDDL(f"dl int, terms {TERMS}").fields)
+
+    def run(batches):
+        for batch in batches:
+            for piece in pieces(batch, "_text"):
+                counts = Counts.of(t.as_py() for t in piece.column("_text"))
+                yield pa.RecordBatch.from_arrays([*piece.select(carried).columns, *counts.columns()], names=schema.names)
+            release()
+
+    return docs.select(*carried, F.col(text).alias("_text")).mapInArrow(run, schema)
 
 
 def vocabulary(docs: DataFrame) -> DataFrame:

@@ -1,7 +1,8 @@
 """Exact identifier search: which files hold any of a query's keywords, ignoring case.
 
-All keywords of a batch are looked for in one pass over each text. A task keeps, per keyword, its first k files in
-result order; the first k files of a query are always among the first k files of its keywords, so nothing is lost.
+All keywords of a batch are looked for in one pass over each text, in pieces of bounded size. A task keeps, per keyword, its
+first k files in result order, and nothing else; the first k files of a query are always among the first k files of its
+keywords, so nothing is lost.
 """
 
 from __future__ import annotations
@@ -9,15 +10,19 @@ from __future__ import annotations
 import uuid
 
 import ahocorasick
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
+from ..batches import pieces, release
 from ..config import Limits
 from ..functions import paths as P
 from ..functions import text as X
 from ..sizes import fits, small_side
-from .topk import RunningBest, query_blocks
+from .topk import query_blocks
 
 _MACHINES: dict = {}
 
@@ -50,27 +55,61 @@ def matches(texts: DataFrame, patterns: DataFrame, keys: list[str], text: str, k
         for rows in query_blocks(patterns, limits.queries_per_slice * 16, "pattern")
     ]
 
+    types = [to_arrow_type(field.dataType) for field in schema.fields]
+
     def scan(batches):
-        best = RunningBest(keep, ["pattern"], keys) if keep is not None else None
+        first = _First(keep) if keep is not None else None
         for batch in batches:
-            for key, block in blocks:
-                words = block.value
-                found_in = _matcher(key, words)
-                hits = [(row, i) for row, t in enumerate(batch[text]) if t for i in found_in(t)]
-                if not hits:
-                    continue
-                rows, numbers = zip(*hits)
-                found = batch[keys].iloc[list(rows)].reset_index(drop=True)
-                found.insert(0, "pattern", [words[i] for i in numbers])
-                if best is None:
-                    yield found
-                else:
-                    best.add(found.assign(score=0.0))
-        result = best.result() if best is not None else None
-        if result is not None:
-            yield result[["pattern", *keys]]
-
-    return texts.select(*keys, text).mapInPandas(scan, schema)
+            for piece in pieces(batch, text):
+                for key, block in blocks:
+                    words = block.value
+                    found_in = _matcher(key, words)
+                    rows, numbers = [], []
+                    for row, one in enumerate(piece.column(text)):
+                        found = found_in(one.as_py() or "")
+                        rows.extend([row] * len(found))
+                        numbers.extend(found)
+                    if not rows:
+                        continue
+                    if first is None:
+                        own = piece.select(keys).take(pa.array(rows, pa.int32()))
+                        pattern = pa.array(words, pa.string()).take(pa.array(numbers, pa.int32()))
+                        yield pa.RecordBatch.from_arrays([pattern, *own.columns], names=schema.names)
+                    else:
+                        first.add(piece.select(keys), words, rows, numbers)
+            release()
+        if first is not None and first.held:
+            columns = zip(*((pattern, *row) for pattern, rows in first.held.items() for row in rows), strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=schema.names)
+
+    return texts.select(*keys, text).mapInArrow(scan, schema)
+
+
+class _First:
+    """The first `keep` rows of each pattern in key order; nulls come first."""
+
+    def __init__(self, keep: int):
+        self.keep = keep
+        self.held: dict[str, list[tuple]] = {}
+
+    def add(self, piece: pa.RecordBatch, words: list[str], rows: list[int], numbers: list[int]) -> None:
+        keys = list(zip(*(column.to_pylist() for column in piece.columns), strict=True))
+        order = sorted(range(len(keys)), key=lambda row: _in_order(keys[row]))
+        rank = np.empty(len(order), dtype=np.int64)
+        rank[order] = np.arange(len(order))
+        # Hits by pattern and then in key order; of each pattern the first ones of this piece.
+        hits = np.sort(np.array(numbers, dtype=np.int64) * len(order) + rank[rows])
+        number, place = hits // len(order), hits % len(order)
+        starts = np.flatnonzero(np.diff(number, prepend=-1))
+        for start, end in zip(starts.tolist(), np.append(starts[1:], len(hits)).tolist(), strict=True):
+            held = self.held.setdefault(words[number[start]], [])
+            found = [keys[order[p]] for p in place[start : min(end, start + self.keep)].tolist()]
+            if len(held) < self.keep or found and _in_order(found[0]) < _in_order(held[-1]):
+                held[:] = sorted(held + found, key=_in_order)[: self.keep]
+
+
+def _in_order(row: tuple) -> tuple:
+    return tuple((value is not None, value) for value in row)
 
 
 def query_keywords(queries: DataFrame, max_keywords: int | None = None, query: str = "query") -> DataFrame:

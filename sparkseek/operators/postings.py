@@ -3,7 +3,8 @@
 Layout. Documents are numbered where they lie, in the order of their keys within a task, and up to 1,024 neighbours are a
 slice: numbering shuffles nothing. A row of the index is one term in one slice: the documents with it, how often, and how long they are, with the largest count
 and the shortest length beside. So a term of most documents is one bounded row per slice, never one long list, and each row
-has a bound for any score it can give. On disk rows lie in folders by a hash of the term, sorted by term.
+has a bound for any score it can give. Neighbours lie in one task, which lists a slice's terms by itself; where tasks share a
+slice, or its lists are long, a term has several rows there, each of other documents. On disk rows lie in folders by a hash of the term, sorted by term.
 
 Search. The terms of a block of queries, of bounded size, select folders and rows; a task takes its slices one after the other,
 keeps the best k per query and store, and leaves out every query whose bound in a slice, summed over its terms, stays below
@@ -17,12 +18,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from ..batches import release
 from ..config import Bm25, Limits
 from ..workspace import new_folder, written
 from .topk import leading, query_blocks
@@ -32,6 +35,9 @@ SLICE_BITS = 10
 #: Folders that terms are dealt into.
 BUCKETS = 32
 
+#: Counted terms of neighbouring documents that a task lists at a time, about.
+SEGMENT_TERMS = 500_000
+
 LISTS = ("docs", "tfs", "dls")
 
 
@@ -42,19 +48,72 @@ def placed(docs: DataFrame, keys: list[str]) -> DataFrame:
     return place.withColumns({"_slice": F.shiftright("_at", SLICE_BITS), "_doc": doc}).drop("_at")
 
 
+ROWS = "store string, _slice long, term string, n int, most int, least int, docs array<int>, tfs array<int>, dls array<int>"
+
+
+_NAMES = [column.split()[0] for column in ROWS.split(", ")]
+
+
+def _lists(segment: pa.Table) -> pa.RecordBatch:
+    """The rows of a slice, or of a part of it; documents come in order."""
+    segment = segment.combine_chunks()
+    lists = segment.column("terms").chunk(0)
+    size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+    entries = lists.flatten()
+    coded = entries.field("term").dictionary_encode()
+    order = np.argsort(coded.indices.to_numpy(), kind="stable")
+    code = coded.indices.to_numpy()[order]
+    starts = np.flatnonzero(np.diff(code, prepend=-1))
+    tf = entries.field("tf").to_numpy()[order]
+    doc, dl = (np.repeat(segment.column(name).to_numpy(), size)[order] for name in ("_doc", "dl"))
+    ends = np.append(starts, len(code)).astype(np.int32)
+    columns = [
+        pa.array([segment.column("store")[0].as_py()] * len(starts), pa.string()), pa.array(np.full(len(starts), segment.column("_slice")[0].as_py())),
+        coded.dictionary.take(pa.array(code[starts])), pa.array(np.diff(ends)),
+        pa.array(np.maximum.reduceat(tf, starts)), pa.array(np.minimum.reduceat(dl, starts)),
+        *(pa.ListArray.from_arrays(pa.array(ends), pa.array(values.astype(np.int32))) for values in (doc, tf, dl)),
+    ]
+    return pa.RecordBatch.from_arrays(columns, names=_NAMES)
+
+
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Posting rows of neighbouring documents, slice by slice, of at most about SEGMENT_TERMS entries at a time."""
+    held: list[pa.Table] = []
+    entries = 0
+
+    def flush():
+        nonlocal entries
+        if entries:
+            yield _lists(pa.concat_tables(held))
+        held.clear()
+        entries = 0
+
+    last = None
+    for batch in batches:
+        frame = pa.Table.from_batches([batch])
+        store, number = frame.column("store").to_pylist(), frame.column("_slice").to_pylist()
+        size = pc.fill_null(pc.list_value_length(frame.column("terms")), 0).to_pylist()
+        start = 0
+        for row in range(len(store)):
+            if (store[row], number[row]) != last or entries > SEGMENT_TERMS:
+                if row > start:
+                    held.append(frame.slice(start, row - start))
+                yield from flush()
+                start, last = row, (store[row], number[row])
+            entries += size[row]
+        if len(store) > start:
+            held.append(frame.slice(start))
+        release()
+    yield from flush()
+
+
 def postings(documents: DataFrame, asked: DataFrame | None = None) -> DataFrame:
     """store, bucket, term, _slice, n, most, least, docs, tfs, dls of placed documents; with `asked` (term) of those terms only."""
-    each = documents.select("store", "_slice", "_doc", "dl", F.explode("terms").alias("t")).select("store", "_slice", "_doc", "dl", "t.term", "t.tf")
+    rows = documents.select("store", "_slice", "_doc", "dl", "terms").mapInArrow(_sliced, ROWS)
     if asked is not None:
-        each = each.join(asked, "term", "left_semi")
-    lists = each.groupBy("store", "_slice", "term").agg(
-        F.sort_array(F.collect_list(F.struct("_doc", "tf", "dl"))).alias("_p"),  # at most the documents of a slice
-        F.max("tf").alias("most"), F.min("dl").alias("least"),
-    )
-    return lists.select(
-        "store", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int").alias("bucket"), "term", "_slice", F.size("_p").alias("n"), "most", "least",
-        F.col("_p._doc").alias("docs"), F.col("_p.tf").alias("tfs"), F.col("_p.dl").alias("dls"),
-    )
+        rows = rows.join(asked, "term", "left_semi")
+    bucket = F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int").alias("bucket")
+    return rows.select("store", bucket, "term", "_slice", "n", "most", "least", *LISTS)
 
 
 def write(rows: DataFrame, path: str) -> None:

@@ -13,6 +13,8 @@ from ..workspace import new_folder
 
 # Rows scored against the query block at a time; bounds the memory of one score block.
 BLOCK_ROWS = 1024
+#: Rows that are gathered before they are cut to the best; more if the best alone are that many.
+HELD_ROWS = 50_000
 
 
 def query_blocks(rows: DataFrame, size: int, key: str) -> Iterator[list]:
@@ -46,13 +48,13 @@ class RunningBest:
     def __init__(self, k: int, groups: list[str], keys: list[str]):
         self.k, self.groups, self.keys = k, groups, keys
         self.parts: list[pd.DataFrame] = []
-        self.rows = 0
+        self.rows = self.least = 0
 
     def add(self, part: pd.DataFrame) -> None:
         if len(part):
             self.parts.append(part)
             self.rows += len(part)
-        if self.rows > 500_000:
+        if self.rows > max(HELD_ROWS, 2 * self.least):
             self._cut()
 
     def _cut(self) -> None:
@@ -60,7 +62,7 @@ class RunningBest:
         by = [*self.groups, "score", *self.keys]
         rows = rows.sort_values(by, ascending=[True] * len(self.groups) + [False] + [True] * len(self.keys))
         rows = rows[rows.groupby(self.groups, sort=False).cumcount() < self.k]
-        self.parts, self.rows = [rows], len(rows)
+        self.parts, self.rows, self.least = [rows], len(rows), len(rows)
 
     def result(self) -> pd.DataFrame | None:
         if not self.parts:

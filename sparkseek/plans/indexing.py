@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Settings
 from ..functions import paths as P
-from ..functions import text as X
 from ..functions import vectors as V
 from ..operators import bm25
 from ..operators import postings as inverted
@@ -23,16 +24,25 @@ CHUNK_COLUMNS = ("path", "idx", "chunk_id", "content", "content_len", "ext", "la
 def chunk_rows(files: DataFrame, settings: Settings = Settings(), embed=None, ast_ranges=None) -> DataFrame:
     """Chunk table rows of files (path, text): content, term counts and embedding side by side."""
     r = settings.retrieval
-    vector = V.term_embedder(r.embed_dim)("terms.term", "terms.tf") if embed is None else embed(F.col("content"))
-    chunks = chunk_files(files.select("path", "text"), r.chunk_size, r.chunk_overlap, ast_ranges=ast_ranges)
-    return (
-        chunks.withColumn("content_len", F.length("content"))
-        .withColumn("_tokens", X.code_tokens("content"))
-        .withColumn("dl", F.size("_tokens"))
-        .withColumn("terms", bm25.term_counts(F.col("_tokens")))
-        .withColumn("embedding", vector.cast("array<float>"))
-        .select(*CHUNK_COLUMNS)
-    )
+    dim = r.embed_dim if embed is None else None
+    added = f"dl int, terms {bm25.TERMS}" + (", embedding array<float>" if embed is None else "")
+    chunks = chunk_files(files.select("path", "text"), r.chunk_size, r.chunk_overlap, ast_ranges=ast_ranges, added=added, describe=_described(dim))
+    if embed is not None:
+        chunks = chunks.withColumn("embedding", embed(F.col("content")).cast("array<float>"))
+    return chunks.withColumn("content_len", F.length("content")).select(*CHUNK_COLUMNS)
+
+
+def _described(dim: int | None):
+    """Term counts of contents, and their hashing vectors if a width is given."""
+
+    def run(contents: list[str]) -> list[pa.Array]:
+        counts = bm25.Counts.of(contents)
+        if dim is None:
+            return counts.columns()
+        vectors = V.term_vectors(counts.terms, counts.tfs, counts.row, len(contents), dim).astype(np.float32).ravel()
+        return [*counts.columns(), pa.ListArray.from_arrays(pa.array(np.arange(len(contents) + 1) * dim, pa.int32()), pa.array(vectors))]
+
+    return run
 
 
 def _write_store(spark: SparkSession, folder: str, chunks: DataFrame, files: DataFrame, manifest: dict) -> S.Manifest:

@@ -41,8 +41,10 @@ def with_path(docs: DataFrame) -> DataFrame:
     suffix = F.lit(".txt")
     for lang, ending in TREE_SUFFIXES.items():
         suffix = F.when(F.col("lang") == lang, F.lit(ending)).otherwise(suffix)
+    # Filters on the path compute it many times, so the whole text is looked at only if no word ends in its head.
+    early = F.regexp_extract(F.lower(F.substring("text", 1, 256)), "([a-z_][a-z0-9_]+)[^a-z0-9_]", 1)
     word = F.regexp_extract(F.lower("text"), "[a-z_][a-z0-9_]+", 0)
-    word = F.when(word == "", "unit").otherwise(word)
+    word = F.when(early != "", early).when(word == "", "unit").otherwise(word)
     path = F.concat(folder, F.lit("/"), "source", F.lit("/"), word, F.lit("-"), F.col("doc_id").cast("string"), suffix)
     customer = folder.startswith("vendor/") | folder.startswith("device/")
     return docs.withColumn("path", path).withColumn("store", F.when(customer, "customer").otherwise("base"))
