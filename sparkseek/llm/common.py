@@ -38,8 +38,8 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total:
 
 def numbered_rows(rows: DataFrame, name: str = "row") -> DataFrame:
     """The frame with a number for each row, written once: every pass reads the number from that table, so it is the same
-    for a row whichever executors take part and however files are split."""
-    return written(rows.withColumn(name, F.monotonically_increasing_id()), "numbered-rows")
+    for a row whichever executors take part and however files are split. Texts fill it, so it is packed tightly."""
+    return written(rows.withColumn(name, F.monotonically_increasing_id()), "numbered-rows", "zstd")
 
 
 def utf8_size(text: Column) -> Column:

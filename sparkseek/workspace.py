@@ -47,8 +47,9 @@ def clear(spark: SparkSession) -> None:
     fs.delete(path, True)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The frame, written to a new folder and read back."""
+def written(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
+    """The frame, written to a new folder and read back; `compression` names another codec than the session's."""
     path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    writer = df.write if compression is None else df.write.option("compression", compression)
+    writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
