@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..batches import release
 from ..shipping import ship
 from .arrow import with_columns
 
@@ -82,18 +83,48 @@ def _scaled(kept: np.ndarray):
     return run
 
 
-def _fit(places: list[np.ndarray], values: list[np.ndarray], toxic: np.ndarray, width: int, rounds: int, penalty: float) -> tuple[np.ndarray, float]:
-    """Logistic regression by Adam over all rows at once, both classes weighing the same."""
-    cuts = np.concatenate([[0], np.cumsum([len(p) for p in places])])
-    row = np.repeat(np.arange(len(places)), np.diff(cuts))
-    place, value = np.concatenate(places), np.concatenate(values)
+#: Entries of the training data that are computed on at a time; bounds what the driver holds besides the data.
+_FIT_ENTRIES = 500_000
+
+
+def _blocks(size: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges of neighbouring documents of about _FIT_ENTRIES entries, one document at least."""
+    ranges, start, held = [], 0, 0
+    for row, n in enumerate(size.tolist()):
+        if held and held + n > _FIT_ENTRIES:
+            ranges.append((start, row))
+            start, held = row, 0
+        held += n
+    return [*ranges, (start, len(size))]
+
+
+def _fit(place: np.ndarray, count: np.ndarray, size: np.ndarray, ratio: np.ndarray, toxic: np.ndarray, rounds: int, penalty: float) -> tuple[np.ndarray, float]:
+    """Logistic regression by Adam over all rows at once, both classes weighing the same.
+
+    The data are the places and counts of all documents, one after the other, `size` of each; values are computed block by
+    block, so that besides the data only one block of them is held.
+    """
+    width, edges, blocks = len(ratio), np.concatenate([[0], np.cumsum(size)]), _blocks(size)
+
+    def of_block(start: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        own = slice(edges[start], edges[end])
+        return np.repeat(np.arange(end - start), size[start:end]), place[own], count[own] * ratio[place[own]]
+
+    norm = np.empty(len(toxic))
+    for start, end in blocks:
+        row, at, value = of_block(start, end)
+        norm[start:end] = np.sqrt(1 + np.bincount(row, weights=value * ratio[at], minlength=end - start))
     share = np.where(toxic == 1, 0.5 / toxic.sum(), 0.5 / (1 - toxic).sum())
     w, bias = np.zeros(width), 0.0
     mean, square = np.zeros(width + 1), np.zeros(width + 1)
     for step in range(1, rounds + 1):
-        z = np.bincount(row, weights=value * w[place], minlength=len(toxic)) + bias
-        error = (1 / (1 + np.exp(-z)) - toxic) * share
-        slope = np.append(np.bincount(place, weights=value * error[row], minlength=width) + penalty * w, error.sum())
+        slope = np.append(penalty * w, 0.0)
+        for start, end in blocks:
+            row, at, value = of_block(start, end)
+            z = np.bincount(row, weights=value * w[at], minlength=end - start) / norm[start:end] + bias
+            error = (1 / (1 + np.exp(-z)) - toxic[start:end]) * share[start:end]
+            slope[:-1] += np.bincount(at, weights=value * (error / norm[start:end])[row], minlength=width)
+            slope[-1] += error.sum()
         mean = 0.9 * mean + 0.1 * slope
         square = 0.99 * square + 0.01 * slope**2
         move = 0.1 * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-8)
@@ -130,12 +161,15 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 2000, features: i
     best = best.sort_values("feature")
     kept, ratio_of = best["feature"].to_numpy(), best["ratio"].to_numpy()
     data = rows.select("text", "toxic").mapInArrow(_scaled(kept), "toxic int, places binary, counts binary").toPandas()
-    places = [np.frombuffer(p, dtype=np.int32) for p in data["places"]]
-    values = []
-    for place, count in zip(places, data["counts"], strict=True):
-        count = np.frombuffer(count, dtype=np.int32)
-        values.append(count * ratio_of[place] / np.sqrt(1 + (count * ratio_of[place] ** 2).sum()))
-    w, bias = _fit(places, values, data["toxic"].to_numpy(), len(kept), rounds, penalty)
+    size = np.array([len(p) // 4 for p in data["places"]])
+    place = np.frombuffer(b"".join(data["places"]), dtype=np.int32)
+    count = np.frombuffer(b"".join(data["counts"]), dtype=np.int32)
+    toxic = data["toxic"].to_numpy()
+    del data
+    release()
+    w, bias = _fit(place, count, size, ratio_of, toxic, rounds, penalty)
+    del place, count
+    release()
     ratios, weights = np.zeros(1 << BITS), np.zeros(1 << BITS)
     ratios[kept], weights[kept] = ratio_of, w * ratio_of
     return Model(ratios, weights, float(bias + np.log(prior[1] / prior[0])))
