@@ -7,7 +7,7 @@ piece by piece.
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -40,3 +40,13 @@ def pieces(batch: pa.RecordBatch, column: str, most_bytes: int = PIECE_BYTES) ->
     if start < batch.num_rows:
         yield batch.slice(start)
 
+
+def row_by_row(function: Callable, kind: pa.DataType, text: pa.Array, *others: pa.Array) -> pa.Array:
+    """The function's value for each row of a text column and others; Python holds texts and values of one piece at a time."""
+    names = [str(number) for number in range(1 + len(others))]
+    done = [
+        pa.array([function(*(value.as_py() for value in row)) for row in zip(*piece.columns, strict=True)], kind)
+        for piece in pieces(pa.RecordBatch.from_arrays([text, *others], names=names), "0")
+    ]
+    release()
+    return pa.concat_arrays(done) if done else pa.array([], kind)

@@ -1,13 +1,14 @@
 """Passes over texts: one Python worker for each task, no more memory than a piece and the best rows, no shuffle for lists."""
 
 import io
+import tracemalloc
 from contextlib import redirect_stdout
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from sparkseek.operators import bm25, exact, postings, topk
+from sparkseek.operators import bm25, diffs, exact, postings, topk
 from sparkseek.plans import indexing
 from sparkseek.workload import data as D
 
@@ -81,3 +82,16 @@ def test_word_of_a_path_is_the_first_of_the_whole_text(spark, text):
     row = D.with_path(spark.createDataFrame([(7, text, "en", "source-1")], "doc_id long, text string, lang string, source string")).first()
     found = re.search("[a-z_][a-z0-9_]+", text.lower())
     assert row.path.rsplit("/", 1)[1] == f"{found[0] if found else 'unit'}-7.java"
+
+
+def test_texts_of_a_batch_are_not_in_python_all_at_once():
+    texts = pa.array([f"{k}\n" + "x" * 1_000_000 for k in range(60)])
+    patches = pa.array([f"@@ -1 +1 @@\n-{k}\n+new {k}\n" if k % 2 else None for k in range(60)])
+    tracemalloc.start()
+    patched = diffs.apply_diff_udf.func(texts, patches)
+    windows = diffs.symbol_window_udf(2_000_000).func(texts, pa.array([["x"]] * 60))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert patched.null_count == 30 and all(patched[k].as_py().startswith(f"new {k}\nxx") for k in range(1, 60, 2))
+    assert windows.field("text").equals(texts) and windows.field("cut").true_count == 0
+    assert most < 20_000_000
