@@ -22,7 +22,7 @@ from .registry import query
 SETTINGS = replace(Settings(), retrieval=replace(Settings().retrieval, default_scope="framework"))
 _R, _K, _B = SETTINGS.retrieval, SETTINGS.ranking, SETTINGS.bm25
 ROOTS = SETTINGS.scope_roots()
-TENANT = S.Tenant("oem")
+TENANT, COPYING_TENANT = S.Tenant("oem"), S.Tenant("oem-copies")
 
 # -- SQL building blocks ---------------------------------------------------------------------------------------------
 
@@ -172,19 +172,32 @@ BUGS_SQL = "bugs AS (SELECT item_id AS query_id, text AS query FROM benchmark)"
 # -- shared index ----------------------------------------------------------------------------------------------------
 
 
-def search_over_tree(spark: SparkSession, sf_dir: str) -> HybridSearch:
-    """Search over the virtual tree of one data folder: built once per application, then reused."""
+def _with_base_store(spark: SparkSession, sf_dir: str) -> S.StoreProvider:
+    """The stores of one data folder with the base layer in place, which all tenants share: built once per application."""
+
+    def build() -> S.StoreProvider:
+        provider = S.StoreProvider(spark, new_folder(spark, "stores"), _R.embed_model)
+        base = D.source_tree(spark, sf_dir).where("store = 'base'").select("path", "size_bytes", "text")
+        indexing.build_store(base, provider.base_folder(TENANT.version), "base", SETTINGS)
+        return provider
+
+    return cached_search((spark.sparkContext.applicationId, sf_dir, "base"), build)
+
+
+def _tenant_search(spark: SparkSession, sf_dir: str, tenant: S.Tenant, own: DataFrame) -> HybridSearch:
+    """Search of a tenant over the shared base layer and a layer of its `own` files, and over the virtual tree: built once per application."""
 
     def build() -> HybridSearch:
-        root = new_folder(spark, "stores")
-        provider = S.StoreProvider(spark, root, _R.embed_model)
-        tree = D.source_tree(spark, sf_dir).select("path", "store", "size_bytes", "text")
-        for store, mode in (("base", "base"), ("customer", "customer")):
-            files = tree.where(F.col("store") == store).drop("store")
-            indexing.build_store(files, provider.folder(base=store == "base", tenant=TENANT), mode, SETTINGS)
-        return HybridSearch(provider.open(TENANT), tree.select("path", "text"), SETTINGS)
+        provider = _with_base_store(spark, sf_dir)
+        indexing.build_store(own.select("path", "size_bytes", "text"), provider.customer_folder(tenant), "customer", SETTINGS)
+        return HybridSearch(provider.open(tenant), D.source_tree(spark, sf_dir).select("path", "text"), SETTINGS)
 
-    return cached_search((spark.sparkContext.applicationId, sf_dir, TENANT.slug), build)
+    return cached_search((spark.sparkContext.applicationId, sf_dir, tenant.slug), build)
+
+
+def search_over_tree(spark: SparkSession, sf_dir: str) -> HybridSearch:
+    """Search over the virtual tree of one data folder: built once per application, then reused."""
+    return _tenant_search(spark, sf_dir, TENANT, D.source_tree(spark, sf_dir).where("store = 'customer'"))
 
 
 # -- single channels -------------------------------------------------------------------------------------------------
@@ -323,19 +336,10 @@ def hybrid_search(spark, sf_dir):
 
 def _overlapping(spark: SparkSession, sf_dir: str) -> HybridSearch:
     """The search over two stores of which the second also holds its own version of every third base file."""
-
-    def build() -> HybridSearch:
-        base = search_over_tree(spark, sf_dir)
-        root = new_folder(spark, "overlapping-stores")
-        provider = S.StoreProvider(spark, root, _R.embed_model)
-        tree = D.source_tree(spark, sf_dir).select("doc_id", "path", "store", "size_bytes", "text")
-        own = tree.where("store = 'base' AND doc_id % 3 = 0").withColumn("text", F.concat("text", F.lit("\nlocal change")))
-        customer = tree.where("store = 'customer'").unionByName(own)
-        for store, files in (("base", tree.where("store = 'base'")), ("customer", customer)):
-            indexing.build_store(files.drop("store", "doc_id"), provider.folder(base=store == "base", tenant=TENANT), store, SETTINGS)
-        return HybridSearch(provider.open(TENANT), base.files, SETTINGS)
-
-    return cached_search((spark.sparkContext.applicationId, sf_dir, "overlapping"), build)
+    tree = D.source_tree(spark, sf_dir)
+    changed = F.concat("text", F.when(F.col("store") == "base", F.lit("\nlocal change")).otherwise(F.lit("")))
+    own = tree.where("store = 'customer' OR doc_id % 3 = 0").withColumn("text", changed)
+    return _tenant_search(spark, sf_dir, COPYING_TENANT, own)
 
 
 _TWICE = sql_search("bugs", _R.k_final).replace(

@@ -11,6 +11,7 @@ import pytest
 from sparkseek.operators import bm25, diffs, exact, postings, topk
 from sparkseek.plans import indexing
 from sparkseek.workload import data as D
+from sparkseek.workload import retrieval
 
 
 def plan(df):
@@ -95,3 +96,14 @@ def test_texts_of_a_batch_are_not_in_python_all_at_once():
     assert patched.null_count == 30 and all(patched[k].as_py().startswith(f"new {k}\nxx") for k in range(1, 60, 2))
     assert windows.field("text").equals(texts) and windows.field("cut").true_count == 0
     assert most < 20_000_000
+
+
+def test_tenants_over_one_tree_share_its_base_layer(spark, monkeypatch):
+    built = []
+    build = indexing.build_store
+    monkeypatch.setattr(indexing, "build_store", lambda files, folder, *rest: (built.append(folder), build(files, folder, *rest))[1])
+    folder = "/root/testdata/./sf0.001"
+    first, second = retrieval._overlapping(spark, folder), retrieval.search_over_tree(spark, folder)
+    assert len(built) == len(set(built)) == 3 and sum("/_base/" in at for at in built) == 1
+    copies = [s.store.table("chunks").where("store = 'customer' AND content LIKE '%local change'").count() for s in (first, second)]
+    assert copies[0] and not copies[1]
