@@ -27,6 +27,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from ..batches import release
 from ..config import Bm25, Limits
+from ..sizes import fits, small_side
 from ..workspace import new_folder, written
 from .topk import leading, query_blocks
 
@@ -35,6 +36,9 @@ SLICE_BITS = 10
 #: Folders that terms are dealt into.
 BUCKETS = 32
 
+#: Queries whose scores of a slice are in memory at a time.
+SCORED_QUERIES = 1024
+
 #: Counted terms of neighbouring documents that a task lists at a time, about.
 SEGMENT_TERMS = 500_000
 
@@ -215,22 +219,24 @@ def _scan(block: Broadcast, means: dict[str, float], k: int, params: Bm25, query
             open_ = np.flatnonzero((bound > 0) & (bound + 1e-8 >= best[store].bar))
             if not len(open_):
                 continue
-            column = np.full(len(queries.ids), -1)
-            column[open_] = np.arange(len(open_))
             docs, tfs, dls = (frame.column(name).combine_chunks() for name in LISTS)
             cuts = docs.offsets.to_numpy()
             doc, gain = docs.flatten().to_numpy(), _gain(tfs.flatten().to_numpy().astype(np.float64), dls.flatten().to_numpy().astype(np.float64), mean, params)
             cuts = cuts - cuts[0]
-            scores = np.zeros((int(doc.max()) + 1, len(open_)))
-            for row, entry in enumerate(known):
-                if entry is None:
-                    continue
-                wanted = column[entry[0]]
-                use = wanted >= 0
-                if use.any():
-                    own = slice(cuts[row], cuts[row + 1])
-                    scores[np.ix_(doc[own], wanted[use])] += np.outer(gain[own], entry[1][use])
-            best[store].add(open_, np.round(scores, 9), number)
+            for at in range(0, len(open_), SCORED_QUERIES):
+                part = open_[at : at + SCORED_QUERIES]
+                column = np.full(len(queries.ids), -1)
+                column[part] = np.arange(len(part))
+                scores = np.zeros((int(doc.max()) + 1, len(part)))
+                for row, entry in enumerate(known):
+                    if entry is None:
+                        continue
+                    wanted = column[entry[0]]
+                    use = wanted >= 0
+                    if use.any():
+                        own = slice(cuts[row], cuts[row + 1])
+                        scores[np.ix_(doc[own], wanted[use])] += np.outer(gain[own], entry[1][use])
+                best[store].add(part, np.round(scores, 9), number)
         for store, found in best.items():
             size = [len(score) for score, _ in found.held]
             if sum(size):
@@ -279,6 +285,12 @@ def top_k(index: DataFrame, documents: DataFrame, weights: DataFrame, stats: Dat
         for rows in query_blocks(weights, limits.weights_per_block, "query_id"):
             answered(rows).write.mode("append").parquet(found)
         best = spark.read.schema(schema).parquet(found)
+    level = Window.partitionBy("query_id", "store").orderBy(F.desc("score"))
+    best = best.withColumn("_n", F.rank().over(level)).where(F.col("_n") <= k).drop("_n")  # equals of the last stay
+    if not fits(documents.select("_slice"), limits):
+        # The few found are sent to the many documents, which aren't shuffled for their keys.
+        best = written(best, "bm25-found")
+        best = small_side(best, limits=limits)
     hits = documents.select("store", "_slice", "_doc", *keys).join(best, ["store", "_slice", "_doc"])
     order = Window.partitionBy("query_id", "store").orderBy(F.desc("score"), *keys)
     return hits.select("query_id", "store", *keys, "score", F.row_number().over(order).alias("rank")).where(F.col("rank") <= k)

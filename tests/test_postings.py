@@ -93,3 +93,41 @@ def test_slices_that_cannot_win_are_left_out():
     best = pa.Table.from_batches(out).to_pylist()
     assert {(r["_slice"], r["_doc"]) for r in best if r["query_id"] == 1} == {(0, 0), (0, 1), (0, 2)}
     assert np.isclose([r["score"] for r in best if r["query_id"] == 2], 0.1).all()
+
+
+def test_scores_of_many_queries_are_in_memory_in_parts(spark, tmp_path, monkeypatch):
+    texts = corpus(120, 4)
+    index, documents, vocabulary, stats = stored(spark, texts, str(tmp_path / "p"), monkeypatch)
+    queries = [{"query_id": q, "term": f"w{q}", "w": 1.0} for q in range(9)]
+    rows = index.where(F.col("term").isin([q["term"] for q in queries])).withColumn("store", F.lit("base")).orderBy("_slice", "term")
+    batches = rows.select("store", "_slice", "term", "most", "least", *postings.LISTS).toArrow().to_batches()
+
+    class Block:
+        value = {"base": postings._Queries(queries)}
+
+    def found(size):
+        widths = []
+        add = postings._Best.add
+        with monkeypatch.context() as patch:
+            patch.setattr(postings, "SCORED_QUERIES", size, raising=False)
+            patch.setattr(postings._Best, "add", lambda self, queries, scores, number: (widths.append(scores.shape[1]), add(self, queries, scores, number)))
+            out = pa.Table.from_batches(list(postings._scan(Block, {"base": 10.0}, 3, Bm25(), pa.int64())(iter(batches)))).to_pylist()
+        return max(widths), out
+
+    assert found(2)[0] == 2 and found(2)[1] == found(100)[1]
+
+
+def test_documents_are_not_shuffled_for_the_keys_of_the_few_found(spark, tmp_path, monkeypatch):
+    texts = corpus(300, 5)
+    index, documents, vocabulary, stats = stored(spark, texts, str(tmp_path / "p"), monkeypatch)
+    queries = spark.createDataFrame([(1, "w3 w7")], "query_id int, query string")
+    weights = bm25.term_weights(bm25.with_idf(vocabulary, stats), queries, True)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        hits = postings.top_k(index, documents, weights, stats, 7, ["doc_id"], limits=Limits(broadcast_rows=250))
+        plan = hits._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        got = [(h.doc_id, round(h.score, 6)) for h in sorted(hits.collect(), key=lambda h: h.rank)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == [(d, round(s, 6)) for d, s in okapi(texts, "w3 w7")[:7]]
