@@ -12,6 +12,7 @@ from ..config import Settings
 from ..operators import bm25, dense, exact, fusion
 from ..plans import indexing
 from ..plans.search import HybridSearch, cached_search, search_line
+from ..sizes import fits, small_side
 from ..sources import stores as S
 from ..workspace import new_folder
 from . import data as D
@@ -423,11 +424,17 @@ seeds AS (SELECT query_id, regexp_replace(q0, '^\\s+|\\s+$', '', 'g') AS query F
 @query("seed_search", f"WITH {_SEED_SQL}, {sql_search('seeds', _R.k_final)} SELECT query_id, CAST(rank AS INT) AS rank, path, round(final, 6) AS score FROM ranked")
 def seed_search(spark, sf_dir):
     """First search of a run: report and log together (the log is a whole conversation)."""
+    return search_over_tree(spark, sf_dir).seed(reported(spark, sf_dir)).select("query_id", "rank", "path", "score")
+
+
+def reported(spark, sf_dir):
+    """query_id, report, log; of all turns only those of reported bugs are put together."""
+    bugs = D.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("report"))
+    ids = bugs.select(F.col("query_id").alias("conv_id"))
+    talk = D.table(spark, sf_dir, "conversations", "conv_id", "turn", "text").join(small_side(ids, fits(ids)), "conv_id", "left_semi")
     turns = F.array_sort(F.collect_list(F.struct("turn", "text")))
-    logs = D.table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(turns, lambda t: t["text"]), "\n").alias("log"))
-    bugs = D.table(spark, sf_dir, "benchmark").join(logs, F.col("item_id") == F.col("conv_id"), "left")
-    bugs = bugs.select(F.col("item_id").alias("query_id"), F.col("text").alias("report"), "log")
-    return search_over_tree(spark, sf_dir).seed(bugs).select("query_id", "rank", "path", "score")
+    logs = talk.groupBy("conv_id").agg(F.array_join(F.transform(turns, lambda t: t["text"]), "\n").alias("log"))
+    return bugs.join(logs, F.col("query_id") == F.col("conv_id"), "left").select("query_id", "report", "log")
 
 
 _RELOCATE_SQL = f"""asked AS (SELECT item_id AS query_id, trim(text) || ' ' || 'Car' || regexp_extract(text, '[A-Za-z]+') || 'Service '

@@ -107,3 +107,10 @@ def test_tenants_over_one_tree_share_its_base_layer(spark, monkeypatch):
     assert len(built) == len(set(built)) == 3 and sum("/_base/" in at for at in built) == 1
     copies = [s.store.table("chunks").where("store = 'customer' AND content LIKE '%local change'").count() for s in (first, second)]
     assert copies[0] and not copies[1]
+
+
+def test_turns_of_other_conversations_are_not_grouped(spark):
+    bugs = retrieval.reported(spark, "/root/testdata/sf0.001")
+    shown = plan(bugs)
+    assert "LeftSemi" in shown and shown.rindex("LeftSemi") > shown.rindex("collect_list")  # children stand below
+    assert bugs.count() == D.bug_queries(spark, "/root/testdata/sf0.001").count()
