@@ -1,7 +1,8 @@
-"""Arrow batches in pieces of bounded text size, and giving memory back between them.
+"""Arrow batches of bounded size, their pieces of bounded text size, and giving memory back between them.
 
-A batch holds as many rows as the session says, whatever their length, so Python code that looks at texts takes a batch
-piece by piece.
+A batch holds as many rows and bytes as the session says, by Spark's default up to 10,000 rows and 64 MB, and a worker has
+the batch it works on and the next one in memory. `bound_batches` makes both small. Where a session keeps larger ones, Python
+code that looks at texts takes a batch piece by piece.
 """
 
 from __future__ import annotations
@@ -11,9 +12,14 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
 
 #: Text bytes of a piece, about.
 PIECE_BYTES = 4 << 20
+#: Bytes of a batch, about.
+BATCH_BYTES = 4 << 20
+
+_BATCH_BOUND = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 try:
     _TRIM = ctypes.CDLL(None).malloc_trim
@@ -21,6 +27,12 @@ except (AttributeError, OSError, TypeError):  # another C library
     _TRIM = None
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Let the session hand Python workers batches of about BATCH_BYTES, unless it names a size of its own."""
+    if spark.conf.get(_BATCH_BOUND, None) is None:
+        spark.conf.set(_BATCH_BOUND, str(BATCH_BYTES))
+
+
 def release() -> None:
     """Hand freed memory back to the system."""
     pa.default_memory_pool().release_unused()

@@ -7,6 +7,7 @@ import argparse
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from .batches import bound_batches
 from .config import Settings, load_settings
 from .functions import text as X
 from .operators import evaluation as E
@@ -120,6 +121,7 @@ def main(argv=None) -> None:
     args = _parser().parse_args(argv)
     spark = SparkSession.builder.appName("sparkseek").getOrCreate()
     ship(spark)
+    bound_batches(spark)
     settings = load_settings(args.config)
     try:
         _run(spark, args, settings)

@@ -7,6 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..batches import bound_batches
 from ..shipping import ship
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +24,7 @@ def query(name: str, sql: str | None = None):
         @wraps(function)
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             ship(spark)
+            bound_batches(spark)
             return function(spark, sf_dir.rstrip("/"))
 
         _QUERIES[name] = run

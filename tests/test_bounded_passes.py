@@ -7,11 +7,13 @@ from contextlib import redirect_stdout
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
+from sparkseek import batches
 from sparkseek.operators import bm25, diffs, exact, postings, topk
 from sparkseek.plans import indexing
 from sparkseek.workload import data as D
-from sparkseek.workload import retrieval
+from sparkseek.workload import registry, retrieval
 
 
 def plan(df):
@@ -114,3 +116,20 @@ def test_turns_of_other_conversations_are_not_grouped(spark):
     shown = plan(bugs)
     assert "LeftSemi" in shown and shown.rindex("LeftSemi") > shown.rindex("collect_list")  # children stand below
     assert bugs.count() == D.bug_queries(spark, "/root/testdata/sf0.001").count()
+
+
+def test_a_query_hands_python_small_batches_unless_the_session_names_a_size(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    texts = spark.range(4000).select(F.repeat(F.lit("x"), 5000).alias("text")).coalesce(1)
+
+    def sizes(parts):
+        for batch in parts:
+            yield pa.RecordBatch.from_pydict({"bytes": [batch.nbytes]})
+
+    registry.queries()["unit_chunks"](spark, "/root/testdata/sf0.001")
+    found = [row.bytes for row in texts.mapInArrow(sizes, "bytes long").collect()]
+    assert sum(found) > 20_000_000 and max(found) < 1.1 * batches.BATCH_BYTES
+    own = spark.newSession()
+    own.conf.set(name, "9m")
+    batches.bound_batches(own)
+    assert own.conf.get(name) == "9m"
