@@ -38,6 +38,19 @@ def test_replay_of_many_words_at_once():
     assert [list(ids) for ids in REPLAY.encode(words)] == [REFERENCE._encode_single_piece(word) for word in words]
 
 
+def test_words_merge_together(monkeypatch):
+    # One step takes a pair of all words that hold it, so steps are far fewer than merges; words on both sides of the bound for it are right.
+    pick = random.Random(2)
+    words = ["".join(pick.choice("aabtheing 01é日") for _ in range(pick.randint(1, 9))).encode() for _ in range(4000)]
+    words += [unit * (bpe.LONG_WORD + more) for unit in (b"a", b" ", b"ab", b"the") for more in (-1, 0, 1)] + [b""]
+    steps = []
+    form = bpe._Partners.form
+    monkeypatch.setattr(bpe._Partners, "form", lambda *args: steps.append(1) or form(*args))
+    found = [np.frombuffer(ids, dtype=np.int32).tolist() for ids in REPLAY.packed(words)]
+    assert found == [REFERENCE._encode_single_piece(word) if word else [] for word in words]
+    assert 0 < len(steps) // 2 < sum(map(len, words)) / 20
+
+
 def test_an_earlier_merge_may_open_late():
     # "bc" comes before "ab", but only "ab" lets "abc" form, which ranks first.
     ranks = {bytes([b]): 1000 + b for b in range(256)} | {b"cd": 1, b"ab": 7, b"abcd": 3, b"xab": 2}
