@@ -150,9 +150,9 @@ spans AS (SELECT doc_id, coalesce(u.top, c.top) AS top, CASE WHEN u.top IS NULL
 SELECT doc_id, length(text) > 1000 AS cut, md5(CASE WHEN length(text) <= 1000 THEN text WHEN top IS NULL THEN left(text, 1000) ELSE array_to_string(l[top:bottom], chr(10)) END) AS digest
 FROM lined LEFT JOIN spans USING (doc_id)""")
 def symbol_windows(spark, sf_dir):
-    """Window of at most 1000 characters around the first line with the last word of every document."""
+    """Window of at most 1000 characters around the first line with the last word of every document; without a word its head."""
     tree = D.source_tree(spark, sf_dir).select("doc_id", "text")
-    word = F.element_at(F.filter(F.split("text", r"\s+"), lambda w: w != ""), -1)
+    word = F.try_element_at(F.filter(F.split("text", r"\s+"), lambda w: w != ""), F.lit(-1))
     rows = tree.withColumn("w", V.symbol_window_udf(1000)(F.col("text"), F.array(word)))
     return rows.select("doc_id", F.col("w.cut").alias("cut"), F.md5("w.text").alias("digest"))
 

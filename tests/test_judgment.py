@@ -1,3 +1,4 @@
+import hashlib
 import json
 
 import pytest
@@ -5,6 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from sparkseek import workload
 from sparkseek.operators import consensus as C
 from sparkseek.operators import diffs as V
 from sparkseek.operators import evaluation as E
@@ -131,6 +133,16 @@ def test_window_and_drafts():
     assert V.drop_drafts(kept, "\n\n## Patch\n") == (kept, False)
 
 
+def test_windows_of_documents_without_a_word(spark, tmp_path):
+    long = " \n\t" * 500
+    texts = ["", " \n\t ", long, "two words"]
+    rows = [(k, text, "en", "source-1") for k, text in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.cut, r.digest) for r in workload.queries()["symbol_windows"](spark, str(tmp_path)).collect()}
+    heads = ["", " \n\t ", long[:1000], "two words"]
+    assert got == {k: (head != text, hashlib.md5(head.encode()).hexdigest()) for k, (head, text) in enumerate(zip(heads, texts))}
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.integers(0, 9), min_size=1, max_size=12), st.integers(0, 11), st.integers(1, 40))
 def test_window_grows_evenly(lengths, at, budget):
